@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import byte_bpe, exact_dedup, fingerprints, secret_scan
 
 QUERIES = {
+    "op2_fingerprints": fingerprints.op2_fingerprints,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op7_byte_bpe": byte_bpe.op7_byte_bpe,
+    "op8_secret_scan": secret_scan.op8_secret_scan,
 }
 
 ORACLES = {
