@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, fingerprints, secret_scan
+from . import byte_bpe, chat, exact_dedup, fingerprints, packing, quality, secret_scan, token_counts
 
 QUERIES = {
     "op2_fingerprints": fingerprints.op2_fingerprints,
+    "op3_tool_calls": chat.op3_tool_calls,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op6_packing": packing.op6_packing,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_secret_scan": secret_scan.op8_secret_scan,
+    "op9_quality": quality.op9_quality,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 
 ORACLES = {
+    "op3_tool_calls": chat.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
 }
