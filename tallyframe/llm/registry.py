@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, exact_dedup, fingerprints, packing, quality, secret_scan, token_counts
+from . import byte_bpe, chat, exact_dedup, fingerprints, jaccard_join, packing, quality, secret_scan, token_counts
 
 QUERIES = {
+    "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_tool_calls": chat.op3_tool_calls,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
