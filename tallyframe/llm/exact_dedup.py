@@ -94,7 +94,7 @@ def exact_dedup(docs: DataFrame, is_snapshot: Column | None = None, id_col: str
     keepers = found.select("digest", F.col("old_keep").alias("doc_id")).unionByName(found.select("digest", F.col("new_keep").alias("doc_id"))).filter("doc_id is not null")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("body"))
     same = (
-        keepers.join(texts, "doc_id")
+        keepers.hint("merge").join(texts, "doc_id")
         .filter(F.unhex(F.sha2("body", 256)) == F.col("digest"))
         .groupBy("digest")
         .agg((F.min("body") == F.max("body")).alias("same"))
