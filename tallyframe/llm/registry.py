@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, exact_dedup, fingerprints, jaccard_join, packing, quality, secret_scan, token_counts
+from . import byte_bpe, chat, exact_dedup, fingerprints, jaccard_join, packing, quality, secret_scan, substring_dedup, token_counts
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_tool_calls": chat.op3_tool_calls,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_packing": packing.op6_packing,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_secret_scan": secret_scan.op8_secret_scan,
