@@ -131,7 +131,7 @@ def resume_from_snapshot(spark, sf):
 
 STATE_SQL = f"""{T}, x AS (SELECT *, count(*) OVER {_CARD_DAY} AS nd, sum({MONEY}) OVER {_CARD_DAY} AS ad, count(*) OVER {_CARD_WEEK} AS nw, sum({MONEY}) OVER {_CARD_WEEK} AS aw,
   count(*) OVER g AS ng, sum({MONEY}) OVER g AS ag, row_number() OVER (PARTITION BY card_id ORDER BY us DESC, transaction_no DESC) AS rn FROM t WINDOW g AS (PARTITION BY card_id ORDER BY us, transaction_no ROWS UNBOUNDED PRECEDING)),
-  s AS (SELECT 'Card' AS subject, card_id AS key, 'tx' AS record, us AS as_of, unnest([{DAY}, {WEEK}, NULL]) AS window_ms, unnest([nd, nw, ng]) AS count, unnest([ad, aw, ag])::DOUBLE AS amount FROM x WHERE rn = 1)"""
+  s AS (SELECT 'Card' AS subject, card_id AS key, 'tx' AS record, us AS as_of, unnest([{DAY}, {WEEK}, NULL])::BIGINT AS window_ms, unnest([nd, nw, ng]) AS count, unnest([ad, aw, ag])::DOUBLE AS amount FROM x WHERE rn = 1)"""
 
 TABLE = {
     "check_transactions": (check_transactions, f"{SCORED} SELECT transaction_no, CASE WHEN len(titles) > 0 THEN 'ALERT' ELSE 'NO_ALERT' END AS alert_status, len(titles) / 5.0::DOUBLE AS score, array_to_string(titles, ',') AS alerts FROM a"),
