@@ -23,12 +23,16 @@ MONEY = "decimal(18,2)"
 SPAN_MS = 86_400_000
 
 
-def _running(signed: DataFrame, keys: list[str], order: list[str], at: str, values: list[str], span_us: int) -> DataFrame:
-    """signed with each value replaced by its running sum over keys in the given order."""
-    spans = signed.withColumn("_span", F.floor(F.col(at) / span_us))
+def _running(signed: DataFrame, keys: list[str], order: list[str], at: str, values: list[str], span_us: int, source: DataFrame | None = None) -> DataFrame:
+    """signed with each value replaced by its running sum over keys in the given order.
+
+    source: a cheaper plan with the same keys, times and values, from which the spans' sums are taken.
+    """
+    span = F.floor(F.col(at) / span_us)
+    spans = signed.withColumn("_span", span)
     own = Window.partitionBy(*keys, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    totals = spans.groupBy(*keys, "_span").agg(*(F.sum(v).alias(v) for v in values))
+    totals = (spans if source is None else source.withColumn("_span", span)).groupBy(*keys, "_span").agg(*(F.sum(v).alias(v) for v in values))
     carried = totals.select(*keys, "_span", *(F.sum(v).over(before).alias(f"_before_{v}") for v in values))
     local = spans.withColumns({v: F.sum(v).over(own) for v in values})
     met = local.join(carried, [*keys, "_span"])
@@ -36,19 +40,23 @@ def _running(signed: DataFrame, keys: list[str], order: list[str], at: str, valu
     return met.withColumns({v: F.coalesce(v, zero) + F.coalesce(f"_before_{v}", zero) for v in values}).drop("_span", *(f"_before_{v}" for v in values))
 
 
-def sliding_sums(df: DataFrame, keys: list[str], windows: dict[str, int], measures: dict[str, Column], at: str = "us", tie: str = "transaction_no", span_ms: int = SPAN_MS) -> DataFrame:
+def sliding_sums(df: DataFrame, keys: list[str], windows: dict[str, int], measures: dict[str, Column], at: str = "us", tie: str = "transaction_no", span_ms: int = SPAN_MS, source: DataFrame | None = None) -> DataFrame:
     """df with a column ``measure_window`` for each measure and window (name to ms): its sum in the window.
 
     Measures are long or decimal columns; null counts as 0. Rows with a null key are left out.
+    source: where df is the end of a chain of indicators, the rows that it began with.
     """
-    valued = df.dropna(subset=keys).withColumns({f"_m_{m}": F.coalesce(c, F.lit(0)) for m, c in measures.items()})
     kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(0 if w is None else windows[w] * 1000).alias("late")) for i, w in enumerate([None, *windows])])
-    each = valued.withColumn("_k", F.explode(kinds)).withColumns({"_at": F.col(at) + F.col("_k.late"), "_kind": F.col("_k.kind")}).drop("_k")
     names = {f"{m}_{w}": (m, i) for i, w in enumerate(windows, 1) for m in measures}
-    signed = each.withColumns({out: F.when(F.col("_kind") == 0, F.col(f"_m_{m}")).when(F.col("_kind") == i, -F.col(f"_m_{m}")).otherwise(F.lit(0)) for out, (m, i) in names.items()}).drop(*(f"_m_{m}" for m in measures))
+
+    def signed(rows: DataFrame) -> DataFrame:
+        valued = rows.dropna(subset=keys).withColumns({f"_m_{m}": F.coalesce(c, F.lit(0)) for m, c in measures.items()})
+        each = valued.withColumn("_k", F.explode(kinds)).withColumns({"_at": F.col(at) + F.col("_k.late"), "_kind": F.col("_k.kind")}).drop("_k")
+        return each.withColumns({out: F.when(F.col("_kind") == 0, F.col(f"_m_{m}")).when(F.col("_kind") == i, -F.col(f"_m_{m}")).otherwise(F.lit(0)) for out, (m, i) in names.items()}).drop(*(f"_m_{m}" for m in measures))
+
     payload = [c for c in df.columns if c not in (*keys, tie)]
-    signed = signed.withColumns({c: F.when(F.col("_kind") == 0, F.col(c)) for c in payload})
-    summed = _running(signed, keys, ["_at", F.expr("_kind > 0"), tie], "_at", list(names), span_ms * 1000)
+    rows = signed(df).withColumns({c: F.when(F.col("_kind") == 0, F.col(c)) for c in payload})
+    summed = _running(rows, keys, ["_at", F.expr("_kind > 0"), tie], "_at", list(names), span_ms * 1000, None if source is None else signed(source))
     return summed.filter("_kind = 0").select(*df.columns, *names)
 
 
@@ -98,10 +106,10 @@ def sliding_last(df: DataFrame, keys: list[str], values: dict[str, Column], wind
     return df.dropna(subset=keys).withColumns(held)
 
 
-def global_record(df: DataFrame, keys: list[str], measures: dict[str, Column], at: str = "us", tie: str = "transaction_no", span_ms: int = SPAN_MS) -> DataFrame:
-    """df with running sums of each measure since the key's first row."""
-    valued = df.dropna(subset=keys).withColumns({m: F.coalesce(c, F.lit(0)) for m, c in measures.items()})
-    return _running(valued, keys, [at, tie], at, list(measures), span_ms * 1000)
+def global_record(df: DataFrame, keys: list[str], measures: dict[str, Column], at: str = "us", tie: str = "transaction_no", span_ms: int = SPAN_MS, source: DataFrame | None = None) -> DataFrame:
+    """df with running sums of each measure since the key's first row. source: as in sliding_sums."""
+    valued = lambda rows: rows.dropna(subset=keys).withColumns({m: F.coalesce(c, F.lit(0)) for m, c in measures.items()})
+    return _running(valued(df), keys, [at, tie], at, list(measures), span_ms * 1000, None if source is None else valued(source))
 
 
 def anchored_window(df: DataFrame, keys: list[str], window_ms: int, at: str = "us", tie: str = "transaction_no") -> DataFrame:

@@ -41,9 +41,10 @@ def with_indicators(df: DataFrame, rules: list[Rule], custom: dict[str, list[str
     by_subject: dict[tuple, list[Rule]] = defaultdict(list)
     for r in compute:
         by_subject[(r.subject, r.custom_subject)].append(r)
+    alone = F.concat(F.lit("\0"), F.col("transaction_no").cast("string"))
+    df = source = df.withColumns({f"_key_{name}": F.coalesce(key.cast("string"), alone) for name, key in keys.items()})
     for (subject, name), own in by_subject.items():
         key = f"_key_{(name or subject).lower()}"
-        df = df.withColumn(key, F.coalesce(keys[(name or subject).lower()].cast("string"), F.concat(F.lit("\0"), F.col("transaction_no").cast("string"))))
         sliding: dict[str, dict[str, int]] = defaultdict(dict)
         adds: dict[str, Column] = {}
         for r in own:
@@ -53,10 +54,10 @@ def with_indicators(df: DataFrame, rules: list[Rule], custom: dict[str, list[str
                     sliding[m][part_name(subject, name, r.window_ms, False)] = r.window_ms
         for group in {tuple(sorted(w.items())) for w in sliding.values()}:
             shared = [m for m, w in sliding.items() if tuple(sorted(w.items())) == group]
-            df = sliding_sums(df, [key], dict(group), {m: adds[m] for m in shared})
+            df = sliding_sums(df, [key], dict(group), {m: adds[m] for m in shared}, source=source)
         for r in own:
             if r.scope == "global":
-                df = global_record(df, [key], {f"{m}_{part_name(subject, name, None, False)}": c for m, c in measures(r).items()})
+                df = global_record(df, [key], {f"{m}_{part_name(subject, name, None, False)}": c for m, c in measures(r).items()}, source=source)
             elif r.fixed:
                 part = part_name(subject, name, r.window_ms, True)
                 df = running_in_window(anchored_window(df, [key], r.window_ms), [key], {f"{m}_{part}": c for m, c in measures(r).items()}).drop("window_start", "window_end")
