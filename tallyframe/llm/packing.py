@@ -106,21 +106,34 @@ class Tokens:
         self.pieces = re.compile(r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~]+|[0-9]").findall
         self.split = re.compile(r"[^\x20\x09-\x0D]+").findall
         self.known: dict[str, bytes] = {}
-
-    def words(self, text: str) -> list[str]:
-        return self.split(text) if self.other(text) else self.pieces(text.lower())
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def learn(self, words: list[str], single: bool) -> None:
+        """The ids of new words; single ones, which end once each, are encoded in one string and parted at their ends."""
+        for at in range(0, len(words), 5_000):
+            some = words[at : at + 5_000]
+            if single:
+                ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+                stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                spelled = ids.tobytes()
+                if len(stops) == len(some):
+                    self.known.update((w, spelled[a:b]) for w, a, b in zip(some, [0, *stops[:-1]], stops, strict=True))
+                else:
+                    self.learn(some, False)
+            else:
+                coded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+                self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, coded, strict=True))
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        words = [self.words(x) for x in texts]
-        fresh = set().union(*words).difference(self.known)
-        if len(self.known) + len(fresh) > KEPT_WORDS:
+        odd = [bool(self.other(x)) for x in texts]
+        words = [self.split(x) if o else self.pieces(x.lower()) for x, o in zip(texts, odd, strict=True)]
+        kinds = [set().union(*(w for w, o in zip(words, odd, strict=True) if o == kind)) for kind in (False, True)]
+        if len(self.known) + sum(len(k.difference(self.known)) for k in kinds) > KEPT_WORDS:
             self.known = {}
-            fresh = set().union(*words)
-        listed = list(fresh)
-        for at in range(0, len(listed), 20_000):
-            some = listed[at : at + 20_000]
-            ids = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, ids, strict=True))
+        for kind, single in zip(kinds, (True, False), strict=True):
+            self.learn(list(kind.difference(self.known)), single)
         known = self.known
         return [b"".join([known[w] for w in some]) + end for some in words]
 
