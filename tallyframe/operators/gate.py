@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .alerts import ALERT, UNAVAILABLE
+from .alerts import UNAVAILABLE
 
 DAY_US = 86_400_000_000
 
 
-def in_intervals(rows: DataFrame, intervals: DataFrame, at: str = "us") -> DataFrame:
+def in_intervals(rows: DataFrame, intervals: DataFrame, at: str = "us", until: int | None = None) -> DataFrame:
     """rows with ``inside``: whether an interval (started_us, ended_us; open end: null) holds their time, start included, end not.
 
-    Rows and intervals meet by the days that they touch, so the join has an equality.
+    Rows and intervals meet by the days that they touch, so the join has an equality. until: the time to which open
+    intervals are taken; the last row's if not given, as a stream must.
     """
-    last = rows.agg(F.max(at)).first()[0] or 0
+    last = until if until is not None else rows.agg(F.max(at)).first()[0] or 0
     ends = F.least(F.coalesce("ended_us", F.lit(last + 1)), F.lit(last + 1))
     days = intervals.filter("started_us < coalesce(ended_us, 9223372036854775807)").select("started_us", ends.alias("ended_us")).filter("ended_us > started_us")
     days = days.withColumn("_day", F.explode(F.sequence(F.floor(F.col("started_us") / DAY_US), F.floor((F.col("ended_us") - 1) / DAY_US))))
@@ -26,9 +27,9 @@ def in_intervals(rows: DataFrame, intervals: DataFrame, at: str = "us") -> DataF
     return yes.unionByName(no)
 
 
-def deployment_gate(rows: DataFrame, intervals: DataFrame, at: str = "us") -> DataFrame:
+def deployment_gate(rows: DataFrame, intervals: DataFrame, at: str = "us", until: int | None = None) -> DataFrame:
     """rows with gate_status and gate_action: transactions during a deployment are postponed and skip the rules."""
-    return in_intervals(rows, intervals, at).withColumns({"gate_status": F.when(F.col("inside"), UNAVAILABLE), "gate_action": F.when(F.col("inside"), "POSTPONE")}).drop("inside")
+    return in_intervals(rows, intervals, at, until).withColumns({"gate_status": F.when(F.col("inside"), UNAVAILABLE), "gate_action": F.when(F.col("inside"), "POSTPONE")}).drop("inside")
 
 
 def ruleset_asof(rows: DataFrame, versions: DataFrame, at: str = "us") -> DataFrame:
@@ -53,7 +54,3 @@ def active_ruleset(deployments: DataFrame) -> DataFrame:
     order = F.struct("requested_us", "version")
     return deployments.groupBy("ruleset").agg(F.max_by("version", order).alias("requested"), F.max_by("version", F.when(F.col("valid"), order)).alias("active"))
 
-
-def gated_status(status: str = "alert_status"):
-    """The final status: a postponed transaction's is its gate's."""
-    return F.coalesce(F.col("gate_status"), F.col(status), F.lit(ALERT))

@@ -8,6 +8,7 @@ from ..operators import alerts as A, metrics as M, state, windows as W
 from ..sources.transactions import read_transactions, split_errors, table
 from ..streaming import jobs
 from . import queries_alerts as Q
+from .queries_rules import RELEASES, releases
 from .queries_windows import ANCHORED, DAY, HOUR, MONEY, T, WEEK, _frame, receive_delays
 
 
@@ -77,6 +78,22 @@ def stream_late(spark, sf):
     return jobs.drained(out, "append").select("transaction_no", "n_day")
 
 
+CARD_RULES = [r for r in Q.ALERTS if r.title in ("busy-day", "large-week")]
+
+
+def stream_alert_sets(spark, sf):
+    """Alert sets of a stream's cards, apart from its answers; transactions during a deployment skip rules and state."""
+    open_, _ = jobs.gated(read_transactions(spark, sf, streaming=True), releases(spark, sf), 2**62)
+    _, alerts = jobs.answered(jobs.alerted(open_, "Card", "card_id", CARD_RULES))
+    return alerts.select("transaction_no", "score", A.titles(F.col("alerts")).alias("alerts"))
+
+
+def stream_gate(spark, sf):
+    """Answers to the transactions that a deployment postpones."""
+    _, postponed = jobs.gated(read_transactions(spark, sf, streaming=True), releases(spark, sf), 2**62)
+    return jobs.drained(postponed, "append")
+
+
 def stream_tumbling(spark, sf):
     out = jobs.tumbling(read_transactions(spark, sf, streaming=True), "merchant", "1 day")
     return jobs.drained(out, "complete").select("merchant", "window_start", "n", F.round("amount", 2).alias("amount"))
@@ -111,6 +128,11 @@ TABLE = {
     "stream_fixed": (stream_fixed, f"{ANCHORED} SELECT transaction_no, window_start, count(*) OVER (PARTITION BY card_id, window_start ORDER BY us, transaction_no ROWS UNBOUNDED PRECEDING) AS n FROM w"),
     "stream_global": (stream_global, f"WITH {T} SELECT transaction_no, count(*) OVER w AS n, round(CAST(sum({MONEY}) OVER w AS DOUBLE), 2) AS amount FROM t WINDOW w AS (PARTITION BY merchant ORDER BY us, transaction_no ROWS UNBOUNDED PRECEDING)"),
     "stream_late": (stream_late, f"WITH {T}, s AS (SELECT us, transaction_no, count(*) OVER {_frame('card_id', '1 DAY')} AS n_day FROM t) SELECT transaction_no, n_day FROM s WHERE us < (SELECT max(us) FROM t)"),
+    "stream_alert_sets": (stream_alert_sets, f"""WITH {T}, {RELEASES}, o AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM d WHERE us >= started_us AND us < ended_us)),
+      i AS (SELECT transaction_no, count(*) OVER {_frame('card_id', '1 DAY')} AS nd, count(*) OVER {_frame('card_id', '7 DAYS')} AS nw, sum({MONEY}) OVER {_frame('card_id', '7 DAYS')} AS aw FROM o),
+      a AS (SELECT transaction_no, list_filter([CASE WHEN nd > 4 THEN 'busy-day' END, CASE WHEN aw > 600 AND nw > 2 THEN 'large-week' END], lambda x: x IS NOT NULL) AS titles FROM i)
+      SELECT transaction_no, len(titles) / 2.0::DOUBLE AS score, array_to_string(titles, ',') AS alerts FROM a WHERE len(titles) > 0"""),
+    "stream_gate": (stream_gate, f"WITH {T}, {RELEASES} SELECT transaction_no, 'ALERT_UNAVAILABLE' AS alert_status, 'POSTPONE' AS action FROM t WHERE EXISTS (SELECT 1 FROM d WHERE us >= started_us AND us < ended_us)"),
     "stream_tumbling": (stream_tumbling, f"WITH {T} SELECT merchant, epoch_us(date_trunc('day', ts)) AS window_start, count(*) AS n, round(CAST(sum({MONEY}) AS DOUBLE), 2) AS amount FROM t GROUP BY 1, 2"),
     "stream_state_query": (stream_state_query, f"WITH {T} SELECT merchant, count(*) AS n, round(CAST(sum({MONEY}) AS DOUBLE), 2) AS amount FROM t GROUP BY 1"),
     "stream_rule_reload": (stream_rule_reload, f"WITH {T}, r AS (SELECT p_partkey % 5 AS rule_no, max(p_size) AS threshold FROM part WHERE p_size % 3 <> 0 GROUP BY 1) SELECT transaction_no, amount > threshold AS alerted FROM t JOIN r ON card_id::BIGINT % 5 = rule_no"),

@@ -87,18 +87,18 @@ def active_ruleset(spark, sf):
     return gate.active_ruleset(d)
 
 
-def _releases(spark, sf):
+def releases(spark, sf):
     """Deployments that run while the events do: every 50th event starts one of two to eleven minutes."""
     e = read_transactions(spark, sf).filter("transaction_no % 50 = 0")
     return e.select(F.col("us").alias("started_us"), (F.col("us") + (F.col("transaction_no") % 10 + 2) * 60_000_000).alias("ended_us"), F.col("us").alias("from_us"), F.concat(F.lit("v"), F.col("transaction_no").cast("string")).alias("version"))
 
 
 def deployment_gate(spark, sf):
-    return gate.deployment_gate(read_transactions(spark, sf), _releases(spark, sf)).select("transaction_no", "gate_status", "gate_action")
+    return gate.deployment_gate(read_transactions(spark, sf), releases(spark, sf)).select("transaction_no", "gate_status", "gate_action")
 
 
 def ruleset_asof(spark, sf):
-    late = _releases(spark, sf).withColumn("from_us", F.col("ended_us"))
+    late = releases(spark, sf).withColumn("from_us", F.col("ended_us"))
     return gate.ruleset_asof(read_transactions(spark, sf).select("transaction_no", "us"), late).select("transaction_no", "version")
 
 

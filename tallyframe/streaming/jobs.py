@@ -10,6 +10,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.alerts import alert_array, with_status
+from ..operators.gate import deployment_gate
+from ..operators.rules import Rule, part_name
 from .processors import Fixed, Sliding, Unbounded
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -44,10 +47,43 @@ def sliding(stream: DataFrame, keys: list[str], windows: dict[str, int], order:
     late = order == "event_time"
     rows = stream.select(*keys, "us", "transaction_no", "amount", "ts")
     rows = rows.withWatermark("ts", delay) if late else rows.drop("ts")
-    schema = "transaction_no long, us long, " + ", ".join(f"n_{w} long, amount_{w} double" for w in windows)
+    schema = "key string, transaction_no long, us long, " + ", ".join(f"n_{w} long, amount_{w} double" for w in windows)
     return rows.groupBy(*keys).transformWithStateInPandas(Sliding(windows, late), schema, "Append", "EventTime" if late else "None")
 
 
+def alerted(stream: DataFrame, subject: str, key: str, rules: list[Rule], record: str = "tx") -> DataFrame:
+    """transaction_no, alerts, alert_status and score by the sliding rules of one subject, on its keyed state."""
+    windows = {part_name(subject, None, r.window_ms, False): r.window_ms for r in rules}
+    kept = sliding(stream.filter(F.col(key).isNotNull()), [key], windows)
+    named = kept.withColumnsRenamed({f"{short}_{w}": f"{record}_{long}_{w}" for w in windows for short, long in (("n", "count"), ("amount", "amount"))})
+    alerts = alert_array([r for r in rules if r.kind == "ALERT"], {subject.lower(): F.col("key")})
+    return with_status(named.select("transaction_no", alerts.alias("alerts")), sum(r.kind == "ALERT" for r in rules))
+
+
+def gated(stream: DataFrame, intervals: DataFrame, until: int) -> tuple[DataFrame, DataFrame]:
+    """(transactions that go on, answers to those that a deployment postpones and that leave no trace in the state)."""
+    marked = deployment_gate(stream, intervals, until=until)
+    postponed = marked.filter("gate_status is not null").select("transaction_no", F.col("gate_status").alias("alert_status"), F.col("gate_action").alias("action"))
+    return marked.filter("gate_status is null").drop("gate_status", "gate_action"), postponed
+
+
+def answered(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(answers, alert sets): each micro-batch writes all of its answers, and apart from them those with alerts."""
+    spark = answers.sparkSession
+    base = f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
+
+    def batch(df: DataFrame, number: int) -> None:
+        df = df.persist()
+        df.write.mode("overwrite").parquet(f"{base}/answers/batch={number}")
+        df.filter(F.size("alerts") > 0).write.mode("overwrite").parquet(f"{base}/alerts/batch={number}")
+        df.unpersist()
+
+    with _rocksdb(spark):
+        answers.writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    read = lambda name: spark.read.schema(answers.schema).parquet(f"{base}/{name}")
+    return read("answers"), read("alerts")
+
+
 def fixed(stream: DataFrame, keys: list[str], window_ms: int) -> DataFrame:
     rows = stream.select(*keys, "us", "transaction_no", "amount")
     return rows.groupBy(*keys).transformWithStateInPandas(Fixed(window_ms), "transaction_no long, us long, window_start long, n long, amount double", "Append", "None")

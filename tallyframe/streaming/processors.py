@@ -39,7 +39,7 @@ class Sliding(StatefulProcessor):
             held.append(row)
             held.sort()
             inside = [r for r in held if r[0] >= row[0] - longest and (r[0], r[1]) <= (row[0], row[1])]
-            answer = {"transaction_no": row[1], "us": row[0]}
+            answer = {"key": "|".join(map(str, key)), "transaction_no": row[1], "us": row[0]}
             for name, ms in self.windows.items():
                 part = [r for r in inside if r[0] >= row[0] - ms * 1000]
                 answer |= {f"n_{name}": len(part), f"amount_{name}": sum(round(r[2] * 100) for r in part) / 100}
