@@ -211,3 +211,24 @@ def test_fixed_windows_over_micro_batches(spark, tmp_path):
     got = jobs.drained(jobs.fixed(stream(spark, tmp_path, parts), ["card_id"], 10_000), "append").collect()
     want = W.running_in_window(W.anchored_window(table(spark, [x for p in parts for x in p]), ["card_id"], 10_000), ["card_id"], {"n": F.lit(1)}).collect()
     assert {r.transaction_no: (r.window_start, r.n) for r in got} == {r.transaction_no: (r.window_start, r.n) for r in want}
+
+
+def test_gated_answers_and_alert_sets(spark, tmp_path):
+    parts = batches(4)
+    gates = spark.createDataFrame([(10 * S, 40 * S)], "started_us long, ended_us long")
+    rules = [R.Rule("busy", "ALERT", "Card", 10_000, condition_sql="tx.count >= 4")]
+    open_, postponed = jobs.gated(stream(spark, tmp_path, parts), gates, 2**62)
+    answers, sets = jobs.answered(jobs.alerted(open_, "Card", "card_id", rules))
+    rows = [x for p in parts for x in p]
+    outside = [x for x in rows if not 10 * S <= x[4] < 40 * S]
+    want = {i: n >= 4 for i, (n, _) in counted(spark, outside).items()}
+    assert {r.transaction_no: bool(r.alerts) for r in answers.collect()} == want
+    assert {r.transaction_no for r in sets.collect()} == {i for i, alert in want.items() if alert}
+    assert {r.transaction_no for r in jobs.drained(postponed, "append").collect()} == {x[0] for x in rows} - set(want)
+
+
+def test_counters_seen_while_another_action_runs(spark):
+    rows = [(1, "c", "m", 1.0, 0), (2, "c", "m", 1.0, S)]
+    answers, seen = metrics.observed(engine.check_transactions(table(spark, rows), RULES[:1] + RULES[3:4]))
+    assert answers.count() == 2
+    assert seen.get["processed"] == 2 and seen.get["alerted"] == 1
