@@ -2,9 +2,10 @@
 
 Equal windows choose the same anchor, the least hash among their word n-grams, so the
 anchor decides the shard and no window needs more than one. Anchors that only one
-document has are left out first. What lies around an anchor is one segment of words; a
-shard indexes the distinct segments of a run of anchors (FM-index: wavelet matrix over the
-Burrows-Wheeler transform), each labelled with the least doc_id that has it, then streams
+document has are left out first. What lies around an anchor is one segment of words. Of
+equal segments one goes to the shard, with the least doc_id that has it, so a passage that
+a third of all documents share loads no task. A shard indexes the distinct segments of a
+run of anchors (FM-index: wavelet matrix over the Burrows-Wheeler transform), then streams
 them by backward search. Where the match reaches the window's length, the least label of
 the interval is the first document that has the window; if that is smaller than a
 document's own doc_id, its words there are removed. Words travel as 40-bit hashes.
@@ -24,11 +25,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .shared import map_batches, partitions, written
+from .shared import map_batches, partitions, salted_lookup, written
 from .textops import gram_hashes, row_blocks, text_buffers, word_bounds, word_hashes
 
 U = np.uint64
@@ -108,10 +110,18 @@ def anchored(docs: DataFrame) -> DataFrame:
     return map_batches(docs, make, "doc_id long, tie long, n_words long, whole_sha256 string, anchors array<long>")
 
 
-def shard_rows(candidates: DataFrame) -> DataFrame:
-    """(anchor, doc_id, tie, begin, low, high): the segments of (doc_id, tie, text, shared) around shared anchors; low and high are 32 and 8 bits of each word's hash."""
+PLACED = "segment binary, anchor long, doc_id long, tie long, begin int, low binary, high binary"
+#: Names of segments that a task remembers, to send the words of each once.
+NAMES_KEPT = 500_000
+
+
+def placed_segments(candidates: DataFrame) -> DataFrame:
+    """The segments of (doc_id, tie, text, shared) around shared anchors: a name, the anchor, the row and the word where
+    it begins, and its words as 32 and 8 bits of their hashes (null where the task has sent them before)."""
 
     def make():
+        sent: set[bytes] = set()
+
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             wanted = batch.column(3)
@@ -123,75 +133,70 @@ def shard_rows(candidates: DataFrame) -> DataFrame:
                     keep[cut[i] : cut[i + 1]] = np.isin(s.anchor[cut[i] : cut[i + 1]], wanted[a + i].values.to_numpy())
                 at = np.flatnonzero(keep)
                 low, high = s.words.astype(np.uint32), (s.words >> U(32)).astype(np.uint8)
-                spans = [(int(f), int(f + n + WINDOW - 1)) for f, n in zip(s.first[at], s.count[at], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(s.anchor[at]),
-                        pa.array(ids[a + s.row[at]]),
-                        pa.array(ties[a + s.row[at]]),
-                        pa.array(s.begin[at].astype(np.int32)),
-                        pa.array([low[x:y].tobytes() for x, y in spans], pa.binary()),
-                        pa.array([high[x:y].tobytes() for x, y in spans], pa.binary()),
-                    ],
-                    ["anchor", "doc_id", "tie", "begin", "low", "high"],
-                )
+                names, lows, highs = [], [], []
+                for x, n in zip(s.first[at].tolist(), s.count[at].tolist(), strict=True):
+                    p, q = low[x : x + n + WINDOW - 1].tobytes(), high[x : x + n + WINDOW - 1].tobytes()
+                    name = xxhash.xxh3_128_digest(p + q)
+                    new = name not in sent
+                    names.append(name)
+                    lows.append(p if new else None)
+                    highs.append(q if new else None)
+                    sent.add(name)
+                if len(sent) > NAMES_KEPT:
+                    sent.clear()
+                rows = a + s.row[at]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(s.anchor[at]), pa.array(ids[rows]), pa.array(ties[rows]), pa.array(s.begin[at].astype(np.int32)), pa.array(lows, pa.binary()), pa.array(highs, pa.binary())], [x.split()[0] for x in PLACED.split(", ")])
 
         return step
 
-    return map_batches(candidates, make, "anchor long, doc_id long, tie long, begin int, low binary, high binary")
-
-
-class _Shard:
-    """Distinct segments of a run of anchors, the least doc_id of each, and the rows that have it."""
-
-    def __init__(self):
-        self.at: dict[tuple, int] = {}
-        self.least: list[int] = []
-        self.rows: list[tuple[int, int, int, int]] = []
-        self.words = 0
-
-    def add(self, doc_id: int, tie: int, begin: int, low: bytes, high: bytes) -> None:
-        at = self.at.setdefault((low, high), len(self.least))
-        if at == len(self.least):
-            self.least.append(doc_id)
-            self.words += len(high)
-        elif doc_id < self.least[at]:
-            self.least[at] = doc_id
-        self.rows.append((at, doc_id, tie, begin))
-
-    def removed(self) -> pa.RecordBatch:
-        """(doc_id, tie, low, high): the words of each row that a window of an earlier document covers."""
-        parts = [np.frombuffer(low, np.uint32).astype(np.int64) | np.frombuffer(high, np.uint8).astype(np.int64) << 32 for low, high in self.at]
-        earliest = FMIndex(parts, np.array(self.least, np.int64), WINDOW).stream(parts)
-        columns: list[list] = [[], [], [], []]
-        for at, doc_id, tie, begin in self.rows:
-            hit = earliest[at] < doc_id
-            if not hit.any():
-                continue
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]])))
-            for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                for c, v in zip(columns, (doc_id, tie, begin + x, begin + y - 1 + WINDOW), strict=True):
-                    c.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "tie", "low", "high"])
-
-
-def repeated_spans(rows: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
-    """(doc_id, tie, low, high) of the repeated words of each row of shard_rows."""
+    return map_batches(candidates, make, PLACED)
+
+
+RUNS = "segment binary, runs array<struct<lo:int,hi:int,earliest:bigint>>"
+
+
+def _searched(held: dict[bytes, tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+    """Each segment's windows as runs of starts with one first document, by an index of all of them."""
+    parts = [np.frombuffer(low, np.uint32).astype(np.int64) | np.frombuffer(high, np.uint8).astype(np.int64) << 32 for _, low, high in held.values()]
+    labels = np.array([least for least, _, _ in held.values()], np.int64)
+    runs = []
+    for found in FMIndex(parts, labels, WINDOW).stream(parts):
+        edge = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+        stop = np.append(edge[1:], len(found))
+        runs.append([{"lo": int(x), "hi": int(y) - 1, "earliest": int(found[x])} for x, y in zip(edge, stop, strict=True)])
+    kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("earliest", pa.int64())]))
+    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(runs, kind)], ["segment", "runs"])
+
+
+def searched_shards(distinct: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
+    """(segment, runs) of (anchor, segment, least, low, high): where each window of a segment is first found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, now = _Shard(), None
+        held, size, now = {}, 0, None
         for batch in batches:
-            for anchor, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if anchor != now and (shard.words >= index_words or len(shard.rows) >= index_words):
-                    yield shard.removed()
-                    shard = _Shard()
+            for anchor, segment, least, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if anchor != now and size >= index_words:
+                    yield _searched(held)
+                    held, size = {}, 0
                 now = anchor
-                shard.add(*row)
-        if shard.rows:
-            yield shard.removed()
+                if segment not in held:  # other tasks may have sent it too
+                    held[segment] = (least, low, high)
+                    size += len(high)
+        if held:
+            yield _searched(held)
+
+    n = partitions(distinct.sparkSession)
+    return distinct.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(run, RUNS)
+
 
-    n = partitions(rows.sparkSession)
-    return rows.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, tie long, low long, high long")
+def repeated_spans(placed: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
+    """(doc_id, tie, low, high): the words of each row that a window of an earlier document covers."""
+    least = placed.groupBy("segment").agg(F.min("doc_id").alias("least"))
+    words = placed.filter("low is not null").select("segment", "anchor", "low", "high")
+    found = searched_shards(words.join(least, "segment").select("anchor", "segment", "least", "low", "high"), index_words)
+    met = salted_lookup(placed.select("segment", "doc_id", "tie", "begin"), found, "segment", "doc_id")
+    each = met.select("doc_id", "tie", "begin", F.explode("runs").alias("r")).filter("r.earliest < doc_id")
+    return each.select("doc_id", "tie", (F.col("begin") + F.col("r.lo")).cast("long").alias("low"), (F.col("begin") + F.col("r.hi") + WINDOW).cast("long").alias("high"))
 
 
 def _cut(rows: DataFrame) -> DataFrame:
@@ -225,7 +230,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("anchor")
     met = anchors.join(shared.hint("merge"), "anchor", "left_semi").groupBy(*key).agg(F.collect_set("anchor").alias("shared"))
     candidates = written(texts.dropna(subset=["doc_id"]).hint("merge").join(met.hint("merge"), key).select(*key, "text", "shared"), "candidates")
-    spans = repeated_spans(shard_rows(candidates), index_words).groupBy(*key).agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    placed = written(placed_segments(candidates), "segments")
+    spans = repeated_spans(placed, index_words).groupBy(*key).agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     cut = candidates.select(*key, "text").hint("merge").join(spans.hint("merge"), key).select(*key, "text", "spans")
     cut = written(_cut(cut).dropDuplicates(key), "cut")
     out = base.join(cut, (base.doc_id == cut.doc_id) & (base.tie == cut.tie), "left")
