@@ -7,7 +7,10 @@ watermark has passed them, so that answers equal the batch's.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
+from math import inf
 
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -33,17 +36,18 @@ class Sliding(StatefulProcessor):
 
     def _answers(self, key: tuple, fresh: list[tuple]) -> Iterator[pd.DataFrame]:
         held = sorted(tuple(r) for r in self.entries.get())
-        longest = max(self.windows.values()) * 1000
+        before = [0, *accumulate(round(r[2] * 100) for r in held)]  # cents of the rows before each place
         out = []
         for row in fresh:
-            held.append(row)
-            held.sort()
-            inside = [r for r in held if r[0] >= row[0] - longest and (r[0], r[1]) <= (row[0], row[1])]
+            at = bisect_right(held, row[:2] + (inf,))
+            held.insert(at, row)
+            before[at:] = accumulate((round(r[2] * 100) for r in held[at:]), initial=before[at])  # one step for a row in order
             answer = {"key": "|".join(map(str, key)), "transaction_no": row[1], "us": row[0]}
             for name, ms in self.windows.items():
-                part = [r for r in inside if r[0] >= row[0] - ms * 1000]
-                answer |= {f"n_{name}": len(part), f"amount_{name}": sum(round(r[2] * 100) for r in part) / 100}
+                first = bisect_left(held, (row[0] - ms * 1000,))
+                answer |= {f"n_{name}": at + 1 - first, f"amount_{name}": (before[at + 1] - before[first]) / 100}
             out.append(answer)
+        longest = max(self.windows.values()) * 1000
         if held:
             last = held[-1][0]
             self.entries.put([r for r in held if r[0] >= last - longest])
