@@ -6,7 +6,9 @@ ceil(threshold * n) of them, which serves three times:
 
 * Screen: shingles whose hash lies in a fixed half of the hash space are dealt out by
   hash, packed in large binary rows, and each set learns how many of them another set has
-  too. A set that lacks more than n - ceil(threshold * n) of them has no partner.
+  too. A set that lacks more than n - ceil(threshold * n) of them has no partner. What sets
+  of one block share is counted there, and a block sends each shingle once, so a shingle
+  that a third of all documents have loads no task.
 * Light sets (n <= boundary): every subset of each possible overlap size is a key; two
   small sets are partners only if they share a key.
 * Heavy sets: shingles are ordered from rare to common, and only the first
@@ -32,6 +34,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,16 +92,35 @@ def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 # Packed rows: shingles of many sets dealt out by hash.
 
 PACKED = "part int, names binary, counts binary, shingles binary"
+#: The name under which a block sends a shingle that several of its sets have, which have counted it.
+SEVERAL = 0x5DEECE66D1CE5EED
 
 
 def packed(names: np.ndarray, sets: list[np.ndarray], parts: int, half: bool) -> pa.RecordBatch:
-    """One row for each part: the sets' names, how many shingles each has there, and the low 32 bits of those."""
+    """One row for each part: the sets' names, how many shingles each has there, and the low 32 bits of those.
+
+    With half, for the screen: only that half, each shingle once, and a row of a part below 0
+    with how many shingles each set shares within the block.
+    """
     counts = np.array([len(s) for s in sets], np.int64)
     every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(sets)), counts)
+    within = []
     if half:
         keep = every >> U(63) == 0
         every, owner = every[keep], owner[keep]
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+        length = np.diff(np.append(first, len(every)))
+        shared = np.bincount(owner[np.repeat(length > 1, length)], minlength=len(sets)).astype(np.uint32)
+        some = np.flatnonzero(shared)
+        if len(some):
+            within = [(-1 - int(names[some[0]] % parts), names[some].tobytes(), shared[some].tobytes(), b"")]
+        every, owner = every[first], np.where(length > 1, len(sets), owner[first])
+        names = np.append(names, np.int64(SEVERAL))
+        order = np.argsort(owner, kind="stable")
+        every, owner = every[order], owner[order]
     part = ((every << U(1) if half else every) >> U(32)) * U(parts) >> U(32)
     order = np.argsort(part.astype(np.uint32), kind="stable")
     part, owner, low = part[order].astype(np.int64), owner[order], every[order].astype(np.uint32)
@@ -107,7 +129,7 @@ def packed(names: np.ndarray, sets: list[np.ndarray], parts: int, half: bool) ->
     cut = np.flatnonzero(np.append(True, run_part[1:] != run_part[:-1])) if len(new) else np.zeros(0, np.int64)
     stop = np.append(cut[1:], len(new))
     rows = [(int(run_part[a]), run_name[a:b].tobytes(), runs[a:b].tobytes(), low[new[a] : new[b] if b < len(new) else len(low)].tobytes()) for a, b in zip(cut, stop, strict=True)]
-    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    columns = list(zip(*(within + rows), strict=True)) or [[]] * 4
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["part", "names", "counts", "shingles"])
 
 
@@ -175,9 +197,20 @@ def screened(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) ->
         return step
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, shingles, names in _parts(batches):
+        within: list[tuple[bytes, bytes]] = []
+
+        def between() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                below = pc.less(batch.column(0), 0)
+                within.extend(zip(batch.column(1).filter(below).to_pylist(), batch.column(2).filter(below).to_pylist(), strict=True))
+                yield batch.filter(pc.invert(below))
+
+        for _, shingles, names in _parts(between()):
             own, m = np.unique(_shared(shingles, names)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(m)], ["one", "m"])
+            other = own != SEVERAL
+            yield pa.RecordBatch.from_arrays([pa.array(own[other]), pa.array(m[other])], ["one", "m"])
+        for own, m in within:
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(own, np.int64)), pa.array(np.frombuffer(m, np.uint32).astype(np.int64))], ["one", "m"])
 
     rows = map_batches(_plain(docs, id_col, text_col), make, PACKED)
     met = rows.repartition(n_tasks, "part").sortWithinPartitions("part").mapInArrow(count, "one long, m long")
