@@ -381,3 +381,24 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Pairs and their closure by brute force: for small tables only.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(words) - 4, 1) + 1), lambda i: array_to_string(words[i:i + 4], ' ')))) END AS grams FROM w
+), c AS (
+  SELECT doc_id, len(grams) AS n, min(doc_id) OVER (PARTITION BY md5(array_to_string(grams, chr(10)))) AS rep FROM s
+), g AS (
+  SELECT s.doc_id, c.n, unnest(s.grams) AS gram FROM s JOIN c USING (doc_id) WHERE c.n > 0 AND s.doc_id = c.rep
+), l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), r(v, reached) AS (
+  SELECT rep, rep FROM c WHERE n > 0 GROUP BY 1 UNION SELECT r.v, l.b FROM r JOIN l ON r.reached = l.a
+), m AS (SELECT v, min(reached) AS component_id FROM r GROUP BY 1)
+SELECT c.doc_id, c.n AS n_shingles, CASE WHEN c.n = 0 THEN c.doc_id ELSE c.rep END AS class_id, coalesce(m.component_id, c.doc_id) AS component_id
+FROM c LEFT JOIN m ON c.n > 0 AND c.rep = m.v
+"""

@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_jaccard_join": jaccard_join.ORACLE,
     "op3_tool_calls": chat.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op5_substring_dedup": substring_dedup.ORACLE,
 }
