@@ -35,6 +35,8 @@ PRIME = (1 << 31) - 1
 BASES = (1_000_003, 784_123_457)
 SPAN = 16
 SLOTS = 64
+#: Ranges of doc_id dealt to a task by hash: several, so that tasks get about as much.
+RANGES_PER_TASK = 8
 
 
 class _Powers:
@@ -152,7 +154,7 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(range_no, closing, doc_id, text) in doc_id order within each range; a closing row is the next range's first."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = partitions(spark)
+    n = RANGES_PER_TASK * partitions(spark)
     cuts = rows.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
     bounds = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts or []))])
     range_no = F.when(F.col("doc_id").isNull(), n).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id")))).cast("int")
@@ -164,7 +166,7 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = rows.join(F.broadcast(small), (F.col("range_no") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("head")))
     first = first.groupBy("closes").agg(F.min_by(F.struct("doc_id", "text"), F.struct("tie", "text")).alias("r"))
     closing = first.select(F.col("closes").alias("range_no"), F.lit(1).alias("closing"), "r.doc_id", F.lit(0).cast("long").alias("tie"), "r.text")
-    return rows.select("range_no", F.lit(0).alias("closing"), "doc_id", "tie", "text").unionByName(closing).repartition(n, "range_no").sortWithinPartitions("range_no", "closing", "doc_id", "tie", "text").select("range_no", "closing", "doc_id", "text")
+    return rows.select("range_no", F.lit(0).alias("closing"), "doc_id", "tie", "text").unionByName(closing).repartition(partitions(spark), "range_no").sortWithinPartitions("range_no", "closing", "doc_id", "tie", "text").select("range_no", "closing", "doc_id", "text")
 
 
 SCHEMA = "doc_id long, n_chars long, fingerprint string, edited_text string, edited_sha256 string, edited_fingerprint string, near_edited double, near_next double, common_head long"
