@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -13,22 +12,13 @@ from pyspark.sql import functions as F
 from ..operators.alerts import alert_array, with_status
 from ..operators.gate import deployment_gate
 from ..operators.rules import Rule, part_name
+from ..sources.folders import shared_folder
 from .processors import Fixed, Sliding, Unbounded
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where it is unset, a temporary one of this machine."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="tallyframe-")
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
 @contextmanager
 def _rocksdb(spark: SparkSession) -> Iterator[None]:
     before = spark.conf.get(PROVIDER, None)
