@@ -8,7 +8,9 @@ a third of all documents share loads no task. A shard indexes the distinct segme
 run of anchors (FM-index: wavelet matrix over the Burrows-Wheeler transform), then streams
 them by backward search. Where the match reaches the window's length, the least label of
 the interval is the first document that has the window; if that is smaller than a
-document's own doc_id, its words there are removed. Words travel as 40-bit hashes.
+document's own doc_id, its words there are removed. Words travel as 40-bit hashes. An
+anchor with more distinct segments than an index should hold (a very large group of near
+copies) is left to a plain grouping of its windows, which no single task has to hold.
 
 Defined results: null, empty and short texts have no windows and lose nothing; a window
 that repeats within one document only stays; rows of one doc_id count as one
@@ -39,6 +41,8 @@ WINDOW = 50
 GRAM = 8
 #: Words of distinct segments that one index holds, about.
 INDEX_WORDS = 1_000_000
+#: Segments of one anchor that an index takes; the windows of an anchor with more are grouped by hash instead.
+MOST_SEGMENTS = 20_000
 _LOW = U((1 << 24) - 1)
 _words = re.compile(r"[^\x20\x09-\x0D]+").findall
 
@@ -168,33 +172,66 @@ def _searched(held: dict[bytes, tuple[int, bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(runs, kind)], ["segment", "runs"])
 
 
-def searched_shards(distinct: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
-    """(segment, runs) of (anchor, segment, least, low, high): where each window of a segment is first found."""
+def searched_shards(rows: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
+    """(segment, runs) of (anchor, segment, least, low, high): where each window of a segment is first found.
+
+    A segment's label and its words come in rows of their own, the other columns null, so the words are shuffled once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, now = {}, 0, None
+        labels, words, size, now = {}, {}, 0, None
+
+        def whole() -> pa.RecordBatch:
+            return _searched({k: (labels[k], *w) for k, w in words.items()})
+
         for batch in batches:
             for anchor, segment, least, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if anchor != now and size >= index_words:
-                    yield _searched(held)
-                    held, size = {}, 0
+                    yield whole()
+                    labels, words, size = {}, {}, 0
                 now = anchor
-                if segment not in held:  # other tasks may have sent it too
-                    held[segment] = (least, low, high)
+                if low is None:
+                    labels[segment] = least
+                elif segment not in words:  # other tasks may have sent it too
+                    words[segment] = (low, high)
                     size += len(high)
-        if held:
-            yield _searched(held)
+        if words:
+            yield whole()
+
+    n = partitions(rows.sparkSession)
+    return rows.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(run, RUNS)
+
+
+def grouped_windows(distinct: DataFrame) -> DataFrame:
+    """What searched_shards gives, by grouping the windows themselves: for anchors with too many segments for an index."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for segment, least, low, high in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                names = [xxhash.xxh3_128_digest(low[4 * i : 4 * (i + WINDOW)] + high[i : i + WINDOW]) for i in range(len(high) - WINDOW + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([segment] * len(names), pa.binary()), pa.array(range(len(names)), pa.int32()), pa.array(names, pa.binary()), pa.array([least] * len(names), pa.int64())], ["segment", "at", "window", "least"])
+
+        return step
 
-    n = partitions(distinct.sparkSession)
-    return distinct.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(run, RUNS)
+    windows = map_batches(distinct.select("segment", "least", "low", "high"), make, "segment binary, at int, window binary, least long")
+    first = windows.groupBy("window").agg(F.min("least").alias("earliest"))
+    met = salted_lookup(windows, first, "window", "segment")
+    return met.groupBy("segment").agg(F.collect_set(F.struct(F.col("at").alias("lo"), F.col("at").alias("hi"), "earliest")).alias("runs"))
 
 
-def repeated_spans(placed: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
+def repeated_spans(placed: DataFrame, index_words: int = INDEX_WORDS, most_segments: int = MOST_SEGMENTS) -> DataFrame:
     """(doc_id, tie, low, high): the words of each row that a window of an earlier document covers."""
-    least = placed.groupBy("segment").agg(F.min("doc_id").alias("least"))
-    words = placed.filter("low is not null").select("segment", "anchor", "low", "high")
-    found = searched_shards(words.join(least, "segment").select("anchor", "segment", "least", "low", "high"), index_words)
-    met = salted_lookup(placed.select("segment", "doc_id", "tie", "begin"), found, "segment", "doc_id")
+    least = placed.groupBy("anchor", "segment").agg(F.min("doc_id").alias("least"))
+    words = placed.filter("low is not null").select("anchor", "segment", "low", "high")
+    both = words.withColumn("least", F.lit(None).cast("long")).unionByName(least.withColumns({c: F.lit(None).cast("binary") for c in ("low", "high")})).select("anchor", "segment", "least", "low", "high")
+    large = written(words.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_segments).select("anchor"), "large-anchors")
+    if large.isEmpty():
+        found = searched_shards(both, index_words)
+    else:
+        found = searched_shards(both.join(large, "anchor", "left_anti").select(both.columns), index_words)
+        found = found.unionByName(grouped_windows(words.join(large, "anchor", "left_semi").join(least, ["anchor", "segment"])))
+    # a segment that very many rows have is a skewed key of this join, which adaptive execution splits
+    met = placed.select("segment", "doc_id", "tie", "begin").hint("merge").join(found.hint("merge"), "segment")
     each = met.select("doc_id", "tie", "begin", F.explode("runs").alias("r")).filter("r.earliest < doc_id")
     return each.select("doc_id", "tie", (F.col("begin") + F.col("r.lo")).cast("long").alias("low"), (F.col("begin") + F.col("r.hi") + WINDOW).cast("long").alias("high"))
 
@@ -221,7 +258,7 @@ def _cut(rows: DataFrame) -> DataFrame:
     return map_batches(rows, make, "doc_id long, tie long, n_removed long, kept_sha256 string, kept_text string")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index_words: int = INDEX_WORDS) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index_words: int = INDEX_WORDS, most_segments: int = MOST_SEGMENTS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text); kept_text is null where nothing was removed."""
     key = ["doc_id", "tie"]
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).alias("text"))
@@ -231,7 +268,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = anchors.join(shared.hint("merge"), "anchor", "left_semi").groupBy(*key).agg(F.collect_set("anchor").alias("shared"))
     candidates = written(texts.dropna(subset=["doc_id"]).hint("merge").join(met.hint("merge"), key).select(*key, "text", "shared"), "candidates")
     placed = written(placed_segments(candidates), "segments")
-    spans = repeated_spans(placed, index_words).groupBy(*key).agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    spans = repeated_spans(placed, index_words, most_segments).groupBy(*key).agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     cut = candidates.select(*key, "text").hint("merge").join(spans.hint("merge"), key).select(*key, "text", "spans")
     cut = written(_cut(cut).dropDuplicates(key), "cut")
     out = base.join(cut, (base.doc_id == cut.doc_id) & (base.tie == cut.tie), "left")
@@ -240,3 +277,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept_text")
+
+
+ORACLE = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), p AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w)
+), f AS (SELECT win, min(doc_id) AS first_doc FROM p GROUP BY 1),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM p JOIN f USING (win) WHERE first_doc < doc_id
+), e AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM w),
+kept AS (
+  SELECT e.doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM e ANTI JOIN gone USING (doc_id, pos) GROUP BY 1
+)
+SELECT w.doc_id, len(w.words) AS n_words, len(w.words) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
