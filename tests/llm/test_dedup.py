@@ -167,8 +167,8 @@ def removed(rows):
     return out
 
 
-@pytest.mark.parametrize("seed", [1])
-def test_substring_dedup_equals_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "most_segments"), [(1, 20_000), (2, 3)])
+def test_substring_dedup_equals_brute_force(spark, seed, most_segments):
     r = random.Random(seed)
     passages = [edges.words(r.random(), r.randint(49, 160)) for _ in range(8)]
     rows = []
@@ -178,7 +178,7 @@ def test_substring_dedup_equals_brute_force(spark, seed):
             w += r.choice(passages) if r.random() < 0.5 else edges.words(r.random(), r.randint(1, 90))
         rows.append((3 * i, r.choice([" ", "\n"]).join(w)))
     rows += [(1000, None), (1001, ""), (1002, "x " * 300), (1003, "x " * 200 + "y")]
-    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), index_words=2000).collect()}
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), index_words=2000, most_segments=most_segments).collect()}
     assert got == removed(rows)
 
 
