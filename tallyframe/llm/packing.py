@@ -21,9 +21,9 @@ import heapq
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -99,6 +99,7 @@ class Tokens:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -106,25 +107,22 @@ class Tokens:
         self.pieces = re.compile(r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~]+|[0-9]").findall
         self.split = re.compile(r"[^\x20\x09-\x0D]+").findall
         self.known: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # single words go to the model itself, with its signs for the bytes of Latin-1 letters
+        signs = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.signs = {ord(c): signs.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100))}
+        self.model = self.tokenizer.model
 
     def learn(self, words: list[str], single: bool) -> None:
-        """The ids of new words; single ones, which end once each, are encoded in one string and parted at their ends."""
+        """The ids of new words; single ones are one pre-token each, in lower case."""
+        if single:
+            tokenize, signs = self.model.tokenize, self.signs
+            for w in words:
+                self.known[w] = array("I", [t.id for t in tokenize(w if w.isascii() else w.translate(signs))]).tobytes()
+            return
         for at in range(0, len(words), 5_000):
             some = words[at : at + 5_000]
-            if single:
-                ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-                stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-                spelled = ids.tobytes()
-                if len(stops) == len(some):
-                    self.known.update((w, spelled[a:b]) for w, a, b in zip(some, [0, *stops[:-1]], stops, strict=True))
-                else:
-                    self.learn(some, False)
-            else:
-                coded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-                self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, coded, strict=True))
+            coded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, coded, strict=True))
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         odd = [bool(self.other(x)) for x in texts]
