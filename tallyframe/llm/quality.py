@@ -152,8 +152,8 @@ def fit(x: np.ndarray, labels: np.ndarray) -> Model:
     weights = np.concatenate([idf, SHAPE_WEIGHT / np.maximum(spread * 2, 0.1)]).astype(np.float32)
     y = _weighted(x, weights)
     centre = y.mean(0)
-    _, _, axes = np.linalg.svd(y - centre, full_matrices=False)
-    axes = axes[: min(DIMENSIONS, len(axes))].T.astype(np.float32)
+    z = (y - centre).astype(np.float64)
+    axes = np.linalg.eigh(z.T @ z)[1][:, ::-1][:, : min(DIMENSIONS, len(y))].astype(np.float32)  # the right singular vectors
     return Model(weights, centre, axes, _unit((y - centre) @ axes), labels.astype(np.float64), share)
 
 
