@@ -334,6 +334,15 @@ def _near_size(a: str, b: str) -> str:
     return f"{DENOMINATOR} * least({a}, {b}) >= {NUMERATOR} * greatest({a}, {b})"
 
 
+def _candidates(rows: DataFrame, condition: str = "true") -> DataFrame:
+    """Distinct pairs (a, b) of sets that meet in a list, are near in size and may still share enough shingles."""
+    names = [c for c in rows.columns if c != "key"]
+    x, y = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in names)) for s in "xy")
+    bound = "1 + least(n_x - place_x - 1, n_y - place_y - 1)"
+    fits = f"rep_x < rep_y and {condition} and {_near_size('n_x', 'n_y')} and ((place_x < 0 and place_y < 0) or (place_x >= 0 and place_y >= 0 and {NUMERATOR + DENOMINATOR} * ({bound}) >= {NUMERATOR} * (n_x + n_y)))"
+    return x.hint("merge").join(y, "key").filter(fits).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
+
+
 def links(entries: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) whose components are those of all links."""
     heads = entries.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head"), F.max("rep").alias("last")).filter("head.rep <> last")
@@ -346,16 +355,13 @@ def links(entries: DataFrame, sets: DataFrame) -> DataFrame:
     own = written(own, "lists-by-component")
     mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     rest = written(own.join(mixed, "key"), "mixed-lists")
-    x, y = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "place", "comp"))) for s in "xy")
-    bound = "1 + least(n_x - place_x - 1, n_y - place_y - 1)"
-    fits = f"rep_x < rep_y and comp_x <> comp_y and {_near_size('n_x', 'n_y')} and ((place_x < 0 and place_y < 0) or (place_x >= 0 and place_y >= 0 and {NUMERATOR + DENOMINATOR} * ({bound}) >= {NUMERATOR} * (n_x + n_y)))"
-    others = x.hint("merge").join(y, "key").filter(fits).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
+    others = _candidates(rest, "comp_x <> comp_y")
     second = verified(others, sets)
     return first.unionByName(written(second, "second-links"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) for every row of docs."""
+def _prepared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(names of all rows, classes, sets that passed the screen, their list entries)."""
     names = written(shingle_names(docs, id_col, text_col), "names")
     classes = written(names.filter("n_shingles > 0").groupBy("one", "two", "n_shingles", "half").agg(F.min("doc_id").alias("rep")), "classes")
     able = classes.filter("rep is not null")
@@ -364,7 +370,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = written(shared_shingles(sets), "shared")
     scanned = shared.select(F.sum("entries"), F.sum("scanned")).first()
     boundary = light_boundary((scanned[1] or 0) / (scanned[0] or 1))
-    entries = written(list_entries(shared, boundary), "entries")
+    return names, classes, sets, written(list_entries(shared, boundary), "entries")
+
+
+def jaccard_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(links (a, b) between class representatives, membership (doc_id, class_id)).
+
+    Every link between different sets is a row, so a group of g near copies gives up to g * g / 2 of them;
+    where the groups alone are wanted, jaccard_components gives them without.
+    """
+    names, classes, sets, entries = _prepared(docs, id_col, text_col)
+    name = F.concat_ws(":", "one", "two", "n_shingles")
+    members = salted_lookup(names.withColumn("name", name), classes.select(name.alias("name"), F.col("rep").alias("class_id")), "name", "doc_id")
+    return verified(_candidates(entries), sets), members.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id) for every row of docs."""
+    names, classes, sets, entries = _prepared(docs, id_col, text_col)
     found = links(entries, sets)
     labels = components(found)
     name = F.concat_ws(":", "one", "two", "n_shingles")

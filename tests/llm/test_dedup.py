@@ -75,6 +75,20 @@ def test_jaccard_components_equal_brute_force(spark, seed):
     assert got == near_components(rows)
 
 
+def test_jaccard_pairs_equal_brute_force(spark):
+    rows = near_rows(3)
+    pairs, members = jaccard_join.jaccard_pairs(spark.createDataFrame(rows, "doc_id long, text string"))
+    sets = {i: shingles(x) for i, x in rows}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    own = {i: first[s] if s else i for i, s in sets.items()}
+    assert {r.doc_id: r.class_id for r in members.collect()} == own
+    reps = sorted(i for i, c in own.items() if i == c and sets[i])
+    want = {(a, b) for n, a in enumerate(reps) for b in reps[n + 1 :] if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert {(r.a, r.b) for r in pairs.collect()} == want and len(want) > 50
+
+
 def test_jaccard_large_group_of_near_copies(spark):
     base = edges.words(7, 200)
     rows = []
