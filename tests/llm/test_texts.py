@@ -193,6 +193,22 @@ def test_secret_scan_ends_on_itself():
     assert secret_scan.scan(base64.b64encode(zlib.compress(b"a" * 100_000)).decode(), most=1000)[2] == 1
 
 
+def unmasked(text):
+    """What is left of a text once its spans are masked."""
+    return secret_scan.masked(text, secret_scan.scan(text)[1])
+
+
+@pytest.mark.parametrize("wrapped", ["?token%3Dabcdefgh123", base64.b64encode(SECRET.encode()).decode(), base64.b64encode(zlib.compress(SECRET.encode())).decode(), "".join(f"\\u{ord(c):04x}" for c in SECRET), base64.b64encode(quote(SECRET).encode()).decode()])
+def test_secrets_in_each_copy_of_a_layer(wrapped):
+    text = f"one {wrapped} two {wrapped} three {quote(wrapped, safe='')}"
+    spans = [s for s in secret_scan.scan(text)[1] if s.kind == 0]
+    assert len({s.start for s in spans}) == 3
+    first, second = text.index(wrapped), text.rindex(f" {wrapped} three") + 1
+    shift = second - first
+    assert {(s.start + shift, s.end + shift) for s in spans if s.end <= first + len(wrapped)} == {(s.start, s.end) for s in spans if second <= s.start < second + len(wrapped)}
+    assert wrapped.rstrip("=")[-20:] not in unmasked(text)
+
+
 def plain_spans(text):
     found = []
     for m in re.finditer(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
