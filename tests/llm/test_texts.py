@@ -209,6 +209,29 @@ def test_secrets_in_each_copy_of_a_layer(wrapped):
     assert wrapped.rstrip("=")[-20:] not in unmasked(text)
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        '"password": "\\u0068\\u0075\\u006e\\u0074\\u0065\\u0072\\u0032\\u0033"',
+        "password = %68%75%6e%74%65%72%32%33",
+        "password %3D hunter2345",
+        "p\\u0061ssword %3D hunter%32\\u0033",
+        "pass%77ord  =  \\u0068unter2345",
+    ],
+)
+def test_secrets_span_escapes_and_spaces(text):
+    whole = f"é %C3%A9 {text}, tail"
+    (span,) = [s for s in secret_scan.scan(whole)[1] if s.kind == 0]
+    start = 9 + (text[0] == '"')
+    assert (span.start, span.end) == (start, 9 + len(text) - (text[0] == '"'))
+    assert unmasked(whole) == whole[:start] + "[secret]" + whole[span.end :]
+
+
+def test_secrets_in_escapes_do_not_depend_on_the_words_before():
+    text = 'token: secret%3D"hunter2345" end'
+    assert "hunter" not in unmasked(text)
+
+
 def plain_spans(text):
     found = []
     for m in re.finditer(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
