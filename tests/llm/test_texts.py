@@ -232,6 +232,37 @@ def test_secrets_in_escapes_do_not_depend_on_the_words_before():
     assert "hunter" not in unmasked(text)
 
 
+def _compressed_url_safe(plain_head):
+    """URL-safe base64 of zlib data whose first - or _ comes after so many plain characters."""
+    for i in range(100_000):
+        wrapped = base64.urlsafe_b64encode(zlib.compress(f"{i} {SECRET} {i * i}".encode())).decode()
+        if re.match(rf"[A-Za-z0-9]{{{plain_head},}}[-_]", wrapped):
+            return wrapped
+
+
+@pytest.mark.parametrize(
+    "wrapped",
+    [
+        _compressed_url_safe(20),
+        base64.urlsafe_b64encode(f"a plain head of some length >>>???>>> {SECRET}".encode()).decode(),
+        base64.encodebytes(f"{'x' * 50} {SECRET} {'y' * 60} ".encode()).decode().strip(),
+        base64.encodebytes(zlib.compress(random.Random(1).randbytes(150).hex().upper().encode() + SECRET.encode())).decode().strip().replace("\n", "\r\n  "),
+        "\n".join(re.findall(".{1,64}", base64.urlsafe_b64encode(gzip.compress(random.Random(2).randbytes(150).hex().upper().encode() + SECRET.encode())).decode())),
+    ],
+)
+@pytest.mark.parametrize("around", ["{} end", "key: {}\nHello world", "-----BEGIN KEY-----\n{}\n-----END KEY-----"])
+def test_secrets_in_whole_base64_stretches(wrapped, around):
+    text = around.format(wrapped)
+    (span, *more) = [s for s in secret_scan.scan(text)[1] if s.kind == 0]
+    assert all(text.index(wrapped) <= s.start < s.end <= text.index(wrapped) + len(wrapped) for s in (span, *more))
+
+
+def test_secrets_in_base64_beside_other_signs():
+    wrapped = base64.b64encode(SECRET.encode()).decode().rstrip("=")
+    for text in (f"{wrapped}-tail", f"id-{wrapped}", f"/a/path_to/{wrapped}/x", f"{wrapped}_{wrapped}/{wrapped}"):
+        assert wrapped[8:] not in unmasked(text)
+
+
 def plain_spans(text):
     found = []
     for m in re.finditer(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
