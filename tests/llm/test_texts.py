@@ -263,6 +263,36 @@ def test_secrets_in_base64_beside_other_signs():
         assert wrapped[8:] not in unmasked(text)
 
 
+@pytest.mark.parametrize(
+    "data",
+    [
+        gzip.compress(zlib.compress(SECRET.encode())),
+        zlib.compress(gzip.compress(gzip.compress(SECRET.encode()))),
+        gzip.compress(b"first ") + gzip.compress(b"second ") + gzip.compress(SECRET.encode()),
+        gzip.compress(b"first ") + gzip.compress(SECRET.encode()) + b"trailing",
+        zlib.compress(gzip.compress(b"a" * 5000) + gzip.compress(b" " + base64.b64encode(zlib.compress(zlib.compress(SECRET.encode()))))),
+    ],
+)
+@pytest.mark.parametrize("most", [secret_scan.MAX_LAYER, 20])
+def test_secrets_in_nested_and_joined_compression(data, most):
+    wrapped = base64.b64encode(data).decode()
+    text = f"é {wrapped} end"
+    assert (2, 0, 2 + len(wrapped)) in [tuple(s) for s in secret_scan.scan(text, most)[1]]
+    assert unmasked(text) == "é [secret] end"
+
+
+@pytest.mark.parametrize("inside", [SECRET, quote(SECRET), base64.b64encode(SECRET.encode()).decode(), base64.encodebytes(f"{'x' * 50} {SECRET} {'y' * 60}".encode()).decode(), "password %3D hunter2345", '"password": "\\u0068\\u0075\\u006e\\u0074\\u0065\\u0072\\u0032\\u0033"', gzip.compress(zlib.compress(SECRET.encode())).hex()])
+def test_secrets_in_large_layers_are_found_in_pieces(inside, monkeypatch):
+    monkeypatch.setattr(secret_scan, "PIECE", 64)
+    for n in (0, 50, 64, 300):
+        large = ("word. " * n + "\n" + inside + "\n, tail of words" * n).encode()
+        for data in (zlib.compress(large), gzip.compress(zlib.compress(large))):
+            text = f"é {data.hex()} end"
+            held, pieces = secret_scan.scan(text), secret_scan.scan(text, most=20)
+            assert {s.kind for s in held[1]} >= {0} and held[2] == 0
+            assert pieces[1] == held[1] and pieces[2] >= 1
+
+
 def plain_spans(text):
     found = []
     for m in re.finditer(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
