@@ -93,7 +93,9 @@ class Tokens:
 
     The tokenizer lower-cases, then splits at white space, and there into contractions,
     runs of letters, digits and runs of other signs. Texts of ASCII and Latin-1 letters are
-    split that way here; in other texts the words are what lies between white space.
+    split that way here; in other texts the words are what lies between white space. The
+    tokenizer's added tokens (such as <|endoftext|>) are one id each wherever they stand in a
+    text, as the library has it, and what lies between them is encoded by itself.
     """
 
     def __init__(self, path: str):
@@ -102,7 +104,12 @@ class Tokens:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens that aren't matched as they are written")
+        self.added = {t.content: i.to_bytes(4, "little") for i, t in added.items()}
+        # the longest of those that begin at one place wins
+        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
         self.other = re.compile(r"[^\x09-\x0D\x20-~À-ÖØ-öø-ÿ]").search
         self.pieces = re.compile(r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~]+|[0-9]").findall
         self.split = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -125,6 +132,14 @@ class Tokens:
             self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, coded, strict=True))
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
+        """The ids of each text, and end."""
+        # texts and added tokens in turn
+        parts = [self.parts(x) if any(a in x for a in self.added) else [x] for x in texts]
+        coded = iter(self.encode_plain([x for some in parts for x in some[::2]]))
+        return [b"".join([self.added[x] if i % 2 else next(coded) for i, x in enumerate(some)]) + end for some in parts]
+
+    def encode_plain(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts without added tokens."""
         odd = [bool(self.other(x)) for x in texts]
         words = [self.split(x) if o else self.pieces(x.lower()) for x, o in zip(texts, odd, strict=True)]
         kinds = [set().union(*(w for w, o in zip(words, odd, strict=True) if o == kind)) for kind in (False, True)]
@@ -133,7 +148,7 @@ class Tokens:
         for kind, single in zip(kinds, (True, False), strict=True):
             self.learn(list(kind.difference(self.known)), single)
         known = self.known
-        return [b"".join([known[w] for w in some]) + end for some in words]
+        return [b"".join([known[w] for w in some]) for some in words]
 
 
 class _Packer:

@@ -2,6 +2,7 @@
 
 import base64
 import binascii
+import functools
 import gzip
 import hashlib
 import json
@@ -128,6 +129,32 @@ def _tokens():
     return _kept[0]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "<|", "a", "one Two", " ", "\n", "é", "e\u0301", "\u0301", "日本", "'s", "9"]), max_size=10))
+def test_packing_tokens_equal_unmodified_library(parts):
+    library = _library()
+    text = "".join(parts)
+    want = library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(_tokens().encode([text], b"")[0], "<u4").tolist() == want
+    assert want.count(49407) == text.count("<|endoftext|>")
+
+
+@functools.cache
+def _library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_files.path("word_bpe_49k.json"))
+
+
+def test_packing_added_tokens(spark):
+    docs = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "<|startoftext|>"), (3, "plain")], "doc_id long, text string")
+    rows = packing.pack_documents(docs, tokenizer_files.path("word_bpe_49k.json")).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: r.start):
+        got[r.doc_id] = got.get(r.doc_id, b"") + bytes(r.ids)
+    assert {i: np.frombuffer(x, "<u4").tolist() for i, x in got.items()} == {i: [*_library().encode(x, add_special_tokens=False).ids, 2] for i, x in ((1, "a <|endoftext|> b"), (2, "<|startoftext|>"), (3, "plain"))}
+
+
 def test_packing_edges(spark):
     path = tokenizer_files.path("word_bpe_49k.json")
     rows = packing.pack_documents(edges.table(spark), path, pool_windows=4).collect()
