@@ -3,19 +3,48 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, named in spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a temporary folder is made
-    and remembered as the session's checkpoint folder.
+    Only where that is unset and everything runs on this machine (a local master) a temporary
+    folder is made and remembered as the session's checkpoint folder; on a cluster it must be set.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tallyframe-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows of df as a Parquet table in the shared folder, read back: lineage ends there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark's file systems keep it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of tables that ``written`` gave and that no later plan reads; others are left as they are."""
+    for df in tables:
+        if df is not None and (path := _places.pop(df, None)):
+            remove(df.sparkSession, path)
