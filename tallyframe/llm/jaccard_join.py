@@ -8,16 +8,19 @@ ceil(threshold * n) of them, which serves three times:
   hash, packed in large binary rows, and each set learns how many of them another set has
   too. A set that lacks more than n - ceil(threshold * n) of them has no partner. What sets
   of one block share is counted there, and a block sends each shingle once, so a shingle
-  that a third of all documents have loads no task.
+  that a third of all documents have loads no task. A shingle travels as its part and 32
+  bits of its place there; those that fall together within a set count as shared, so
+  chance can let a set pass but never stop it.
 * Light sets (n <= boundary): every subset of each possible overlap size is a key; two
   small sets are partners only if they share a key.
-* Heavy sets: shingles are ordered from rare to common, and only the first
-  n - ceil(threshold * n) + 1 of them enter the inverted lists.
+* Heavy sets: shingles (whole 64-bit hashes) are ordered from rare to common, and only the
+  first n - ceil(threshold * n) + 1 of them enter the inverted lists.
 
 The boundary is the largest size at which enumerating subsets costs less than scanning
-the inverted lists. Lists are linked in two rounds: first each member is compared with
+the inverted lists, by their measured lengths. Lists are linked in two rounds: first each member is compared with
 the first of its list, then the remaining pairs between different components only, so a
-group of g near copies costs about g comparisons. Every comparison is exact on the
+group of g near copies costs about g comparisons; a long list is dealt out in blocks, each
+pair of blocks being a task of its own. Every comparison is exact on the
 whole sets. Links between sets that a first-round path already joins need no test.
 
 Defined results: texts without words have no set, and doc_id as component_id; rows of
@@ -29,7 +32,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 from math import comb
 
 import numpy as np
@@ -39,17 +42,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import map_batches, partitions, salted_lookup, written
+from .shared import discard, map_batches, partitions, salted_lookup, written
 from .textops import mix, shingle_sets
 
 U = np.uint64
 WORDS = 5
 #: The threshold as a fraction.
 NUMERATOR, DENOMINATOR = 75, 100
-#: The largest set whose subsets may be enumerated, whatever the cost says.
-LIGHT_MOST = 12
-#: Shingles that the tasks of the second screen hold at a time, about.
+#: Shingles that a part of the first and of the second screen has at most, about; a task holds a part at a time.
+SCREENED_PER_PART = 4_000_000
 SHINGLES_PER_PART = 1_000_000
+#: Sizes whose cost as light sets is looked at; a larger set has over 10**14 subsets of the sizes in question.
+SMALL = 64
+#: Subset keys that a task gathers before it sends them on.
+KEYS_AT_ONCE = 500_000
+#: Entries of a list that make one block of its comparisons.
+LIST_BLOCK = 2_000
 
 
 def least_overlap(a: int, b: int) -> int:
@@ -96,50 +104,74 @@ PACKED = "part int, names binary, counts binary, shingles binary"
 SEVERAL = 0x5DEECE66D1CE5EED
 
 
-def packed(names: np.ndarray, sets: list[np.ndarray], parts: int, half: bool) -> pa.RecordBatch:
-    """One row for each part: the sets' names, how many shingles each has there, and the low 32 bits of those.
+def dealt(shingles: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(part, place within it in 32 bits) of 64-bit numbers; both keep their order."""
+    high, low = (shingles >> U(32)) * U(parts), (shingles & U(0xFFFFFFFF)) * U(parts)
+    return (high + (low >> U(32))) >> U(32), (shingles * U(parts) >> U(32)).astype(np.uint32)
 
-    With half, for the screen: only that half, each shingle once, and a row of a part below 0
-    with how many shingles each set shares within the block.
-    """
-    counts = np.array([len(s) for s in sets], np.int64)
-    every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets)), counts)
-    within = []
-    if half:
-        keep = every >> U(63) == 0
-        every, owner = every[keep], owner[keep]
-        order = np.argsort(every, kind="stable")
-        every, owner = every[order], owner[order]
-        first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
-        length = np.diff(np.append(first, len(every)))
-        shared = np.bincount(owner[np.repeat(length > 1, length)], minlength=len(sets)).astype(np.uint32)
-        some = np.flatnonzero(shared)
-        if len(some):
-            within = [(-1 - int(names[some[0]] % parts), names[some].tobytes(), shared[some].tobytes(), b"")]
-        every, owner = every[first], np.where(length > 1, len(sets), owner[first])
-        names = np.append(names, np.int64(SEVERAL))
-        order = np.argsort(owner, kind="stable")
-        every, owner = every[order], owner[order]
-    part = ((every << U(1) if half else every) >> U(32)) * U(parts) >> U(32)
-    order = np.argsort(part.astype(np.uint32), kind="stable")
-    part, owner, low = part[order].astype(np.int64), owner[order], every[order].astype(np.uint32)
-    new = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (owner[1:] != owner[:-1]))) if len(part) else np.zeros(0, np.int64)
+
+def _edges(*columns: np.ndarray) -> np.ndarray:
+    """Where a new run of equal rows begins."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _rows(names: np.ndarray, owner: np.ndarray, part: np.ndarray, values: np.ndarray) -> list[tuple[int, bytes, bytes, bytes]]:
+    """One row for each part: names of the owners, how many values each has there, and the values."""
+    order = np.argsort(part, kind="stable")
+    part, owner, values = part[order].astype(np.int64), owner[order], values[order]
+    new = _edges(part, owner)
     runs, run_part, run_name = np.diff(np.append(new, len(part))).astype(np.uint32), part[new], names[owner[new]]
-    cut = np.flatnonzero(np.append(True, run_part[1:] != run_part[:-1])) if len(new) else np.zeros(0, np.int64)
+    cut = _edges(run_part)
     stop = np.append(cut[1:], len(new))
-    rows = [(int(run_part[a]), run_name[a:b].tobytes(), runs[a:b].tobytes(), low[new[a] : new[b] if b < len(new) else len(low)].tobytes()) for a, b in zip(cut, stop, strict=True)]
-    columns = list(zip(*(within + rows), strict=True)) or [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["part", "names", "counts", "shingles"])
+    ends = np.append(new, len(part))
+    return [(int(run_part[a]), run_name[a:b].tobytes(), runs[a:b].tobytes(), values[ends[a] : ends[b]].tobytes()) for a, b in zip(cut, stop, strict=True)]
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(part, shingles, name of each) for each part of a task; rows come sorted by part."""
+def _batch(rows: list[tuple], names: str = PACKED) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], [x.split()[0] for x in names.split(", ")])
+
+
+def screen_rows(names: np.ndarray, sets: list[np.ndarray], parts: int) -> pa.RecordBatch:
+    """The half that is screened, dealt out: each shingle of the block once, with the set that has it or SEVERAL.
+
+    A row of a part below 0 says how many of its shingles each set shares within the block, with those
+    that can't be told from another of its own.
+    """
+    every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    keep = every >> U(63) == 0
+    every, owner = every[keep], owner[keep]
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    first = _edges(every)
+    length = np.diff(np.append(first, len(every)))
+    shared = np.bincount(owner[np.repeat(length > 1, length)], minlength=len(sets))
+    every, owner = every[first], np.where(length > 1, len(sets), owner[first])
+    order = np.argsort(owner, kind="stable")
+    owner = owner[order]
+    part, place = dealt(every[order] << U(1), parts)
+    new = np.zeros(len(owner), bool)
+    new[_edges(owner, part, place)] = True
+    shared = (shared + np.bincount(owner[~new], minlength=len(sets) + 1)[: len(sets)]).astype(np.uint32)
+    some = np.flatnonzero(shared)
+    within = [(-1 - int(names[some[0]] % parts), names[some].tobytes(), shared[some].tobytes(), b"")] if len(some) else []
+    return _batch(within + _rows(np.append(names, np.int64(SEVERAL)), owner[new], part[new], place[new]))
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, name of each) for each part of a task; rows come sorted by part."""
     now, held = None, []
 
     def whole():
         names = np.concatenate([np.repeat(np.frombuffer(n, np.int64), np.frombuffer(c, np.uint32)) for n, c, _ in held])
-        return now, np.concatenate([np.frombuffer(s, np.uint32) for _, _, s in held]), names
+        return np.concatenate([np.frombuffer(s, np.uint32) for _, _, s in held]), names
 
     for batch in batches:
         for part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -152,31 +184,26 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray,
         yield whole()
 
 
-def _shared(shingles: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, shingle, number of sets that have it), distinct, for the shingles of at least two sets; sorted by name."""
+def _owners(shingles: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """A set's name for each distinct shingle of it that another set has too."""
     order = np.argsort(shingles, kind="stable")
     s, n = shingles[order], names[order]
-    first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+    first = _edges(s)
+    if not len(first):
+        return n
     many = np.minimum.reduceat(n, first) != np.maximum.reduceat(n, first)
     keep = np.repeat(many, np.diff(np.append(first, len(s))))
     s, n = s[keep], n[keep]
-    if not len(s):
-        return n, s, np.zeros(0, np.int64)
     order = np.lexsort((n, s))
     s, n = s[order], n[order]
-    keep = np.append(True, (s[1:] != s[:-1]) | (n[1:] != n[:-1]))
-    s, n = s[keep], n[keep]
-    first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-    df = np.repeat(np.diff(np.append(first, len(s))), np.diff(np.append(first, len(s))))
-    order = np.argsort(n, kind="stable")
-    return n[order], s[order], df[order]
+    return n[_edges(s, n)]
 
 
-def screened(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def screened(docs: DataFrame, names: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The classes that may have a partner."""
     spark = docs.sparkSession
     n_tasks = partitions(spark)
-    parts = 4 * n_tasks
+    parts = max(4 * n_tasks, (names.agg(F.sum("half")).first()[0] or 0) // SCREENED_PER_PART + 1)
 
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -189,10 +216,10 @@ def screened(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) ->
                     sets.append(s)
                     held += len(s)
                 if held > 1_000_000:
-                    yield packed(np.array(names, np.int64), sets, parts, True)
+                    yield screen_rows(np.array(names, np.int64), sets, parts)
                     names, sets, held = [], [], 0
             if sets:
-                yield packed(np.array(names, np.int64), sets, parts, True)
+                yield screen_rows(np.array(names, np.int64), sets, parts)
 
         return step
 
@@ -205,8 +232,8 @@ def screened(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) ->
                 within.extend(zip(batch.column(1).filter(below).to_pylist(), batch.column(2).filter(below).to_pylist(), strict=True))
                 yield batch.filter(pc.invert(below))
 
-        for _, shingles, names in _parts(between()):
-            own, m = np.unique(_shared(shingles, names)[0], return_counts=True)
+        for places, names in _parts(between()):
+            own, m = np.unique(_owners(places, names), return_counts=True)
             other = own != SEVERAL
             yield pa.RecordBatch.from_arrays([pa.array(own[other]), pa.array(m[other])], ["one", "m"])
         for own, m in within:
@@ -238,9 +265,16 @@ def with_sets(docs: DataFrame, survivors: DataFrame, id_col: str, text_col: str)
     return map_batches(met.select("doc_id", "text", "one"), make, "rep long, n long, shingles binary")
 
 
+DEALT = "part int, kind int, names binary, counts binary, shingles binary"
+
+
 def shared_shingles(sets: DataFrame) -> DataFrame:
-    """(rep, n, ids, df, entries, scanned): for each set the shingles that other surviving sets have too (arrays in binary:
-    uint64 and int64), their number, and the sum of the lengths of their lists."""
+    """(rep, n, ids, df, entries): for each set the shingles that other surviving sets have too and the lengths of
+    their lists (arrays in binary: uint64 and int64), and their number.
+
+    A block sends each of its shingles once with the number of its sets that have it (kind 0), and its sets (kind 1). A
+    task adds a part's counts up, then looks the sets up row by row, so it never holds all sets of a common shingle.
+    """
     spark = sets.sparkSession
     total = sets.agg(F.sum("n")).first()[0] or 0
     parts = int(total // SHINGLES_PER_PART + 1)
@@ -248,33 +282,84 @@ def shared_shingles(sets: DataFrame) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             names = np.array(batch.column(0).to_pylist(), np.int64)
-            yield packed(names, [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()], parts, False)
+            own = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            every = np.concatenate(own) if own else np.zeros(0, np.uint64)
+            owner = np.repeat(np.arange(len(own)), [len(s) for s in own])
+            distinct, count = np.unique(every, return_counts=True)
+            part = dealt(distinct, parts)[0]
+            cut = _edges(part)
+            counts = [(int(part[a]), 0, b"", count[a:b].astype(np.int64).tobytes(), distinct[a:b].tobytes()) for a, b in zip(cut, np.append(cut[1:], len(part)), strict=True)]
+            rows = [(p, 1, *x) for p, *x in _rows(names, owner, dealt(every, parts)[0], every)]
+            columns = list(zip(*(counts + rows), strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[2:])], [x.split()[0] for x in DEALT.split(", ")])
 
         return step
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, shingles, names in _parts(batches):
-            n, s, df = _shared(shingles, names)
-            ids = s.astype(np.uint64) | U(part << 32)
-            first = np.flatnonzero(np.append(True, n[1:] != n[:-1])) if len(n) else np.zeros(0, np.int64)
-            stop = np.append(first[1:], len(n))
-            for at in range(0, len(first), 20_000):
-                some = list(zip(first[at : at + 20_000], stop[at : at + 20_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(n[first[at : at + 20_000]]), pa.array([ids[a:b].tobytes() for a, b in some], pa.binary()), pa.array([df[a:b].tobytes() for a, b in some], pa.binary()), pa.array([int(df[a:b].sum()) for a, b in some], pa.int64())], ["rep", "ids", "df", "scanned"])
-
-    rows = map_batches(sets.select("rep", "shingles"), make, PACKED)
-    found = rows.repartition(min(parts, 4 * partitions(spark)), "part").sortWithinPartitions("part").mapInArrow(find, "rep long, ids binary, df binary, scanned long")
-    found = found.groupBy("rep").agg(F.collect_list(F.struct("ids", "df")).alias("p"), F.sum(F.octet_length("ids") / 8).cast("long").alias("entries"), F.sum("scanned").alias("scanned"))
-    whole = found.select("rep", F.expr("transform(p, x -> x.ids)").alias("ids"), F.expr("transform(p, x -> x.df)").alias("df"), "entries", "scanned")
+        now, held, known, df = None, [], None, None
+        for batch in batches:
+            for part, kind, names, counts, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    now, held, known = part, [], None
+                if kind == 0:
+                    held.append((np.frombuffer(shingles, np.uint64), np.frombuffer(counts, np.int64)))
+                    continue
+                if known is None:
+                    every, at = np.unique(np.concatenate([s for s, _ in held]), return_inverse=True)
+                    sums = np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
+                    known, df, held = every[sums > 1], sums[sums > 1], []
+                yield from _found(np.frombuffer(names, np.int64), np.frombuffer(counts, np.uint32), np.frombuffer(shingles, np.uint64), known, df)
+
+    rows = map_batches(sets.select("rep", "shingles"), make, DEALT)
+    found = rows.repartition(min(parts, 4 * partitions(spark)), "part").sortWithinPartitions("part", "kind").mapInArrow(find, "rep long, ids binary, df binary")
+    found = found.groupBy("rep").agg(F.collect_list(F.struct("ids", "df")).alias("p"), F.sum(F.octet_length("ids") / 8).cast("long").alias("entries"))
+    whole = found.select("rep", F.expr("transform(p, x -> x.ids)").alias("ids"), F.expr("transform(p, x -> x.df)").alias("df"), "entries")
     return sets.select("rep", "n").join(whole, "rep")
 
 
-def light_boundary(mean_list: float) -> int:
-    """The largest n, up to LIGHT_MOST, at which a set's subsets are fewer than the list entries that it would scan."""
-    best = 0
-    for n in range(1, LIGHT_MOST + 1):
-        subsets = sum(comb(n, c) for c in range(needed(n), n + 1))
-        if subsets <= (n - needed(n) + 1) * (1 + mean_list):
+def _found(names: np.ndarray, counts: np.ndarray, shingles: np.ndarray, known: np.ndarray, df: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """For each set of a row those of its shingles that are known, with the lengths of their lists."""
+    at = np.minimum(np.searchsorted(known, shingles), max(0, len(known) - 1))
+    hit = known[at] == shingles if len(known) else np.zeros(len(shingles), bool)
+    owner = np.repeat(np.arange(len(names)), counts)[hit]
+    ids, length = shingles[hit], df[at[hit]] if len(known) else np.zeros(0, np.int64)
+    first = _edges(owner)
+    stop = np.append(first[1:], len(owner))
+    spans = list(zip(first, stop, strict=True))
+    yield pa.RecordBatch.from_arrays([pa.array(names[owner[first]]), pa.array([ids[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([length[a:b].tobytes() for a, b in spans], pa.binary())], ["rep", "ids", "df"])
+
+
+def subsets(n: int) -> int:
+    """How many keys a set of n shingles has as a light one, at most."""
+    return sum(comb(n, c) for c in range(needed(n), n + 1))
+
+
+def list_costs(shared: DataFrame) -> DataFrame:
+    """(n, sets, scanned) for the sizes of small sets: how many sets there are, and the list entries that they would scan, rare shingles first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            costs = []
+            for n, df in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                df = np.sort(np.frombuffer(b"".join(df), np.int64))
+                costs.append(int((1 + df[: max(0, len(df) - needed(n) + 1)]).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(costs, pa.int64())], ["n", "cost"])
+
+    each = shared.filter(F.col("n") <= SMALL).select("n", "df").mapInArrow(run, "n long, cost long")
+    return each.groupBy("n").agg(F.count(F.lit(1)).alias("sets"), F.sum("cost").alias("scanned"))
+
+
+def light_boundary(costs: list[tuple[int, int, int]], most_keys: int) -> int:
+    """The largest n at which subsets are fewer than the list entries to scan, while all subsets up to it are no more than most_keys.
+
+    costs: list_costs; most_keys: the shared shingles of all sets, which have been shuffled already.
+    """
+    best = keys = 0
+    for n, sets, scanned in sorted(costs):
+        keys += sets * subsets(n)
+        if keys > most_keys:
+            break
+        if sets * subsets(n) <= scanned:
             best = n
     return best
 
@@ -284,7 +369,17 @@ def list_entries(shared: DataFrame, boundary: int) -> DataFrame:
 
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            keys, reps, ns, places = [], [], [], []
+            held, size = [], 0
+
+            def add(keys: np.ndarray, rep: int, n: int, places: np.ndarray) -> None:
+                nonlocal size
+                held.append((keys, np.full(len(keys), rep), np.full(len(keys), n), places))
+                size += len(keys)
+
+            def flat() -> pa.RecordBatch:
+                columns = [np.concatenate(c) for c in zip(*held, strict=True)] if held else [np.zeros(0, np.uint64)] * 4
+                return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.int32, np.int32), strict=True)], ["key", "rep", "n", "place"])
+
             for rep, n, ids, df in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, df = np.frombuffer(b"".join(ids), np.uint64), np.frombuffer(b"".join(df), np.int64)
                 alone = n - len(ids)
@@ -292,19 +387,18 @@ def list_entries(shared: DataFrame, boundary: int) -> DataFrame:
                     continue
                 if n <= boundary:
                     mixed = mix(np.sort(ids))
-                    subs = [mix(np.array([U(c)]) + mixed[list(some)].sum(dtype=np.uint64))[0] for c in range(needed(n), len(ids) + 1) for some in combinations(range(len(ids)), c)]
-                    keys.append(np.array(subs, np.uint64))
-                    places.append(np.full(len(subs), -1))
-                    reps.append(np.full(len(subs), rep))
-                    ns.append(np.full(len(subs), n))
+                    for c in range(needed(n), len(ids) + 1):
+                        some = combinations(range(len(ids)), c)
+                        while part := list(islice(some, KEYS_AT_ONCE // c)):
+                            sums = mixed[np.array(part)].sum(axis=1, dtype=np.uint64)
+                            add(mix(sums + mix(np.array([c], np.uint64))), rep, n, np.full(len(sums), -1))
+                            if size >= KEYS_AT_ONCE:
+                                yield flat()
+                                held, size = [], 0
                 if DENOMINATOR * n > NUMERATOR * boundary:
                     order = np.lexsort((mix(ids), df))[: n - needed(n) + 1 - alone]
-                    keys.append(mix(ids[order] ^ U(0x1D8E4E27C47D124F)))
-                    places.append(np.arange(alone, alone + len(order)))
-                    reps.append(np.full(len(order), rep))
-                    ns.append(np.full(len(order), n))
-            flat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-            yield pa.RecordBatch.from_arrays([pa.array(flat(keys, np.uint64).astype(np.int64)), pa.array(flat(reps, np.int64)), pa.array(flat(ns, np.int32)), pa.array(flat(places, np.int32))], ["key", "rep", "n", "place"])
+                    add(mix(ids[order] ^ U(0x1D8E4E27C47D124F)), rep, n, np.arange(alone, alone + len(order)))
+            yield flat()
 
         return step
 
@@ -334,13 +428,21 @@ def _near_size(a: str, b: str) -> str:
     return f"{DENOMINATOR} * least({a}, {b}) >= {NUMERATOR} * greatest({a}, {b})"
 
 
-def _candidates(rows: DataFrame, condition: str = "true") -> DataFrame:
-    """Distinct pairs (a, b) of sets that meet in a list, are near in size and may still share enough shingles."""
+def _candidates(rows: DataFrame, condition: str = "true", block: int = LIST_BLOCK) -> DataFrame:
+    """Distinct pairs (a, b) of sets that meet in a list, are near in size and may still share enough shingles.
+
+    A list of more than ``block`` entries is cut into blocks; an entry goes to the cells of its block with each
+    other one, so that a hot list is as many keys of the join as it has pairs of blocks.
+    """
     names = [c for c in rows.columns if c != "key"]
-    x, y = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in names)) for s in "xy")
+    sized = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block), "key", "left")
+    blocks = F.coalesce(F.ceil(F.col("_n") / block), F.lit(1)).cast("int")
+    cut = written(sized.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int")).drop("_n"), "list-blocks")
+    side = lambda s, first, last: cut.withColumn("_other", F.explode(F.sequence(first, last))).select("key", F.least("_block", "_other").alias("lo"), F.greatest("_block", "_other").alias("hi"), *(F.col(c).alias(f"{c}_{s}") for c in names))
+    x, y = side("x", F.col("_block"), F.col("_blocks") - 1), side("y", F.lit(0), F.col("_block"))
     bound = "1 + least(n_x - place_x - 1, n_y - place_y - 1)"
-    fits = f"rep_x < rep_y and {condition} and {_near_size('n_x', 'n_y')} and ((place_x < 0 and place_y < 0) or (place_x >= 0 and place_y >= 0 and {NUMERATOR + DENOMINATOR} * ({bound}) >= {NUMERATOR} * (n_x + n_y)))"
-    return x.hint("merge").join(y, "key").filter(fits).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
+    fits = f"(lo < hi or rep_x < rep_y) and rep_x <> rep_y and {condition} and {_near_size('n_x', 'n_y')} and ((place_x < 0 and place_y < 0) or (place_x >= 0 and place_y >= 0 and {NUMERATOR + DENOMINATOR} * ({bound}) >= {NUMERATOR} * (n_x + n_y)))"
+    return x.hint("merge").join(y, ["key", "lo", "hi"]).filter(fits).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
 
 
 def links(entries: DataFrame, sets: DataFrame) -> DataFrame:
@@ -355,9 +457,9 @@ def links(entries: DataFrame, sets: DataFrame) -> DataFrame:
     own = written(own, "lists-by-component")
     mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     rest = written(own.join(mixed, "key"), "mixed-lists")
-    others = _candidates(rest, "comp_x <> comp_y")
-    second = verified(others, sets)
-    return first.unionByName(written(second, "second-links"))
+    second = written(verified(_candidates(rest, "comp_x <> comp_y"), sets), "second-links")
+    discard(long_lists, own, rest)
+    return first.unionByName(second)
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -365,12 +467,13 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     names = written(shingle_names(docs, id_col, text_col), "names")
     classes = written(names.filter("n_shingles > 0").groupBy("one", "two", "n_shingles", "half").agg(F.min("doc_id").alias("rep")), "classes")
     able = classes.filter("rep is not null")
-    survivors = written(screened(docs, able, id_col, text_col).select("rep", "one"), "survivors")
+    survivors = written(screened(docs, names, able, id_col, text_col).select("rep", "one"), "survivors")
     sets = written(with_sets(docs, survivors, id_col, text_col), "sets")
     shared = written(shared_shingles(sets), "shared")
-    scanned = shared.select(F.sum("entries"), F.sum("scanned")).first()
-    boundary = light_boundary((scanned[1] or 0) / (scanned[0] or 1))
-    return names, classes, sets, written(list_entries(shared, boundary), "entries")
+    boundary = light_boundary([tuple(r) for r in list_costs(shared).collect()], shared.agg(F.sum("entries")).first()[0] or 0)
+    entries = written(list_entries(shared, boundary), "entries")
+    discard(survivors, shared)
+    return names, classes, sets, entries
 
 
 def jaccard_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -390,6 +493,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names, classes, sets, entries = _prepared(docs, id_col, text_col)
     found = links(entries, sets)
     labels = components(found)
+    discard(sets, entries)
     name = F.concat_ws(":", "one", "two", "n_shingles")
     owners = classes.join(labels.withColumnsRenamed({"v": "rep", "label": "component_id"}), "rep", "left").select(name.alias("name"), F.col("rep").alias("class_id"), F.coalesce("component_id", "rep").alias("component_id"))
     out = salted_lookup(names.withColumn("name", name), owners, "name", "doc_id")

@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.folders import shared_folder
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows of df as a Parquet table in the shared folder, read back: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.folders import discard, written  # noqa: F401
 
 
 def partitions(spark: SparkSession) -> int:

@@ -99,6 +99,52 @@ def test_jaccard_large_group_of_near_copies(spark):
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.component_id for r in got} == {0}
 
+def test_jaccard_keeps_a_pair_whose_shingles_collide(spark):
+    w = [f"w41x{i}" for i in range(20_004)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:15_004])), (3, " ".join(w[:15_003]))]  # 15,000 of 20,000 shingles: a link; 14,999 of them: with 2 only
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1}
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame([rows[0], rows[2]], "doc_id long, text string")).collect()}
+    assert got == {1: 1, 3: 3}
+
+
+def test_shingles_that_fall_together_in_the_screen_count_as_shared():
+    # with one part the place is the upper half: 10 and 11 can't be told apart, 2**40 can
+    batch = jaccard_join.screen_rows(np.array([7], np.int64), [np.array([10, 11, 2**40], np.uint64)], 1)
+    own = [r for r in batch.to_pylist() if r["part"] < 0]
+    assert [np.frombuffer(r["counts"], np.uint32).tolist() for r in own] == [[1]]
+    assert sum(len(r["shingles"]) // 4 for r in batch.to_pylist() if r["part"] >= 0) == 2
+
+
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=50), st.integers(1, 2**31))
+@settings(max_examples=60, deadline=None)
+def test_parts_keep_the_order_of_hashes(values, parts):
+    x = np.sort(np.array(values, np.uint64))
+    part, place = jaccard_join.dealt(x, parts)
+    assert part.tolist() == [v * parts >> 64 for v in x.tolist()]
+    assert place.tolist() == [(v * parts >> 32) & 0xFFFFFFFF for v in x.tolist()]
+
+
+def test_long_lists_give_the_same_pairs_in_blocks(spark):
+    r = random.Random(5)
+    rows = [(r.randrange(3), i, r.randint(20, 24), r.randint(0, 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "key long, rep long, n int, place int")
+    pairs = [{(x.a, x.b) for x in jaccard_join._candidates(df, block=b).collect()} for b in (4, 1000)]
+    assert pairs[0] == pairs[1] and pairs[0]
+
+
+def test_light_boundary_follows_the_cost():
+    assert jaccard_join.light_boundary([(4, 10, 1000), (8, 10, 5000), (12, 10, 10)], 10**6) == 8
+    assert jaccard_join.light_boundary([(4, 10, 1000), (8, 10, 5000)], 100) == 4  # no more keys than the screen has shuffled
+    assert jaccard_join.light_boundary([], 0) == 0
+
+
+def test_jaccard_very_long_and_repeated_rows(spark):
+    long = " ".join(edges.words(11, 150_000, "abcdefghijklmnopqrstuvwxyz"))
+    rows = [(1, long), (2, long + " end"), (2, long + " end"), (3, None), (None, long), (4, "")]
+    got = sorted((r.doc_id or -1, r.component_id) for r in jaccard_join.jaccard_components(edges.table(spark, rows)).collect())
+    assert got == [(-1, 1), (1, 1), (2, 1), (2, 1), (3, 3), (4, 4)]
+
 
 def test_jaccard_edges(spark):
     got = jaccard_join.jaccard_components(edges.table(spark)).collect()
@@ -114,10 +160,6 @@ def test_jaccard_edges(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [-3, 1, 6, 7, 8, 9, 11, 13, 2**62]
 
 
-def test_light_boundary_follows_cost():
-    assert jaccard_join.light_boundary(0) < jaccard_join.light_boundary(50) <= jaccard_join.LIGHT_MOST
-
-
 def test_components_of_chains_and_stars(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(500, 500)]
     got = {r.v: r.label for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
