@@ -435,7 +435,7 @@ def _candidates(rows: DataFrame, condition: str = "true", block: int = LIST_BLOC
     other one, so that a hot list is as many keys of the join as it has pairs of blocks.
     """
     names = [c for c in rows.columns if c != "key"]
-    sized = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block), "key", "left")
+    sized = salted_lookup(rows, rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block), "key", "rep")
     blocks = F.coalesce(F.ceil(F.col("_n") / block), F.lit(1)).cast("int")
     cut = written(sized.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int")).drop("_n"), "list-blocks")
     side = lambda s, first, last: cut.withColumn("_other", F.explode(F.sequence(first, last))).select("key", F.least("_block", "_other").alias("lo"), F.greatest("_block", "_other").alias("hi"), *(F.col(c).alias(f"{c}_{s}") for c in names))
@@ -455,8 +455,8 @@ def links(entries: DataFrame, sets: DataFrame) -> DataFrame:
     joined = components(first)
     own = long_lists.select("key", "rep", "n", "place").join(joined.withColumnsRenamed({"v": "rep", "label": "comp"}), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     own = written(own, "lists-by-component")
-    mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    rest = written(own.join(mixed, "key"), "mixed-lists")
+    mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", F.lit(True).alias("mixed"))
+    rest = written(salted_lookup(own, mixed, "key", "rep").filter("mixed").drop("mixed"), "mixed-lists")
     second = written(verified(_candidates(rest, "comp_x <> comp_y"), sets), "second-links")
     discard(long_lists, own, rest)
     return first.unionByName(second)

@@ -13,7 +13,9 @@ Defined results: null and empty texts are scored like any other by their (empty)
 a text without similarity to any labelled one gets the share of label 1; without a
 labelled document of both classes every score is that share, or 0.5; labels without
 quality or doc_id are left out; a doc_id labelled more than once keeps its greatest
-label; an empty table gives no rows; extra columns are ignored.
+label; cosines count to six places, and of equal ones those with the labelled documents
+of smaller doc_id are nearer; equal texts have equal scores; a row without doc_id is scored
+and not held out; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +38,9 @@ SHAPES = 14
 DIMENSIONS = 48
 NEIGHBOURS = 25
 KEEP_FROM = 0.3
+#: Documents that are compared at a time; cosines are whole numbers of 1 / ROUNDED.
+BLOCK = 256
+ROUNDED = 1_000_000
 #: Weight of a full measure of shape against the trigrams' unit vector.
 SHAPE_WEIGHT = 1.5
 
@@ -120,10 +125,16 @@ class Model(NamedTuple):
         if not len(self.vectors):
             return np.full(len(x), self.share)
         out = []
-        for a in range(0, len(x), 512):
-            cosines = self.latent(x[a : a + 512]) @ self.vectors.T
-            k = min(NEIGHBOURS, cosines.shape[1])
-            near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+        n = len(self.vectors)
+        for a in range(0, len(x), BLOCK):
+            part = x[a : a + BLOCK]
+            # blocks of one shape, so that equal texts have equal cosines whatever stands beside them
+            whole = np.zeros((BLOCK, x.shape[1]), x.dtype)
+            whole[: len(part)] = part
+            cosines = np.rint(self.latent(whole) @ self.vectors.T * ROUNDED).astype(np.int64)[: len(part)]
+            k = min(NEIGHBOURS, n)
+            near = np.argpartition(np.arange(n) - cosines * n, k - 1, axis=1)[:, :k]  # of equal cosines those that come first in the sample
+            near.sort(axis=1)
             w = np.maximum(np.take_along_axis(cosines, near, 1), 0).astype(np.float64) ** 4
             total = w.sum(1)
             vote = (w * self.labels[near]).sum(1)
@@ -201,7 +212,7 @@ def _scored(docs: DataFrame, model: Model, keep_from: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            scores = np.concatenate([own.score(features(batch.column(at).slice(a, 256))) for a in range(0, batch.num_rows, 256)])
+            scores = np.concatenate([own.score(features(batch.column(at).slice(a, BLOCK))) for a in range(0, batch.num_rows, BLOCK)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array((scores >= keep_from).astype(np.int32))], [*fields, "score", "predicted"])
 
     return plain.mapInArrow(run, schema)
@@ -220,4 +231,4 @@ def keep_quality(docs: DataFrame, model: Model, keep_from: float = KEEP_FROM) ->
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold(F.col("doc_id")) != 0)
-    return score_documents(docs, model).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+    return score_documents(docs, model).select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -8,9 +8,13 @@ a third of all documents share loads no task. A shard indexes the distinct segme
 run of anchors (FM-index: wavelet matrix over the Burrows-Wheeler transform), then streams
 them by backward search. Where the match reaches the window's length, the least label of
 the interval is the first document that has the window; if that is smaller than a
-document's own doc_id, its words there are removed. Words travel as 40-bit hashes. An
-anchor with more distinct segments than an index should hold (a very large group of near
-copies) is left to a plain grouping of its windows, which no single task has to hold.
+document's own doc_id, its words there are removed. Words travel as 40-bit hashes.
+
+An anchor with more distinct segments than an index should hold (a very large group of near
+copies) is split: its windows choose a second anchor by another hash, which deals them, as
+shorter segments, to as many indexes; then a third one and so on, and at last each window is
+an anchor of its own. Equal windows always choose alike, so every window still meets all its
+equals in one index.
 
 Defined results: null, empty and short texts have no windows and lose nothing; a window
 that repeats within one document only stays; rows of one doc_id count as one
@@ -32,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .shared import map_batches, partitions, salted_lookup, written
-from .textops import gram_hashes, row_blocks, text_buffers, word_bounds, word_hashes
+from .shared import discard, map_batches, partitions, written
+from .textops import gram_hashes, mix, row_blocks, text_buffers, word_bounds, word_hashes
 
 U = np.uint64
 WINDOW = 50
@@ -41,8 +45,12 @@ WINDOW = 50
 GRAM = 8
 #: Words of distinct segments that one index holds, about.
 INDEX_WORDS = 1_000_000
-#: Segments of one anchor that an index takes; the windows of an anchor with more are grouped by hash instead.
-MOST_SEGMENTS = 20_000
+#: Distinct segments of one anchor that an index takes; the windows of an anchor with more choose another anchor.
+MOST_SEGMENTS = 1_000
+#: How often they do so before each distinct window is its own anchor.
+SPLITS = 6
+#: n-grams whose places are told apart at a time when the least is looked for.
+_PIECE = 1 << 23
 _LOW = U((1 << 24) - 1)
 _words = re.compile(r"[^\x20\x09-\x0D]+").findall
 
@@ -65,21 +73,29 @@ def segments(raw: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: i
     room = np.maximum(np.diff(first) - window + 1, 0)
     if not room.any():
         return Segments(none, none, none, none, none, words)
-    # the least n-gram of each window, the leftmost of equals: hash above, place below
-    least = gram_hashes(words, gram) & ~_LOW | np.arange(len(words) - gram + 1, dtype=np.uint64)
-    width, size = window - gram + 1, 1
-    while 2 * size <= width:
-        least = np.minimum(least[:-size], least[size:])
-        size *= 2
-    if size < width:
-        least = np.minimum(least[: len(least) - (width - size)], least[width - size :])
+    grams = gram_hashes(words, gram)
+    place = least_places(grams, window - gram + 1)
     row = np.repeat(np.arange(len(room)), room)
     at = np.repeat(first[:-1] - np.append(0, np.cumsum(room)[:-1]), room) + np.arange(room.sum())
-    chosen = least[at]
+    chosen = place[at]
     new = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (row[1:] != row[:-1])))
     begin = at[new]
-    anchor = gram_hashes(words, gram)[(chosen[new] & _LOW).astype(np.int64)].astype(np.int64)
-    return Segments(row[new], anchor, begin - first[row[new]], begin, np.diff(np.append(new, len(at))), words)
+    return Segments(row[new], grams[chosen[new]].astype(np.int64), begin - first[row[new]], begin, np.diff(np.append(new, len(at))), words)
+
+
+def least_places(grams: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of each ``width`` neighbours is, the leftmost of equals; numbers are compared by their upper 40 bits."""
+    out = []
+    for start in range(0, len(grams) - width + 1, _PIECE):
+        part = grams[start : start + _PIECE + width - 1]
+        least, size = part & ~_LOW | np.arange(len(part), dtype=np.uint64), 1
+        while 2 * size <= width:
+            least = np.minimum(least[:-size], least[size:])
+            size *= 2
+        if size < width:
+            least = np.minimum(least[: len(least) - (width - size)], least[width - size :])
+        out.append((least & _LOW).astype(np.int64) + start)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def _blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -202,34 +218,68 @@ def searched_shards(rows: DataFrame, index_words: int = INDEX_WORDS) -> DataFram
     return rows.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(run, RUNS)
 
 
-def grouped_windows(distinct: DataFrame) -> DataFrame:
-    """What searched_shards gives, by grouping the windows themselves: for anchors with too many segments for an index."""
+def split_segments(rows: DataFrame, level: int) -> DataFrame:
+    """(parent, shift, segment, anchor, least, low, high): the segments (segment, anchor, least, low, high) of large anchors cut
+    where their windows choose another anchor, the least n-gram by the hash of this level; at level SPLITS each window by itself."""
 
     def make():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for segment, least, low, high in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                names = [xxhash.xxh3_128_digest(low[4 * i : 4 * (i + WINDOW)] + high[i : i + WINDOW]) for i in range(len(high) - WINDOW + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([segment] * len(names), pa.binary()), pa.array(range(len(names)), pa.int32()), pa.array(names, pa.binary()), pa.array([least] * len(names), pa.int64())], ["segment", "at", "window", "least"])
+            out, size = [], 0
+            for segment, anchor, least, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = np.frombuffer(low, np.uint32).astype(np.uint64) | np.frombuffer(high, np.uint8).astype(np.uint64) << U(32)
+                n = len(words) - WINDOW + 1
+                if level < SPLITS:
+                    grams = gram_hashes(mix(words + U(level)), GRAM)
+                    place = least_places(grams, WINDOW - GRAM + 1)
+                    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+                    chosen = grams[place[first]]
+                else:
+                    first, chosen = np.arange(n), gram_hashes(mix(words), WINDOW)
+                for a, b, x in zip(first.tolist(), np.append(first[1:], n).tolist(), mix(chosen ^ U(anchor % 2**64)).astype(np.int64).tolist(), strict=True):
+                    p, q = low[4 * a : 4 * (b + WINDOW - 1)], high[a : b + WINDOW - 1]
+                    out.append((segment, a, xxhash.xxh3_128_digest(p + q), x, least, p, q))
+                    size += len(q)
+                if size > INDEX_WORDS:
+                    yield flat(out)
+                    out, size = [], 0
+            yield flat(out)
+
+        def flat(out: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [[]] * 7
+            types = [pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["parent", "shift", "segment", "anchor", "least", "low", "high"])
 
         return step
 
-    windows = map_batches(distinct.select("segment", "least", "low", "high"), make, "segment binary, at int, window binary, least long")
-    first = windows.groupBy("window").agg(F.min("least").alias("earliest"))
-    met = salted_lookup(windows, first, "window", "segment")
-    return met.groupBy("segment").agg(F.collect_set(F.struct(F.col("at").alias("lo"), F.col("at").alias("hi"), "earliest")).alias("runs"))
+    return map_batches(rows.select("segment", "anchor", "least", "low", "high"), make, "parent binary, shift int, segment binary, anchor long, least long, low binary, high binary")
+
+
+def first_windows(least: DataFrame, words: DataFrame, index_words: int, most_segments: int, level: int = 0) -> DataFrame:
+    """(segment, runs) of the segments (anchor, segment, least), whose words (anchor, segment, low, high) may come more than once."""
+    sizes = least.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    large = written(sizes.filter(F.col("n") > (most_segments if level <= SPLITS else 2**62)).select("anchor"), "large-anchors")
+    none = {c: F.lit(None).cast("binary") for c in ("low", "high")}
+    both = words.withColumn("least", F.lit(None).cast("long")).unionByName(least.withColumns(none)).select("anchor", "segment", "least", "low", "high")
+    if large.isEmpty():
+        return searched_shards(both, index_words)
+    found = searched_shards(both.join(large, "anchor", "left_anti").select(both.columns), index_words)
+    # a segment's words come from each task that had it: one of those rows is enough
+    held = words.join(large, "anchor", "left_semi").groupBy("anchor", "segment").agg(F.min(F.struct("low", "high")).alias("w"))
+    held = held.join(least, ["anchor", "segment"]).select("segment", "anchor", "least", "w.low", "w.high")
+    parts = written(split_segments(held, level + 1), "split-segments")
+    own = parts.groupBy("anchor", "segment").agg(F.min("least").alias("least"), F.min(F.struct("low", "high")).alias("w"))
+    own = written(own.select("anchor", "segment", "least", "w.low", "w.high"), "split-words")
+    inner = first_windows(own.select("anchor", "segment", "least"), own.select("anchor", "segment", "low", "high"), index_words, most_segments, level + 1)
+    met = parts.select("parent", "shift", "segment").hint("merge").join(inner.hint("merge"), "segment")
+    moved = F.transform("runs", lambda r: F.struct((r["lo"] + F.col("shift")).alias("lo"), (r["hi"] + F.col("shift")).alias("hi"), r["earliest"].alias("earliest")))
+    return found.unionByName(met.select("parent", moved.alias("runs")).groupBy(F.col("parent").alias("segment")).agg(F.flatten(F.collect_list("runs")).alias("runs")))
 
 
 def repeated_spans(placed: DataFrame, index_words: int = INDEX_WORDS, most_segments: int = MOST_SEGMENTS) -> DataFrame:
     """(doc_id, tie, low, high): the words of each row that a window of an earlier document covers."""
     least = placed.groupBy("anchor", "segment").agg(F.min("doc_id").alias("least"))
     words = placed.filter("low is not null").select("anchor", "segment", "low", "high")
-    both = words.withColumn("least", F.lit(None).cast("long")).unionByName(least.withColumns({c: F.lit(None).cast("binary") for c in ("low", "high")})).select("anchor", "segment", "least", "low", "high")
-    large = written(words.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_segments).select("anchor"), "large-anchors")
-    if large.isEmpty():
-        found = searched_shards(both, index_words)
-    else:
-        found = searched_shards(both.join(large, "anchor", "left_anti").select(both.columns), index_words)
-        found = found.unionByName(grouped_windows(words.join(large, "anchor", "left_semi").join(least, ["anchor", "segment"])))
+    found = first_windows(least, words, index_words, most_segments)
     # a segment that very many rows have is a skewed key of this join, which adaptive execution splits
     met = placed.select("segment", "doc_id", "tie", "begin").hint("merge").join(found.hint("merge"), "segment")
     each = met.select("doc_id", "tie", "begin", F.explode("runs").alias("r")).filter("r.earliest < doc_id")
@@ -271,6 +321,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = repeated_spans(placed, index_words, most_segments).groupBy(*key).agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     cut = candidates.select(*key, "text").hint("merge").join(spans.hint("merge"), key).select(*key, "text", "spans")
     cut = written(_cut(cut).dropDuplicates(key), "cut")
+    discard(candidates, placed)
     out = base.join(cut, (base.doc_id == cut.doc_id) & (base.tie == cut.tie), "left")
     return out.select(base.doc_id, "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"), "kept_text")
 

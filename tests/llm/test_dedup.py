@@ -223,7 +223,7 @@ def removed(rows):
     return out
 
 
-@pytest.mark.parametrize(("seed", "most_segments"), [(1, 20_000), (2, 3)])
+@pytest.mark.parametrize(("seed", "most_segments"), [(1, 20_000), (2, 3), (3, 1)])
 def test_substring_dedup_equals_brute_force(spark, seed, most_segments):
     r = random.Random(seed)
     passages = [edges.words(r.random(), r.randint(49, 160)) for _ in range(8)]
@@ -238,6 +238,28 @@ def test_substring_dedup_equals_brute_force(spark, seed, most_segments):
     assert got == removed(rows)
 
 
+def test_a_passage_of_many_near_copies_is_split_over_indexes(spark):
+    base, rows = edges.words(9, 130), []
+    for i in range(150):
+        w = list(base)
+        w[(7 * i) % 130] = f"edit{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(i, " ".join([*base[20:64], *edges.words(i, 30)])) for i in range(150, 200)]  # a common beginning of windows that all differ
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = removed(rows)
+    for most in (1, 20):
+        got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.substring_dedup(df, index_words=500, most_segments=most).collect()}
+        assert got == want
+
+
+def test_least_places_of_more_than_a_piece(monkeypatch):
+    grams = np.random.default_rng(1).integers(0, 2**64, 5000, dtype=np.uint64)
+    whole = substring_dedup.least_places(grams, 43)
+    monkeypatch.setattr(substring_dedup, "_PIECE", 97)
+    assert substring_dedup.least_places(grams, 43).tolist() == whole.tolist()
+    assert whole.tolist() == [i + int(np.argmin(grams[i : i + 43] >> np.uint64(24))) for i in range(len(grams) - 42)]
+
+
 def test_substring_dedup_edges(spark):
     got = substring_dedup.substring_dedup(edges.table(spark)).collect()
     assert len(got) == len(edges.rows())

@@ -329,6 +329,21 @@ def plain_spans(text):
     return sorted(found)
 
 
+@pytest.mark.parametrize("code", ["utf-16", "utf-16-le", "utf-16-be"])
+def test_secrets_in_wide_characters(code):
+    wrapped = base64.b64encode("password = hunter2hunter2".encode(code)).decode()
+    (span,) = [x for x in secret_scan.scan(f"see {wrapped} end")[1] if x.kind == 0]
+    assert 4 <= span.start and span.end >= 4 + len(wrapped) - 4 and "aHVu" not in unmasked(wrapped)
+    assert unmasked(f"see {wrapped} end").count("[secret]") == 1
+
+
+def test_secrets_among_other_bytes():
+    wrapped = base64.b64encode(b"\xff\xfe\x00\x01\x90password = hunter2hunter2\x00\x88\xfa").decode()
+    assert [s.kind for s in secret_scan.scan(wrapped)[1]] == [0]
+    noise = base64.b64encode(bytes(random.Random(1).randrange(128, 256) for _ in range(300))).decode()
+    assert [s for s in secret_scan.scan(noise)[1] if s.kind != 2] == []
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["password", "Passwd", "TOKEN", "api_key", "apikey", "secret", ":", "=", " ", '"', "abcdefgh", "x", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "é", "%20", "\\u0041"]), max_size=14))
 def test_base_spans(parts):
@@ -423,6 +438,40 @@ def test_trie_equals_enumeration(words, pieces):
         assert trie.scores[terminal[w]] == pytest.approx(score) and trie.tokens[terminal[w]] == -count
 
 
+def test_votes_equal_a_recount(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.train(docs, labels)
+    texts = [x for (x,) in docs.select("text").limit(60).collect()]
+    for text, score in zip(texts, model.score(quality.features(pa.array(texts))), strict=True):
+        latent = model.latent(quality.features(pa.array([text])))[0]
+        cosines = [round(float(np.dot(latent, v)) * 1e6) for v in model.vectors]
+        near = sorted(range(len(cosines)), key=lambda j: (-cosines[j], j))[: quality.NEIGHBOURS]
+        weights = [max(0, cosines[j]) ** 4 for j in near]
+        vote = sum(w for w, j in zip(weights, near, strict=True) if model.labels[j]) / sum(weights)
+        assert score == pytest.approx(vote, abs=2e-4)
+
+
+def test_equal_texts_score_alike_and_ties_go_to_the_first():
+    r = np.random.default_rng(1)
+    x = r.random((40, quality.TRIGRAMS + quality.SHAPES), dtype=np.float32)
+    x = np.concatenate([x, x[:20]])  # each of the first half twice
+    labels = np.array([1, 0] * 30)
+    model = quality.fit(x, labels)
+    rows = np.concatenate([x[:1], r.random((600, x.shape[1]), dtype=np.float32), x[:1], x[:1]])
+    scores = model.score(rows)
+    assert scores[0] == scores[601] == scores[602] == model.score(x[:1])[0]
+
+
+def test_quality_query(spark, sf):
+    got = quality.op9_quality(spark, sf).collect()
+    ids = [x for (x,) in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()]
+    assert sorted(r.doc_id for r in got) == sorted(ids)
+    assert all(r.held_out == (binascii.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in got)
+    rows = spark.createDataFrame([(None, "a b c"), (1, None), (1, None)], "doc_id long, text string")
+    scored = quality.score_documents(rows, quality.train(rows, spark.createDataFrame([], "doc_id long, quality int"))).collect()
+    assert [r.score for r in scored] == [0.5] * 3
+
+
 # Chat formatting.
 
 
@@ -438,17 +487,76 @@ def test_tool_calls(spark):
     got = {(r.conv_id, r.call_id): r for r in chat.link_tool_calls(calls, results, schemas).collect()}
     assert len(got) == 11
     a, b, c = got[1, "a"], got[1, "b"], got[1, "c"]
-    assert (a.valid, a.linked, a.round, b.round, c.round) == (True, False, 2, 1, 3)
+    assert (a.valid, a.linked) == (True, False)
+    assert [(x.place, x.round) for x in (a, b, c)] == [(5, 2), (5, 1), (8, 0)]
     assert a.canonical_json == '{"arguments":{"x":1.5,"y":2,"z":{"a":[true,null],"b":1}},"depends_on":["b"],"id":"a","name":"add","result":null}'
     assert b.errors == ["missing y", "mistyped x"] and json.loads(b.canonical_json)["result"] == "first"
     assert c.errors == ["no object"] and (c.depends_on, c.n_dangling) == (["a", "b"], 1)
-    assert got[1, "d"].errors == ["unknown tool"] and got[1, "d"].round == 1
-    assert got[2, "p"].round is None and got[2, "q"].errors == ["missing y"] and got[2, "r"].round == 1
+    assert got[1, "d"].errors == ["unknown tool"] and got[1, "d"].round == 0
+    assert got[2, "p"].round is None and got[2, "q"].errors == ["missing y"] and (got[2, "r"].place, got[2, "r"].round) == (2, 0)
     assert (got[3, "a"].linked, got[3, "b"].n_repeats, got[3, "b"].depends_on, got[3, "b"].round) == (True, 2, ["a"], 0)
     assert got[None, "z"].linked is False and got[None, "z"].round is None and got[4, None].round is None
     assert chat.link_tool_calls(calls.limit(0), results.limit(0), schemas).count() == 0
 
 
+CALLS = "conv_id long, call_id string, position long, name string, arguments string, depends_on array<string>"
+NO_RESULTS = "conv_id long, call_id string, position long, content string"
+SCHEMA = [("add", "x", "number", True)]
+
+
+def linked(spark, calls, **options):
+    schemas = spark.createDataFrame(SCHEMA, "name string, field string, kind string, required boolean")
+    return chat.link_tool_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], NO_RESULTS), schemas)
+
+
+def test_tool_calls_in_long_chains(spark):
+    n = 10_000
+    calls = [(1, f"c{i}", i, "add", '{"x": 1}', [f"c{i + 1}"]) for i in range(n)]
+    got = {r.position: (r.place, r.round) for r in linked(spark, calls).select("position", "place", "round").collect()}
+    assert got == {i: (0, n - i) if i < n - 1 else (0, 1) for i in range(n)}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_tool_calls_are_in_topological_order(spark, seed):
+    r, calls = random.Random(seed), []
+    for conv in range(25):
+        n = r.randint(1, 30)
+        places = [r.randrange(2 * n) for _ in range(n)]
+        calls += [(conv, f"c{i}", places[i], "add", '{"x": 1}', [f"c{r.randrange(n)}" for _ in range(r.choice([0, 0, 1, 1, 2]))]) for i in range(n)]
+    got = {(x.conv_id, x.call_id): x for x in linked(spark, calls).select("conv_id", "call_id", "place", "round", "position", "depends_on").collect()}
+    want = {}
+    for key in got:  # rounds within a block, by Kahn's algorithm
+        want.setdefault((key[0], got[key].place), set()).add(key)
+    for members in want.values():
+        needs = {k: {(k[0], d) for d in got[k].depends_on} & members for k in members}
+        number, left = 0, set(members)
+        while free := {k for k in left if not needs[k] & left}:
+            number += 1
+            for k in free:
+                assert got[k].round == (number if any(needs.values()) else 0)  # without a need in it there is no block
+            left -= free
+        assert all(got[k].round is None for k in left)
+    for k, x in got.items():
+        for d in x.depends_on:
+            y = got[k[0], d]
+            if None not in (x.round, y.round):
+                assert (y.place, y.round, y.position) < (x.place, x.round, x.position)
+
+
+def test_tool_calls_with_other_columns_and_numbers(spark):
+    from pyspark.sql import functions as F
+
+    calls = spark.createDataFrame([(1, "a", None, "add", '{"x": 1.0, "w": [1e3, 2.50, 1e10], "v": "1.0, \\\\\\" 2.0"}', [None, "b"]), (1, "b", 1, "add", '{"x": 7}', [])], CALLS)
+    results = spark.createDataFrame([(1, "a", 2, "1.0")], NO_RESULTS)
+    schemas = spark.createDataFrame(SCHEMA, "name string, field string, kind string, required boolean")
+    names = ["errors", "round", "place", "answer", "found", "n_repeats", "_held", "spread", "reach", "at"]
+    wide = [t.select("*", *(F.lit(c).alias(c) for c in names if c not in t.columns)) for t in (calls, results, schemas)]
+    got = {x.call_id: x for x in chat.link_tool_calls(*wide).collect()}
+    assert got["a"].canonical_json == '{"arguments":{"v":"1.0, \\\\\\" 2.0","w":[1000,2.5,1.0E10],"x":1},"depends_on":["b"],"id":"a","name":"add","result":"1.0"}'
+    assert (got["a"].position, got["a"].place, got["a"].round, got["b"].round, got["a"].linked) == (-1, -1, 2, 1, True)
+    assert got["a"].errors == ["unexpected v", "unexpected w"] and got["b"].valid
+
+
 # The pipeline.
 
 
