@@ -2,51 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .alerts import UNAVAILABLE
 
-DAY_US = 86_400_000_000
+#: Points in time that are sent to every task; more of them are met by a shuffle.
+BROADCAST_POINTS = 50_000
+#: Over how many tasks the rows of one stretch of time are then spread.
+SALTS = 16
+#: Stretches whose running greatest is found together.
+BLOCK = 4096
+NEVER = 2**63 - 1
 
 
-def in_intervals(rows: DataFrame, intervals: DataFrame, at: str = "us", until: int | None = None) -> DataFrame:
-    """rows with ``inside``: whether an interval (started_us, ended_us; open end: null) holds their time, start included, end not.
+def greatest_so_far(rows: DataFrame, points: DataFrame, top: Column, at: str, out: str) -> DataFrame:
+    """rows with the greatest ``top`` of all points whose time (column _at) is not after a row's; null if there is none.
 
-    Rows and intervals meet by the days that they touch, so the join has an equality. until: the time to which open
-    intervals are taken; the last row's if not given, as a stream must.
+    The points' time is cut into as many stretches as there are points. A stretch knows the greatest of all
+    before it and its own points in order, so a row needs one look-up by an equality, whatever it is
+    a version that is in force or the end of an interval. No task holds a day or all rows; rows are read once.
     """
-    last = until if until is not None else rows.agg(F.max(at)).first()[0] or 0
-    ends = F.least(F.coalesce("ended_us", F.lit(last + 1)), F.lit(last + 1))
-    days = intervals.filter("started_us < coalesce(ended_us, 9223372036854775807)").select("started_us", ends.alias("ended_us")).filter("ended_us > started_us")
-    days = days.withColumn("_day", F.explode(F.sequence(F.floor(F.col("started_us") / DAY_US), F.floor((F.col("ended_us") - 1) / DAY_US))))
-    dated = rows.withColumn("_day", F.floor(F.col(at) / DAY_US)).alias("r")
-    hit = (F.col("r._day") == F.col("d._day")) & (F.col(f"r.{at}") >= F.col("d.started_us")) & (F.col(f"r.{at}") < F.col("d.ended_us"))
-    yes = dated.join(days.alias("d"), hit, "left_semi").drop("_day").withColumn("inside", F.lit(True))
-    no = dated.join(days.alias("d"), hit, "left_anti").drop("_day").withColumn("inside", F.lit(False))
-    return yes.unionByName(no)
-
-
-def deployment_gate(rows: DataFrame, intervals: DataFrame, at: str = "us", until: int | None = None) -> DataFrame:
+    n, lo, hi = points.agg(F.count("_at"), F.min("_at"), F.max("_at")).first()
+    kept = points.filter("_at is not null").select("_at", top.alias("top"))
+    if not n:
+        return rows.withColumn(out, F.lit(None).cast(kept.schema["top"].dataType))
+    width = (hi - lo) // n + 1
+    bucket = lambda t: ((t - lo) / width).cast("long")
+    own = kept.groupBy(bucket(F.col("_at")).alias("_bucket")).agg(F.sort_array(F.collect_list(F.struct("_at", "top"))).alias("_points"), F.max("top").alias("_most"))
+    grid = rows.sparkSession.range((hi - lo) // width + 1).select(F.col("id").alias("_bucket"), F.floor(F.col("id") / BLOCK).alias("_block")).join(own, "_bucket", "left")
+    before = lambda by, order: Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each BLOCK of stretches
+    ends = grid.groupBy("_block").agg(F.max("_most").alias("_end")).select("_block", F.max("_end").over(before(F.lit(0), "_block")).alias("_first"))
+    dims = grid.withColumn("_held", F.max("_most").over(before("_block", "_bucket"))).join(ends, "_block").select("_bucket", "_points", F.greatest("_held", "_first").alias("_carried"))
+    t = F.col(at)
+    marked = rows.withColumn("_bucket", F.when(t >= lo, bucket(F.least(t, F.lit(hi)))))
+    if n <= BROADCAST_POINTS:
+        met = marked.join(F.broadcast(dims), "_bucket", "left")
+    else:
+        salted = dims.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = marked.withColumn("_salt", F.pmod(F.xxhash64(at), F.lit(SALTS)).cast("int")).join(salted, ["_bucket", "_salt"], "left").drop("_salt")
+    inside = F.array_max(F.transform(F.filter("_points", lambda p: p["_at"] <= t), lambda p: p["top"]))
+    return met.withColumn(out, F.greatest(inside, F.col("_carried"))).select(*rows.columns, out)
+
+
+def in_intervals(rows: DataFrame, intervals: DataFrame, at: str = "us") -> DataFrame:
+    """rows with ``inside``: whether an interval (started_us, ended_us; open end: null) holds their time, start included, end not."""
+    ended = F.coalesce("ended_us", F.lit(NEVER))
+    points = intervals.withColumn("_at", F.col("started_us"))
+    return greatest_so_far(rows, points, ended, at, "inside").withColumn("inside", F.coalesce(F.col("inside") > F.col(at), F.lit(False)))
+
+
+def deployment_gate(rows: DataFrame, intervals: DataFrame, at: str = "us") -> DataFrame:
     """rows with gate_status and gate_action: transactions during a deployment are postponed and skip the rules."""
-    return in_intervals(rows, intervals, at, until).withColumns({"gate_status": F.when(F.col("inside"), UNAVAILABLE), "gate_action": F.when(F.col("inside"), "POSTPONE")}).drop("inside")
+    return in_intervals(rows, intervals, at).withColumns({"gate_status": F.when(F.col("inside"), UNAVAILABLE), "gate_action": F.when(F.col("inside"), "POSTPONE")}).drop("inside")
 
 
 def ruleset_asof(rows: DataFrame, versions: DataFrame, at: str = "us") -> DataFrame:
-    """rows with the version in force at their time: the last whose from_us is not later; null before the first.
-
-    An as-of join by one sort: versions and rows are merged in time order and the last version is carried on, in two
-    levels (days, then within a day), so no task holds all rows.
-    """
-    marked = rows.select(F.struct(*rows.columns).alias("_row"), F.col(at).alias("_at"), F.lit(None).cast("string").alias("_version"), F.lit(1).alias("_kind"))
-    given = versions.select(F.lit(None).cast(marked.schema["_row"].dataType).alias("_row"), F.col("from_us").alias("_at"), F.col("version").cast("string").alias("_version"), F.lit(0).alias("_kind"))
-    both = marked.unionByName(given).withColumn("_day", F.floor(F.col("_at") / DAY_US))
-    own = Window.partitionBy("_day").orderBy("_at", "_kind", "_version").rowsBetween(Window.unboundedPreceding, 0)
-    local = both.withColumn("_own", F.last("_version", ignorenulls=True).over(own))
-    ends = both.groupBy("_day").agg(F.max_by("_version", F.when(F.col("_kind") == 0, F.struct("_at", "_version"))).alias("_end"))
-    # one row a day
-    carried = ends.select("_day", F.last("_end", ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
-    return local.filter("_kind = 1").join(carried, "_day").select("_row.*", F.coalesce("_own", "_carried").alias("version"))
+    """rows with the version in force at their time: the last whose from_us is not later (the greatest of equal times); null before the first."""
+    points = versions.withColumn("_at", F.col("from_us"))
+    found = greatest_so_far(rows, points, F.struct(F.col("from_us").alias("at"), F.col("version").cast("string").alias("version")), at, "_version")
+    return found.withColumn("version", F.col("_version.version")).drop("_version")
 
 
 def active_ruleset(deployments: DataFrame) -> DataFrame:

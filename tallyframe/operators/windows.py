@@ -10,10 +10,12 @@ so a hot key is spread over its spans.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,7 +66,7 @@ def sliding_distinct(df: DataFrame, keys: list[str], value: str, window_ms: int,
     """df with the number of distinct non-null values in the window, by the same signed deltas: a value enters
     when its last hit is older than the window and leaves when no next hit comes in time."""
     w = window_ms * 1000
-    hits = Window.partitionBy(*keys, value).orderBy(at, tie)
+    hits = _hits(keys, value, at, tie)
     near = df.dropna(subset=keys).withColumns({"_last": F.lag(at).over(hits), "_next": F.lead(at).over(hits)})
     present = F.col(value).isNotNull()
     enters = present & (F.col("_last").isNull() | (F.col("_last") < F.col(at) - w))
@@ -75,35 +77,53 @@ def sliding_distinct(df: DataFrame, keys: list[str], value: str, window_ms: int,
     return _running(signed, keys, ["_at", "_kind", tie], "_at", [out], span_ms * 1000).filter("_kind = 0").select(*df.columns, out)
 
 
+def _hits(keys: list[str], value: str, at: str, tie: str):
+    """The rows of one value of a key in order; those without a value, which may be very many, have no neighbours to look for."""
+    return Window.partitionBy(*keys, value, F.when(F.col(value).isNull(), F.xxhash64(at, tie))).orderBy(at, tie)
+
+
 def first_in_window(df: DataFrame, keys: list[str], value: str, window_ms: int, out: str, at: str = "us", tie: str = "transaction_no") -> DataFrame:
     """df with whether a row's value is new to the window that ends there."""
-    last = F.lag(at).over(Window.partitionBy(*keys, value).orderBy(at, tie))
+    last = F.lag(at).over(_hits(keys, value, at, tie))
     return df.withColumn(out, F.col(value).isNotNull() & F.coalesce(last < F.col(at) - window_ms * 1000, F.lit(True)))
 
 
-def _frame(keys: list[str], window_ms: int, at: str):
-    return Window.partitionBy(*keys).orderBy(at).rangeBetween(-window_ms * 1000, 0)
-
-
 def sliding_list(df: DataFrame, keys: list[str], value: str, window_ms: int, out: str, distinct: bool = False, at: str = "us", tie: str = "transaction_no", most: int | None = None) -> DataFrame:
-    """df with the sorted list (or set) of non-null values in the window. With ``most``, a longer list is an error rather than a loss."""
+    """df with the sorted list (or set) of non-null values in the window. With ``most``, a longer list is an error rather than a loss.
+
+    A key's time is cut into stretches as long as the window. A row is sent to its own and to the next one, which is all that
+    can see it, so a hot key is spread over its stretches and a task holds what two windows hold.
+    """
+    width = window_ms * 1000
+    each = df.dropna(subset=keys).withColumn("_ahead", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_span", F.floor(F.col(at) / width) + F.col("_ahead"))
     entry = F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), F.col(value).alias("value"))
-    held = F.collect_list(F.when(F.col(value).isNotNull(), entry)).over(_frame(keys, window_ms, at))
+    frame = Window.partitionBy(*keys, "_span").orderBy(at).rangeBetween(-width, 0)
     inside = F.filter("_held", lambda e: (e["at"] < F.col(at)) | (e["tie"] <= F.col(tie)))
     values = F.array_sort(F.transform(inside, lambda e: e["value"]))
     values = F.array_distinct(values) if distinct else values
     if most is not None:
         values = F.when(F.size(values) <= most, values).otherwise(F.raise_error(F.lit(f"more than {most} values of {value} in a window")))
-    return df.dropna(subset=keys).withColumn("_held", held).withColumn(out, values).drop("_held")
+    held = F.collect_list(F.when(F.col(value).isNotNull(), entry)).over(frame)
+    return each.withColumn("_held", held).filter("_ahead = 0").withColumn(out, values).drop("_held", "_span", "_ahead")
 
 
-def sliding_last(df: DataFrame, keys: list[str], values: dict[str, Column], window_ms: int, at: str = "us", tie: str = "transaction_no") -> DataFrame:
-    """df with the last non-null value of each name within the window."""
-    key = lambda c: F.when(c.isNotNull(), F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), c.alias("value")))
-    earlier = Window.partitionBy(*keys).orderBy(at).rangeBetween(-window_ms * 1000, -1)
-    same = Window.partitionBy(*keys, at).orderBy(tie).rowsBetween(Window.unboundedPreceding, 0)
-    held = {n: F.coalesce(F.max(key(c)).over(same), F.max(key(c)).over(earlier))["value"] for n, c in values.items()}
-    return df.dropna(subset=keys).withColumns(held)
+def sliding_last(df: DataFrame, keys: list[str], values: dict[str, Column], window_ms: int | None, at: str = "us", tie: str = "transaction_no", span_ms: int = SPAN_MS) -> DataFrame:
+    """df with the last non-null value of each name within the window (None: since the key's first row).
+
+    The last value of all earlier rows is also the window's, unless it is older than that; it is carried over
+    spans like a running sum.
+    """
+    entry = lambda c: F.when(c.isNotNull(), F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), c.alias("value")))
+    names = {n: f"_e_{i}" for i, n in enumerate(values)}
+    spans = df.dropna(subset=keys).withColumns({names[n]: entry(c) for n, c in values.items()}).withColumn("_span", F.floor(F.col(at) / (span_ms * 1000)))
+    own = Window.partitionBy(*keys, "_span").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    ends = spans.groupBy(*keys, "_span").agg(*(F.max(e).alias(e) for e in names.values()))
+    carried = ends.select(*keys, "_span", *(F.max(e).over(before).alias(f"{e}_before") for e in names.values()))
+    met = spans.withColumns({e: F.max(e).over(own) for e in names.values()}).join(carried, [*keys, "_span"])
+    held = {n: F.coalesce(e, f"{e}_before") for n, e in names.items()}
+    fresh = {n: c["value"] if window_ms is None else F.when(c["at"] >= F.col(at) - window_ms * 1000, c["value"]) for n, c in held.items()}
+    return met.withColumns(fresh).select(*(c for c in df.columns if c not in values), *values)
 
 
 def global_record(df: DataFrame, keys: list[str], measures: dict[str, Column], at: str = "us", tie: str = "transaction_no", span_ms: int = SPAN_MS, source: DataFrame | None = None) -> DataFrame:
@@ -112,26 +132,106 @@ def global_record(df: DataFrame, keys: list[str], measures: dict[str, Column], a
     return _running(valued(df), keys, [at, tie], at, list(measures), span_ms * 1000, None if source is None else valued(source))
 
 
-def anchored_window(df: DataFrame, keys: list[str], window_ms: int, at: str = "us", tie: str = "transaction_no") -> DataFrame:
+#: Fixed windows that make one span of a key's time.
+SPAN_WINDOWS = 8
+
+
+def _span_exits(times: np.ndarray, first: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(last, exit) for a span of one key that begins at first: the last window of the span ends at ``exit[i]`` if its first one begins
+    at a row after ``last[i - 1]`` and up to ``last[i]``; times are distinct and in order."""
+    after = np.searchsorted(times, times + width, "right").tolist()
+    ends = (times + width).tolist()
+    for i in range(len(ends) - 1, -1, -1):
+        if after[i] < len(ends):
+            ends[i] = ends[after[i]]
+    could = min(len(times), int(np.searchsorted(times, first + width, "right")) + 1)  # a window from before the span ends before first + width
+    ends = np.array(ends[:could], np.int64)
+    edge = np.flatnonzero(np.append(ends[1:] != ends[:-1], True))
+    return times[edge], ends[edge]
+
+
+def anchored_window(df: DataFrame, keys: list[str], window_ms: int, at: str = "us", tie: str = "transaction_no", span_windows: int = SPAN_WINDOWS) -> DataFrame:
     """df with window_start and window_end (microseconds) of fixed windows that open at a key's first row and reopen at
-    the first row past their end; a row exactly at the end is inside. One value is held for each key."""
-    schema = T.StructType([*df.schema.fields, T.StructField("window_start", T.LongType()), T.StructField("window_end", T.LongType())])
-    places, width = [df.columns.index(k) for k in keys], window_ms * 1000
-    time = df.columns.index(at)
+    the first row past their end; a row exactly at the end is inside.
+
+    A key's time is cut into spans of span_windows windows. Each span finds out, apart from the others, how its last
+    window would end for each way into it; only these short tables are walked through in the key's order, and
+    tell each span the end of the window that is open at its beginning. Then every span places its rows by itself, so a hot
+    key is spread over its spans.
+    """
+    width = window_ms * 1000
+    span = width * span_windows
+    rows = df.dropna(subset=[*keys, at]).withColumn("_span", F.floor(F.col(at) / span))
+    group = [*keys, "_span"]
+    n = len(group)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, start = None, 0
+    def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def whole() -> pa.RecordBatch:
+            last, ends = _span_exits(np.unique(np.concatenate(held)), now[-1].as_py() * span, width)
+            return pa.RecordBatch.from_arrays([*(pa.array([k.as_py()], k.type) for k in now), pa.array([last.tolist()], pa.list_(pa.int64())), pa.array([ends.tolist()], pa.list_(pa.int64()))], [*group, "last", "ends"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            new[0] = True
+            for c in batch.columns[:n]:
+                new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero(new)
+            times = batch.column(n).to_numpy()
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), batch.num_rows], strict=True):
+                own = [batch.column(i)[a] for i in range(n)]
+                if now is not None and own != now:
+                    yield whole()
+                    held = []
+                now = own
+                held.append(times[a:b])
+        if held:
+            yield whole()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, end = None, None
         for batch in batches:
-            keys_ = list(zip(*(batch.column(i).to_pylist() for i in places), strict=True))
-            times = batch.column(time).to_pylist()
-            starts = np.empty(len(times), np.int64)
-            for i, (k, t) in enumerate(zip(keys_, times, strict=True)):
-                if k != now or t > start + width:
-                    now, start = k, t
-                starts[i] = start
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts), pa.array(starts + width)], schema.names)
+            entries = []
+            own = list(zip(*(batch.column(i).to_pylist() for i in range(n - 1)), strict=True))
+            for k, last, ends in zip(own, batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
+                if k != now:
+                    now, end = k, None
+                entries.append(end)
+                i = 0 if end is None else bisect_right(last, end)
+                end = ends[i] if i < len(last) else end
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(entries, pa.int64())], [*group, "_entry"])
+
+    plain = rows.select(*group, F.col(at).alias("_at"))
+    kinds = plain.schema.fields[:n]
+    many = T.ArrayType(T.LongType())
+    steps = plain.distinct().repartition(*group).sortWithinPartitions(*group, "_at").mapInArrow(exits, T.StructType([*kinds, T.StructField("last", many), T.StructField("ends", many)]))
+    entries = steps.repartition(*keys).sortWithinPartitions(*group).mapInArrow(walk, T.StructType([*kinds, T.StructField("_entry", T.LongType())]))
+    # a span's entry goes before its rows
+    both = rows.withColumn("_entry", F.lit(None).cast("long")).withColumn("_kind", F.lit(1)).unionByName(entries.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    schema = T.StructType([*df.schema.fields, T.StructField("window_start", T.LongType()), T.StructField("window_end", T.LongType())])
+    size = len(df.columns)
+    time, entry, kind = (both.columns.index(c) for c in (at, "_entry", "_kind"))
 
-    return df.dropna(subset=[*keys, at]).repartition(*keys).sortWithinPartitions(*keys, at, tie).mapInArrow(run, schema)
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = None
+        for batch in batches:
+            starts = np.empty(batch.num_rows, np.int64)
+            for i, (k, e, t) in enumerate(zip(batch.column(kind).to_pylist(), batch.column(entry).to_pylist(), batch.column(time).to_pylist(), strict=True)):
+                if k == 0:
+                    end = e
+                    continue
+                if end is None or t > end:
+                    end = t + width
+                starts[i] = end - width
+            keep = pc.equal(batch.column(kind), 1)
+            begin = pa.array(starts).filter(keep)
+            yield pa.RecordBatch.from_arrays([*(c.filter(keep) for c in batch.columns[:size]), begin, pc.add(begin, width)], schema.names)
+
+    # every group begins with its entry, so rows need no comparison of keys
+    return both.repartition(*group).sortWithinPartitions(*group, "_kind", at, tie).mapInArrow(place, schema)
 
 
 def epoch_window(df: DataFrame, window_ms: int, at: str = "us") -> DataFrame:
@@ -140,10 +240,10 @@ def epoch_window(df: DataFrame, window_ms: int, at: str = "us") -> DataFrame:
     return df.withColumns({"window_start": start, "window_end": start + window_ms * 1000})
 
 
-def running_in_window(df: DataFrame, keys: list[str], measures: dict[str, Column], at: str = "us", tie: str = "transaction_no") -> DataFrame:
+def running_in_window(df: DataFrame, keys: list[str], measures: dict[str, Column], at: str = "us", tie: str = "transaction_no", span_ms: int = SPAN_MS) -> DataFrame:
     """df with running sums within each fixed window."""
-    frame = Window.partitionBy(*keys, "window_start").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({m: F.sum(F.coalesce(c, F.lit(0))).over(frame) for m, c in measures.items()})
+    valued = df.withColumns({m: F.coalesce(c, F.lit(0)) for m, c in measures.items()})
+    return _running(valued, [*keys, "window_start"], [at, tie], at, list(measures), span_ms * 1000)
 
 
 def window_long_form(df: DataFrame, windows: dict[str, int], measures: list[str]) -> DataFrame:

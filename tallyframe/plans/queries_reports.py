@@ -83,14 +83,14 @@ CARD_RULES = [r for r in Q.ALERTS if r.title in ("busy-day", "large-week")]
 
 def stream_alert_sets(spark, sf):
     """Alert sets of a stream's cards, apart from its answers; transactions during a deployment skip rules and state."""
-    open_, _ = jobs.gated(read_transactions(spark, sf, streaming=True), releases(spark, sf), 2**62)
+    open_, _ = jobs.gated(read_transactions(spark, sf, streaming=True), releases(spark, sf))
     _, alerts = jobs.answered(jobs.alerted(open_, "Card", "card_id", CARD_RULES))
     return alerts.select("transaction_no", "score", A.titles(F.col("alerts")).alias("alerts"))
 
 
 def stream_gate(spark, sf):
     """Answers to the transactions that a deployment postpones."""
-    _, postponed = jobs.gated(read_transactions(spark, sf, streaming=True), releases(spark, sf), 2**62)
+    _, postponed = jobs.gated(read_transactions(spark, sf, streaming=True), releases(spark, sf))
     return jobs.drained(postponed, "append")
 
 

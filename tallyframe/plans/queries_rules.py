@@ -60,25 +60,29 @@ def subjects_in_use(spark, sf):
     return R.subjects_in_use(rules(spark, sf))
 
 
-def _fanned(spark, sf):
-    return state.fan_out(read_transactions(spark, sf), {"pair": ["card_id", "merchant"]})
+def _windows(spark, sf):
+    """How many windows rules have for each subject, sliding and fixed ones, and the longest; custom subjects go by the name of their group of parts."""
+    found = R.rule_windows(rules(spark, sf)).withColumn("subject", F.initcap(F.split_part("rule_class", F.lit("-"), F.lit(1))))
+    return found.groupBy("subject", F.coalesce("custom_subject", F.lit("")).alias("custom_subject")).agg(F.count(F.lit(1)).alias("n_windows"), F.max("window_ms").alias("longest_ms"))
 
 
-def _windows(spark, sf):
-    """The sliding windows of plain subjects, a day or longer, from the rules table."""
-    return R.rule_windows(rules(spark, sf)).filter(f"rule_class in ('card-sliding', 'merchant-sliding') and window_ms >= {DAY}").select(F.initcap(F.split_part("rule_class", F.lit("-"), F.lit(1))).alias("subject"), "window_ms")
+#: Custom subjects by the names that the rules table uses for some of them; the last has no rules.
+CUSTOM_NAMES = ["large", "economy", "no such type"]
+
+
+def _fanned(spark, sf):
+    fanned = state.fan_out(read_transactions(spark, sf), {name: ["card_id", "merchant"] for name in CUSTOM_NAMES})
+    return fanned.select("transaction_no", "subject", F.coalesce("custom_subject", F.lit("")).alias("custom_subject"))
 
 
 def txn_rule_windows(spark, sf):
-    """Transactions with each rule window of their subjects, as counts by transaction."""
-    met = _fanned(spark, sf).join(_windows(spark, sf), "subject")
-    return met.groupBy("transaction_no", "subject").agg(F.count(F.lit(1)).alias("n_windows"), F.max("window_ms").alias("longest_ms"))
+    """The rule windows of each transaction's subjects: their number and the longest. Windows are counted by subject before they meet transactions."""
+    return _fanned(spark, sf).join(_windows(spark, sf), ["subject", "custom_subject"]).select("transaction_no", "subject", "custom_subject", "n_windows", "longest_ms")
 
 
 def no_rule_transactions(spark, sf):
     """Subjects of transactions that no rule window is about."""
-    return _fanned(spark, sf).join(_windows(spark, sf), "subject", "left_anti").select("transaction_no", "subject", F.lit("NO_ALERT").alias("alert_status"), F.lit(0.0).alias("score"))
-
+    return _fanned(spark, sf).join(_windows(spark, sf), ["subject", "custom_subject"], "left_anti").select("transaction_no", "subject", "custom_subject", F.lit("NO_ALERT").alias("alert_status"), F.lit(0.0).alias("score"))
 
 
 def active_ruleset(spark, sf):
@@ -88,9 +92,9 @@ def active_ruleset(spark, sf):
 
 
 def releases(spark, sf):
-    """Deployments that run while the events do: every 50th event starts one of two to eleven minutes."""
-    e = read_transactions(spark, sf).filter("transaction_no % 50 = 0")
-    return e.select(F.col("us").alias("started_us"), (F.col("us") + (F.col("transaction_no") % 10 + 2) * 60_000_000).alias("ended_us"), F.col("us").alias("from_us"), F.concat(F.lit("v"), F.col("transaction_no").cast("string")).alias("version"))
+    """Deployments that run while the events do: each card's largest transaction starts one of two to eleven minutes."""
+    largest = read_transactions(spark, sf).groupBy("card_id").agg(F.max(F.struct("amount", "us", "transaction_no")).alias("e")).select("e.*")
+    return largest.select(F.col("us").alias("started_us"), (F.col("us") + (F.col("transaction_no") % 10 + 2) * 60_000_000).alias("ended_us"), F.col("us").alias("from_us"), F.concat(F.lit("v"), F.col("transaction_no").cast("string")).alias("version"))
 
 
 def deployment_gate(spark, sf):
@@ -102,9 +106,9 @@ def ruleset_asof(spark, sf):
     return gate.ruleset_asof(read_transactions(spark, sf).select("transaction_no", "us"), late).select("transaction_no", "version")
 
 
-RELEASES = "d AS (SELECT us AS started_us, us + (transaction_no % 10 + 2) * 60000000 AS ended_us, 'v' || transaction_no AS version FROM t WHERE transaction_no % 50 = 0)"
-WINDOWS_SQL = f"w AS (SELECT DISTINCT CASE rule_class WHEN 'card-sliding' THEN 'Card' ELSE 'Merchant' END AS subject, window_ms FROM k WHERE rule_class IN ('card-sliding', 'merchant-sliding') AND window_ms >= {DAY})"
-FAN = "f AS (SELECT transaction_no, 'Card' AS subject FROM t UNION ALL SELECT transaction_no, 'Merchant' FROM t UNION ALL SELECT transaction_no, 'Custom' FROM t)"
+RELEASES = "d AS (SELECT us AS started_us, us + (transaction_no % 10 + 2) * 60000000 AS ended_us, 'v' || transaction_no AS version FROM (SELECT us, transaction_no, row_number() OVER (PARTITION BY card_id ORDER BY amount DESC, us DESC, transaction_no DESC) AS rn FROM t) WHERE rn = 1)"
+WINDOWS_SQL = "w AS (SELECT subject, custom_subject, count(*) AS n_windows, max(window_ms) AS longest_ms FROM (SELECT DISTINCT subject_class AS subject, rule_class, coalesce(lower(custom_subject), '') AS custom_subject, window_ms FROM k WHERE subject_class IS NOT NULL) GROUP BY 1, 2)"
+FAN = "f AS (SELECT transaction_no, 'Card' AS subject, '' AS custom_subject FROM t UNION ALL SELECT transaction_no, 'Merchant', '' FROM t UNION ALL SELECT transaction_no, 'Custom', unnest([" + ", ".join(f"'{name}'" for name in CUSTOM_NAMES) + "]) FROM t)"
 
 TABLE = {
     "src_rules": (src_rules, f"WITH {R_SQL} SELECT rule_title, rule_type, subject, time_frame, unit_ms, fixed_window FROM r WHERE ruleset = 'rs3' AND version = '1.1'"),
@@ -116,8 +120,8 @@ TABLE = {
     "rule_groups_by_window": (rule_groups_by_window, f"WITH {R_SQL}, g AS (SELECT *, regexp_replace(coalesce(rule_group, 'MAIN'), '[^A-Za-z0-9_]', '_', 'g') AS g FROM k WHERE subject_class IS NOT NULL) SELECT rule_class, coalesce(lower(custom_subject), '') AS custom_subject, window_ms, string_agg(DISTINCT g, ',' ORDER BY g) AS groups, count(DISTINCT g) AS n_groups FROM g GROUP BY 1, 2, 3"),
     "subject_summary": (subject_summary, f"WITH {R_SQL} SELECT rule_class, count(DISTINCT window_ms) AS n_windows, count(*) AS n_rules FROM k WHERE subject_class IS NOT NULL GROUP BY 1"),
     "subjects_in_use": (subjects_in_use, f"WITH {R_SQL} SELECT DISTINCT CASE WHEN subject_class = 'Custom' THEN lower(custom_subject) ELSE subject_class END AS subject FROM k WHERE subject_class IS NOT NULL"),
-    "txn_rule_windows": (txn_rule_windows, f"WITH {T}, {R_SQL}, {WINDOWS_SQL}, {FAN} SELECT transaction_no, subject, count(*) AS n_windows, max(window_ms) AS longest_ms FROM f JOIN w USING (subject) GROUP BY 1, 2"),
-    "no_rule_transactions": (no_rule_transactions, f"WITH {T}, {R_SQL}, {WINDOWS_SQL}, {FAN} SELECT transaction_no, subject, 'NO_ALERT' AS alert_status, 0.0::DOUBLE AS score FROM f WHERE subject NOT IN (SELECT subject FROM w)"),
+    "txn_rule_windows": (txn_rule_windows, f"WITH {T}, {R_SQL}, {WINDOWS_SQL}, {FAN} SELECT transaction_no, subject, custom_subject, n_windows, longest_ms FROM f JOIN w USING (subject, custom_subject)"),
+    "no_rule_transactions": (no_rule_transactions, f"WITH {T}, {R_SQL}, {WINDOWS_SQL}, {FAN} SELECT transaction_no, subject, custom_subject, 'NO_ALERT' AS alert_status, 0.0::DOUBLE AS score FROM f ANTI JOIN w USING (subject, custom_subject)"),
     "active_ruleset": (active_ruleset, "SELECT o_orderpriority AS ruleset, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS requested, arg_max(o_orderkey, (o_orderdate, o_orderkey)) FILTER (o_orderstatus = 'F') AS active FROM orders GROUP BY 1"),
     "deployment_gate": (deployment_gate, f"WITH {T}, {RELEASES}, x AS (SELECT transaction_no, EXISTS (SELECT 1 FROM d WHERE us >= started_us AND us < ended_us) AS i FROM t) SELECT transaction_no, CASE WHEN i THEN 'ALERT_UNAVAILABLE' END AS gate_status, CASE WHEN i THEN 'POSTPONE' END AS gate_action FROM x"),
     "ruleset_asof": (ruleset_asof, f"WITH {T}, {RELEASES} SELECT t.transaction_no, d.version FROM t ASOF LEFT JOIN d ON t.us >= d.ended_us"),

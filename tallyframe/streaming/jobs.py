@@ -50,9 +50,9 @@ def alerted(stream: DataFrame, subject: str, key: str, rules: list[Rule], record
     return with_status(named.select("transaction_no", alerts.alias("alerts")), sum(r.kind == "ALERT" for r in rules))
 
 
-def gated(stream: DataFrame, intervals: DataFrame, until: int) -> tuple[DataFrame, DataFrame]:
+def gated(stream: DataFrame, intervals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(transactions that go on, answers to those that a deployment postpones and that leave no trace in the state)."""
-    marked = deployment_gate(stream, intervals, until=until)
+    marked = deployment_gate(stream, intervals)
     postponed = marked.filter("gate_status is not null").select("transaction_no", F.col("gate_status").alias("alert_status"), F.col("gate_action").alias("action"))
     return marked.filter("gate_status is null").drop("gate_status", "gate_action"), postponed
 

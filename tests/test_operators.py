@@ -141,6 +141,49 @@ def test_gate_and_versions(spark):
     assert {r.ruleset: (r.requested, r.active) for r in gate.active_ruleset(deployed).collect()} == {"r": ("3", "2"), "q": ("1", None)}
 
 
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_gate_and_versions_on_a_hot_day(spark, monkeypatch, most):
+    monkeypatch.setattr(gate, "BROADCAST_POINTS", most)
+    r = random.Random(8)
+    times = [r.randrange(3 * 86_400 * S) if r.random() < 0.3 else 86_400 * S + r.randrange(50) for _ in range(400)]
+    rows = table(spark, [(i, "c", "m", 1.0, t) for i, t in enumerate(times)])
+    spans = [(a := r.choice([r.randrange(3 * 86_400 * S), 86_400 * S + r.randrange(50)]), r.choice([a + r.randrange(1, 10**9), a + r.randrange(1, 30), None if r.random() < 0.1 else a])) for _ in range(60)]
+    intervals = spark.createDataFrame(spans, "started_us long, ended_us long")
+    got = {x.transaction_no: x.inside for x in gate.in_intervals(rows, intervals).collect()}
+    assert got == {i: any(a <= t and (b is None or t < b) for a, b in spans) for i, t in enumerate(times)}
+    versions = spark.createDataFrame([(a, f"v{i:02}") for i, (a, _) in enumerate(spans)], "from_us long, version string")
+    got = {x.transaction_no: x.version for x in gate.ruleset_asof(rows, versions).collect()}
+    assert got == {i: max(((a, f"v{k:02}") for k, (a, _) in enumerate(spans) if a <= t), default=(0, None))[1] for i, t in enumerate(times)}
+    plan = gate.in_intervals(rows.drop("ts"), intervals)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transaction_no#") and plan.count("Union") == 0
+    assert gate.in_intervals(rows, intervals.limit(0)).filter("inside").count() == 0
+
+
+@pytest.mark.parametrize(("seed", "span_windows"), [(1, 1), (2, 3), (3, 8)])
+def test_fixed_windows_equal_a_walk(spark, seed, span_windows):
+    r = random.Random(seed)
+    rows = [(i, r.choice("abc"), "m", 1.0, (r.randrange(4000) if r.random() < 0.8 else r.randrange(40_000)) * 1000 - 500_000) for i in range(700)]
+    want, now = {}, {}
+    for no, key, _, _, us in sorted(rows, key=lambda x: (x[4], x[0])):
+        if key not in now or us > now[key] + 100_000:
+            now[key] = us
+        want[no] = now[key]
+    got = W.anchored_window(table(spark, rows), ["card_id"], 100, span_windows=span_windows).collect()
+    assert {x.transaction_no: x.window_start for x in got} == want and all(x.window_end == x.window_start + 100_000 for x in got)
+
+
+def test_exact_quantiles(spark):
+    r = random.Random(4)
+    for values in ([r.lognormvariate(0, 8) for _ in range(500)], [1e-300, 5.0, 1e300], [float(r.randrange(3)) for _ in range(100)], [-2.5], []):
+        got = metrics.summary(spark.createDataFrame([(v,) for v in values], "v double"), F.when(F.abs("v") < 1e17, F.col("v")), "x").first()
+        kept = sorted(v for v in values if abs(v) < 1e17)
+        assert got.x_count == len(kept)
+        for q, x in ((0.5, got.x_p50), (0.95, got.x_p95), (0.99, got.x_p99)):
+            at = (len(kept) - 1) * q
+            want = kept[int(at)] + (kept[min(int(at) + 1, len(kept) - 1)] - kept[int(at)]) * (at - int(at)) if kept else None
+            assert x == (None if want is None else pytest.approx(want, rel=1e-9, abs=1e-6))
+
+
 def test_durations_and_keys(spark):
     df = spark.createDataFrame([(604_800_000,), (43_200_000,), (90_000,), (250,), (0,), (None,)], "ms long")
     assert [r[0] for r in df.select(C.human_duration(F.col("ms"))).collect()] == ["7d", "12h", "90s", "250ms", "0ms", None]
@@ -217,7 +260,7 @@ def test_gated_answers_and_alert_sets(spark, tmp_path):
     parts = batches(4)
     gates = spark.createDataFrame([(10 * S, 40 * S)], "started_us long, ended_us long")
     rules = [R.Rule("busy", "ALERT", "Card", 10_000, condition_sql="tx.count >= 4")]
-    open_, postponed = jobs.gated(stream(spark, tmp_path, parts), gates, 2**62)
+    open_, postponed = jobs.gated(stream(spark, tmp_path, parts), gates)
     answers, sets = jobs.answered(jobs.alerted(open_, "Card", "card_id", rules))
     rows = [x for p in parts for x in p]
     outside = [x for x in rows if not 10 * S <= x[4] < 40 * S]
