@@ -552,7 +552,7 @@ def test_tool_calls_with_other_columns_and_numbers(spark):
     names = ["errors", "round", "place", "answer", "found", "n_repeats", "_held", "spread", "reach", "at"]
     wide = [t.select("*", *(F.lit(c).alias(c) for c in names if c not in t.columns)) for t in (calls, results, schemas)]
     got = {x.call_id: x for x in chat.link_tool_calls(*wide).collect()}
-    assert got["a"].canonical_json == '{"arguments":{"v":"1.0, \\\\\\" 2.0","w":[1000,2.5,1.0E10],"x":1},"depends_on":["b"],"id":"a","name":"add","result":"1.0"}'
+    assert got["a"].canonical_json == '{"arguments":{"v":"1.0, \\\\\\" 2.0","w":[1000,2.5,1E10],"x":1},"depends_on":["b"],"id":"a","name":"add","result":"1.0"}'
     assert (got["a"].position, got["a"].place, got["a"].round, got["b"].round, got["a"].linked) == (-1, -1, 2, 1, True)
     assert got["a"].errors == ["unexpected v", "unexpected w"] and got["b"].valid
 
