@@ -1,14 +1,20 @@
 """Rules as data: routing, windows, groups, checks, and their compilation to columns.
 
-A rules table has the fields of ``RULE_FIELDS``. A ``Rule`` also holds the expressions
-that are evaluated: COMPUTE rules keep a named record (count, amount) over their window,
-ALERT rules are predicates over the transaction and the records of their subject and
-window, where ``name.count``, ``name.amount`` and ``global.name.count`` stand for indicators.
+A rules table has the fields of ``RULE_FIELDS``, and ``from_table`` makes a ``Rule`` of each
+of its rows. COMPUTE rules keep a named record over their window: a count, an amount, sums of named values, a list and
+a set of arguments, and a last value. ALERT rules are predicates over the transaction and the records of their
+subject and window, where ``name.count``, ``name.amount``, ``name.values.x``, ``name.list``,
+``name.set`` and ``name.last`` stand for indicators and ``global.name.count`` for those without end.
+
+A rule that fails on a row (a division by zero, a cast of what is no number) must not stop the others: expressions are
+analysed by ``lenient``, where such an error gives null, and ``failures`` tells which rules had no result.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +41,9 @@ class Rule:
     filter_sql: str = "true"
     amount_sql: str | None = None
     scope: str = "window"
+    value_sqls: tuple[tuple[str, str], ...] = ()
+    arg_sql: str | None = None
+    last_sql: str | None = None
     condition_sql: str | None = None
     message: str | None = None
     action: str | None = None
@@ -88,7 +97,22 @@ def subjects_in_use(rules: DataFrame) -> DataFrame:
 
 # Compilation.
 
-_NAMES = re.compile(r"\b(global\.)?([A-Za-z_]\w*)\.(count|amount)\b")
+_NAMES = re.compile(r"\b(global\.)?([A-Za-z_]\w*)\.(count|amount|list|set|last|values\.(\w+))\b")
+#: Of named values; six places are kept in their sums.
+VALUE = "decimal(18,6)"
+#: Rules of one version that come to the driver to be compiled; more of them are an error.
+MOST_RULES = 10_000
+
+
+@contextmanager
+def lenient(spark: SparkSession) -> Iterator[None]:
+    """Expressions analysed within give null where they would fail on a row; they keep that when the plan runs."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
 
 
 def part_name(subject: str, custom: str | None, window: int | None, fixed: bool) -> str:
@@ -97,7 +121,12 @@ def part_name(subject: str, custom: str | None, window: int | None, fixed: bool)
 
 def indicator(rule: Rule, record: str, measure: str, world: bool = False) -> str:
     """The column that holds a record's measure for a rule's subject and window."""
-    return f"{record}_{measure}_{part_name(rule.subject, rule.custom_subject, None if world else rule.window_ms, rule.fixed and not world)}"
+    return f"{record}_{measure.replace('values.', 'value_')}_{part_name(rule.subject, rule.custom_subject, None if world else rule.window_ms, rule.fixed and not world)}"
+
+
+def columns_used(rule: Rule) -> dict[str, str]:
+    """The indicators that an ALERT rule's condition names: column to record and measure."""
+    return {indicator(rule, m[2], m[3], bool(m[1])): f"{m[2]}.{m[3]}" for m in _NAMES.finditer(rule.condition_sql)}
 
 
 def predicate(rule: Rule) -> Column:
@@ -106,25 +135,57 @@ def predicate(rule: Rule) -> Column:
 
 
 def measures(rule: Rule) -> dict[str, Column]:
-    """What a row adds to a COMPUTE rule's record."""
+    """What a row adds to the sums of a COMPUTE rule's record."""
     chosen = F.coalesce(F.expr(rule.filter_sql), F.lit(False))
     out = {f"{rule.record}_count": F.when(chosen, F.lit(1)).otherwise(F.lit(0)).cast("long")}
     if rule.amount_sql:
         out[f"{rule.record}_amount"] = F.when(chosen, F.expr(rule.amount_sql).cast(MONEY))
+    for name, sql in rule.value_sqls:
+        out[f"{rule.record}_value_{name}"] = F.when(chosen, F.expr(sql).cast(VALUE))
     return out
 
 
+def held_value(rule: Rule, sql: str) -> Column:
+    """What a row brings to the list, set or last value of a COMPUTE rule's record, as text; null brings nothing."""
+    return F.when(F.coalesce(F.expr(rule.filter_sql), F.lit(False)), F.expr(sql).cast("string"))
+
+
+def in_group(rules: list[Rule], group: str | None) -> list[Rule]:
+    """The rules that are evaluated for a group: its ALERT rules (null: those of every group) and all COMPUTE rules."""
+    return [r for r in rules if group is None or r.kind == "COMPUTE" or (r.group or MAIN_GROUP) == group]
+
+
+def failures(rules: list[Rule], columns: list[str]) -> Column:
+    """Titles of the rules that gave no result on a row although all that they read is set. columns: those of the transactions."""
+    made = []
+    for r in rules:
+        for sql, value in [(r.condition_sql, predicate(r))] if r.kind == "ALERT" else [(x, F.expr(x)) for x in (r.filter_sql, r.amount_sql, *(v for _, v in r.value_sqls)) if x]:
+            words = set(re.findall(r"\w+", _NAMES.sub(" ", sql)))
+            read = [c for c in columns if c in words] + (list(columns_used(r)) if r.kind == "ALERT" else [])
+            failed = value.isNull()
+            for c in read:
+                failed = failed & F.col(f"`{c}`").isNotNull()
+            made.append(F.when(failed, F.lit(r.title)))
+    return F.array_distinct(F.array_compact(F.array(*made))) if made else F.array().cast("array<string>")
+
+
 def check(rules: list[Rule], example: DataFrame) -> dict[str, str]:
     """Titles of rules that can't be evaluated on rows like example, with the reason; run when rules are loaded."""
     bad = {}
-    names = {f"{r.record}_{m}": k for r in rules if r.kind == "COMPUTE" for m, k in (("count", "long"), ("amount", MONEY))}
+    names: dict[str, str] = {}
+    for r in rules:
+        if r.kind == "COMPUTE":
+            names |= {f"{r.record}.count": "long", f"{r.record}.amount": MONEY, f"{r.record}.list": "array<string>", f"{r.record}.set": "array<string>", f"{r.record}.last": "string"}
+            names |= {f"{r.record}.values.{n}": VALUE for n, _ in r.value_sqls}
     for r in rules:
         try:
             if r.kind == "COMPUTE":
-                example.limit(0).select(*measures(r).values()).schema  # noqa: B018
+                example.limit(0).select(*measures(r).values(), *(held_value(r, x) for x in (r.arg_sql, r.last_sql) if x)).schema  # noqa: B018
+                if r.arg_sql and (r.fixed or r.scope == "global"):
+                    bad[r.title] = "lists and sets are kept in sliding windows only"
             else:
-                used = {indicator(r, m[2], m[3], bool(m[1])): names[f"{m[2]}_{m[3]}"] for m in _NAMES.finditer(r.condition_sql)}
-                kind = example.limit(0).withColumns({c: F.lit(0).cast(t) for c, t in used.items()}).select(predicate(r)).schema[0].dataType.simpleString()
+                used = {c: names[n] for c, n in columns_used(r).items()}
+                kind = example.limit(0).withColumns({c: F.lit(None).cast(t) for c, t in used.items()}).select(predicate(r)).schema[0].dataType.simpleString()
                 if kind != "boolean":
                     bad[r.title] = f"its condition is {kind}"
         except KeyError as e:
@@ -134,7 +195,22 @@ def check(rules: list[Rule], example: DataFrame) -> dict[str, str]:
     return bad
 
 
+def from_table(rules: DataFrame, most: int = MOST_RULES) -> list[Rule]:
+    """The rules of a table as read_rules gives it, by title; those with an unknown subject are left out. Rules are few: more than ``most`` are an error."""
+    rows = classify(rules).filter("subject_class is not null").orderBy("rule_title").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    return [
+        Rule(
+            x.rule_title, x.rule_type, x.subject_class, x.window_ms, bool(x.fixed_window), x.custom_subject, x.rule_group, x.record, x.filter_sql or "true", x.amount_sql, x.scope or "window",
+            tuple(sorted((x.value_sqls or {}).items())), x.arg_sql, x.last_sql, x.condition_sql, x.message, x.action,
+        )
+        for x in rows
+    ]
+
+
 def as_table(spark: SparkSession, rules: list[Rule], ruleset: str, version: str) -> DataFrame:
     from ..sources.transactions import RULE_FIELDS
 
-    return spark.createDataFrame([(ruleset, version, r.title, r.group, r.kind, r.subject, r.custom_subject, r.window_ms, 1, r.fixed) for r in rules], RULE_FIELDS)
+    rows = [(ruleset, version, r.title, r.group, r.kind, r.subject, r.custom_subject, r.window_ms, 1, r.fixed, r.record, r.scope, r.filter_sql, r.amount_sql, dict(r.value_sqls), r.arg_sql, r.last_sql, r.condition_sql, r.message, r.action) for r in rules]
+    return spark.createDataFrame(rows, RULE_FIELDS)

@@ -12,7 +12,7 @@ def fan_out(df: DataFrame, custom: dict[str, list[str]] | None = None) -> DataFr
     """One row for each subject of a transaction (subject, custom_subject, key); null keys give none."""
     kinds = [F.struct(F.lit("Card").alias("subject"), F.lit(None).cast("string").alias("custom_subject"), F.col("card_id").cast("string").alias("key")), F.struct(F.lit("Merchant").alias("subject"), F.lit(None).cast("string").alias("custom_subject"), F.col("merchant").cast("string").alias("key"))]
     for name, columns in (custom or {}).items():
-        kinds.append(F.struct(F.lit("Custom").alias("subject"), F.lit(name).alias("custom_subject"), composite_key(*(F.col(c).cast("string") for c in columns)).alias("key")))
+        kinds.append(F.struct(F.lit("Custom").alias("subject"), F.lit(name).alias("custom_subject"), composite_key(*(F.expr(c).cast("string") for c in columns)).alias("key")))
     return df.select("*", F.explode(F.array(*kinds)).alias("_s")).select("*", "_s.*").drop("_s").filter("key is not null")
 
 

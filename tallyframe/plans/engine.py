@@ -6,6 +6,7 @@ of all its windows; subjects follow one another on the same rows without a join.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
@@ -13,13 +14,17 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import composite_key
 from ..operators.alerts import alert_array, union_alerts, with_status
-from ..operators.rules import Rule, measures, part_name
-from ..operators.windows import anchored_window, global_record, running_in_window, sliding_sums
+from ..operators.rules import Rule, failures, held_value, in_group, lenient, measures, part_name
+from ..operators.windows import anchored_window, global_record, running_in_window, sliding_last, sliding_list, sliding_sums
+
+#: Rows of a look-up table that is sent to every task; a larger one is met by a shuffle.
+LOOKUP_ROWS = 100_000
 
 
 def subject_keys(rules: list[Rule], custom: dict[str, list[str]]) -> dict[str, Column]:
-    """The key of each subject that rules use, by lower-case name; a null part makes a null key."""
+    """The key of each subject that rules use, by lower-case name; a null part makes a null key. custom: SQL expressions of a key's parts."""
     keys = {}
+    parts = {name.lower(): columns for name, columns in custom.items()}
     for r in rules:
         name = (r.custom_subject or r.subject).lower()
         if r.subject == "Card":
@@ -27,20 +32,38 @@ def subject_keys(rules: list[Rule], custom: dict[str, list[str]]) -> dict[str, C
         elif r.subject == "Merchant":
             keys[name] = F.col("merchant")
         else:
-            keys[name] = composite_key(*(F.col(c) for c in custom[r.custom_subject]))
+            keys[name] = composite_key(*(F.expr(c) for c in parts[name]))
     return keys
 
 
+def with_lookups(df: DataFrame, lookups: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """df with the columns ``name_column`` of each look-up table for use in rules. lookups: name to (table, its key column, SQL of the key in df).
+
+    One row of a key counts, the least; a table of up to LOOKUP_ROWS rows is sent to every task.
+    """
+    for name, (table, key, sql) in lookups.items():
+        others = [c for c in table.columns if c != key]
+        one = table.dropna(subset=[key]).groupBy(F.col(key).alias(f"_{name}")).agg(F.min(F.struct(*others)).alias("_row")).select(f"_{name}", *(F.col(f"_row.{c}").alias(f"{name}_{c}") for c in others))
+        with lenient(df.sparkSession):
+            keyed = df.withColumn(f"_{name}", F.expr(sql).cast(table.schema[key].dataType))
+        df = keyed.join(F.broadcast(one) if table.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS else one, f"_{name}", "left").drop(f"_{name}")
+    return df
+
+
 def with_indicators(df: DataFrame, rules: list[Rule], custom: dict[str, list[str]] | None = None) -> DataFrame:
     """df with a column for each measure of each COMPUTE rule over its window, and of global records.
 
     A row whose key is null for a subject gets a key of its own there, so that it stays and loads no task.
     """
-    compute = [r for r in rules if r.kind == "COMPUTE"]
-    keys = subject_keys(compute, custom or {})
+    with lenient(df.sparkSession):
+        return _with_indicators(df, [r for r in rules if r.kind == "COMPUTE"], custom or {})
+
+
+def _with_indicators(df: DataFrame, compute: list[Rule], custom: dict[str, list[str]]) -> DataFrame:
+    keys = subject_keys(compute, custom)
     by_subject: dict[tuple, list[Rule]] = defaultdict(list)
     for r in compute:
-        by_subject[(r.subject, r.custom_subject)].append(r)
+        by_subject[(r.subject, (r.custom_subject or "").lower() or None)].append(r)
     alone = F.concat(F.lit("\0"), F.col("transaction_no").cast("string"))
     df = source = df.withColumns({f"_key_{name}": F.coalesce(key.cast("string"), alone) for name, key in keys.items()})
     for (subject, name), own in by_subject.items():
@@ -56,22 +79,50 @@ def with_indicators(df: DataFrame, rules: list[Rule], custom: dict[str, list[str
             shared = [m for m, w in sliding.items() if tuple(sorted(w.items())) == group]
             df = sliding_sums(df, [key], dict(group), {m: adds[m] for m in shared}, source=source)
         for r in own:
+            part = part_name(subject, name, None if r.scope == "global" else r.window_ms, r.fixed)
             if r.scope == "global":
-                df = global_record(df, [key], {f"{m}_{part_name(subject, name, None, False)}": c for m, c in measures(r).items()}, source=source)
+                df = global_record(df, [key], {f"{m}_{part}": c for m, c in measures(r).items()}, source=source)
             elif r.fixed:
-                part = part_name(subject, name, r.window_ms, True)
                 df = running_in_window(anchored_window(df, [key], r.window_ms), [key], {f"{m}_{part}": c for m, c in measures(r).items()}).drop("window_start", "window_end")
+            if r.last_sql and not r.fixed:
+                df = sliding_last(df, [key], {f"{r.record}_last_{part}": held_value(r, r.last_sql)}, None if r.scope == "global" else r.window_ms)
+            if r.arg_sql and r.scope == "window" and not r.fixed:
+                df = sliding_list(df.withColumn("_arg", held_value(r, r.arg_sql)), [key], "_arg", r.window_ms, f"{r.record}_list_{part}").drop("_arg")
+                df = df.withColumn(f"{r.record}_set_{part}", F.array_distinct(f"{r.record}_list_{part}"))
     return df
 
 
-def check_transactions(df: DataFrame, rules: list[Rule], custom: dict[str, list[str]] | None = None) -> DataFrame:
-    """transaction_no, card_id, merchant, ts, us, alerts, alert_status and score of each transaction."""
+def evaluated(rows: DataFrame, rules: list[Rule], custom: dict[str, list[str]], columns: list[str]) -> DataFrame:
+    """rows, which have the rules' indicators, with ``alerts`` of all subjects and ``rule_errors``: the titles of rules and names of custom subjects that failed there.
+
+    A subject whose key fails, or a rule that does, drops out; the others count. columns: those of the transactions.
+    """
     alerting = [r for r in rules if r.kind == "ALERT"]
-    keys = subject_keys(rules, custom or {})
-    rows = with_indicators(df, rules, custom)
+    keys = subject_keys(rules, custom)
     parts = []
     for name in dict.fromkeys((r.custom_subject or r.subject).lower() for r in alerting):
         own = [r for r in alerting if (r.custom_subject or r.subject).lower() == name]
         parts.append(F.when(keys[name].isNotNull(), alert_array(own, keys)))
     alerts = union_alerts(*parts) if parts else alert_array([], {})
-    return with_status(rows.select("transaction_no", "card_id", "merchant", "amount", "ts", "us", alerts.alias("alerts")), len(alerting))
+    lost = []
+    for name in custom:
+        if name.lower() in keys:
+            read = [c for c in columns if any(c in re.findall(r"\w+", x) for x in custom[name])]
+            failed = keys[name.lower()].isNull()
+            for c in read:
+                failed = failed & F.col(f"`{c}`").isNotNull()
+            lost.append(F.when(failed, F.lit(name)))
+    errors = F.concat(failures(rules, columns), F.array_compact(F.array(*lost))) if lost else failures(rules, columns)
+    with lenient(rows.sparkSession):
+        return rows.withColumns({"alerts": alerts, "rule_errors": errors})
+
+
+def check_transactions(df: DataFrame, rules: list[Rule], custom: dict[str, list[str]] | None = None, group: str | None = None, lookups: dict[str, tuple[DataFrame, str, str]] | None = None) -> DataFrame:
+    """transaction_no, card_id, merchant, amount, ts, us, alerts, rule_errors, alert_status and score of each transaction.
+
+    group: only that group's ALERT rules are evaluated, and the score is out of their number.
+    """
+    rules = in_group(rules, group)
+    df = with_lookups(df, lookups or {})
+    rows = evaluated(with_indicators(df, rules, custom), rules, custom or {}, df.columns)
+    return with_status(rows.select("transaction_no", "card_id", "merchant", "amount", "ts", "us", "alerts", "rule_errors"), sum(r.kind == "ALERT" for r in rules))

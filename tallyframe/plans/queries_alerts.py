@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import alerts as A, state, windows as W
-from ..operators.rules import Rule, check
-from ..sources.transactions import read_transactions
+from ..operators.rules import Rule, as_table, check, from_table
+from ..sources.transactions import read_rules, read_transactions, table
 from . import engine
 from .queries_windows import ANCHORED, DAY, HOUR, MONEY, T, WEEK, _frame
 
@@ -80,13 +80,55 @@ def merge_alerts(spark, sf):
     return out.select("transaction_no", "alert_status", "score", A.titles(F.col("alerts")).alias("alerts"))
 
 
+BROKEN = [Rule("typo", "ALERT", "Card", DAY, condition_sql="amuont > 1"), Rule("lost", "ALERT", "Card", DAY, condition_sql="other.count > 1"), Rule("number", "ALERT", "Card", DAY, condition_sql="amount + 1")]
+
+
 def rule_check(spark, sf):
-    """How many transactions each rule that passes its check is evaluated on; rules that fail are reported with none."""
+    """How many transactions each ALERT rule that passes its check alerts; rules that fail it are reported and left out."""
     df = read_transactions(spark, sf)
-    bad = check([*COMPUTE, *ALERTS, Rule("typo", "ALERT", "Card", DAY, condition_sql="amuont > 1"), Rule("lost", "ALERT", "Card", DAY, condition_sql="other.count > 1"), Rule("number", "ALERT", "Card", DAY, condition_sql="amount + 1")], df)
-    all_rules = [*COMPUTE, *ALERTS]
-    good = F.array(*(F.struct(F.lit(r.title).alias("title"), F.lit(r.title not in bad).alias("valid")) for r in all_rules), *(F.struct(F.lit(t).alias("title"), F.lit(False).alias("valid")) for t in ("typo", "lost", "number")))
-    return df.select(F.explode(good).alias("r"), "card_id").groupBy("r.title", "r.valid").agg(F.count(F.when(F.col("r.valid"), F.lit(1))).alias("n"))
+    bad = check([*COMPUTE, *ALERTS, *BROKEN], df)
+    good = [r for r in (*COMPUTE, *ALERTS, *BROKEN) if r.title not in bad]
+    n = A.by_rule(engine.check_transactions(df, good, CUSTOM)).select(F.col("rule_title").alias("title"), F.lit(True).alias("valid"), "n_alerts")
+    return n.unionByName(spark.createDataFrame([(t, False, 0) for t in bad], n.schema))
+
+
+#: Rules that fail on some rows: by a division, by a cast, by the key of their subject; and one of each kind of record.
+FAILING = [
+    Rule("card-week", "COMPUTE", "Card", WEEK, record="tx", amount_sql="amount"),
+    Rule("odd-cast", "COMPUTE", "Card", WEEK, record="odd", filter_sql="cast(merchant as int) > 0"),
+    Rule("split", "ALERT", "Card", WEEK, condition_sql="amount / (tx.count - 1) > 5"),
+    Rule("cast", "ALERT", "Card", WEEK, condition_sql="cast(argument as int) % (cast(argument as int) - 50) = 3"),
+    Rule("busy", "ALERT", "Card", WEEK, condition_sql="tx.count >= 4"),
+    Rule("band", "COMPUTE", "Custom", WEEK, custom_subject="band", record="tx"),
+    Rule("same-band", "ALERT", "Custom", WEEK, custom_subject="band", condition_sql="tx.count >= 20"),
+]
+BAND = {"band": ["merchant", "100 div (cast(argument as int) - 50)"]}
+
+
+def failing_rules(spark, sf):
+    """Rules and subjects that fail on a transaction are reported, and the others still alert."""
+    out = engine.check_transactions(read_transactions(spark, sf), FAILING, BAND)
+    return out.select("transaction_no", A.titles(F.col("alerts")).alias("alerts"), "score", F.array_join(F.array_sort("rule_errors"), ",").alias("rule_errors"))
+
+
+RECORDS = [
+    Rule("kept", "COMPUTE", "Card", DAY, record="tx", amount_sql="amount", value_sqls=(("k", "cast(argument as int)"), ("share", "amount / 4")), arg_sql="merchant", last_sql="case when amount > 20 then merchant end"),
+    Rule("kept-all", "COMPUTE", "Card", None, record="tx", scope="global", last_sql="case when amount > 50 then argument end"),
+    Rule("values", "ALERT", "Card", DAY, condition_sql="tx.values.k > 150 and tx.values.share > 20", group="values"),
+    Rule("kinds", "ALERT", "Card", DAY, condition_sql="size(tx.set) >= 3 and size(tx.list) > size(tx.set)", group="lists"),
+    Rule("again", "ALERT", "Card", DAY, condition_sql="tx.last = merchant and tx.count > 2", group="lists"),
+    Rule("digits", "ALERT", "Card", DAY, condition_sql="global.tx.last = argument or customer_acctbal < 0", group="lists"),
+]
+
+
+def rules_from_table(spark, sf):
+    """Rules with named values, lists, sets and last values, read from a rules table; one group is evaluated, one rule reads a look-up table."""
+    held = as_table(spark, RECORDS, "records", "1").unionByName(as_table(spark, ALERTS, "records", "2"))
+    found = from_table(read_rules(held, "records", "1"))
+    customers = table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("acctbal"))
+    out = engine.check_transactions(read_transactions(spark, sf), found, group="lists", lookups={"customer": (customers, "c_custkey", "card_id")})
+    other = engine.check_transactions(read_transactions(spark, sf), found, group="values").select("transaction_no", F.size("alerts").alias("n_values"))
+    return out.join(other, "transaction_no").select("transaction_no", A.titles(F.col("alerts")).alias("alerts"), "score", "n_values")
 
 
 def _snapshot_rows(df):
@@ -109,8 +151,6 @@ def purge_state(spark, sf):
 
 def _requests(spark, sf):
     """A request for each customer's card: all windows, a day, a week or one that is not kept; some without subject."""
-    from ..sources.transactions import table
-
     frame = F.element_at(F.array(F.lit(None).cast("long"), F.lit(0).cast("long"), F.lit(DAY).cast("long"), F.lit(WEEK).cast("long"), F.lit(HOUR).cast("long")), (F.col("c_custkey") % 5 + 1).cast("int"))
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("request_id"), F.when(F.col("c_custkey") % 13 != 0, "Card").alias("subject"), F.lit(None).cast("string").alias("custom_subject"), F.col("c_custkey").cast("string").alias("key"), frame.alias("timeframe"))
 
@@ -144,7 +184,19 @@ TABLE = {
       SELECT transaction_no, CASE WHEN len(titles) > 0 THEN 'ALERT' ELSE 'NO_ALERT' END AS alert_status, len(titles) / 2.0::DOUBLE AS score, array_to_string(titles, ',') AS alerts FROM z"""),
     "compute_rules_eval": (compute_rules_eval, f"{SCORED} SELECT transaction_no, nd AS card_day, aw::DOUBLE AS card_week_amount, ng AS card_all, lh AS merchant_large FROM a"),
     "merge_alerts": (merge_alerts, f"{SCORED} SELECT transaction_no, CASE WHEN len(titles) > 0 THEN 'ALERT' ELSE 'NO_ALERT' END AS alert_status, len(titles) / 5.0::DOUBLE AS score, array_to_string(titles, ',') AS alerts FROM a"),
-    "rule_check": (rule_check, "WITH r AS (SELECT unnest(['card-day', 'card-week', 'card-all', 'merchant-hour', 'merchant-errors', 'busy-day', 'large-week', 'burst', 'busy-hour', 'large-now']) AS title, true AS valid UNION ALL SELECT unnest(['typo', 'lost', 'number']), false) SELECT title, valid, count(CASE WHEN valid THEN 1 END) AS n FROM r, events GROUP BY 1, 2"),
+    "rule_check": (rule_check, f"{SCORED}, c AS (SELECT unnest(titles) AS title, count(*) AS n_alerts FROM a GROUP BY 1) SELECT title, true AS valid, n_alerts FROM c UNION ALL SELECT unnest(['typo', 'lost', 'number']), false, 0"),
+    "failing_rules": (failing_rules, f"""WITH {T}, i AS (SELECT *, argument::INT AS k, count(*) OVER {_CARD_WEEK} AS nw FROM t),
+      b AS (SELECT *, CASE WHEN k <> 50 THEN merchant || '|' || (100 // abs(k - 50) * sign(k - 50))::INT END AS band FROM i),
+      c AS (SELECT *, CASE WHEN band IS NOT NULL THEN count(*) OVER {_frame('band', '7 DAYS')} END AS nb FROM b),
+      a AS (SELECT *, list_filter([CASE WHEN nw >= 4 THEN 'busy' END, CASE WHEN k <> 50 AND k % (k - 50) = 3 THEN 'cast' END, CASE WHEN nb >= 20 THEN 'same-band' END, CASE WHEN nw > 1 AND amount / (nw - 1) > 5 THEN 'split' END], lambda x: x IS NOT NULL) AS titles FROM c)
+      SELECT transaction_no, array_to_string(titles, ',') AS alerts, len(titles) / 4.0::DOUBLE AS score,
+        array_to_string(list_filter([CASE WHEN k = 50 THEN 'band' END, CASE WHEN k = 50 THEN 'cast' END, 'odd-cast', CASE WHEN nw = 1 THEN 'split' END], lambda x: x IS NOT NULL), ',') AS rule_errors FROM a"""),
+    "rules_from_table": (rules_from_table, f"""WITH {T}, i AS (SELECT *, count(*) OVER {_CARD_DAY} AS n, sum(try_cast(argument AS INT)) OVER {_CARD_DAY} AS k, sum(CAST(amount / 4 AS DECIMAL(18,6))) OVER {_CARD_DAY} AS share,
+        list(merchant) OVER {_CARD_DAY} AS kinds, last_value(CASE WHEN amount > 20 THEN merchant END IGNORE NULLS) OVER {_CARD_DAY} AS recent,
+        last_value(CASE WHEN amount > 50 THEN argument END IGNORE NULLS) OVER (PARTITION BY card_id ORDER BY us, transaction_no ROWS UNBOUNDED PRECEDING) AS large FROM t),
+      a AS (SELECT i.*, list_filter([CASE WHEN recent = merchant AND n > 2 THEN 'again' END, CASE WHEN coalesce(large = argument, false) OR coalesce(c_acctbal < 0, false) THEN 'digits' END, CASE WHEN len(list_distinct(kinds)) >= 3 AND len(kinds) > len(list_distinct(kinds)) THEN 'kinds' END], lambda x: x IS NOT NULL) AS titles
+        FROM i LEFT JOIN customer ON c_custkey::VARCHAR = card_id)
+      SELECT transaction_no, array_to_string(titles, ',') AS alerts, len(titles) / 3.0::DOUBLE AS score, CASE WHEN k > 150 AND share > 20 THEN 1 ELSE 0 END AS n_values FROM a"""),
     "indicator_snapshot": (indicator_snapshot, f"WITH {STATE_SQL} SELECT subject, key, record, window_ms, count, amount, as_of FROM s"),
     "purge_state": (purge_state, f"WITH {T} SELECT 'Card' AS subject, '' AS custom_subject, card_id AS key, count(*) AS n FROM t GROUP BY card_id UNION ALL SELECT 'Custom', 'pair', card_id || '|' || merchant, count(*) FROM t GROUP BY card_id, merchant"),
     "query_indicators": (query_indicators, f"""WITH {STATE_SQL}, q AS (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 13 <> 0 THEN 'Card' END AS subject, c_custkey::VARCHAR AS key, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN {DAY} WHEN 3 THEN {WEEK} ELSE {HOUR} END AS timeframe FROM customer)

@@ -57,7 +57,10 @@ def transaction_checks() -> dict[str, Column]:
     return {"transaction number is missing": F.col("transaction_no").isNotNull(), "card is missing": F.col("card_id").isNotNull(), "amount is not positive": F.col("amount") > 0}
 
 
-RULE_FIELDS = "ruleset string, version string, rule_title string, rule_group string, rule_type string, subject string, custom_subject string, time_frame bigint, unit_ms bigint, fixed_window boolean"
+RULE_FIELDS = (
+    "ruleset string, version string, rule_title string, rule_group string, rule_type string, subject string, custom_subject string, time_frame bigint, unit_ms bigint, fixed_window boolean, "
+    "record string, scope string, filter_sql string, amount_sql string, value_sqls map<string,string>, arg_sql string, last_sql string, condition_sql string, message string, action string"
+)
 
 
 def read_rules(rules: DataFrame, ruleset: str, version: str) -> DataFrame:
