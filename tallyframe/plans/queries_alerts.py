@@ -149,14 +149,14 @@ def purge_state(spark, sf):
     return state.purge(both, ["Merchant"]).select("subject", F.coalesce("custom_subject", F.lit("")).alias("custom_subject"), "key", "n")
 
 
-def _requests(spark, sf):
+def requests(spark, sf):
     """A request for each customer's card: all windows, a day, a week or one that is not kept; some without subject."""
     frame = F.element_at(F.array(F.lit(None).cast("long"), F.lit(0).cast("long"), F.lit(DAY).cast("long"), F.lit(WEEK).cast("long"), F.lit(HOUR).cast("long")), (F.col("c_custkey") % 5 + 1).cast("int"))
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("request_id"), F.when(F.col("c_custkey") % 13 != 0, "Card").alias("subject"), F.lit(None).cast("string").alias("custom_subject"), F.col("c_custkey").cast("string").alias("key"), frame.alias("timeframe"))
 
 
 def query_indicators(spark, sf):
-    return state.query_indicators(_requests(spark, sf), _snapshot_rows(read_transactions(spark, sf)))
+    return state.query_indicators(requests(spark, sf), _snapshot_rows(read_transactions(spark, sf)))
 
 
 def resume_from_snapshot(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import alerts as A, metrics as M, state, windows as W
+from ..operators import alerts as A, metrics as M, rules as R, state, windows as W
 from ..sources.transactions import read_transactions, split_errors, table
 from ..streaming import jobs
 from . import queries_alerts as Q
@@ -74,20 +74,23 @@ def stream_global(spark, sf):
 
 def stream_late(spark, sf):
     """Event-time order: rows wait until the watermark has passed them."""
-    out = jobs.sliding(read_transactions(spark, sf, streaming=True), ["card_id"], {"day": DAY}, order="event_time")
-    return jobs.drained(out, "append").select("transaction_no", "n_day")
-
-
-CARD_RULES = [r for r in Q.ALERTS if r.title in ("busy-day", "large-week")]
+    out = jobs.drained_to_the_end(read_transactions(spark, sf, streaming=True), lambda rows: jobs.sliding(rows, ["card_id"], {"day": DAY}, order="event_time"))
+    return out.select("transaction_no", "n_day")
 
 
 def stream_alert_sets(spark, sf):
-    """Alert sets of a stream's cards, apart from its answers; transactions during a deployment skip rules and state."""
+    """Alert sets of a stream by card and merchant rules, apart from its answers; transactions during a deployment skip rules and state."""
     open_, _ = jobs.gated(read_transactions(spark, sf, streaming=True), releases(spark, sf))
-    _, alerts = jobs.answered(jobs.alerted(open_, "Card", "card_id", CARD_RULES))
+    _, alerts = jobs.scored(open_, Q.COMPUTE, lambda: Q.ALERTS)
     return alerts.select("transaction_no", "score", A.titles(F.col("alerts")).alias("alerts"))
 
 
+def stream_answers(spark, sf):
+    """Answers to all of a stream's transactions by rules on a fixed window and a custom subject."""
+    answers, _ = jobs.scored(read_transactions(spark, sf, streaming=True), [r for r in Q.FIXED if r.kind == "COMPUTE"], lambda: [r for r in Q.FIXED if r.kind == "ALERT"], Q.CUSTOM)
+    return answers.select("transaction_no", "alert_status", "score", A.titles(F.col("alerts")).alias("alerts"))
+
+
 def stream_gate(spark, sf):
     """Answers to the transactions that a deployment postpones."""
     _, postponed = jobs.gated(read_transactions(spark, sf, streaming=True), releases(spark, sf))
@@ -100,18 +103,20 @@ def stream_tumbling(spark, sf):
 
 
 def stream_state_query(spark, sf):
-    """Live state of the unbounded records, read from the checkpoint of a stream."""
-    return jobs.live_state(spark, jobs.unbounded(read_transactions(spark, sf, streaming=True), ["merchant"]), "totals").select(F.col("key.merchant").alias("merchant"), F.col("value.n").alias("n"), F.round("value.amount", 2).alias("amount"))
+    """Requests answered from the live state of a stream."""
+    held = jobs.live_indicators(spark, read_transactions(spark, sf, streaming=True), [r for r in Q.COMPUTE if r.subject == "Card"])
+    return state.query_indicators(Q.requests(spark, sf), held)
 
 
 def stream_rule_reload(spark, sf):
-    """Each micro-batch is judged by the newest valid rules: a threshold by merchant, taken from the parts table anew."""
-
-    def rules():
-        parts = table(spark, sf, "part").filter("p_size % 3 <> 0")
-        return parts.groupBy((F.col("p_partkey") % 5).alias("rule_no")).agg(F.max("p_size").cast("double").alias("threshold"))
-
-    return jobs.judged(read_transactions(spark, sf, streaming=True), rules, F.col("card_id").cast("long") % 5).select("transaction_no", "alerted")
+    """Each micro-batch is judged by the newest version of its ruleset that can run: the last one deployed names a record that no rule keeps."""
+    compute = [r for r in Q.COMPUTE if r.subject == "Card"]
+    version = lambda n, sql: R.as_table(spark, [*compute, R.Rule("busy", "ALERT", "Card", DAY, condition_sql=sql)], "cards", n)
+    rules = version("1", "tx.count > 6").unionByName(version("2", "tx.count > 4")).unionByName(version("3", "none.count > 4"))
+    deployments = spark.createDataFrame([("cards", "1", 1, True), ("cards", "2", 2, True), ("cards", "3", 3, True), ("cards", "4", 4, False)], "ruleset string, version string, requested_us long, valid boolean")
+    example = read_transactions(spark, sf).limit(0)
+    answers, _ = jobs.scored(read_transactions(spark, sf, streaming=True), compute, lambda: jobs.active_rules(rules, deployments, "cards", example, compute)[1])
+    return answers.select("transaction_no", F.col("alert_status"), F.col("score"))
 
 
 TABLE = {
@@ -127,13 +132,11 @@ TABLE = {
     "stream_sliding": (stream_sliding, f"WITH {T} SELECT transaction_no, count(*) OVER {_frame('card_id', '1 DAY')} AS n_day, count(*) OVER {_frame('card_id', '7 DAYS')} AS n_week, round(CAST(sum({MONEY}) OVER {_frame('card_id', '1 DAY')} AS DOUBLE), 2) AS amount_day FROM t"),
     "stream_fixed": (stream_fixed, f"{ANCHORED} SELECT transaction_no, window_start, count(*) OVER (PARTITION BY card_id, window_start ORDER BY us, transaction_no ROWS UNBOUNDED PRECEDING) AS n FROM w"),
     "stream_global": (stream_global, f"WITH {T} SELECT transaction_no, count(*) OVER w AS n, round(CAST(sum({MONEY}) OVER w AS DOUBLE), 2) AS amount FROM t WINDOW w AS (PARTITION BY merchant ORDER BY us, transaction_no ROWS UNBOUNDED PRECEDING)"),
-    "stream_late": (stream_late, f"WITH {T}, s AS (SELECT us, transaction_no, count(*) OVER {_frame('card_id', '1 DAY')} AS n_day FROM t) SELECT transaction_no, n_day FROM s WHERE us < (SELECT max(us) FROM t)"),
-    "stream_alert_sets": (stream_alert_sets, f"""WITH {T}, {RELEASES}, o AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM d WHERE us >= started_us AND us < ended_us)),
-      i AS (SELECT transaction_no, count(*) OVER {_frame('card_id', '1 DAY')} AS nd, count(*) OVER {_frame('card_id', '7 DAYS')} AS nw, sum({MONEY}) OVER {_frame('card_id', '7 DAYS')} AS aw FROM o),
-      a AS (SELECT transaction_no, list_filter([CASE WHEN nd > 4 THEN 'busy-day' END, CASE WHEN aw > 600 AND nw > 2 THEN 'large-week' END], lambda x: x IS NOT NULL) AS titles FROM i)
-      SELECT transaction_no, len(titles) / 2.0::DOUBLE AS score, array_to_string(titles, ',') AS alerts FROM a WHERE len(titles) > 0"""),
+    "stream_late": (stream_late, f"WITH {T} SELECT transaction_no, count(*) OVER {_frame('card_id', '1 DAY')} AS n_day FROM t"),
+    "stream_alert_sets": (stream_alert_sets, Q.SCORED.replace("i AS (SELECT *,", f"{RELEASES}, o AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM d WHERE us >= started_us AND us < ended_us)), i AS (SELECT *,").replace("FROM t),\n  a AS", "FROM o),\n  a AS") + " SELECT transaction_no, len(titles) / 5.0::DOUBLE AS score, array_to_string(titles, ',') AS alerts FROM a WHERE len(titles) > 0"),
+    "stream_answers": (stream_answers, Q.TABLE["alert_rules_eval"][1]),
     "stream_gate": (stream_gate, f"WITH {T}, {RELEASES} SELECT transaction_no, 'ALERT_UNAVAILABLE' AS alert_status, 'POSTPONE' AS action FROM t WHERE EXISTS (SELECT 1 FROM d WHERE us >= started_us AND us < ended_us)"),
     "stream_tumbling": (stream_tumbling, f"WITH {T} SELECT merchant, epoch_us(date_trunc('day', ts)) AS window_start, count(*) AS n, round(CAST(sum({MONEY}) AS DOUBLE), 2) AS amount FROM t GROUP BY 1, 2"),
-    "stream_state_query": (stream_state_query, f"WITH {T} SELECT merchant, count(*) AS n, round(CAST(sum({MONEY}) AS DOUBLE), 2) AS amount FROM t GROUP BY 1"),
-    "stream_rule_reload": (stream_rule_reload, f"WITH {T}, r AS (SELECT p_partkey % 5 AS rule_no, max(p_size) AS threshold FROM part WHERE p_size % 3 <> 0 GROUP BY 1) SELECT transaction_no, amount > threshold AS alerted FROM t JOIN r ON card_id::BIGINT % 5 = rule_no"),
+    "stream_state_query": (stream_state_query, Q.TABLE["query_indicators"][1]),
+    "stream_rule_reload": (stream_rule_reload, f"WITH {T}, i AS (SELECT transaction_no, count(*) OVER {_frame('card_id', '1 DAY')} AS n FROM t) SELECT transaction_no, CASE WHEN n > 4 THEN 'ALERT' ELSE 'NO_ALERT' END AS alert_status, CASE WHEN n > 4 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM i"),
 }

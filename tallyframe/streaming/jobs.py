@@ -9,11 +9,13 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.alerts import alert_array, with_status
+from ..operators.alerts import alert_array, merge_alerts, with_status
 from ..operators.gate import deployment_gate
-from ..operators.rules import Rule, part_name
+from ..operators.rules import Rule, check, failures, from_table, lenient, measures, part_name
+from ..plans.engine import subject_keys
 from ..sources.folders import shared_folder
-from .processors import Fixed, Sliding, Unbounded
+from ..sources.transactions import read_rules
+from .processors import Records, Spec
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -32,20 +34,141 @@ def _rocksdb(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(PROVIDER, before)
 
 
+def _cents() -> Column:
+    return F.round(F.coalesce(F.col("amount"), F.lit(0.0)) * 100).cast("long")
+
+
+def kept(stream: DataFrame, keys: list[str], sums: dict[str, Column], specs: dict[str, Spec], payload: list[str], order: str = "arrival", delay: str = "0 seconds") -> DataFrame:
+    """keys, payload and the sums of each row's windows after it, from keyed state. sums: long columns, null counts as 0."""
+    late = order == "event_time"
+    rows = stream.select(*keys, *dict.fromkeys([*payload, "us", "transaction_no"]), *(F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in sums.items()), *(["ts"] if late else []))
+    rows = rows.withWatermark("ts", delay) if late else rows
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    parts = list(dict.fromkeys(p for s in specs.values() for p in s.parts))
+    fields = [f"`{c}` {kinds[c]}" for c in [*keys, *payload]] + [f"`{n}_{p}` long" for p in parts for n in sums] + [f"`start_{p}` long" for p in dict.fromkeys(p for s in specs.values() for p in s.fixed)]
+    return rows.groupBy(*keys).transformWithStateInPandas(Records(specs, keys, payload, list(sums), late), ", ".join(fields), "Append", "EventTime" if late else "None")
+
+
 def sliding(stream: DataFrame, keys: list[str], windows: dict[str, int], order: str = "arrival", delay: str = "0 seconds") -> DataFrame:
     """Counts and amounts of each transaction's key over sliding windows (name to ms)."""
-    late = order == "event_time"
-    rows = stream.select(*keys, "us", "transaction_no", "amount", "ts")
-    rows = rows.withWatermark("ts", delay) if late else rows.drop("ts")
-    schema = "key string, transaction_no long, us long, " + ", ".join(f"n_{w} long, amount_{w} double" for w in windows)
-    return rows.groupBy(*keys).transformWithStateInPandas(Sliding(windows, late), schema, "Append", "EventTime" if late else "None")
+    out = kept(stream, keys, {"n": F.lit(1), "cents": _cents()}, {"": Spec(windows, {}, None)}, ["transaction_no", "us"], order, delay)
+    return out.select(F.concat_ws("|", *keys).alias("key"), "transaction_no", "us", *(c for w in windows for c in (F.col(f"n_{w}"), (F.col(f"cents_{w}") / 100).alias(f"amount_{w}"))))
+
+
+def fixed(stream: DataFrame, keys: list[str], window_ms: int) -> DataFrame:
+    """Running count and amount of a window that opens at a key's first row and reopens past its end."""
+    out = kept(stream, keys, {"n": F.lit(1), "cents": _cents()}, {"": Spec({}, {"w": window_ms}, None)}, ["transaction_no", "us"])
+    return out.select("transaction_no", "us", F.col("start_w").alias("window_start"), F.col("n_w").alias("n"), (F.col("cents_w") / 100).alias("amount"))
+
+
+def unbounded(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Running count and amount since the key's first row."""
+    out = kept(stream, keys, {"n": F.lit(1), "cents": _cents()}, {"": Spec({}, {}, "all")}, ["transaction_no", "us"])
+    return out.select("transaction_no", "us", F.col("n_all").alias("n"), (F.col("cents_all") / 100).alias("amount"))
+
+
+SUBJECT = ["subject", "custom_subject", "key"]
+#: Digits of the sums of each type, which travel as whole numbers.
+DIGITS = {"count": 0, "amount": 2, "value": 6}
+
+
+def _digits(measure: str, record: str) -> int:
+    return DIGITS[measure.removeprefix(f"{record}_").split("_")[0]]
+
+
+def indicators(stream: DataFrame, rules: list[Rule], custom: dict[str, list[str]] | None = None, order: str = "arrival", delay: str = "0 seconds") -> DataFrame:
+    """One row for each transaction and subject with the indicators of that subject's COMPUTE rules, as engine.with_indicators names them.
+
+    Card, merchant and custom subjects, sliding, fixed and unbounded records with counts, amounts and named values. Lists, sets and last
+    values are kept in batch only. A transaction without any key has one row, of subject None.
+    """
+    compute = [r for r in rules if r.kind == "COMPUTE"]
+    if any(r.arg_sql or r.last_sql for r in compute):
+        raise ValueError("a stream keeps no lists, sets or last values")
+    name = lambda r: (r.custom_subject or r.subject).lower()
+    specs = {}
+    for n in dict.fromkeys(map(name, compute)):
+        own = [r for r in compute if name(r) == n]
+        part = lambda r: part_name(r.subject, r.custom_subject, None if r.scope == "global" else r.window_ms, r.fixed)
+        specs[n] = Spec({part(r): r.window_ms for r in own if r.scope == "window" and not r.fixed}, {part(r): r.window_ms for r in own if r.scope == "window" and r.fixed}, next((part(r) for r in own if r.scope == "global"), None))
+    with lenient(stream.sparkSession):
+        keys = subject_keys(rules, custom or {})
+        found = F.filter(F.array(*(F.struct(F.lit(n).alias("subject"), k.cast("string").alias("key")) for n, k in keys.items())), lambda x: x["key"].isNotNull())
+        alone = F.array(F.struct(F.lit("none").alias("subject"), F.concat(F.lit("\0"), F.coalesce(F.col("transaction_no").cast("string"), F.lit(""))).alias("key")))
+        fanned = stream.withColumn("_s", F.explode(F.when(F.size(found) > 0, found).otherwise(alone))).select("*", "_s.*").drop("_s")
+        sums: dict[str, Column] = {}
+        digits = {}
+        for r in compute:
+            for m, c in measures(r).items():
+                digits[m] = _digits(m, r.record)
+                mine = F.when(F.col("subject") == name(r), F.round(F.coalesce(c, F.lit(0)) * 10 ** digits[m]).cast("long"))
+                sums[m] = F.coalesce(mine, sums[m]) if m in sums else mine
+        payload = [c for c in stream.columns if c not in ("ts", *SUBJECT)]
+        out = kept(fanned, ["subject", "key"], sums, specs, payload, order, delay)
+        back = {f"{m}_{p}": (F.col(f"{m}_{p}").cast("decimal(20,0)") / 10**d).cast(f"decimal(28,{d})") for s in specs.values() for p in s.parts for m, d in digits.items() if d}
+        return out.withColumns(back) if back else out
+
+
+def alert_sets(rows: DataFrame, rules: list[Rule], custom: dict[str, list[str]], columns: list[str]) -> DataFrame:
+    """transaction_no, alerts, alert_status, score and rule_errors of the rows of ``indicators``: each subject judged by its own rules, and their alerts merged."""
+    alerting = [r for r in rules if r.kind == "ALERT"]
+    with lenient(rows.sparkSession):
+        keys = subject_keys(rules, custom)
+        parts, errors = [], []
+        for n in dict.fromkeys((r.custom_subject or r.subject).lower() for r in alerting):
+            own = [r for r in alerting if (r.custom_subject or r.subject).lower() == n]
+            parts.append(F.when(F.col("subject") == n, alert_array(own, keys)))
+            errors.append(F.when(F.col("subject") == n, failures(own, columns)))
+        none = alert_array([], {})
+        each = rows.select("transaction_no", F.coalesce(*parts, none).alias("alerts"), F.coalesce(*errors, F.array().cast("array<string>")).alias("rule_errors"))
+    lost = each.groupBy("transaction_no").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("rule_errors")))).alias("rule_errors"))
+    return merge_alerts(each, len(alerting)).join(lost, "transaction_no")
+
+
+def scored(stream: DataFrame, compute: list[Rule], alerting: Callable[[], list[Rule]], custom: dict[str, list[str]] | None = None, order: str = "arrival", delay: str = "0 seconds") -> tuple[DataFrame, DataFrame]:
+    """The main path on a stream: (answers, alert sets) of all transactions of its source.
+
+    The ALERT rules are asked for anew in each micro-batch, which is judged by one version; COMPUTE rules shape the state and stay. A
+    micro-batch writes its answers, and apart from them those with alerts, to folders of its own, so one that runs again replaces its own output.
+    """
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/scored-{uuid.uuid4().hex}"
+    kind = alert_sets(spark.createDataFrame([], indicators(stream, compute, custom).schema), [*compute, *alerting()], custom or {}, stream.columns).schema
+
+    def batch(df: DataFrame, number: int) -> None:
+        done = alert_sets(df, [*compute, *alerting()], custom or {}, stream.columns).persist()
+        done.write.mode("overwrite").parquet(f"{base}/answers/batch={number}")
+        done.filter(F.size("alerts") > 0).write.mode("overwrite").parquet(f"{base}/alerts/batch={number}")
+        done.unpersist()
+
+    with _rocksdb(spark):
+        every = [*compute, *(r for r in alerting() if r.subject == "Custom" or (r.subject not in {c.subject for c in compute}))]
+        indicators(stream, every, custom, order, delay).writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    read = lambda name: spark.read.schema(kind).parquet(f"{base}/{name}")
+    return read("answers"), read("alerts")
+
+
+def active_rules(rules: DataFrame, deployments: DataFrame, ruleset: str, example: DataFrame, compute: list[Rule]) -> tuple[str, list[Rule]]:
+    """(version, its ALERT rules) in force: the newest requested version that is valid and whose rules pass the check; older ones stand in for those that fail.
+
+    deployments: ruleset, version, requested_us, valid. Versions are tried from the newest on.
+    """
+    wanted = deployments.filter((F.col("ruleset") == ruleset) & F.col("valid")).groupBy("version").agg(F.max("requested_us").alias("at")).orderBy(F.desc("at"), F.desc("version"))
+    for (version, _) in wanted.toLocalIterator():
+        try:
+            found = [r for r in from_table(read_rules(rules, ruleset, version)) if r.kind == "ALERT"]
+        except ValueError:
+            continue
+        if not check([*compute, *found], example):
+            return version, found
+    raise ValueError(f"ruleset {ruleset} has no version that can run")
 
 
 def alerted(stream: DataFrame, subject: str, key: str, rules: list[Rule], record: str = "tx") -> DataFrame:
     """transaction_no, alerts, alert_status and score by the sliding rules of one subject, on its keyed state."""
     windows = {part_name(subject, None, r.window_ms, False): r.window_ms for r in rules}
-    kept = sliding(stream.filter(F.col(key).isNotNull()), [key], windows)
-    named = kept.withColumnsRenamed({f"{short}_{w}": f"{record}_{long}_{w}" for w in windows for short, long in (("n", "count"), ("amount", "amount"))})
+    held = sliding(stream.filter(F.col(key).isNotNull()), [key], windows)
+    named = held.withColumnsRenamed({f"{short}_{w}": f"{record}_{long}_{w}" for w in windows for short, long in (("n", "count"), ("amount", "amount"))})
     alerts = alert_array([r for r in rules if r.kind == "ALERT"], {subject.lower(): F.col("key")})
     return with_status(named.select("transaction_no", alerts.alias("alerts")), sum(r.kind == "ALERT" for r in rules))
 
@@ -74,16 +197,6 @@ def answered(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return read("answers"), read("alerts")
 
 
-def fixed(stream: DataFrame, keys: list[str], window_ms: int) -> DataFrame:
-    rows = stream.select(*keys, "us", "transaction_no", "amount")
-    return rows.groupBy(*keys).transformWithStateInPandas(Fixed(window_ms), "transaction_no long, us long, window_start long, n long, amount double", "Append", "None")
-
-
-def unbounded(stream: DataFrame, keys: list[str]) -> DataFrame:
-    rows = stream.select(*keys, "us", "transaction_no", "amount")
-    return rows.groupBy(*keys).transformWithStateInPandas(Unbounded(), "transaction_no long, us long, n long, amount double", "Append", "None")
-
-
 def tumbling(stream: DataFrame, key: str, width: str, delay: str = "1 hour") -> DataFrame:
     """Counts and amounts over calendar-aligned windows, with a watermark."""
     grouped = stream.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), key)
@@ -104,25 +217,50 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def live_state(spark: SparkSession, stream: DataFrame, variable: str) -> DataFrame:
-    """The keyed state of a stream, read from its checkpoint after a run."""
-    base = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
-    with _rocksdb(spark):
-        stream.writeStream.outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).format("parquet").option("path", f"{base}/out").start().awaitTermination()
-        return spark.read.format("statestore").option("stateVarName", variable).load(f"{base}/checkpoint").select("key", "value")
-
+def drained_to_the_end(source: DataFrame, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """drained, for a job in event-time order over a source that ends: nothing waits for the watermark when it is over.
 
-def judged(stream: DataFrame, rules: Callable[[], DataFrame], rule_no: Column) -> DataFrame:
-    """Each micro-batch with the rules as they are when it begins: alerted where the amount is over the rule's threshold.
-
-    A batch's files go to a folder of their own, so a batch that runs again replaces its own output.
+    Once the source is read, the same query goes on from its checkpoint and reads one more row from a second source, a
+    sentinel of the year 2200 without transaction number, which lets the watermark pass all others; it never comes out.
     """
-    spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/judged-{uuid.uuid4().hex}"
+    spark = source.sparkSession
+    base = f"{shared_folder(spark)}/ended-{uuid.uuid4().hex}"
+    row = spark.range(1).select(*(F.lit("2200-01-01").cast("timestamp").alias(f.name) if f.name == "ts" else F.lit(7258118400000000 if f.name == "us" else None).cast(f.dataType).alias(f.name) for f in source.schema))
+    row.limit(0).write.parquet(f"{base}/sentinel")
+    stream = job(source.unionByName(spark.readStream.schema(source.schema).parquet(f"{base}/sentinel")))
+    with _rocksdb(spark):
+        for last in (False, True):
+            if last:
+                row.write.mode("append").parquet(f"{base}/sentinel")
+            stream.writeStream.outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).format("parquet").option("path", f"{base}/out").start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
-    def batch(df: DataFrame, number: int) -> None:
-        met = df.withColumn("rule_no", rule_no).join(rules(), "rule_no")
-        met.select("transaction_no", (F.col("amount") > F.col("threshold")).alias("alerted")).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+def live_state(spark: SparkSession, stream: DataFrame, variable: str) -> DataFrame:
+    """The keyed state of a stream, read from its checkpoint after a run."""
+    base = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
+    with _rocksdb(spark):
+        stream.writeStream.outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).format("noop").start().awaitTermination()
+        return spark.read.format("statestore").option("stateVarName", variable).load(f"{base}/checkpoint")
+
+
+def live_indicators(spark: SparkSession, stream: DataFrame, rules: list[Rule], custom: dict[str, list[str]] | None = None) -> DataFrame:
+    """The state that ``indicators`` has left for each key, in the form of a snapshot: as of the key's last event, for state.query_indicators."""
+    compute = [r for r in rules if r.kind == "COMPUTE"]
+    held = live_state(spark, indicators(stream, compute, custom), "latest").select("key.subject", "key.key", F.col("user_map_key.part").alias("part"), F.col("user_map_value.us").alias("us"), F.col("user_map_value.sums").alias("sums"))
+    order = list(dict.fromkeys(m for r in compute for m in measures(r)))
+    rows = []
+    for r in compute:
+        at = lambda m, d: (F.element_at("sums", order.index(m) + 1) / 10**d).alias("x") if m in order else F.lit(None).cast("double")
+        part = part_name(r.subject, r.custom_subject, None if r.scope == "global" else r.window_ms, r.fixed)
+        values = F.map_from_arrays(F.array(*(F.lit(n) for n, _ in r.value_sqls)).cast("array<string>"), F.array(*(at(f"{r.record}_value_{n}", 6) for n, _ in r.value_sqls)).cast("array<double>"))
+        rows.append(
+            held.filter(F.col("part") == part).select(
+                F.lit(r.subject).alias("subject"), F.lit(r.custom_subject).cast("string").alias("custom_subject"), "key", F.lit(None if r.scope == "global" else r.window_ms).cast("long").alias("window_ms"), F.lit(r.fixed).alias("fixed"),
+                F.lit(r.record).alias("record"), F.element_at("sums", order.index(f"{r.record}_count") + 1).alias("count"), at(f"{r.record}_amount", 2).cast("double").alias("amount") if r.amount_sql else F.lit(None).cast("double").alias("amount"), values.alias("values"), F.col("us").alias("as_of"),
+            )
+        )
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out

@@ -1,116 +1,202 @@
-"""Keyed state for streams: sliding, fixed and unbounded indicators, one processor each.
+"""Keyed state for streams: sliding, fixed and unbounded sums of a key by one processor.
 
 Rows of a key are put in order within a micro-batch. ``arrival`` order answers them at once
 and lets a late row join the state as it is; ``event_time`` order keeps them until the
 watermark has passed them, so that answers equal the batch's.
+
+A key's time is cut into buckets, a fraction of its longest window. The state holds each bucket's sums and,
+apart from them, its rows, so a micro-batch reads the sums of all live buckets but only the rows
+of the buckets that its own rows lie in and that its windows begin in. In event-time order a key has one timer: for
+the first row that waits, else for the time at which its last window is empty and its buckets go. In arrival
+order there is no clock; a key's old buckets go when it has a new row.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+import io
 from collections.abc import Iterator
-from itertools import accumulate
-from math import inf
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-ROW = "us long, transaction_no long, amount double"
+#: Buckets of the longest window.
+BUCKETS = 32
 
 
-def _ordered(rows: Iterator[pd.DataFrame]) -> list[tuple[int, int, float]]:
-    held = [r for part in rows for r in zip(part["us"].tolist(), part["transaction_no"].tolist(), part["amount"].tolist(), strict=True)]
-    return sorted(held)
+class Spec(NamedTuple):
+    """The windows of a kind of keys, by the name of their columns' last part; sizes in ms."""
 
+    sliding: dict[str, int]
+    fixed: dict[str, int]
+    unbounded: str | None
 
-class Sliding(StatefulProcessor):
-    """Counts and amounts over closed windows [t - W, t]; entries older than the longest window leave the state."""
+    @property
+    def parts(self) -> list[str]:
+        return [*self.sliding, *self.fixed, *([self.unbounded] if self.unbounded else [])]
 
-    def __init__(self, windows: dict[str, int], event_time: bool):
-        self.windows, self.event_time = windows, event_time
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.entries = handle.getListState("entries", ROW)
-        self.waiting = handle.getListState("waiting", ROW)
-
-    def _answers(self, key: tuple, fresh: list[tuple]) -> Iterator[pd.DataFrame]:
-        held = sorted(tuple(r) for r in self.entries.get())
-        before = [0, *accumulate(round(r[2] * 100) for r in held)]  # cents of the rows before each place
-        out = []
-        for row in fresh:
-            at = bisect_right(held, row[:2] + (inf,))
-            held.insert(at, row)
-            before[at:] = accumulate((round(r[2] * 100) for r in held[at:]), initial=before[at])  # one step for a row in order
-            answer = {"key": "|".join(map(str, key)), "transaction_no": row[1], "us": row[0]}
-            for name, ms in self.windows.items():
-                first = bisect_left(held, (row[0] - ms * 1000,))
-                answer |= {f"n_{name}": at + 1 - first, f"amount_{name}": (before[at + 1] - before[first]) / 100}
-            out.append(answer)
-        longest = max(self.windows.values()) * 1000
-        if held:
-            last = held[-1][0]
-            self.entries.put([r for r in held if r[0] >= last - longest])
-        if out:
-            yield pd.DataFrame(out)
+def _packed(rows: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue()
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh = _ordered(rows)
-        if not self.event_time:
-            yield from self._answers(key, fresh)
-            return
-        self.waiting.appendList(fresh)
-        due = {t for t in self.handle.listTimers()}
-        for ms in {us // 1000 + 1 for us, _, _ in fresh} - due:
-            self.handle.registerTimer(ms)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        waiting = sorted(tuple(r) for r in self.waiting.get())
-        ready = [r for r in waiting if r[0] <= limit]
-        if ready:
-            left = [r for r in waiting if r[0] > limit]
-            if left:
-                self.waiting.put(left)
-            else:
-                self.waiting.clear()
-            yield from self._answers(key, ready)
 
+class Records(StatefulProcessor):
+    """For each row the sums of its key's windows after it: columns ``sum_part``; those of other kinds of keys are null.
 
-class Fixed(StatefulProcessor):
-    """Running count and amount of a window that opens at the first row and reopens past its end."""
+    specs: windows by the first column of the key ("": of all keys). keys, payload: columns that are handed on. sums: long columns.
+    """
 
-    def __init__(self, window_ms: int):
-        self.width = window_ms * 1000
+    def __init__(self, specs: dict[str, Spec], keys: list[str], payload: list[str], sums: list[str], event_time: bool):
+        self.specs, self.keys, self.payload, self.sums, self.event_time = specs, keys, payload, sums, event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getValueState("window", "start long, n long, cents long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        start, n, cents = self.window.get() if self.window.exists() else (None, 0, 0)
-        out = []
-        for us, number, amount in _ordered(rows):
-            if start is None or us > start + self.width:
-                start, n, cents = us, 0, 0
-            n, cents = n + 1, cents + round(amount * 100)
-            out.append((number, us, start, n, cents / 100))
-        if out:
-            self.window.update((start, n, cents))
-            yield pd.DataFrame(out, columns=["transaction_no", "us", "window_start", "n", "amount"])
-
-
-class Unbounded(StatefulProcessor):
-    """Running count and amount since the key's first row."""
+        self.handle = handle
+        self.totals = handle.getMapState("totals", "bucket long", "sums array<long>")
+        self.rows = handle.getMapState("rows", "bucket long", "us binary, no binary, values binary")
+        self.fixed = handle.getMapState("fixed", "part string", "start long, sums array<long>")
+        self.latest = handle.getMapState("latest", "part string", "us long, sums array<long>")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.timer = handle.getValueState("timer", "ms long")
+
+    def _spec(self, key: tuple) -> Spec:
+        return self.specs.get("", None) or self.specs.get(key[0], Spec({}, {}, None))
+
+    # Sliding windows.
+
+    def _load(self, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        m = len(self.sums)
+        if not self.rows.containsKey((bucket,)):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, m), np.int64)
+        us, no, values = self.rows.getValue((bucket,))
+        return np.frombuffer(us, np.int64), np.frombuffer(no, np.int64), np.frombuffer(values, np.int64).reshape(-1, m)
+
+    def _sliding(self, spec: Spec, us: np.ndarray, no: np.ndarray, values: np.ndarray) -> dict[str, np.ndarray]:
+        longest = max(spec.sliding.values()) * 1000
+        span = max(1000, longest // BUCKETS)
+        totals = {k[0]: np.array(v[0], np.int64) for k, v in self.totals.iterator()}
+        own = us // span
+        edges = {int(b) for ms in spec.sliding.values() for b in np.unique((us - ms * 1000) // span)} & set(totals)
+        fresh = {int(b) for b in np.unique(own)}
+        held_us, held_no, held_values, at, begins, size = [], [], [], np.empty(len(us), np.int64), {}, 0
+        for b in sorted(edges | fresh):
+            u, k, v = self._load(b)
+            if b in fresh:
+                mine = own == b
+                u, k, v = np.append(u, us[mine]), np.append(k, no[mine]), np.concatenate([v, values[mine]])
+                order = np.lexsort((k, u))
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                at[mine] = size + place[len(order) - mine.sum() :]
+                u, k, v = u[order], k[order], v[order]
+                self.rows.updateValue((b,), (u.tobytes(), k.tobytes(), np.ascontiguousarray(v).tobytes()))
+                totals[b] = v.sum(axis=0)
+                self.totals.updateValue((b,), (totals[b].tolist(),))
+            begins[b] = size
+            size += len(u)
+            held_us.append(u)
+            held_values.append(v)
+        every = np.concatenate(held_us)
+        running = np.concatenate([np.zeros((1, len(self.sums)), np.int64), np.cumsum(np.concatenate(held_values), axis=0)])
+        known = np.array(sorted(totals), np.int64)
+        before = np.concatenate([np.zeros((1, len(self.sums)), np.int64), np.cumsum(np.array([totals[b] for b in known.tolist()]), axis=0)])
+        start = lambda b: np.array([begins.get(int(x), -1) for x in b], np.int64)
+        upto = before[np.searchsorted(known, own)] + running[at + 1] - running[start(own)]
+        out = {}
+        for part, ms in spec.sliding.items():
+            edge = us - ms * 1000
+            bucket = edge // span
+            first = start(bucket)
+            inside = np.where(first >= 0, np.searchsorted(every, edge, "left"), 0)
+            out[part] = upto - before[np.searchsorted(known, bucket)] - (running[inside] - running[np.maximum(first, 0)])
+        gone = (max(int(us.max()), int(known[-1]) * span) - longest) // span
+        for b in known[known < gone].tolist():
+            self.totals.removeKey((b,))
+            self.rows.removeKey((b,))
+        return out
+
+    def _fixed(self, part: str, ms: int, us: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start, sums = self.fixed.getValue((part,)) if self.fixed.containsKey((part,)) else (None, [0] * len(self.sums))
+        sums, starts, out = np.array(sums, np.int64), np.empty(len(us), np.int64), np.empty_like(values)
+        for i, t in enumerate(us.tolist()):
+            if start is None or t > start + ms * 1000:
+                start, sums = t, np.zeros(len(self.sums), np.int64)
+            sums = sums + values[i]
+            starts[i], out[i] = start, sums
+        self.fixed.updateValue((part,), (int(start), sums.tolist()))
+        return starts, out
+
+    def _answers(self, key: tuple, fresh: pd.DataFrame) -> pd.DataFrame:
+        spec = self._spec(key)
+        fresh = fresh.sort_values(["us", "transaction_no"], kind="stable").reset_index(drop=True)
+        us, no = fresh["us"].to_numpy(np.int64), fresh["transaction_no"].fillna(-1).to_numpy(np.int64)
+        values = fresh[self.sums].to_numpy(np.int64)
+        found = self._sliding(spec, us, no, values) if spec.sliding else {}
+        out = {k: [v] * len(us) for k, v in zip(self.keys, key, strict=True)} | {c: fresh[c] for c in self.payload}
+        for part, ms in spec.fixed.items():
+            out[f"start_{part}"], found[part] = self._fixed(part, ms, us, values)
+        if spec.unbounded:
+            held = self.latest.getValue((spec.unbounded,))[1] if self.latest.containsKey((spec.unbounded,)) else [0] * len(self.sums)
+            found[spec.unbounded] = np.array(held, np.int64) + np.cumsum(values, axis=0)
+        for part in spec.parts:
+            if part == spec.unbounded or not self.latest.containsKey((part,)) or self.latest.getValue((part,))[0] <= us[-1]:
+                self.latest.updateValue((part,), (int(us[-1]), found[part][-1].tolist()))
+        for s in {s for spec in self.specs.values() for s in spec.parts}:
+            for i, name in enumerate(self.sums):
+                out[f"{name}_{s}"] = found[s][:, i] if s in found else [None] * len(us)
+        for s in {s for spec in self.specs.values() for s in spec.fixed}:
+            out.setdefault(f"start_{s}", [None] * len(us))
+        return pd.DataFrame(out)
+
+    # Time.
+
+    def _remind(self, ms: int) -> None:
+        """Make this the key's only timer."""
+        if self.timer.exists() and (old := self.timer.get()[0]) != ms:
+            self.handle.deleteTimer(old)
+        elif self.timer.exists():
+            return
+        self.handle.registerTimer(ms)
+        self.timer.update((ms,))
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.totals = handle.getValueState("totals", "n long, amount double")
+    def _idle(self, key: tuple, fresh: pd.DataFrame) -> None:
+        if sliding := self._spec(key).sliding:
+            self._remind(int(fresh["us"].max()) // 1000 + max(sliding.values()) + 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, amount = self.totals.get() if self.totals.exists() else (0, 0.0)
-        cents, out = round(amount * 100), []
-        for us, number, value in _ordered(rows):
-            n, cents = n + 1, cents + round(value * 100)
-            out.append((number, us, n, cents / 100))
-        if out:
-            self.totals.update((n, cents / 100))
-            yield pd.DataFrame(out, columns=["transaction_no", "us", "n", "amount"])
+        fresh = pd.concat(list(rows), ignore_index=True)
+        if not self.event_time:
+            yield self._answers(key, fresh)
+            return
+        self.waiting.appendValue((_packed(fresh),))
+        due = int(fresh["us"].min()) // 1000 + 1
+        # an earlier timer stays: it may be for rows that wait already
+        if not self.timer.exists() or self.timer.get()[0] > due:
+            self._remind(due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.timer.clear()
+        ready = pd.DataFrame()
+        if self.event_time:
+            limit = timerValues.getCurrentWatermarkInMs() * 1000
+            held = [pa.ipc.open_stream(r[0]).read_pandas() for r in self.waiting.get()]
+            waiting = pd.concat(held, ignore_index=True) if held else pd.DataFrame({"us": []})
+            ready, left = waiting[waiting["us"] <= limit], waiting[waiting["us"] > limit]
+            if len(ready):
+                self.waiting.clear()
+                if len(left):
+                    self.waiting.put([(_packed(left),)])
+            if len(left):
+                self._remind(int(left["us"].min()) // 1000 + 1)
+            elif len(ready):
+                self._idle(key, ready)
+        if len(ready):
+            yield self._answers(key, ready)
+        elif not self.timer.exists():  # idle for its longest window: nothing in it any more
+            self.totals.clear()
+            self.rows.clear()
