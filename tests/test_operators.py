@@ -270,6 +270,46 @@ def test_gated_answers_and_alert_sets(spark, tmp_path):
     assert {r.transaction_no for r in jobs.drained(postponed, "append").collect()} == {x[0] for x in rows} - set(want)
 
 
+def test_alert_rules_change_between_micro_batches(spark, tmp_path):
+    parts = batches(6)
+    compute = [R.Rule("c", "COMPUTE", "Card", 10_000, record="tx", amount_sql="amount", value_sqls=(("x", "amount * 2"),)), R.Rule("m", "COMPUTE", "Merchant", None, record="tx", scope="global")]
+    versions = [[R.Rule("first", "ALERT", "Card", 10_000, condition_sql="tx.values.x > 20")], [R.Rule("second", "ALERT", "Merchant", None, condition_sql="global.tx.count > 5")]]
+    began = []
+
+    def alerting():
+        began.append(1)
+        return versions[0] if len(began) <= 3 else versions[1]  # two calls before the stream runs, one for its first micro-batch
+
+    answers, _ = jobs.scored(stream(spark, tmp_path, parts), compute, alerting)
+    rows = [x for p in parts for x in p]
+    amounts = {i: a for i, (_, a) in counted(spark, rows).items()}
+    seen, want = {}, {}
+    for i, _, merchant, _, _ in rows:
+        seen[merchant] = seen.get(merchant, 0) + 1
+        want[i] = (["first"] if 2 * amounts[i] > 20 else []) if i in {x[0] for x in parts[0]} else (["second"] if seen[merchant] > 5 else [])
+    assert {r.transaction_no: [a.rule_title for a in r.alerts] for r in answers.collect()} == want
+
+
+def test_transactions_without_any_key_are_answered(spark, tmp_path):
+    rows = [[(1, None, None, 1.0, 0), (2, "c", None, 1.0, S)]]
+    rules = [R.Rule("c", "COMPUTE", "Card", 10_000, record="tx"), R.Rule("a", "ALERT", "Card", 10_000, condition_sql="tx.count >= 1")]
+    answers, _ = jobs.scored(stream(spark, tmp_path, rows), rules[:1], lambda: rules[1:])
+    assert {r.transaction_no: r.alert_status for r in answers.collect()} == {1: "NO_ALERT", 2: "ALERT"}
+
+
+def test_windows_of_idle_keys_leave_the_state(spark, tmp_path):
+    rows = [[(1, "a", "x", 1.0, 0), (2, "b", "x", 1.0, S)], [(3, "b", "x", 1.0, 100 * S)], [(4, "b", "x", 1.0, 200 * S)]]
+    held = jobs.live_state(spark, jobs.sliding(stream(spark, tmp_path, rows), ["card_id"], {"w": 10_000}, order="event_time"), "totals")
+    assert {r[0] for r in held.select("key.card_id").distinct().collect()} <= {"b"}
+
+
+def test_rules_survive_their_table(spark):
+    rules = [R.Rule("c", "COMPUTE", "Card", 10_000, record="tx", amount_sql="amount", value_sqls=(("k", "1"),), arg_sql="merchant", last_sql="merchant"), R.Rule("d", "ALERT", "Custom", 5, fixed=True, custom_subject="pair", group="g", condition_sql="tx.count > 1", message="m", action="POSTPONE")]
+    assert R.from_table(read_rules(R.as_table(spark, rules, "rs", "1"), "rs", "1")) == rules
+    with pytest.raises(ValueError, match="more than 1 rules"):
+        R.from_table(R.as_table(spark, rules, "rs", "1"), most=1)
+
+
 def test_counters_seen_while_another_action_runs(spark):
     rows = [(1, "c", "m", 1.0, 0), (2, "c", "m", 1.0, S)]
     answers, seen = metrics.observed(engine.check_transactions(table(spark, rows), RULES[:1] + RULES[3:4]))
