@@ -26,16 +26,17 @@ def query_indicators(requests: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Each request's indicators: those of its key with its time frame (null or 0: all), and the key's global records.
 
     requests: request_id, subject, custom_subject, key, timeframe. snapshot: subject, custom_subject, key, window_ms
-    (null: global), record, count, amount. A request without subject is answered by an error; one
+    (null: global), record, count, amount, and where it has them values, arg_list, arg_set and last, which are answered too. A request without subject is answered by an error; one
     without indicators by a row without a name.
     """
     wrong = requests.filter("subject is null").select("request_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("count"), F.lit(None).cast("double").alias("amount"), F.lit("subject is missing").alias("error_message"))
+    more = [c for c in ("values", "arg_list", "arg_set", "last") if c in snapshot.columns]
     r, s = requests.filter("subject is not null").alias("r"), snapshot.alias("s")
     same = F.expr("r.subject = s.subject and coalesce(r.custom_subject, '') = coalesce(s.custom_subject, '') and r.key = s.key")
     wanted = F.expr("s.window_ms is null or coalesce(r.timeframe, 0) = 0 or r.timeframe = s.window_ms")
     name = F.when(F.col("s.window_ms").isNull(), F.col("s.record")).otherwise(F.concat(F.col("s.record"), F.lit("-"), human_duration(F.col("s.window_ms"))))
-    found = r.join(s, same & wanted, "left").select("r.request_id", name.alias("name"), F.col("s.count"), F.col("s.amount"), F.lit(None).cast("string").alias("error_message"))
-    return found.unionByName(wrong)
+    found = r.join(s, same & wanted, "left").select("r.request_id", name.alias("name"), F.col("s.count"), F.col("s.amount"), *(F.col(f"s.{c}") for c in more), F.lit(None).cast("string").alias("error_message"))
+    return found.unionByName(wrong, allowMissingColumns=True)
 
 
 def purge(snapshot: DataFrame, subjects: list[str]) -> DataFrame:
@@ -43,6 +44,12 @@ def purge(snapshot: DataFrame, subjects: list[str]) -> DataFrame:
     return snapshot.filter(~F.coalesce("custom_subject", "subject").isin(*subjects))
 
 
+def tail(df: DataFrame, longest_ms: int, at: str = "us") -> DataFrame:
+    """The rows that a window may still hold after the last row of df: what has to be kept to go on with sliding windows."""
+    last = df.agg(F.max(at)).first()[0]
+    return df.filter(F.col(at) >= (last or 0) - longest_ms * 1000)
+
+
 def resume(df: DataFrame, snapshot: DataFrame, key: str, measures: dict[str, Column], at: str = "us", tie: str = "transaction_no") -> DataFrame:
     """Running totals of each key that continue from a snapshot (key and a column for each measure); new keys start at 0."""
     from .windows import global_record

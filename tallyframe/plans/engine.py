@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import composite_key
 from ..operators.alerts import alert_array, union_alerts, with_status
 from ..operators.rules import Rule, failures, held_value, in_group, lenient, measures, part_name
+from ..operators.state import latest
 from ..operators.windows import anchored_window, global_record, running_in_window, sliding_last, sliding_list, sliding_sums
 
 #: Rows of a look-up table that is sent to every task; a larger one is met by a shuffle.
@@ -92,6 +93,38 @@ def _with_indicators(df: DataFrame, compute: list[Rule], custom: dict[str, list[
     return df
 
 
+def indicator_state(df: DataFrame, rules: list[Rule], custom: dict[str, list[str]] | None = None) -> DataFrame:
+    """The state that df leaves for each key: its records after its last row, one row for each COMPUTE rule.
+
+    subject, custom_subject, key, window_ms (null: unbounded), fixed, record, count, amount, values, arg_list, arg_set, last, as_of: a snapshot for state.query_indicators.
+    """
+    compute = [r for r in rules if r.kind == "COMPUTE"]
+    rows = with_indicators(df, compute, custom)
+    out = None
+    for name in dict.fromkeys((r.custom_subject or r.subject).lower() for r in compute):
+        own = [r for r in compute if (r.custom_subject or r.subject).lower() == name]
+        key, columns, each = f"_key_{name}", {}, []
+        for r in own:
+            part = part_name(r.subject, r.custom_subject, None if r.scope == "global" else r.window_ms, r.fixed)
+            have = lambda c, kind: F.col(columns.setdefault(c, f"_v{len(columns)}")).cast(kind) if c in rows.columns else F.lit(None).cast(kind)  # noqa: E731, B023
+            values = F.map_from_arrays(F.array(*(F.lit(n) for n, _ in r.value_sqls)).cast("array<string>"), F.array(*(have(f"{r.record}_value_{n}_{part}", "double") for n, _ in r.value_sqls)).cast("array<double>"))
+            each.append(F.struct(
+                F.lit(None if r.scope == "global" else r.window_ms).cast("long").alias("window_ms"), F.lit(r.fixed).alias("fixed"), F.lit(r.record).alias("record"), have(f"{r.record}_count_{part}", "long").alias("count"),
+                have(f"{r.record}_amount_{part}", "double").alias("amount"), values.alias("values"), have(f"{r.record}_list_{part}", "array<string>").alias("arg_list"), have(f"{r.record}_set_{part}", "array<string>").alias("arg_set"), have(f"{r.record}_last_{part}", "string").alias("last"),
+            ))
+        known = rows.filter(~F.col(key).startswith("\0")).select(F.col(key).alias("key"), "us", "transaction_no", *(F.col(c).alias(v) for c, v in columns.items()))
+        held = latest(known, ["key"], list(columns.values()))
+        mine = held.select(F.lit(own[0].subject).alias("subject"), F.lit(own[0].custom_subject).cast("string").alias("custom_subject"), "key", F.explode(F.array(*each)).alias("r"), "as_of").select("subject", "custom_subject", "key", "r.*", "as_of")
+        out = mine if out is None else out.unionByName(mine)
+    return out
+
+
+def resume_indicators(df: DataFrame, tail: DataFrame, rules: list[Rule], custom: dict[str, list[str]] | None = None) -> DataFrame:
+    """df with the indicators of sliding windows that go on from earlier rows. tail: state.tail of those, with the columns of df."""
+    both = tail.select(*df.columns, F.lit(False).alias("_new")).unionByName(df.withColumn("_new", F.lit(True)))
+    return with_indicators(both, [r for r in rules if r.scope == "window" and not r.fixed], custom).filter("_new").drop("_new")
+
+
 def evaluated(rows: DataFrame, rules: list[Rule], custom: dict[str, list[str]], columns: list[str]) -> DataFrame:
     """rows, which have the rules' indicators, with ``alerts`` of all subjects and ``rule_errors``: the titles of rules and names of custom subjects that failed there.
 

@@ -169,6 +169,21 @@ def resume_from_snapshot(spark, sf):
     return out.select("transaction_no", "n", F.col("total").cast("double").alias("total"))
 
 
+def query_records(spark, sf):
+    """Requests answered with named values, lists, sets and last values too."""
+    held = engine.indicator_state(read_transactions(spark, sf), RECORDS)
+    out = state.query_indicators(requests(spark, sf), held)
+    return out.select("request_id", "name", "count", "amount", F.round(F.element_at("values", "k"), 2).alias("k"), F.array_join("arg_list", ",").alias("args"), F.size("arg_set").alias("n_kinds"), "last", "error_message")
+
+
+def resume_windows(spark, sf):
+    """Sliding windows of the later half of events, continued from the tail of the earlier half."""
+    df = read_transactions(spark, sf)
+    late = F.col("ts") >= F.lit("2024-01-16").cast("timestamp")
+    out = engine.resume_indicators(df.filter(late), state.tail(df.filter(~late), WEEK), COMPUTE)
+    return out.select("transaction_no", F.col(f"tx_count_card_w{WEEK}").alias("n_week"), F.col(f"tx_count_merchant_w{HOUR}").alias("n_hour"))
+
+
 STATE_SQL = f"""{T}, x AS (SELECT *, count(*) OVER {_CARD_DAY} AS nd, sum({MONEY}) OVER {_CARD_DAY} AS ad, count(*) OVER {_CARD_WEEK} AS nw, sum({MONEY}) OVER {_CARD_WEEK} AS aw,
   count(*) OVER g AS ng, sum({MONEY}) OVER g AS ag, row_number() OVER (PARTITION BY card_id ORDER BY us DESC, transaction_no DESC) AS rn FROM t WINDOW g AS (PARTITION BY card_id ORDER BY us, transaction_no ROWS UNBOUNDED PRECEDING)),
   s AS (SELECT 'Card' AS subject, card_id AS key, 'tx' AS record, us AS as_of, unnest([{DAY}, {WEEK}, NULL])::BIGINT AS window_ms, unnest([nd, nw, ng]) AS count, unnest([ad, aw, ag])::DOUBLE AS amount FROM x WHERE rn = 1)"""
@@ -202,5 +217,14 @@ TABLE = {
     "query_indicators": (query_indicators, f"""WITH {STATE_SQL}, q AS (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 13 <> 0 THEN 'Card' END AS subject, c_custkey::VARCHAR AS key, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN {DAY} WHEN 3 THEN {WEEK} ELSE {HOUR} END AS timeframe FROM customer)
       SELECT q.request_id, CASE WHEN s.record IS NULL THEN NULL WHEN s.window_ms IS NULL THEN 'tx' WHEN s.window_ms = {DAY} THEN 'tx-1d' ELSE 'tx-7d' END AS name, s.count, s.amount, CASE WHEN q.subject IS NULL THEN 'subject is missing' END AS error_message
       FROM q LEFT JOIN s ON q.subject = s.subject AND q.key = s.key AND (s.window_ms IS NULL OR coalesce(q.timeframe, 0) = 0 OR q.timeframe = s.window_ms)"""),
+    "query_records": (query_records, f"""WITH {T}, x AS (SELECT *, count(*) OVER {_CARD_DAY} AS n, sum({MONEY}) OVER {_CARD_DAY} AS total, sum(try_cast(argument AS INT)) OVER {_CARD_DAY} AS k, list_sort(list(merchant) OVER {_CARD_DAY}) AS kinds,
+        last_value(CASE WHEN amount > 20 THEN merchant END IGNORE NULLS) OVER {_CARD_DAY} AS recent, count(*) OVER g AS ng, last_value(CASE WHEN amount > 50 THEN argument END IGNORE NULLS) OVER g AS large,
+        row_number() OVER (PARTITION BY card_id ORDER BY us DESC, transaction_no DESC) AS rn FROM t WINDOW g AS (PARTITION BY card_id ORDER BY us, transaction_no ROWS UNBOUNDED PRECEDING)),
+      s AS (SELECT card_id AS key, {DAY} AS window_ms, 'tx-1d' AS name, n AS count, total::DOUBLE AS amount, k::DOUBLE AS k, array_to_string(kinds, ',') AS args, len(list_distinct(kinds))::INTEGER AS n_kinds, recent AS last FROM x WHERE rn = 1
+        UNION ALL SELECT card_id, NULL, 'tx', ng, NULL, NULL, NULL, NULL, large FROM x WHERE rn = 1),
+      q AS (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 13 <> 0 THEN 'Card' END AS subject, c_custkey::VARCHAR AS key, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN {DAY} WHEN 3 THEN {WEEK} ELSE {HOUR} END AS timeframe FROM customer)
+      SELECT q.request_id, s.name, s.count, s.amount, s.k, s.args, s.n_kinds, s.last, CASE WHEN q.subject IS NULL THEN 'subject is missing' END AS error_message
+      FROM q LEFT JOIN s ON q.subject = 'Card' AND q.key = s.key AND (s.window_ms IS NULL OR coalesce(q.timeframe, 0) = 0 OR q.timeframe = s.window_ms)"""),
+    "resume_windows": (resume_windows, f"WITH {T}, x AS (SELECT transaction_no, ts, count(*) OVER {_CARD_WEEK} AS n_week, count(*) OVER {_HOUR} AS n_hour FROM t) SELECT transaction_no, n_week, n_hour FROM x WHERE ts >= TIMESTAMP '2024-01-16'"),
     "resume_from_snapshot": (resume_from_snapshot, f"WITH {T}, x AS (SELECT *, count(*) OVER g AS n, CAST(sum({MONEY}) OVER g AS DOUBLE) AS total FROM t WINDOW g AS (PARTITION BY card_id ORDER BY us, transaction_no ROWS UNBOUNDED PRECEDING)) SELECT transaction_no, n, total FROM x WHERE ts >= TIMESTAMP '2024-01-16'"),
 }

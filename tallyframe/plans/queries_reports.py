@@ -105,7 +105,7 @@ def stream_tumbling(spark, sf):
 def stream_state_query(spark, sf):
     """Requests answered from the live state of a stream."""
     held = jobs.live_indicators(spark, read_transactions(spark, sf, streaming=True), [r for r in Q.COMPUTE if r.subject == "Card"])
-    return state.query_indicators(Q.requests(spark, sf), held)
+    return state.query_indicators(Q.requests(spark, sf), held).drop("values")
 
 
 def stream_rule_reload(spark, sf):
