@@ -8,7 +8,8 @@ whose new pairs enter the index. Every document is then spelled from its words'
 Nothing is shuffled: blocks are independent and of bounded size.
 
 Defined results: null and empty texts have no ids; an empty table gives no rows; a
-pre-token that is itself in the vocabulary is that one id; extra columns are ignored.
+pre-token that is itself in the vocabulary is that one id; rows are taken one by one, so repeated rows and
+rows without doc_id (null there) have results of their own; a very long text is a block by itself; extra columns are ignored.
 """
 
 from __future__ import annotations

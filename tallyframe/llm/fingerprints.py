@@ -14,7 +14,7 @@ the next range, so one shuffle of the texts suffices.
 Defined results: null counts as empty; rows without doc_id come last; rows of equal
 doc_id are ordered by a hash of their text; a single row is its own next document;
 texts shorter than a span are one span; two empty texts are alike (1.0), an empty and
-another are not (0.0); an empty table gives no rows; extra columns are ignored.
+another are not (0.0); a very long text is hashed whole, one at a time; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

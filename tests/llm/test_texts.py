@@ -557,6 +557,82 @@ def test_tool_calls_with_other_columns_and_numbers(spark):
     assert got["a"].errors == ["unexpected v", "unexpected w"] and got["b"].valid
 
 
+# The registered queries, recomputed.
+
+
+@pytest.fixture(scope="module")
+def documents(spark, sf):
+    return sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+
+
+def test_fingerprint_query(spark, sf, documents):
+    from collections import Counter
+
+    got = {r.doc_id: r for r in fingerprints.op2_fingerprints(spark, sf).collect()}
+    assert len(got) == len(documents)
+    spans = lambda x: Counter(x[i : i + fingerprints.SPAN] for i in range(max(1, len(x) - fingerprints.SPAN + 1))) if x else Counter()
+    mark = lambda x: fingerprints.spelled(fingerprints.sketch(fingerprints._grams(fingerprints.PrefixHash.of(x))))
+    for at, (i, x) in enumerate(documents):
+        following = documents[(at + 1) % len(documents)][1]
+        edited = x[: len(x) - len(x) // 4] + following[: len(x) // 4]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(x), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (mark(x), mark(edited))
+        for near, y in ((r.near_edited, edited), (r.near_next, following)):
+            p, q = spans(x), spans(y)
+            assert abs(near - (sum((p & q).values()) / sum((p | q).values()) if p or q else 1.0)) < 0.35
+
+
+def test_byte_bpe_query(spark, sf, documents):
+    tiktoken = pytest.importorskip("tiktoken")
+
+    with open(tokenizer_files.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    library = tiktoken.Encoding("plain", pat_str=tokenizer_files.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: r for r in byte_bpe.op7_byte_bpe(spark, sf).collect()}
+    assert len(got) == len(documents)
+    for i, x in documents:
+        ids = library.encode_ordinary(x)
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert got[i].decoded_sha256 == hashlib.sha256(x.encode()).hexdigest()
+
+
+def test_secret_query(spark, sf, documents):
+    kinds = [("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", "(AKIA[A-Z0-9]+)"), ("hex", "([0-9a-f]+)")]
+    least = {"assign": 8, "access": 16, "hex": 32}
+    got = {r.doc_id: r for r in secret_scan.op8_secret_scan(spark, sf).collect()}
+    assert len(got) == len(documents)
+    for i, x in documents:
+        found = sorted((m.start(), n, k, m.end()) for n, (k, p) in enumerate(kinds) for m in re.finditer(p, x, re.ASCII) if len(m[1]) >= least[k])
+        base = [f"{k}:{a}:{b}" for a, _, k, b in found]
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(k == f[2] for f in found) for k, _ in kinds]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert set(base) <= set(got[i].spans.split(","))
+
+
+def test_packing_query(spark, sf, documents):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_files.path("word_bpe_49k.json"))
+    pieces, windows = {}, {}
+    for r in packing.op6_packing(spark, sf).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+        windows.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert set(pieces) == {i for i, _ in documents}
+    for i, x in documents:
+        ids, at = [*library.encode(x, add_special_tokens=False).ids, 2], 0
+        for r in sorted(pieces[i], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), binascii.crc32(np.array(ids[at : at + r.length], "<u4").tobytes()))
+            at += r.length
+        assert at == len(ids)
+    for own in windows.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 4096
+
+
 # The pipeline.
 
 
