@@ -169,13 +169,16 @@ def resume_from_snapshot(spark, sf):
     return out.select("transaction_no", "n", F.col("total").cast("double").alias("total"))
 
 
-def query_records(spark, sf):
-    """Requests answered with named values, lists, sets and last values too."""
-    held = engine.indicator_state(read_transactions(spark, sf), RECORDS)
+def answered_records(spark, sf, held):
     out = state.query_indicators(requests(spark, sf), held)
     return out.select("request_id", "name", "count", "amount", F.round(F.element_at("values", "k"), 2).alias("k"), F.array_join("arg_list", ",").alias("args"), F.size("arg_set").alias("n_kinds"), "last", "error_message")
 
 
+def query_records(spark, sf):
+    """Requests answered with named values, lists, sets and last values too."""
+    return answered_records(spark, sf, engine.indicator_state(read_transactions(spark, sf), RECORDS))
+
+
 def resume_windows(spark, sf):
     """Sliding windows of the later half of events, continued from the tail of the earlier half."""
     df = read_transactions(spark, sf)

@@ -105,7 +105,19 @@ def stream_tumbling(spark, sf):
 def stream_state_query(spark, sf):
     """Requests answered from the live state of a stream."""
     held = jobs.live_indicators(spark, read_transactions(spark, sf, streaming=True), [r for r in Q.COMPUTE if r.subject == "Card"])
-    return state.query_indicators(Q.requests(spark, sf), held).drop("values")
+    return state.query_indicators(Q.requests(spark, sf), held).drop("values", "arg_list", "arg_set", "last")
+
+
+def stream_records(spark, sf):
+    """Requests answered from the live state of a stream, with named values, lists, sets and last values."""
+    return Q.answered_records(spark, sf, jobs.live_indicators(spark, read_transactions(spark, sf, streaming=True), Q.RECORDS))
+
+
+def stream_arguments(spark, sf):
+    """Lists, sets and last values that a stream keeps for each card, after each transaction."""
+    out = jobs.drained(jobs.indicators(read_transactions(spark, sf, streaming=True), Q.RECORDS), "append")
+    name = lambda m, w: F.col(f"tx_{m}_card_{w}")
+    return out.select("transaction_no", F.array_join(name("list", f"w{DAY}"), ",").alias("kinds"), F.size(name("set", f"w{DAY}")).alias("n_kinds"), name("last", f"w{DAY}").alias("recent"), name("last", "global").alias("large"))
 
 
 def stream_rule_reload(spark, sf):
@@ -138,5 +150,9 @@ TABLE = {
     "stream_gate": (stream_gate, f"WITH {T}, {RELEASES} SELECT transaction_no, 'ALERT_UNAVAILABLE' AS alert_status, 'POSTPONE' AS action FROM t WHERE EXISTS (SELECT 1 FROM d WHERE us >= started_us AND us < ended_us)"),
     "stream_tumbling": (stream_tumbling, f"WITH {T} SELECT merchant, epoch_us(date_trunc('day', ts)) AS window_start, count(*) AS n, round(CAST(sum({MONEY}) AS DOUBLE), 2) AS amount FROM t GROUP BY 1, 2"),
     "stream_state_query": (stream_state_query, Q.TABLE["query_indicators"][1]),
+    "stream_records": (stream_records, Q.TABLE["query_records"][1]),
+    "stream_arguments": (stream_arguments, f"""WITH {T}, l AS (SELECT transaction_no, list_sort(list(merchant) OVER {_frame('card_id', '1 DAY')}) AS k, last_value(CASE WHEN amount > 20 THEN merchant END IGNORE NULLS) OVER {_frame('card_id', '1 DAY')} AS recent,
+        last_value(CASE WHEN amount > 50 THEN argument END IGNORE NULLS) OVER (PARTITION BY card_id ORDER BY us, transaction_no ROWS UNBOUNDED PRECEDING) AS large FROM t)
+      SELECT transaction_no, array_to_string(k, ',') AS kinds, len(list_distinct(k))::INTEGER AS n_kinds, recent, large FROM l"""),
     "stream_rule_reload": (stream_rule_reload, f"WITH {T}, i AS (SELECT transaction_no, count(*) OVER {_frame('card_id', '1 DAY')} AS n FROM t) SELECT transaction_no, CASE WHEN n > 4 THEN 'ALERT' ELSE 'NO_ALERT' END AS alert_status, CASE WHEN n > 4 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM i"),
 }

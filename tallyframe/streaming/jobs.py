@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.alerts import alert_array, merge_alerts, with_status
 from ..operators.gate import deployment_gate
-from ..operators.rules import Rule, check, failures, from_table, lenient, measures, part_name
+from ..operators.rules import Rule, check, failures, from_table, held_value, lenient, measures, part_name
 from ..plans.engine import subject_keys
 from ..sources.folders import shared_folder
 from ..sources.transactions import read_rules
@@ -38,15 +38,21 @@ def _cents() -> Column:
     return F.round(F.coalesce(F.col("amount"), F.lit(0.0)) * 100).cast("long")
 
 
-def kept(stream: DataFrame, keys: list[str], sums: dict[str, Column], specs: dict[str, Spec], payload: list[str], order: str = "arrival", delay: str = "0 seconds") -> DataFrame:
-    """keys, payload and the sums of each row's windows after it, from keyed state. sums: long columns, null counts as 0."""
+def kept(stream: DataFrame, keys: list[str], sums: dict[str, Column], specs: dict[str, Spec], payload: list[str], order: str = "arrival", delay: str = "0 seconds", lists: dict[str, tuple[str, Column]] | None = None, lasts: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
+    """keys, payload and the sums of each row's windows after it, from keyed state. sums: long columns, null counts as 0.
+
+    lists, lasts: name to (part, text column), for the sorted list and the last of a window's values; null brings none.
+    """
+    lists, lasts = lists or {}, lasts or {}
     late = order == "event_time"
-    rows = stream.select(*keys, *dict.fromkeys([*payload, "us", "transaction_no"]), *(F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in sums.items()), *(["ts"] if late else []))
+    rows = stream.select(*keys, *dict.fromkeys([*payload, "us", "transaction_no"]), *(F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in sums.items()), *(c.alias(n) for n, (_, c) in (lists | lasts).items()), *(["ts"] if late else []))
     rows = rows.withWatermark("ts", delay) if late else rows
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     parts = list(dict.fromkeys(p for s in specs.values() for p in s.parts))
     fields = [f"`{c}` {kinds[c]}" for c in [*keys, *payload]] + [f"`{n}_{p}` long" for p in parts for n in sums] + [f"`start_{p}` long" for p in dict.fromkeys(p for s in specs.values() for p in s.fixed)]
-    return rows.groupBy(*keys).transformWithStateInPandas(Records(specs, keys, payload, list(sums), late), ", ".join(fields), "Append", "EventTime" if late else "None")
+    fields += [f"`{n}` array<string>" for n in lists] + [f"`{n}` string" for n in lasts]
+    held = Records(specs, keys, payload, list(sums), late, {n: p for n, (p, _) in lists.items()}, {n: p for n, (p, _) in lasts.items()})
+    return rows.groupBy(*keys).transformWithStateInPandas(held, ", ".join(fields), "Append", "EventTime" if late else "None")
 
 
 def sliding(stream: DataFrame, keys: list[str], windows: dict[str, int], order: str = "arrival", delay: str = "0 seconds") -> DataFrame:
@@ -79,17 +85,15 @@ def _digits(measure: str, record: str) -> int:
 def indicators(stream: DataFrame, rules: list[Rule], custom: dict[str, list[str]] | None = None, order: str = "arrival", delay: str = "0 seconds") -> DataFrame:
     """One row for each transaction and subject with the indicators of that subject's COMPUTE rules, as engine.with_indicators names them.
 
-    Card, merchant and custom subjects, sliding, fixed and unbounded records with counts, amounts and named values. Lists, sets and last
-    values are kept in batch only. A transaction without any key has one row, of subject None.
+    Card, merchant and custom subjects, sliding, fixed and unbounded records with counts, amounts and named values, lists and sets in
+    sliding windows, last values in sliding windows and unbounded. A transaction without any key has one row, of subject None.
     """
     compute = [r for r in rules if r.kind == "COMPUTE"]
-    if any(r.arg_sql or r.last_sql for r in compute):
-        raise ValueError("a stream keeps no lists, sets or last values")
     name = lambda r: (r.custom_subject or r.subject).lower()
+    part = lambda r: part_name(r.subject, r.custom_subject, None if r.scope == "global" else r.window_ms, r.fixed)
     specs = {}
     for n in dict.fromkeys(map(name, compute)):
         own = [r for r in compute if name(r) == n]
-        part = lambda r: part_name(r.subject, r.custom_subject, None if r.scope == "global" else r.window_ms, r.fixed)
         specs[n] = Spec({part(r): r.window_ms for r in own if r.scope == "window" and not r.fixed}, {part(r): r.window_ms for r in own if r.scope == "window" and r.fixed}, next((part(r) for r in own if r.scope == "global"), None))
     with lenient(stream.sparkSession):
         keys = subject_keys(rules, custom or {})
@@ -103,9 +107,13 @@ def indicators(stream: DataFrame, rules: list[Rule], custom: dict[str, list[str]
                 digits[m] = _digits(m, r.record)
                 mine = F.when(F.col("subject") == name(r), F.round(F.coalesce(c, F.lit(0)) * 10 ** digits[m]).cast("long"))
                 sums[m] = F.coalesce(mine, sums[m]) if m in sums else mine
+        brought = lambda r, sql: (part(r), F.when(F.col("subject") == name(r), held_value(r, sql)))
+        lists = {f"{r.record}_list_{part(r)}": brought(r, r.arg_sql) for r in compute if r.arg_sql and r.scope == "window" and not r.fixed}
+        lasts = {f"{r.record}_last_{part(r)}": brought(r, r.last_sql) for r in compute if r.last_sql and not r.fixed}
         payload = [c for c in stream.columns if c not in ("ts", *SUBJECT)]
-        out = kept(fanned, ["subject", "key"], sums, specs, payload, order, delay)
+        out = kept(fanned, ["subject", "key"], sums, specs, payload, order, delay, lists, lasts)
         back = {f"{m}_{p}": (F.col(f"{m}_{p}").cast("decimal(20,0)") / 10**d).cast(f"decimal(28,{d})") for s in specs.values() for p in s.parts for m, d in digits.items() if d}
+        back |= {f"{n.removesuffix(f'_list_{p}')}_set_{p}": F.array_distinct(n) for n, (p, _) in lists.items()}
         return out.withColumns(back) if back else out
 
 
@@ -247,7 +255,7 @@ def live_state(spark: SparkSession, stream: DataFrame, variable: str) -> DataFra
 def live_indicators(spark: SparkSession, stream: DataFrame, rules: list[Rule], custom: dict[str, list[str]] | None = None) -> DataFrame:
     """The state that ``indicators`` has left for each key, in the form of a snapshot: as of the key's last event, for state.query_indicators."""
     compute = [r for r in rules if r.kind == "COMPUTE"]
-    held = live_state(spark, indicators(stream, compute, custom), "latest").select("key.subject", "key.key", F.col("user_map_key.part").alias("part"), F.col("user_map_value.us").alias("us"), F.col("user_map_value.sums").alias("sums"))
+    held = live_state(spark, indicators(stream, compute, custom), "latest").select("key.subject", "key.key", F.col("user_map_key.part").alias("part"), F.col("user_map_value.us").alias("us"), F.col("user_map_value.sums").alias("sums"), F.col("user_map_value.lists").alias("lists"), F.col("user_map_value.lasts").alias("lasts"))
     order = list(dict.fromkeys(m for r in compute for m in measures(r)))
     rows = []
     for r in compute:
@@ -257,7 +265,8 @@ def live_indicators(spark: SparkSession, stream: DataFrame, rules: list[Rule], c
         rows.append(
             held.filter(F.col("part") == part).select(
                 F.lit(r.subject).alias("subject"), F.lit(r.custom_subject).cast("string").alias("custom_subject"), "key", F.lit(None if r.scope == "global" else r.window_ms).cast("long").alias("window_ms"), F.lit(r.fixed).alias("fixed"),
-                F.lit(r.record).alias("record"), F.element_at("sums", order.index(f"{r.record}_count") + 1).alias("count"), at(f"{r.record}_amount", 2).cast("double").alias("amount") if r.amount_sql else F.lit(None).cast("double").alias("amount"), values.alias("values"), F.col("us").alias("as_of"),
+                F.lit(r.record).alias("record"), F.element_at("sums", order.index(f"{r.record}_count") + 1).alias("count"), at(f"{r.record}_amount", 2).cast("double").alias("amount") if r.amount_sql else F.lit(None).cast("double").alias("amount"), values.alias("values"),
+                F.try_element_at("lists", F.lit(f"{r.record}_list_{part}")).alias("arg_list"), F.array_distinct(F.try_element_at("lists", F.lit(f"{r.record}_list_{part}"))).alias("arg_set"), F.try_element_at("lasts", F.lit(f"{r.record}_last_{part}")).alias("last"), F.col("us").alias("as_of"),
             )
         )
     out = rows[0]

@@ -1,4 +1,4 @@
-"""Keyed state for streams: sliding, fixed and unbounded sums of a key by one processor.
+"""Keyed state for streams: sliding, fixed and unbounded sums, lists and last values of a key by one processor.
 
 Rows of a key are put in order within a micro-batch. ``arrival`` order answers them at once
 and lets a late row join the state as it is; ``event_time`` order keeps them until the
@@ -9,11 +9,15 @@ apart from them, its rows, so a micro-batch reads the sums of all live buckets b
 of the buckets that its own rows lie in and that its windows begin in. In event-time order a key has one timer: for
 the first row that waits, else for the time at which its last window is empty and its buckets go. In arrival
 order there is no clock; a key's old buckets go when it has a new row.
+
+Texts for lists and last values are held in buckets of their own, all of which a window's rows read, as a list is
+answered with every row. A last value without window is the one of the latest row that brought one.
 """
 
 from __future__ import annotations
 
 import io
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -50,17 +54,21 @@ class Records(StatefulProcessor):
     """For each row the sums of its key's windows after it: columns ``sum_part``; those of other kinds of keys are null.
 
     specs: windows by the first column of the key ("": of all keys). keys, payload: columns that are handed on. sums: long columns.
+    lists, lasts: text columns by the part they belong to; they come out as the sorted list, or the last one, of the values in its window.
     """
 
-    def __init__(self, specs: dict[str, Spec], keys: list[str], payload: list[str], sums: list[str], event_time: bool):
+    def __init__(self, specs: dict[str, Spec], keys: list[str], payload: list[str], sums: list[str], event_time: bool, lists: dict[str, str] | None = None, lasts: dict[str, str] | None = None):
         self.specs, self.keys, self.payload, self.sums, self.event_time = specs, keys, payload, sums, event_time
+        self.lists, self.lasts = lists or {}, lasts or {}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.totals = handle.getMapState("totals", "bucket long", "sums array<long>")
         self.rows = handle.getMapState("rows", "bucket long", "us binary, no binary, values binary")
         self.fixed = handle.getMapState("fixed", "part string", "start long, sums array<long>")
-        self.latest = handle.getMapState("latest", "part string", "us long, sums array<long>")
+        self.latest = handle.getMapState("latest", "part string", "us long, sums array<long>, lists map<string,array<string>>, lasts map<string,string>")
+        self.texts = handle.getMapState("texts", "bucket long", "rows binary")
+        self.ever = handle.getMapState("ever", "name string", "us long, no long, value string")
         self.waiting = handle.getListState("waiting", "rows binary")
         self.timer = handle.getValueState("timer", "ms long")
 
@@ -120,6 +128,55 @@ class Records(StatefulProcessor):
             self.rows.removeKey((b,))
         return out
 
+    # Lists and last values.
+
+    def _held(self, spec: Spec, names: list[str], us: np.ndarray, no: np.ndarray, fresh: pd.DataFrame) -> dict[str, list]:
+        """Lists and last values of sliding windows at each row."""
+        longest = max(spec.sliding.values()) * 1000
+        span = max(1000, longest // BUCKETS)
+        known = sorted(k[0] for k in self.texts.keys())
+        first, latest = (int(us.min()) - longest) // span, int(us.max()) // span
+        held = {b: pa.ipc.open_stream(self.texts.getValue((b,))[0]).read_pandas() for b in known if first <= b <= latest}
+        new = pd.DataFrame({"us": us, "no": no} | {n: fresh[n].to_numpy(object) for n in names}).dropna(subset=names, how="all")
+        for b, rows in new.groupby(new["us"] // span):
+            held[b] = pd.concat([held[b], rows], ignore_index=True) if b in held else rows
+            self.texts.updateValue((int(b),), (_packed(held[b]),))
+        for b in known:
+            if b < (max(int(us.max()), known[-1] * span) - longest) // span:
+                self.texts.removeKey((b,))
+        if not held:
+            return {n: [[] for _ in us] if n in self.lists else [None] * len(us) for n in names}
+        every = pd.concat(held.values(), ignore_index=True).sort_values(["us", "no"], kind="stable")
+        times = every["us"].to_numpy(np.int64)
+        places = list(zip(times.tolist(), every["no"].tolist(), strict=True))
+        upto = [bisect_right(places, x) for x in zip(us.tolist(), no.tolist(), strict=True)]
+        out = {}
+        for n in names:
+            part = self.lists.get(n) or self.lasts[n]
+            begin = np.searchsorted(times, us - spec.sliding[part] * 1000, "left").tolist()
+            values = every[n].tolist()
+            some = [isinstance(v, str) for v in values]
+            if n in self.lists:
+                out[n] = [sorted(v for v in values[a:b] if isinstance(v, str)) for a, b in zip(begin, upto, strict=True)]
+            else:
+                near = np.append(-1, np.maximum.accumulate(np.where(some, np.arange(len(some)), -1)))
+                out[n] = [values[near[b]] if near[b] >= a else None for a, b in zip(begin, upto, strict=True)]
+        return out
+
+    def _last_ever(self, name: str, us: np.ndarray, no: np.ndarray, values: list) -> list:
+        at, value = (-(2**63), -(2**63)), None
+        if self.ever.containsKey((name,)):
+            *at, value = self.ever.getValue((name,))
+            at = tuple(at)
+        out = []
+        for now, v in zip(zip(us.tolist(), no.tolist(), strict=True), values, strict=True):
+            if isinstance(v, str) and now >= at:
+                at, value = now, v
+            out.append(value)
+        if value is not None:
+            self.ever.updateValue((name,), (*at, value))
+        return out
+
     def _fixed(self, part: str, ms: int, us: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, sums = self.fixed.getValue((part,)) if self.fixed.containsKey((part,)) else (None, [0] * len(self.sums))
         sums, starts, out = np.array(sums, np.int64), np.empty(len(us), np.int64), np.empty_like(values)
@@ -143,14 +200,20 @@ class Records(StatefulProcessor):
         if spec.unbounded:
             held = self.latest.getValue((spec.unbounded,))[1] if self.latest.containsKey((spec.unbounded,)) else [0] * len(self.sums)
             found[spec.unbounded] = np.array(held, np.int64) + np.cumsum(values, axis=0)
+        names = [n for n, p in (self.lists | self.lasts).items() if p in spec.sliding]
+        texts = self._held(spec, names, us, no, fresh) if names else {}
+        texts |= {n: self._last_ever(n, us, no, fresh[n].tolist()) for n, p in self.lasts.items() if p == spec.unbounded}
         for part in spec.parts:
             if part == spec.unbounded or not self.latest.containsKey((part,)) or self.latest.getValue((part,))[0] <= us[-1]:
-                self.latest.updateValue((part,), (int(us[-1]), found[part][-1].tolist()))
+                now = [{n: texts[n][-1] for n, p in kind.items() if p == part} for kind in (self.lists, self.lasts)]
+                self.latest.updateValue((part,), (int(us[-1]), found[part][-1].tolist(), *now))
         for s in {s for spec in self.specs.values() for s in spec.parts}:
             for i, name in enumerate(self.sums):
                 out[f"{name}_{s}"] = found[s][:, i] if s in found else [None] * len(us)
         for s in {s for spec in self.specs.values() for s in spec.fixed}:
             out.setdefault(f"start_{s}", [None] * len(us))
+        for n in self.lists | self.lasts:
+            out[n] = pd.Series(texts.get(n, [None] * len(us)), dtype=object)
         return pd.DataFrame(out)
 
     # Time.
@@ -200,3 +263,4 @@ class Records(StatefulProcessor):
         elif not self.timer.exists():  # idle for its longest window: nothing in it any more
             self.totals.clear()
             self.rows.clear()
+            self.texts.clear()

@@ -290,6 +290,40 @@ def test_alert_rules_change_between_micro_batches(spark, tmp_path):
     assert {r.transaction_no: [a.rule_title for a in r.alerts] for r in answers.collect()} == want
 
 
+HOLDING = [
+    R.Rule("c", "COMPUTE", "Card", 10_000, record="tx", arg_sql="merchant", last_sql="if(amount > 3, merchant, null)"),
+    R.Rule("big", "COMPUTE", "Card", 25_000, record="big", filter_sql="amount > 5", arg_sql="amount", last_sql="amount"),
+    R.Rule("m", "COMPUTE", "Merchant", None, record="tx", scope="global", last_sql="if(amount > 7, card_id, null)"),
+]
+HELD = {"card": ["tx_list_card_w10000", "tx_set_card_w10000", "tx_last_card_w10000", "big_list_card_w25000", "big_set_card_w25000", "big_last_card_w25000"], "merchant": ["tx_last_merchant_global"]}
+
+
+@pytest.mark.parametrize("order", ["arrival", "event_time"])
+def test_lists_sets_and_last_values_of_a_stream_equal_the_batch(spark, tmp_path, order):
+    parts = batches(8)
+    mixed = parts if order == "arrival" else [*(sorted(p, key=lambda x: x[0] % 7) for p in parts), [(999, "a", "x", 1.0, 10**12)]]
+    got = jobs.drained(jobs.indicators(stream(spark, tmp_path, mixed), HOLDING, order=order, delay="0 seconds" if order == "arrival" else "1 second"), "append").collect()
+    want = {r.transaction_no: r for r in engine.with_indicators(table(spark, [x for p in parts for x in p]), HOLDING).collect()}
+    assert len(got) == 2 * len(want)
+    for r in got:
+        for c in HELD[r.subject]:
+            assert r[c] == want[r.transaction_no][c], (r.transaction_no, c)
+
+
+def test_a_late_text_joins_the_state_in_arrival_order(spark, tmp_path):
+    rows = [[(1, "c", "x", 1.0, 20 * S)], [(2, "c", "y", 9.0, 15 * S)], [(3, "c", None, 1.0, 21 * S)]]
+    rules = [R.Rule("c", "COMPUTE", "Card", 10_000, record="tx", arg_sql="merchant", last_sql="merchant"), R.Rule("g", "COMPUTE", "Card", None, record="tx", scope="global", last_sql="merchant")]
+    got = {r.transaction_no: r for r in jobs.drained(jobs.indicators(stream(spark, tmp_path, rows), rules), "append").collect()}
+    assert {i: (r.tx_list_card_w10000, r.tx_last_card_w10000, r.tx_last_card_global) for i, r in got.items()} == {1: (["x"], "x", "x"), 2: (["y"], "y", "x"), 3: (["x", "y"], "x", "x")}
+
+
+def test_live_state_holds_lists_and_last_values(spark, tmp_path):
+    parts = batches(9)
+    columns = ["subject", "key", "record", "window_ms", "count", "arg_list", "arg_set", "last"]
+    rows = lambda df: sorted(map(str, df.select(*columns).collect()))
+    assert rows(jobs.live_indicators(spark, stream(spark, tmp_path, parts), HOLDING)) == rows(engine.indicator_state(table(spark, [x for p in parts for x in p]), HOLDING))
+
+
 def test_transactions_without_any_key_are_answered(spark, tmp_path):
     rows = [[(1, None, None, 1.0, 0), (2, "c", None, 1.0, S)]]
     rules = [R.Rule("c", "COMPUTE", "Card", 10_000, record="tx"), R.Rule("a", "ALERT", "Card", 10_000, condition_sql="tx.count >= 1")]
