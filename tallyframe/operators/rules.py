@@ -181,8 +181,8 @@ def check(rules: list[Rule], example: DataFrame) -> dict[str, str]:
         try:
             if r.kind == "COMPUTE":
                 example.limit(0).select(*measures(r).values(), *(held_value(r, x) for x in (r.arg_sql, r.last_sql) if x)).schema  # noqa: B018
-                if r.arg_sql and (r.fixed or r.scope == "global"):
-                    bad[r.title] = "lists and sets are kept in sliding windows only"
+                if r.arg_sql and r.scope == "global":
+                    bad[r.title] = "lists and sets are kept in windows only"
             else:
                 used = {c: names[n] for c, n in columns_used(r).items()}
                 kind = example.limit(0).withColumns({c: F.lit(None).cast(t) for c, t in used.items()}).select(predicate(r)).schema[0].dataType.simpleString()

@@ -86,7 +86,7 @@ def indicators(stream: DataFrame, rules: list[Rule], custom: dict[str, list[str]
     """One row for each transaction and subject with the indicators of that subject's COMPUTE rules, as engine.with_indicators names them.
 
     Card, merchant and custom subjects, sliding, fixed and unbounded records with counts, amounts and named values, lists and sets in
-    sliding windows, last values in sliding windows and unbounded. A transaction without any key has one row, of subject None.
+    windows, and last values. A transaction without any key has one row, of subject None.
     """
     compute = [r for r in rules if r.kind == "COMPUTE"]
     name = lambda r: (r.custom_subject or r.subject).lower()
@@ -108,8 +108,8 @@ def indicators(stream: DataFrame, rules: list[Rule], custom: dict[str, list[str]
                 mine = F.when(F.col("subject") == name(r), F.round(F.coalesce(c, F.lit(0)) * 10 ** digits[m]).cast("long"))
                 sums[m] = F.coalesce(mine, sums[m]) if m in sums else mine
         brought = lambda r, sql: (part(r), F.when(F.col("subject") == name(r), held_value(r, sql)))
-        lists = {f"{r.record}_list_{part(r)}": brought(r, r.arg_sql) for r in compute if r.arg_sql and r.scope == "window" and not r.fixed}
-        lasts = {f"{r.record}_last_{part(r)}": brought(r, r.last_sql) for r in compute if r.last_sql and not r.fixed}
+        lists = {f"{r.record}_list_{part(r)}": brought(r, r.arg_sql) for r in compute if r.arg_sql and r.scope == "window"}
+        lasts = {f"{r.record}_last_{part(r)}": brought(r, r.last_sql) for r in compute if r.last_sql}
         payload = [c for c in stream.columns if c not in ("ts", *SUBJECT)]
         out = kept(fanned, ["subject", "key"], sums, specs, payload, order, delay, lists, lasts)
         back = {f"{m}_{p}": (F.col(f"{m}_{p}").cast("decimal(20,0)") / 10**d).cast(f"decimal(28,{d})") for s in specs.values() for p in s.parts for m, d in digits.items() if d}

@@ -17,7 +17,7 @@ answered with every row. A last value without window is the one of the latest ro
 from __future__ import annotations
 
 import io
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -68,6 +68,7 @@ class Records(StatefulProcessor):
         self.fixed = handle.getMapState("fixed", "part string", "start long, sums array<long>")
         self.latest = handle.getMapState("latest", "part string", "us long, sums array<long>, lists map<string,array<string>>, lasts map<string,string>")
         self.texts = handle.getMapState("texts", "bucket long", "rows binary")
+        self.open = handle.getMapState("open", "name string", "start long, texts array<string>")
         self.ever = handle.getMapState("ever", "name string", "us long, no long, value string")
         self.waiting = handle.getListState("waiting", "rows binary")
         self.timer = handle.getValueState("timer", "ms long")
@@ -163,6 +164,21 @@ class Records(StatefulProcessor):
                 out[n] = [values[near[b]] if near[b] >= a else None for a, b in zip(begin, upto, strict=True)]
         return out
 
+    def _held_in_open(self, name: str, starts: np.ndarray, values: list) -> list:
+        """The list or last value of a fixed window at each row. starts: of its windows."""
+        start, texts = self.open.getValue((name,)) if self.open.containsKey((name,)) else (None, [])
+        texts, out = list(texts), []
+        for now, v in zip(starts.tolist(), values, strict=True):
+            texts = texts if now == start else []
+            start = now
+            if isinstance(v, str) and name in self.lists:
+                insort(texts, v)
+            elif isinstance(v, str):
+                texts = [v]
+            out.append(list(texts) if name in self.lists else texts[0] if texts else None)
+        self.open.updateValue((name,), (int(start), texts))
+        return out
+
     def _last_ever(self, name: str, us: np.ndarray, no: np.ndarray, values: list) -> list:
         at, value = (-(2**63), -(2**63)), None
         if self.ever.containsKey((name,)):
@@ -203,6 +219,7 @@ class Records(StatefulProcessor):
         names = [n for n, p in (self.lists | self.lasts).items() if p in spec.sliding]
         texts = self._held(spec, names, us, no, fresh) if names else {}
         texts |= {n: self._last_ever(n, us, no, fresh[n].tolist()) for n, p in self.lasts.items() if p == spec.unbounded}
+        texts |= {n: self._held_in_open(n, out[f"start_{p}"], fresh[n].tolist()) for n, p in (self.lists | self.lasts).items() if p in spec.fixed}
         for part in spec.parts:
             if part == spec.unbounded or not self.latest.containsKey((part,)) or self.latest.getValue((part,))[0] <= us[-1]:
                 now = [{n: texts[n][-1] for n, p in kind.items() if p == part} for kind in (self.lists, self.lasts)]

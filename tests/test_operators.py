@@ -294,8 +294,22 @@ HOLDING = [
     R.Rule("c", "COMPUTE", "Card", 10_000, record="tx", arg_sql="merchant", last_sql="if(amount > 3, merchant, null)"),
     R.Rule("big", "COMPUTE", "Card", 25_000, record="big", filter_sql="amount > 5", arg_sql="amount", last_sql="amount"),
     R.Rule("m", "COMPUTE", "Merchant", None, record="tx", scope="global", last_sql="if(amount > 7, card_id, null)"),
+    R.Rule("f", "COMPUTE", "Card", 15_000, fixed=True, record="tx", arg_sql="if(amount > 2, merchant, null)", last_sql="if(amount > 6, merchant, null)"),
 ]
-HELD = {"card": ["tx_list_card_w10000", "tx_set_card_w10000", "tx_last_card_w10000", "big_list_card_w25000", "big_set_card_w25000", "big_last_card_w25000"], "merchant": ["tx_last_merchant_global"]}
+HELD = {"card": ["tx_list_card_w10000", "tx_set_card_w10000", "tx_last_card_w10000", "big_list_card_w25000", "big_set_card_w25000", "big_last_card_w25000", "tx_list_card_fw15000", "tx_set_card_fw15000", "tx_last_card_fw15000"], "merchant": ["tx_last_merchant_global"]}
+
+
+def test_lists_and_last_values_in_fixed_windows(spark):
+    rows = [x for p in batches(10) for x in p]
+    got = {r.transaction_no: r for r in engine.with_indicators(table(spark, rows), HOLDING).collect()}
+    ends, values, recent = {}, {}, {}
+    for i, card, merchant, amount, us in rows:
+        if us > ends.get(card, -1):
+            ends[card], values[card], recent[card] = us + 15 * S, [], None
+        values[card] = sorted([*values[card], *([merchant] if amount > 2 else [])])
+        recent[card] = merchant if amount > 6 else recent[card]
+        r = got[i]
+        assert (r.tx_list_card_fw15000, r.tx_set_card_fw15000, r.tx_last_card_fw15000) == (values[card], sorted(set(values[card])), recent[card])
 
 
 @pytest.mark.parametrize("order", ["arrival", "event_time"])
