@@ -179,6 +179,13 @@ def query_records(spark, sf):
     return answered_records(spark, sf, engine.indicator_state(read_transactions(spark, sf), RECORDS))
 
 
+def fixed_window_arguments(spark, sf):
+    """Lists, sets and last values of each card's fixed windows."""
+    kept = Rule("kept", "COMPUTE", "Card", DAY, fixed=True, record="tx", arg_sql="merchant", last_sql="case when amount > 20 then merchant end")
+    out = engine.with_indicators(read_transactions(spark, sf), [kept])
+    return out.select("transaction_no", F.array_join(f"tx_list_card_fw{DAY}", ",").alias("kinds"), F.size(f"tx_set_card_fw{DAY}").alias("n_kinds"), F.col(f"tx_last_card_fw{DAY}").alias("recent"))
+
+
 def resume_windows(spark, sf):
     """Sliding windows of the later half of events, continued from the tail of the earlier half."""
     df = read_transactions(spark, sf)
@@ -228,6 +235,9 @@ TABLE = {
       q AS (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 13 <> 0 THEN 'Card' END AS subject, c_custkey::VARCHAR AS key, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN {DAY} WHEN 3 THEN {WEEK} ELSE {HOUR} END AS timeframe FROM customer)
       SELECT q.request_id, s.name, s.count, s.amount, s.k, s.args, s.n_kinds, s.last, CASE WHEN q.subject IS NULL THEN 'subject is missing' END AS error_message
       FROM q LEFT JOIN s ON q.subject = 'Card' AND q.key = s.key AND (s.window_ms IS NULL OR coalesce(q.timeframe, 0) = 0 OR q.timeframe = s.window_ms)"""),
+    "fixed_window_arguments": (fixed_window_arguments, f"""{ANCHORED}, l AS (SELECT transaction_no, list_sort(list(merchant) OVER x) AS k, last_value(CASE WHEN amount > 20 THEN merchant END IGNORE NULLS) OVER x AS recent FROM w
+        WINDOW x AS (PARTITION BY card_id, window_start ORDER BY us, transaction_no ROWS UNBOUNDED PRECEDING))
+      SELECT transaction_no, array_to_string(k, ',') AS kinds, len(list_distinct(k))::INTEGER AS n_kinds, recent FROM l"""),
     "resume_windows": (resume_windows, f"WITH {T}, x AS (SELECT transaction_no, ts, count(*) OVER {_CARD_WEEK} AS n_week, count(*) OVER {_HOUR} AS n_hour FROM t) SELECT transaction_no, n_week, n_hour FROM x WHERE ts >= TIMESTAMP '2024-01-16'"),
     "resume_from_snapshot": (resume_from_snapshot, f"WITH {T}, x AS (SELECT *, count(*) OVER g AS n, CAST(sum({MONEY}) OVER g AS DOUBLE) AS total FROM t WINDOW g AS (PARTITION BY card_id ORDER BY us, transaction_no ROWS UNBOUNDED PRECEDING)) SELECT transaction_no, n, total FROM x WHERE ts >= TIMESTAMP '2024-01-16'"),
 }
