@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.alerts import alert_array, merge_alerts, with_status
+from ..operators.alerts import alert_array, union_alerts, with_status
 from ..operators.gate import deployment_gate
 from ..operators.rules import Rule, check, failures, from_table, held_value, lenient, measures, part_name
 from ..plans.engine import subject_keys
@@ -61,15 +61,15 @@ def sliding(stream: DataFrame, keys: list[str], windows: dict[str, int], order:
     return out.select(F.concat_ws("|", *keys).alias("key"), "transaction_no", "us", *(c for w in windows for c in (F.col(f"n_{w}"), (F.col(f"cents_{w}") / 100).alias(f"amount_{w}"))))
 
 
-def fixed(stream: DataFrame, keys: list[str], window_ms: int) -> DataFrame:
+def fixed(stream: DataFrame, keys: list[str], window_ms: int, order: str = "arrival", delay: str = "0 seconds") -> DataFrame:
     """Running count and amount of a window that opens at a key's first row and reopens past its end."""
-    out = kept(stream, keys, {"n": F.lit(1), "cents": _cents()}, {"": Spec({}, {"w": window_ms}, None)}, ["transaction_no", "us"])
+    out = kept(stream, keys, {"n": F.lit(1), "cents": _cents()}, {"": Spec({}, {"w": window_ms}, None)}, ["transaction_no", "us"], order, delay)
     return out.select("transaction_no", "us", F.col("start_w").alias("window_start"), F.col("n_w").alias("n"), (F.col("cents_w") / 100).alias("amount"))
 
 
-def unbounded(stream: DataFrame, keys: list[str]) -> DataFrame:
+def unbounded(stream: DataFrame, keys: list[str], order: str = "arrival", delay: str = "0 seconds") -> DataFrame:
     """Running count and amount since the key's first row."""
-    out = kept(stream, keys, {"n": F.lit(1), "cents": _cents()}, {"": Spec({}, {}, "all")}, ["transaction_no", "us"])
+    out = kept(stream, keys, {"n": F.lit(1), "cents": _cents()}, {"": Spec({}, {}, "all")}, ["transaction_no", "us"], order, delay)
     return out.select("transaction_no", "us", F.col("n_all").alias("n"), (F.col("cents_all") / 100).alias("amount"))
 
 
@@ -129,8 +129,9 @@ def alert_sets(rows: DataFrame, rules: list[Rule], custom: dict[str, list[str]],
             errors.append(F.when(F.col("subject") == n, failures(own, columns)))
         none = alert_array([], {})
         each = rows.select("transaction_no", F.coalesce(*parts, none).alias("alerts"), F.coalesce(*errors, F.array().cast("array<string>")).alias("rule_errors"))
-    lost = each.groupBy("transaction_no").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("rule_errors")))).alias("rule_errors"))
-    return merge_alerts(each, len(alerting)).join(lost, "transaction_no")
+    # a transaction has one row for each subject, so its group is small
+    met = each.groupBy("transaction_no").agg(F.flatten(F.collect_list("alerts")).alias("alerts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("rule_errors")))).alias("rule_errors"))
+    return with_status(met.withColumn("alerts", union_alerts(F.col("alerts"))), len(alerting)).select("transaction_no", "alerts", "alert_status", "score", "rule_errors")
 
 
 def scored(stream: DataFrame, compute: list[Rule], alerting: Callable[[], list[Rule]], custom: dict[str, list[str]] | None = None, order: str = "arrival", delay: str = "0 seconds") -> tuple[DataFrame, DataFrame]:

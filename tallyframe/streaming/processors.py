@@ -7,8 +7,8 @@ watermark has passed them, so that answers equal the batch's.
 A key's time is cut into buckets, a fraction of its longest window. The state holds each bucket's sums and,
 apart from them, its rows, so a micro-batch reads the sums of all live buckets but only the rows
 of the buckets that its own rows lie in and that its windows begin in. In event-time order a key has one timer: for
-the first row that waits, else for the time at which its last window is empty and its buckets go. In arrival
-order there is no clock; a key's old buckets go when it has a new row.
+the first row that waits, else for the time at which its last window is empty or over and the state of its windows goes. In
+arrival order there is no clock; a key's old buckets go when it has a new row.
 
 Texts for lists and last values are held in buckets of their own, all of which a window's rows read, as a list is
 answered with every row. A last value without window is the one of the latest row that brought one.
@@ -245,8 +245,9 @@ class Records(StatefulProcessor):
         self.timer.update((ms,))
 
     def _idle(self, key: tuple, fresh: pd.DataFrame) -> None:
-        if sliding := self._spec(key).sliding:
-            self._remind(int(fresh["us"].max()) // 1000 + max(sliding.values()) + 1)
+        spec = self._spec(key)
+        if windows := [*spec.sliding.values(), *spec.fixed.values()]:
+            self._remind(int(fresh["us"].max()) // 1000 + max(windows) + 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fresh = pd.concat(list(rows), ignore_index=True)
@@ -277,7 +278,6 @@ class Records(StatefulProcessor):
                 self._idle(key, ready)
         if len(ready):
             yield self._answers(key, ready)
-        elif not self.timer.exists():  # idle for its longest window: nothing in it any more
-            self.totals.clear()
-            self.rows.clear()
-            self.texts.clear()
+        elif not self.timer.exists():  # idle for its longest window: nothing in it any more, and the next row opens new fixed ones
+            for held in (self.totals, self.rows, self.texts, self.fixed, self.open):
+                held.clear()

@@ -351,6 +351,20 @@ def test_windows_of_idle_keys_leave_the_state(spark, tmp_path):
     assert {r[0] for r in held.select("key.card_id").distinct().collect()} <= {"b"}
 
 
+def test_fixed_windows_of_idle_keys_leave_the_state(spark, tmp_path):
+    rows = [[(1, "a", "x", 1.0, 0), (2, "b", "x", 1.0, S)], [(3, "b", "x", 1.0, 100 * S)], [(4, "b", "x", 1.0, 200 * S)]]
+    held = jobs.live_state(spark, jobs.fixed(stream(spark, tmp_path, rows), ["card_id"], 10_000, order="event_time"), "fixed")
+    assert {r[0] for r in held.select("key.card_id").distinct().collect()} <= {"b"}
+
+
+def test_fixed_windows_in_event_time_order_equal_the_batch(spark, tmp_path):
+    parts = batches(7)
+    mixed = [*(sorted(p, key=lambda x: x[0] % 7) for p in parts), [(999, "c", "x", 1.0, 10**12)]]
+    got = jobs.drained(jobs.fixed(stream(spark, tmp_path, mixed), ["card_id"], 3_000, order="event_time", delay="1 second"), "append").collect()
+    want = W.running_in_window(W.anchored_window(table(spark, [x for p in parts for x in p]), ["card_id"], 3_000), ["card_id"], {"n": F.lit(1)}).collect()
+    assert {r.transaction_no: (r.window_start, r.n) for r in got} == {r.transaction_no: (r.window_start, r.n) for r in want}
+
+
 def test_rules_survive_their_table(spark):
     rules = [R.Rule("c", "COMPUTE", "Card", 10_000, record="tx", amount_sql="amount", value_sqls=(("k", "1"),), arg_sql="merchant", last_sql="merchant"), R.Rule("d", "ALERT", "Custom", 5, fixed=True, custom_subject="pair", group="g", condition_sql="tx.count > 1", message="m", action="POSTPONE")]
     assert R.from_table(read_rules(R.as_table(spark, rules, "rs", "1"), "rs", "1")) == rules
