@@ -107,18 +107,19 @@ def sliding_list(df: DataFrame, keys: list[str], value: str, window_ms: int, out
     return each.withColumn("_held", held).filter("_ahead = 0").withColumn(out, values).drop("_held", "_span", "_ahead")
 
 
-def sliding_last(df: DataFrame, keys: list[str], values: dict[str, Column], window_ms: int | None, at: str = "us", tie: str = "transaction_no", span_ms: int = SPAN_MS) -> DataFrame:
+def sliding_last(df: DataFrame, keys: list[str], values: dict[str, Column], window_ms: int | None, at: str = "us", tie: str = "transaction_no", span_ms: int = SPAN_MS, source: DataFrame | None = None) -> DataFrame:
     """df with the last non-null value of each name within the window (None: since the key's first row).
 
     The last value of all earlier rows is also the window's, unless it is older than that; it is carried over
-    spans like a running sum.
+    spans like a running sum. source: as in sliding_sums.
     """
     entry = lambda c: F.when(c.isNotNull(), F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), c.alias("value")))
     names = {n: f"_e_{i}" for i, n in enumerate(values)}
-    spans = df.dropna(subset=keys).withColumns({names[n]: entry(c) for n, c in values.items()}).withColumn("_span", F.floor(F.col(at) / (span_ms * 1000)))
+    cut = lambda rows: rows.dropna(subset=keys).withColumns({names[n]: entry(c) for n, c in values.items()}).withColumn("_span", F.floor(F.col(at) / (span_ms * 1000)))
+    spans = cut(df)
     own = Window.partitionBy(*keys, "_span").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    ends = spans.groupBy(*keys, "_span").agg(*(F.max(e).alias(e) for e in names.values()))
+    ends = (spans if source is None else cut(source)).groupBy(*keys, "_span").agg(*(F.max(e).alias(e) for e in names.values()))
     carried = ends.select(*keys, "_span", *(F.max(e).over(before).alias(f"{e}_before") for e in names.values()))
     met = spans.withColumns({e: F.max(e).over(own) for e in names.values()}).join(carried, [*keys, "_span"])
     held = {n: F.coalesce(e, f"{e}_before") for n, e in names.items()}
@@ -150,18 +151,19 @@ def _span_exits(times: np.ndarray, first: int, width: int) -> tuple[np.ndarray,
     return times[edge], ends[edge]
 
 
-def anchored_window(df: DataFrame, keys: list[str], window_ms: int, at: str = "us", tie: str = "transaction_no", span_windows: int = SPAN_WINDOWS) -> DataFrame:
+def anchored_window(df: DataFrame, keys: list[str], window_ms: int, at: str = "us", tie: str = "transaction_no", span_windows: int = SPAN_WINDOWS, source: DataFrame | None = None) -> DataFrame:
     """df with window_start and window_end (microseconds) of fixed windows that open at a key's first row and reopen at
     the first row past their end; a row exactly at the end is inside.
 
     A key's time is cut into spans of span_windows windows. Each span finds out, apart from the others, how its last
     window would end for each way into it; only these short tables are walked through in the key's order, and
     tell each span the end of the window that is open at its beginning. Then every span places its rows by itself, so a hot
-    key is spread over its spans.
+    key is spread over its spans. source: as in sliding_sums.
     """
     width = window_ms * 1000
     span = width * span_windows
-    rows = df.dropna(subset=[*keys, at]).withColumn("_span", F.floor(F.col(at) / span))
+    cut = lambda rows: rows.dropna(subset=[*keys, at]).withColumn("_span", F.floor(F.col(at) / span))
+    rows = cut(df)
     group = [*keys, "_span"]
     n = len(group)
 
@@ -204,7 +206,7 @@ def anchored_window(df: DataFrame, keys: list[str], window_ms: int, at: str = "u
                 end = ends[i] if i < len(last) else end
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(entries, pa.int64())], [*group, "_entry"])
 
-    plain = rows.select(*group, F.col(at).alias("_at"))
+    plain = (rows if source is None else cut(source)).select(*group, F.col(at).alias("_at"))
     kinds = plain.schema.fields[:n]
     many = T.ArrayType(T.LongType())
     steps = plain.distinct().repartition(*group).sortWithinPartitions(*group, "_at").mapInArrow(exits, T.StructType([*kinds, T.StructField("last", many), T.StructField("ends", many)]))
@@ -240,10 +242,10 @@ def epoch_window(df: DataFrame, window_ms: int, at: str = "us") -> DataFrame:
     return df.withColumns({"window_start": start, "window_end": start + window_ms * 1000})
 
 
-def running_in_window(df: DataFrame, keys: list[str], measures: dict[str, Column], at: str = "us", tie: str = "transaction_no", span_ms: int = SPAN_MS) -> DataFrame:
-    """df with running sums within each fixed window."""
-    valued = df.withColumns({m: F.coalesce(c, F.lit(0)) for m, c in measures.items()})
-    return _running(valued, [*keys, "window_start"], [at, tie], at, list(measures), span_ms * 1000)
+def running_in_window(df: DataFrame, keys: list[str], measures: dict[str, Column], at: str = "us", tie: str = "transaction_no", span_ms: int = SPAN_MS, source: DataFrame | None = None) -> DataFrame:
+    """df with running sums within each fixed window. source: as in sliding_sums, with window_start."""
+    valued = lambda rows: rows.withColumns({m: F.coalesce(c, F.lit(0)) for m, c in measures.items()})
+    return _running(valued(df), [*keys, "window_start"], [at, tie], at, list(measures), span_ms * 1000, None if source is None else valued(source))
 
 
 def window_long_form(df: DataFrame, windows: dict[str, int], measures: list[str]) -> DataFrame:

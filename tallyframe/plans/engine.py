@@ -84,11 +84,12 @@ def _with_indicators(df: DataFrame, compute: list[Rule], custom: dict[str, list[
             if r.scope == "global":
                 df = global_record(df, [key], {f"{m}_{part}": c for m, c in measures(r).items()}, source=source)
             elif r.fixed:
-                df = running_in_window(anchored_window(df, [key], r.window_ms), [key], {f"{m}_{part}": c for m, c in measures(r).items()})
+                df = running_in_window(anchored_window(df, [key], r.window_ms, source=source), [key], {f"{m}_{part}": c for m, c in measures(r).items()}, source=anchored_window(source, [key], r.window_ms))
             # a fixed window is no longer than window_ms, so a sliding one over its rows holds all of them
             inside = [key, "window_start"] if r.fixed and r.scope == "window" else [key]
             if r.last_sql:
-                df = sliding_last(df, inside, {f"{r.record}_last_{part}": held_value(r, r.last_sql)}, None if r.scope == "global" else r.window_ms)
+                rows = anchored_window(source, [key], r.window_ms) if len(inside) > 1 else source
+                df = sliding_last(df, inside, {f"{r.record}_last_{part}": held_value(r, r.last_sql)}, None if r.scope == "global" else r.window_ms, source=rows)
             if r.arg_sql and r.scope == "window":
                 df = sliding_list(df.withColumn("_arg", held_value(r, r.arg_sql)), inside, "_arg", r.window_ms, f"{r.record}_list_{part}").drop("_arg")
                 df = df.withColumn(f"{r.record}_set_{part}", F.array_distinct(f"{r.record}_list_{part}"))

@@ -207,6 +207,16 @@ def test_plans_push_down_and_share_a_shuffle(spark, sf):
     assert "BroadcastNestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_a_chain_of_indicators_reads_its_rows_a_few_times_for_each_rule(spark, sf):
+    from tallyframe.sources.transactions import read_transactions
+
+    def scans(n):
+        rules = [R.Rule(f"r{i}", "COMPUTE", "Card", 1000 * (i + 1), fixed=i % 2 == 0, record="tx", last_sql="merchant", arg_sql="merchant") for i in range(n)]
+        return engine.with_indicators(read_transactions(spark, sf), rules)._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+    assert scans(6) <= 3 * scans(2)
+
+
 # Streams over several files, in the order of their times.
 
 
