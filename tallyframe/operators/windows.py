@@ -135,6 +135,8 @@ def global_record(df: DataFrame, keys: list[str], measures: dict[str, Column], a
 
 #: Fixed windows that make one span of a key's time.
 SPAN_WINDOWS = 8
+#: Ways into spans that a task gathers before it sends them on.
+EXITS_AT_ONCE = 100_000
 
 
 def _span_exits(times: np.ndarray, first: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,15 +170,25 @@ def anchored_window(df: DataFrame, keys: list[str], window_ms: int, at: str = "u
     n = len(group)
 
     def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, done, size, types = None, [], [], 0, []
 
-        def whole() -> pa.RecordBatch:
-            last, ends = _span_exits(np.unique(np.concatenate(held)), now[-1].as_py() * span, width)
-            return pa.RecordBatch.from_arrays([*(pa.array([k.as_py()], k.type) for k in now), pa.array([last.tolist()], pa.list_(pa.int64())), pa.array([ends.tolist()], pa.list_(pa.int64()))], [*group, "last", "ends"])
+        def finish() -> None:
+            nonlocal size
+            last, ends = _span_exits(np.unique(np.concatenate(held)), now[-1] * span, width)
+            done.append((*now, last, ends))
+            size += len(last)
+
+        def flat() -> pa.RecordBatch:
+            nonlocal size
+            *own, last, ends = zip(*done, strict=True)
+            done.clear()
+            size = 0
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(own, types, strict=True)), pa.array(last, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], [*group, "last", "ends"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
+            types = [c.type for c in batch.columns[:n]]
             new = np.zeros(batch.num_rows, bool)
             new[0] = True
             for c in batch.columns[:n]:
@@ -184,14 +196,19 @@ def anchored_window(df: DataFrame, keys: list[str], window_ms: int, at: str = "u
             cut = np.flatnonzero(new)
             times = batch.column(n).to_numpy()
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), batch.num_rows], strict=True):
-                own = [batch.column(i)[a] for i in range(n)]
+                own = [batch.column(i)[a].as_py() for i in range(n)]
                 if now is not None and own != now:
-                    yield whole()
+                    finish()
                     held = []
+                    if size >= EXITS_AT_ONCE:
+                        yield flat()
                 now = own
-                held.append(times[a:b])
+                some = times[a:b]
+                held.append(some[np.append(True, some[1:] != some[:-1])])
         if held:
-            yield whole()
+            finish()
+        if done:
+            yield flat()
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, end = None, None
@@ -209,7 +226,7 @@ def anchored_window(df: DataFrame, keys: list[str], window_ms: int, at: str = "u
     plain = (rows if source is None else cut(source)).select(*group, F.col(at).alias("_at"))
     kinds = plain.schema.fields[:n]
     many = T.ArrayType(T.LongType())
-    steps = plain.distinct().repartition(*group).sortWithinPartitions(*group, "_at").mapInArrow(exits, T.StructType([*kinds, T.StructField("last", many), T.StructField("ends", many)]))
+    steps = plain.repartition(*group).sortWithinPartitions(*group, "_at").mapInArrow(exits, T.StructType([*kinds, T.StructField("last", many), T.StructField("ends", many)]))
     entries = steps.repartition(*keys).sortWithinPartitions(*group).mapInArrow(walk, T.StructType([*kinds, T.StructField("_entry", T.LongType())]))
     # a span's entry goes before its rows
     both = rows.withColumn("_entry", F.lit(None).cast("long")).withColumn("_kind", F.lit(1)).unionByName(entries.withColumn("_kind", F.lit(0)), allowMissingColumns=True)

@@ -79,22 +79,21 @@ class Records(StatefulProcessor):
     # Sliding windows.
 
     def _load(self, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        m = len(self.sums)
-        if not self.rows.containsKey((bucket,)):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, m), np.int64)
         us, no, values = self.rows.getValue((bucket,))
-        return np.frombuffer(us, np.int64), np.frombuffer(no, np.int64), np.frombuffer(values, np.int64).reshape(-1, m)
+        return np.frombuffer(us, np.int64), np.frombuffer(no, np.int64), np.frombuffer(values, np.int64).reshape(-1, len(self.sums))
 
     def _sliding(self, spec: Spec, us: np.ndarray, no: np.ndarray, values: np.ndarray) -> dict[str, np.ndarray]:
         longest = max(spec.sliding.values()) * 1000
         span = max(1000, longest // BUCKETS)
         totals = {k[0]: np.array(v[0], np.int64) for k, v in self.totals.iterator()}
+        stored, none = set(totals), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(self.sums)), np.int64))
         own = us // span
-        edges = {int(b) for ms in spec.sliding.values() for b in np.unique((us - ms * 1000) // span)} & set(totals)
+        edges = {int(b) for ms in spec.sliding.values() for b in np.unique((us - ms * 1000) // span)} & stored
         fresh = {int(b) for b in np.unique(own)}
+        gone = (max(int(us.max()), max(stored | fresh) * span) - longest) // span  # buckets before it are in no window to come
         held_us, held_no, held_values, at, begins, size = [], [], [], np.empty(len(us), np.int64), {}, 0
         for b in sorted(edges | fresh):
-            u, k, v = self._load(b)
+            u, k, v = self._load(b) if b in stored else none
             if b in fresh:
                 mine = own == b
                 u, k, v = np.append(u, us[mine]), np.append(k, no[mine]), np.concatenate([v, values[mine]])
@@ -103,9 +102,10 @@ class Records(StatefulProcessor):
                 place[order] = np.arange(len(order))
                 at[mine] = size + place[len(order) - mine.sum() :]
                 u, k, v = u[order], k[order], v[order]
-                self.rows.updateValue((b,), (u.tobytes(), k.tobytes(), np.ascontiguousarray(v).tobytes()))
                 totals[b] = v.sum(axis=0)
-                self.totals.updateValue((b,), (totals[b].tolist(),))
+                if b >= gone:
+                    self.rows.updateValue((b,), (u.tobytes(), k.tobytes(), np.ascontiguousarray(v).tobytes()))
+                    self.totals.updateValue((b,), (totals[b].tolist(),))
             begins[b] = size
             size += len(u)
             held_us.append(u)
@@ -123,10 +123,10 @@ class Records(StatefulProcessor):
             first = start(bucket)
             inside = np.where(first >= 0, np.searchsorted(every, edge, "left"), 0)
             out[part] = upto - before[np.searchsorted(known, bucket)] - (running[inside] - running[np.maximum(first, 0)])
-        gone = (max(int(us.max()), int(known[-1]) * span) - longest) // span
-        for b in known[known < gone].tolist():
-            self.totals.removeKey((b,))
-            self.rows.removeKey((b,))
+        for b in stored:
+            if b < gone:
+                self.totals.removeKey((b,))
+                self.rows.removeKey((b,))
         return out
 
     # Lists and last values.
