@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, exact_dedup, fingerprints, jaccard_join, packing, quality, secret_scan, substring_dedup, token_counts
+from . import byte_bpe, chat, exact_dedup, fingerprints, hard_negatives, jaccard_join, mixing, packing, quality, secret_scan, substring_dedup, token_counts, vector_codes
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_quality": quality.op9_quality,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_source_mix": mixing.op13_source_mix,
 }
 
 ORACLES = {
@@ -22,4 +25,7 @@ ORACLES = {
     "op3_tool_calls": chat.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op5_substring_dedup": substring_dedup.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
+    "op13_source_mix": mixing.ORACLE,
 }
