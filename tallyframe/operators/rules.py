@@ -6,23 +6,23 @@ a set of arguments, and a last value. ALERT rules are predicates over the transa
 subject and window, where ``name.count``, ``name.amount``, ``name.values.x``, ``name.list``,
 ``name.set`` and ``name.last`` stand for indicators and ``global.name.count`` for those without end.
 
-A rule that fails on a row (a division by zero, a cast of what is no number) must not stop the others: expressions are
-analysed by ``lenient``, where such an error gives null, and ``failures`` tells which rules had no result.
+A rule that fails on a row (a division by zero, a cast of what is no number, ``raise_error``) must not stop the others: ``failed`` tells
+of an expression whether it fails there, which is not the same as having no result, and ``guarded`` gives its result where it doesn't.
+In a session without ANSI mode nothing fails where Spark gives null instead.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.columns import clean_group, same_subject
-from .windows import MONEY
+from .sums import BEYOND, MONEY
 
 SUBJECTS = ("Card", "Merchant", "Custom")
 MAIN_GROUP = "MAIN"
@@ -98,21 +98,44 @@ def subjects_in_use(rules: DataFrame) -> DataFrame:
 # Compilation.
 
 _NAMES = re.compile(r"\b(global\.)?([A-Za-z_]\w*)\.(count|amount|list|set|last|values\.(\w+))\b")
-#: Of named values; six places are kept in their sums.
-VALUE = "decimal(18,6)"
 #: Rules of one version that come to the driver to be compiled; more of them are an error.
 MOST_RULES = 10_000
 
 
-@contextmanager
-def lenient(spark: SparkSession) -> Iterator[None]:
-    """Expressions analysed within give null where they would fail on a row; they keep that when the plan runs."""
-    before = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", before)
+#: What can't fail: a column or a constant.
+_PLAIN = re.compile(r"\s*(\w+|`\w+`|'[^']*')\s*")
+
+
+def failed(sql: str) -> Column:
+    """Whether an expression fails on a row.
+
+    try_to_binary gives null where anything below it fails, and only there as its argument is never null; the
+    lambda keeps Spark from working out what several expressions share ahead of them, outside of their try_to_binary.
+    """
+    if _PLAIN.fullmatch(sql):
+        return F.lit(False)
+    return F.expr(f"try_to_binary(coalesce(cast(transform(array(0), _i -> ({sql}))[0] as string), ''), 'utf-8') is null")
+
+
+def guarded(sql: str) -> Column:
+    """An expression's result, null where it fails."""
+    return F.expr(sql) if _PLAIN.fullmatch(sql) else F.when(~failed(sql), F.expr(sql))
+
+
+def chosen(filter_sql: str) -> Column:
+    return F.coalesce(guarded(filter_sql).cast("boolean"), F.lit(False))
+
+
+def tried_cast(sql: str, kind: str) -> Column:
+    """An expression's result as a number of some type, null where it fails or doesn't fit."""
+    return guarded(sql).try_cast(kind)
+
+
+def misfit(sql: str, kind: str) -> Column:
+    """Whether an expression has a result that can't be summed as kind."""
+    value = guarded(sql)
+    number = tried_cast(sql, kind)
+    return value.isNotNull() & (F.isnan(number) | (F.abs(number) >= BEYOND) | number.isNull() if kind == "double" else number.isNull())
 
 
 def part_name(subject: str, custom: str | None, window: int | None, fixed: bool) -> str:
@@ -129,25 +152,14 @@ def columns_used(rule: Rule) -> dict[str, str]:
     return {indicator(rule, m[2], m[3], bool(m[1])): f"{m[2]}.{m[3]}" for m in _NAMES.finditer(rule.condition_sql)}
 
 
-def predicate(rule: Rule) -> Column:
+def condition(rule: Rule) -> str:
     """An ALERT rule's condition with indicators replaced by their columns."""
-    return F.expr(_NAMES.sub(lambda m: f"`{indicator(rule, m[2], m[3], bool(m[1]))}`", rule.condition_sql))
-
+    return _NAMES.sub(lambda m: f"`{indicator(rule, m[2], m[3], bool(m[1]))}`", rule.condition_sql)
 
-def measures(rule: Rule) -> dict[str, Column]:
-    """What a row adds to the sums of a COMPUTE rule's record."""
-    chosen = F.coalesce(F.expr(rule.filter_sql), F.lit(False))
-    out = {f"{rule.record}_count": F.when(chosen, F.lit(1)).otherwise(F.lit(0)).cast("long")}
-    if rule.amount_sql:
-        out[f"{rule.record}_amount"] = F.when(chosen, F.expr(rule.amount_sql).cast(MONEY))
-    for name, sql in rule.value_sqls:
-        out[f"{rule.record}_value_{name}"] = F.when(chosen, F.expr(sql).cast(VALUE))
-    return out
 
-
-def held_value(rule: Rule, sql: str) -> Column:
-    """What a row brings to the list, set or last value of a COMPUTE rule's record, as text; null brings nothing."""
-    return F.when(F.coalesce(F.expr(rule.filter_sql), F.lit(False)), F.expr(sql).cast("string"))
+def predicate(rule: Rule) -> Column:
+    """Whether an ALERT rule's condition holds; null where it fails."""
+    return guarded(condition(rule))
 
 
 def in_group(rules: list[Rule], group: str | None) -> list[Rule]:
@@ -155,43 +167,80 @@ def in_group(rules: list[Rule], group: str | None) -> list[Rule]:
     return [r for r in rules if group is None or r.kind == "COMPUTE" or (r.group or MAIN_GROUP) == group]
 
 
-def failures(rules: list[Rule], columns: list[str]) -> Column:
-    """Titles of the rules that gave no result on a row although all that they read is set. columns: those of the transactions."""
+def failures(rules: list[Rule], example: DataFrame) -> Column:
+    """Titles of the rules that fail on a row. example: rows with the columns of the transactions."""
+    from .records import records
+
+    kinds = {(sql, m.name): m.kind for r in records(rules, example) for m in r.measures for _, sql in m.feeds if sql}
     made = []
     for r in rules:
-        for sql, value in [(r.condition_sql, predicate(r))] if r.kind == "ALERT" else [(x, F.expr(x)) for x in (r.filter_sql, r.amount_sql, *(v for _, v in r.value_sqls)) if x]:
-            words = set(re.findall(r"\w+", _NAMES.sub(" ", sql)))
-            read = [c for c in columns if c in words] + (list(columns_used(r)) if r.kind == "ALERT" else [])
-            failed = value.isNull()
-            for c in read:
-                failed = failed & F.col(f"`{c}`").isNotNull()
-            made.append(F.when(failed, F.lit(r.title)))
+        if r.kind == "ALERT":
+            bad = [failed(condition(r))]
+        else:
+            bad = [failed(sql) for sql in (r.filter_sql, r.arg_sql, r.last_sql) if sql]
+            for name, sql in [*((("amount", r.amount_sql),) if r.amount_sql else ()), *((f"value_{n}", x) for n, x in r.value_sqls)]:
+                bad += [failed(sql), chosen(r.filter_sql) & misfit(sql, kinds[sql, name])]
+        made.append(F.when(_any(bad), F.lit(r.title)))
     return F.array_distinct(F.array_compact(F.array(*made))) if made else F.array().cast("array<string>")
 
 
-def check(rules: list[Rule], example: DataFrame) -> dict[str, str]:
-    """Titles of rules that can't be evaluated on rows like example, with the reason; run when rules are loaded."""
-    bad = {}
-    names: dict[str, str] = {}
-    for r in rules:
-        if r.kind == "COMPUTE":
-            names |= {f"{r.record}.count": "long", f"{r.record}.amount": MONEY, f"{r.record}.list": "array<string>", f"{r.record}.set": "array<string>", f"{r.record}.last": "string"}
-            names |= {f"{r.record}.values.{n}": VALUE for n, _ in r.value_sqls}
+def _any(tests: list[Column]) -> Column:
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
+    return out
+
+
+def check(rules: list[Rule], example: DataFrame, custom: dict[str, list[str]] | None = None) -> dict[str, str]:
+    """Titles of rules that can't be evaluated on rows like example, with the reason; run when rules are loaded. custom: the keys of custom subjects, if they are known."""
+    from .records import records
+
+    bad: dict[str, str] = {}
+    known = None if custom is None else {name.lower() for name in custom}
     for r in rules:
+        if r.kind not in ("COMPUTE", "ALERT"):
+            bad[r.title] = f"its type is {r.kind}"
+        elif r.subject not in SUBJECTS or r.subject == "Custom" and (not r.custom_subject or known is not None and r.custom_subject.lower() not in known):
+            bad[r.title] = f"its subject is {r.custom_subject or r.subject}, which has no key"
+        elif r.kind == "ALERT" and not r.condition_sql:
+            bad[r.title] = "it has no condition"
+        elif r.kind == "COMPUTE" and not r.record:
+            bad[r.title] = "it names no record"
+        elif r.kind == "COMPUTE" and r.scope == "window" and not (r.window_ms and r.window_ms > 0):
+            bad[r.title] = "it has no window"
+        elif r.kind == "COMPUTE" and r.scope == "global" and r.arg_sql:
+            bad[r.title] = "lists and sets are kept in windows only"
+    none = example.limit(0)
+
+    def tried(title: str, *columns: Column) -> T.StructType | None:
         try:
-            if r.kind == "COMPUTE":
-                example.limit(0).select(*measures(r).values(), *(held_value(r, x) for x in (r.arg_sql, r.last_sql) if x)).schema  # noqa: B018
-                if r.arg_sql and r.scope == "global":
-                    bad[r.title] = "lists and sets are kept in windows only"
-            else:
-                used = {c: names[n] for c, n in columns_used(r).items()}
-                kind = example.limit(0).withColumns({c: F.lit(None).cast(t) for c, t in used.items()}).select(predicate(r)).schema[0].dataType.simpleString()
-                if kind != "boolean":
-                    bad[r.title] = f"its condition is {kind}"
-        except KeyError as e:
-            bad[r.title] = f"no rule computes {e.args[0]}"
+            return none.select(*columns).schema
         except AnalysisException as e:
-            bad[r.title] = str(e).splitlines()[0]
+            bad[title] = str(e).splitlines()[0]
+            return None
+
+    sound = []
+    for r in rules:
+        if r.kind == "COMPUTE" and r.title not in bad:
+            read = [r.filter_sql, *(x for x in (r.arg_sql, r.last_sql) if x)]
+            summed = [x for x in (r.amount_sql, *(v for _, v in r.value_sqls)) if x]
+            if tried(r.title, *(guarded(x) for x in read), chosen(r.filter_sql), *(tried_cast(x, "double") for x in summed)) is not None:
+                sound.append(r)
+    names: dict[str, str] = {}
+    for rec in records(sound, example):
+        names |= {rec.column(m.name): "decimal(28,2)" if m.name == "amount" else m.kind for m in rec.measures}
+        names |= {rec.column("list"): "array<string>", rec.column("set"): "array<string>"} if rec.lists else {}
+        names |= {rec.column("last"): "string"} if rec.lasts else {}
+    for r in rules:
+        if r.kind == "ALERT" and r.title not in bad:
+            used = columns_used(r)
+            if lost := [n for c, n in used.items() if c not in names]:
+                bad[r.title] = f"no rule computes {lost[0]} over its window"
+                continue
+            none = example.limit(0).withColumns({c: F.lit(None).cast(names[c]) for c in used})
+            found = tried(r.title, F.expr(condition(r)).alias("c"), predicate(r).alias("p"))
+            if found is not None and found[0].dataType.simpleString() != "boolean":
+                bad[r.title] = f"its condition is {found[0].dataType.simpleString()}"
     return bad
 
 

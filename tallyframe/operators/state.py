@@ -2,11 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import composite_key, human_duration
 
+STATE_FIELDS = (
+    "subject string, custom_subject string, key string, window_ms bigint, fixed boolean, record string, count bigint, amount double, values map<string,double>, arg_list array<string>, arg_set array<string>, "
+    "last string, sums map<string,array<bigint>>, window_end bigint, as_of bigint"
+)
+
+
+class State(NamedTuple):
+    """What rows leave to go on from. records: one row of each key and record (STATE_FIELDS); tail: the rows that sliding windows still hold."""
+
+    records: DataFrame
+    tail: DataFrame
+
+    def write(self, folder: str) -> None:
+        self.records.write.mode("overwrite").parquet(f"{folder}/records")
+        self.tail.write.mode("overwrite").parquet(f"{folder}/tail")
+
+
+def read_state(spark: SparkSession, folder: str) -> State:
+    return State(spark.read.schema(STATE_FIELDS).parquet(f"{folder}/records"), spark.read.parquet(f"{folder}/tail"))
+
 
 def fan_out(df: DataFrame, custom: dict[str, list[str]] | None = None) -> DataFrame:
     """One row for each subject of a transaction (subject, custom_subject, key); null keys give none."""
@@ -32,9 +54,10 @@ def query_indicators(requests: DataFrame, snapshot: DataFrame) -> DataFrame:
     wrong = requests.filter("subject is null").select("request_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("count"), F.lit(None).cast("double").alias("amount"), F.lit("subject is missing").alias("error_message"))
     more = [c for c in ("values", "arg_list", "arg_set", "last") if c in snapshot.columns]
     r, s = requests.filter("subject is not null").alias("r"), snapshot.alias("s")
-    same = F.expr("r.subject = s.subject and coalesce(r.custom_subject, '') = coalesce(s.custom_subject, '') and r.key = s.key")
+    same = F.expr("r.subject = s.subject and lower(coalesce(r.custom_subject, '')) = lower(coalesce(s.custom_subject, '')) and r.key = s.key")
     wanted = F.expr("s.window_ms is null or coalesce(r.timeframe, 0) = 0 or r.timeframe = s.window_ms")
     name = F.when(F.col("s.window_ms").isNull(), F.col("s.record")).otherwise(F.concat(F.col("s.record"), F.lit("-"), human_duration(F.col("s.window_ms"))))
+    more += ["fixed"] if "fixed" in snapshot.columns else []
     found = r.join(s, same & wanted, "left").select("r.request_id", name.alias("name"), F.col("s.count"), F.col("s.amount"), *(F.col(f"s.{c}") for c in more), F.lit(None).cast("string").alias("error_message"))
     return found.unionByName(wrong, allowMissingColumns=True)
 

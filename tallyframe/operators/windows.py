@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MONEY = "decimal(18,2)"
+from .sums import MONEY  # noqa: F401
+
 #: The time span whose rows of one key are sorted together.
 SPAN_MS = 86_400_000
 
@@ -48,8 +49,14 @@ def sliding_sums(df: DataFrame, keys: list[str], windows: dict[str, int], measur
     Measures are long or decimal columns; null counts as 0. Rows with a null key are left out.
     source: where df is the end of a chain of indicators, the rows that it began with.
     """
-    kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(0 if w is None else windows[w] * 1000).alias("late")) for i, w in enumerate([None, *windows])])
-    names = {f"{m}_{w}": (m, i) for i, w in enumerate(windows, 1) for m in measures}
+    return sliding_columns(df, keys, {f"{m}_{w}": (m, ms) for w, ms in windows.items() for m in measures}, measures, at, tie, span_ms, source)
+
+
+def sliding_columns(df: DataFrame, keys: list[str], sums: dict[str, tuple[str, int]], measures: dict[str, Column], at: str = "us", tie: str = "transaction_no", span_ms: int = SPAN_MS, source: DataFrame | None = None) -> DataFrame:
+    """As sliding_sums, for any choice of measures and windows. sums: a new column to (measure, window in ms); all of them share one shuffle."""
+    windows = list(dict.fromkeys(ms for _, ms in sums.values()))
+    kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(ms * 1000).alias("late")) for i, ms in enumerate([0, *windows])])
+    names = {out: (m, windows.index(ms) + 1) for out, (m, ms) in sums.items()}
 
     def signed(rows: DataFrame) -> DataFrame:
         valued = rows.dropna(subset=keys).withColumns({f"_m_{m}": F.coalesce(c, F.lit(0)) for m, c in measures.items()})
@@ -89,7 +96,7 @@ def first_in_window(df: DataFrame, keys: list[str], value: str, window_ms: int,
 
 
 def sliding_list(df: DataFrame, keys: list[str], value: str, window_ms: int, out: str, distinct: bool = False, at: str = "us", tie: str = "transaction_no", most: int | None = None) -> DataFrame:
-    """df with the sorted list (or set) of non-null values in the window. With ``most``, a longer list is an error rather than a loss.
+    """df with the sorted list (or set) of non-null values in the window; an array brings all of its values. With ``most``, a longer list is an error rather than a loss.
 
     A key's time is cut into stretches as long as the window. A row is sent to its own and to the next one, which is all that
     can see it, so a hot key is spread over its stretches and a task holds what two windows hold.
@@ -99,7 +106,8 @@ def sliding_list(df: DataFrame, keys: list[str], value: str, window_ms: int, out
     entry = F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), F.col(value).alias("value"))
     frame = Window.partitionBy(*keys, "_span").orderBy(at).rangeBetween(-width, 0)
     inside = F.filter("_held", lambda e: (e["at"] < F.col(at)) | (e["tie"] <= F.col(tie)))
-    values = F.array_sort(F.transform(inside, lambda e: e["value"]))
+    values = F.transform(inside, lambda e: e["value"])
+    values = F.array_sort(F.flatten(values) if isinstance(df.schema[value].dataType, T.ArrayType) else values)
     values = F.array_distinct(values) if distinct else values
     if most is not None:
         values = F.when(F.size(values) <= most, values).otherwise(F.raise_error(F.lit(f"more than {most} values of {value} in a window")))
@@ -135,32 +143,61 @@ def global_record(df: DataFrame, keys: list[str], measures: dict[str, Column], a
 
 #: Fixed windows that make one span of a key's time.
 SPAN_WINDOWS = 8
+#: The time of a mark before the rows of a span in which a window is open already.
+GOES_ON = -(2**63)
 #: Ways into spans that a task gathers before it sends them on.
 EXITS_AT_ONCE = 100_000
 
 
-def _span_exits(times: np.ndarray, first: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _span_exits(times: np.ndarray, first: int | None, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(last, exit) for a span of one key that begins at first: the last window of the span ends at ``exit[i]`` if its first one begins
-    at a row after ``last[i - 1]`` and up to ``last[i]``; times are distinct and in order."""
-    after = np.searchsorted(times, times + width, "right").tolist()
-    ends = (times + width).tolist()
-    for i in range(len(ends) - 1, -1, -1):
-        if after[i] < len(ends):
-            ends[i] = ends[after[i]]
-    could = min(len(times), int(np.searchsorted(times, first + width, "right")) + 1)  # a window from before the span ends before first + width
-    ends = np.array(ends[:could], np.int64)
+    at a row after ``last[i - 1]`` and up to ``last[i]``; times are distinct and in order. first None: the span's earlier rows are not there."""
+    after = np.searchsorted(times, times + width, "right")
+    last = np.where(after < len(times), after, np.arange(len(times)))
+    while (last[last] != last).any():  # a way's next windows, twice as many each time
+        last = last[last]
+    ends = times[last] + width
+    could = len(times) if first is None else min(len(times), int(np.searchsorted(times, first + width, "right")) + 1)  # a window from before the span ends before first + width
+    ends = ends[:could]
     edge = np.flatnonzero(np.append(ends[1:] != ends[:-1], True))
     return times[edge], ends[edge]
 
 
-def anchored_window(df: DataFrame, keys: list[str], window_ms: int, at: str = "us", tie: str = "transaction_no", span_windows: int = SPAN_WINDOWS, source: DataFrame | None = None) -> DataFrame:
+def _placed(times: np.ndarray, group: np.ndarray, entries: np.ndarray, known: np.ndarray, width: int) -> np.ndarray:
+    """The window start of each row. times: in order within each group; group: 0, 1, ...; entries: the end of the window that is open where a group begins, if ``known``.
+
+    The windows of all groups are followed together, one window of each at a time.
+    """
+    first = np.searchsorted(group, np.arange(len(entries)))
+    until = np.append(first[1:], len(times))
+    some = np.flatnonzero(first < until)
+    base = np.zeros(len(entries), np.int64)
+    base[some] = times[first[some]]
+    room = int((times - base[group]).max(initial=0)) + 2
+    line = group * room + (times - base[group]) + 1
+    after = lambda g, end: np.searchsorted(line, g * room + np.clip(end - base[g] + 1, 0, room - 1), "right")
+    at = np.where(known[some], after(some, entries[some]), first[some])
+    opens = np.zeros(len(times), bool)
+    while True:
+        going = at < until[some]
+        some, at = some[going], at[going]
+        if not len(some):
+            break
+        opens[at] = True
+        at = after(some, times[at] + width)
+    opener = np.maximum.accumulate(np.where(opens, np.arange(len(times)), -1))
+    own = opener >= first[group]
+    return np.where(own, times[np.maximum(opener, 0)], entries[group] - width)
+
+
+def anchored_window(df: DataFrame, keys: list[str], window_ms: int, at: str = "us", tie: str = "transaction_no", span_windows: int = SPAN_WINDOWS, source: DataFrame | None = None, opened: DataFrame | None = None) -> DataFrame:
     """df with window_start and window_end (microseconds) of fixed windows that open at a key's first row and reopen at
     the first row past their end; a row exactly at the end is inside.
 
     A key's time is cut into spans of span_windows windows. Each span finds out, apart from the others, how its last
     window would end for each way into it; only these short tables are walked through in the key's order, and
     tell each span the end of the window that is open at its beginning. Then every span places its rows by itself, so a hot
-    key is spread over its spans. source: as in sliding_sums.
+    key is spread over its spans. source: as in sliding_sums. opened: keys and ``_open``, the end of the window that earlier rows have opened.
     """
     width = window_ms * 1000
     span = width * span_windows
@@ -174,7 +211,11 @@ def anchored_window(df: DataFrame, keys: list[str], window_ms: int, at: str = "u
 
         def finish() -> None:
             nonlocal size
-            last, ends = _span_exits(np.unique(np.concatenate(held)), now[-1] * span, width)
+            times = np.unique(np.concatenate(held))
+            goes_on = times[0] == GOES_ON
+            if len(times) == goes_on:
+                return
+            last, ends = _span_exits(times[1:], None, width) if goes_on else _span_exits(times, now[-1] * span, width)
             done.append((*now, last, ends))
             size += len(last)
 
@@ -218,15 +259,23 @@ def anchored_window(df: DataFrame, keys: list[str], window_ms: int, at: str = "u
             for k, last, ends in zip(own, batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
                 if k != now:
                     now, end = k, None
+                if last is None:  # of a key that goes on
+                    end = ends[0]
                 entries.append(end)
+                if last is None:
+                    continue
                 i = 0 if end is None else bisect_right(last, end)
                 end = ends[i] if i < len(last) else end
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(entries, pa.int64())], [*group, "_entry"])
 
     plain = (rows if source is None else cut(source)).select(*group, F.col(at).alias("_at"))
     kinds = plain.schema.fields[:n]
+    if opened is not None:
+        plain = plain.unionByName(opened.select(*keys, F.floor((F.col("_open") - width) / span).alias("_span"), F.lit(GOES_ON).alias("_at")))
     many = T.ArrayType(T.LongType())
     steps = plain.repartition(*group).sortWithinPartitions(*group, "_at").mapInArrow(exits, T.StructType([*kinds, T.StructField("last", many), T.StructField("ends", many)]))
+    if opened is not None:
+        steps = steps.unionByName(opened.select(*keys, F.lit(GOES_ON).alias("_span"), F.lit(None).cast(many).alias("last"), F.array("_open").alias("ends")))
     entries = steps.repartition(*keys).sortWithinPartitions(*group).mapInArrow(walk, T.StructType([*kinds, T.StructField("_entry", T.LongType())]))
     # a span's entry goes before its rows
     both = rows.withColumn("_entry", F.lit(None).cast("long")).withColumn("_kind", F.lit(1)).unionByName(entries.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
@@ -237,17 +286,20 @@ def anchored_window(df: DataFrame, keys: list[str], window_ms: int, at: str = "u
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = None
         for batch in batches:
-            starts = np.empty(batch.num_rows, np.int64)
-            for i, (k, e, t) in enumerate(zip(batch.column(kind).to_pylist(), batch.column(entry).to_pylist(), batch.column(time).to_pylist(), strict=True)):
-                if k == 0:
-                    end = e
-                    continue
-                if end is None or t > end:
-                    end = t + width
-                starts[i] = end - width
-            keep = pc.equal(batch.column(kind), 1)
-            begin = pa.array(starts).filter(keep)
-            yield pa.RecordBatch.from_arrays([*(c.filter(keep) for c in batch.columns[:size]), begin, pc.add(begin, width)], schema.names)
+            if not batch.num_rows:
+                continue
+            is_row = batch.column(kind).to_numpy() == 1
+            heads, times = batch.column(entry).filter(pa.array(~is_row)), batch.column(time).filter(pa.array(is_row)).to_numpy()
+            entries = np.append(0 if end is None else end, pc.fill_null(heads, 0).to_numpy())
+            known = np.append(end is not None, heads.is_valid().to_numpy(zero_copy_only=False))
+            group = np.cumsum(~is_row)[is_row]
+            starts = _placed(times, group, entries, known, width)
+            if len(group) and group[-1] == len(entries) - 1:
+                end = int(starts[-1]) + width
+            else:
+                end = int(entries[-1]) if known[-1] else None
+            begin = pa.array(starts)
+            yield pa.RecordBatch.from_arrays([*(c.filter(pa.array(is_row)) for c in batch.columns[:size]), begin, pc.add(begin, width)], schema.names)
 
     # every group begins with its entry, so rows need no comparison of keys
     return both.repartition(*group).sortWithinPartitions(*group, "_kind", at, tie).mapInArrow(place, schema)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import alerts as A, state, windows as W
 from ..operators.rules import Rule, as_table, check, from_table
+from ..sources.folders import shared_folder
 from ..sources.transactions import read_rules, read_transactions, table
 from . import engine
 from .queries_windows import ANCHORED, DAY, HOUR, MONEY, T, WEEK, _frame
@@ -101,12 +104,15 @@ FAILING = [
     Rule("busy", "ALERT", "Card", WEEK, condition_sql="tx.count >= 4"),
     Rule("band", "COMPUTE", "Custom", WEEK, custom_subject="band", record="tx"),
     Rule("same-band", "ALERT", "Custom", WEEK, custom_subject="band", condition_sql="tx.count >= 20"),
+    Rule("large", "ALERT", "Card", WEEK, condition_sql="case when amount > 30 then true end"),  # has no result on most rows, by design
+    Rule("stopped", "ALERT", "Card", WEEK, condition_sql="if(amount > 60, raise_error('too much'), tx.count >= 5)"),
+    Rule("typo", "ALERT", "Card", WEEK, condition_sql="amuont > 1"),  # doesn't resolve
 ]
 BAND = {"band": ["merchant", "100 div (cast(argument as int) - 50)"]}
 
 
 def failing_rules(spark, sf):
-    """Rules and subjects that fail on a transaction are reported, and the others still alert."""
+    """Rules and subjects that fail on a transaction, and rules that don't resolve, are reported, and the others still alert."""
     out = engine.check_transactions(read_transactions(spark, sf), FAILING, BAND)
     return out.select("transaction_no", A.titles(F.col("alerts")).alias("alerts"), "score", F.array_join(F.array_sort("rule_errors"), ",").alias("rule_errors"))
 
@@ -194,11 +200,106 @@ def resume_windows(spark, sf):
     return out.select("transaction_no", F.col(f"tx_count_card_w{WEEK}").alias("n_week"), F.col(f"tx_count_merchant_w{HOUR}").alias("n_hour"))
 
 
+#: Several rules that keep one record, over one window and over two, each with its own filter.
+SHARED = [
+    Rule("bought", "COMPUTE", "Card", DAY, record="tx", filter_sql="merchant = 'purchase'", amount_sql="amount", value_sqls=(("x", "cast(argument as int)"),), arg_sql="merchant", last_sql="argument"),
+    Rule("large", "COMPUTE", "Card", DAY, record="tx", filter_sql="amount > 20", amount_sql="amount * 2", value_sqls=(("x", "1000"), ("y", "amount")), arg_sql="argument", last_sql="merchant"),
+    Rule("failed", "COMPUTE", "Card", WEEK, record="tx", filter_sql="merchant = 'error'"),
+    Rule("seen", "COMPUTE", "Card", WEEK, record="tx", filter_sql="merchant = 'view'", amount_sql="amount"),
+    Rule("bought-ever", "COMPUTE", "Card", None, record="tx", filter_sql="merchant = 'purchase'", scope="global"),
+    Rule("large-ever", "COMPUTE", "Card", None, record="tx", filter_sql="amount > 20", amount_sql="amount", scope="global", last_sql="merchant"),
+    Rule("bought-fixed", "COMPUTE", "Card", DAY, fixed=True, record="tx", filter_sql="merchant = 'purchase'", last_sql="merchant"),
+    Rule("large-fixed", "COMPUTE", "Card", DAY, fixed=True, record="tx", filter_sql="amount > 20", amount_sql="amount", arg_sql="merchant"),
+    Rule("often", "ALERT", "Card", DAY, condition_sql="tx.count >= 3 and tx.values.x > 1000"),
+    Rule("much", "ALERT", "Card", WEEK, condition_sql="tx.count >= 3 and tx.amount > 30"),
+    Rule("share", "ALERT", "Card", DAY, fixed=True, condition_sql="tx.count * 3 >= global.tx.count and size(tx.list) > 1"),
+]
+
+
+def shared_columns(rows):
+    """The records of SHARED that a row has, sliding and fixed ones and those without end."""
+    at = lambda m, w: F.col(f"tx_{m}_card_{w}")
+    day, week, ever, fixed = f"w{DAY}", f"w{WEEK}", "global", f"fw{DAY}"
+    return rows.select(
+        "transaction_no", at("count", day).alias("n_day"), at("amount", day).cast("double").alias("total_day"), at("value_x", day).alias("x"), F.round(at("value_y", day), 6).alias("y"), F.array_join(at("list", day), ",").alias("args"), at("last", day).alias("recent"),
+        at("count", week).alias("n_week"), at("amount", week).cast("double").alias("total_week"), at("count", ever).alias("n_ever"), at("amount", ever).cast("double").alias("total_ever"), at("last", ever).alias("last_ever"),
+        at("count", fixed).alias("n_fixed"), at("amount", fixed).cast("double").alias("total_fixed"), F.array_join(at("list", fixed), ",").alias("args_fixed"), at("last", fixed).alias("last_fixed"),
+    )
+
+
+def shared_records(spark, sf):
+    return shared_columns(engine.with_indicators(read_transactions(spark, sf), SHARED))
+
+
+def shared_alerts(spark, sf):
+    """Alerts on records that several rules keep."""
+    return engine.check_transactions(read_transactions(spark, sf), SHARED).select("transaction_no", "score", A.titles(F.col("alerts")).alias("alerts"))
+
+
+MIXED = "case when transaction_no % 3 = 0 then 1e15 + floor(amount) when transaction_no % 3 = 1 then -1e15 - floor(amount * 8) / 8 else floor(amount) / 1099511627776d end"
+#: Named values of all types, large and small ones in one window.
+TYPED = [
+    Rule("typed", "COMPUTE", "Card", WEEK, record="tx", value_sqls=(("time", "us"), ("mixed", MIXED), ("cents", "cast(amount as decimal(18,2))"), ("wide", "cast(cast(amount as decimal(18,2)) * 1000000000000BD as decimal(38,6)) * 1000BD"), ("whole", "cast(argument as int)"))),
+    Rule("late", "ALERT", "Card", WEEK, condition_sql="tx.values.time > 7000000000000000 and tx.values.whole > 100"),
+]
+
+
+def typed_values(spark, sf):
+    """Exact sums of longs, decimals and doubles from 2^-40 to 10^15 of both signs."""
+    df = read_transactions(spark, sf)
+    at = lambda n: F.col(f"tx_value_{n}_card_w{WEEK}")
+    out = engine.with_indicators(df, TYPED).select("transaction_no", at("time").alias("time"), at("mixed").alias("mixed"), at("cents").cast("double").alias("cents"), at("wide").cast("double").alias("wide"), at("whole").alias("whole"))
+    return out.join(engine.check_transactions(df, TYPED).select("transaction_no", A.titles(F.col("alerts")).alias("alerts")), "transaction_no")
+
+
+def _earlier(df):
+    return F.col("ts") < F.lit("2024-01-16").cast("timestamp")
+
+
+def resume_records(spark, sf):
+    """All kinds of records of the later half of events, going on from the state that the earlier half has left, which is written and read back."""
+    df = read_transactions(spark, sf)
+    folder = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
+    engine.next_state(df.filter(_earlier(df)), SHARED).write(folder)
+    return shared_columns(engine.with_indicators(df.filter(~_earlier(df)), SHARED, start=state.read_state(spark, folder)))
+
+
+def resume_requests(spark, sf):
+    """Requests answered from a state that has grown in three steps, each from the one before."""
+    df = read_transactions(spark, sf)
+    day = F.dayofmonth("ts")
+    held, folder = None, f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
+    for i, some in enumerate((day < 11, (day >= 11) & (day < 20), day >= 20)):
+        engine.next_state(df.filter(some), RECORDS, start=held).write(f"{folder}/{i}")
+        held = state.read_state(spark, f"{folder}/{i}")
+    return answered_records(spark, sf, held.records)
+
+
 STATE_SQL = f"""{T}, x AS (SELECT *, count(*) OVER {_CARD_DAY} AS nd, sum({MONEY}) OVER {_CARD_DAY} AS ad, count(*) OVER {_CARD_WEEK} AS nw, sum({MONEY}) OVER {_CARD_WEEK} AS aw,
   count(*) OVER g AS ng, sum({MONEY}) OVER g AS ag, row_number() OVER (PARTITION BY card_id ORDER BY us DESC, transaction_no DESC) AS rn FROM t WINDOW g AS (PARTITION BY card_id ORDER BY us, transaction_no ROWS UNBOUNDED PRECEDING)),
   s AS (SELECT 'Card' AS subject, card_id AS key, 'tx' AS record, us AS as_of, unnest([{DAY}, {WEEK}, NULL])::BIGINT AS window_ms, unnest([nd, nw, ng]) AS count, unnest([ad, aw, ag])::DOUBLE AS amount FROM x WHERE rn = 1)"""
 
+_BOUGHT, _LARGE = "FILTER (merchant = 'purchase')", "FILTER (amount > 20)"
+_TEXTS = "array_to_string(list_sort(list_concat(coalesce({0}, []), coalesce({1}, []))), ',')"
+SHARED_SQL = f"""{ANCHORED}, e AS (SELECT *, try_cast(argument AS INT) AS k, {MONEY} AS money, CAST(amount * 2 AS DECIMAL(18,2)) AS twice, CASE WHEN amount > 20 THEN merchant WHEN merchant = 'purchase' THEN argument END AS brought,
+      CASE WHEN merchant = 'purchase' THEN merchant END AS bought, CASE WHEN amount > 20 THEN merchant END AS large FROM w),
+  s AS (SELECT transaction_no, ts, us, amount, count(*) {_BOUGHT} OVER d + count(*) {_LARGE} OVER d AS n_day, coalesce(sum(money) {_BOUGHT} OVER d, 0) + coalesce(sum(twice) {_LARGE} OVER d, 0) AS total_day,
+      (coalesce(sum(k) {_BOUGHT} OVER d, 0) + 1000 * count(*) {_LARGE} OVER d)::BIGINT AS x, coalesce(sum(amount) {_LARGE} OVER d, 0) AS y, {_TEXTS.format(f"list(merchant) {_BOUGHT} OVER d", f"list(argument) {_LARGE} OVER d")} AS args, last_value(brought IGNORE NULLS) OVER d AS recent,
+      count(*) FILTER (merchant IN ('error', 'view')) OVER k AS n_week, coalesce(sum(money) FILTER (merchant = 'view') OVER k, 0) AS total_week,
+      count(*) {_BOUGHT} OVER g + count(*) {_LARGE} OVER g AS n_ever, coalesce(sum(money) {_LARGE} OVER g, 0) AS total_ever, last_value(large IGNORE NULLS) OVER g AS last_ever,
+      count(*) {_BOUGHT} OVER f + count(*) {_LARGE} OVER f AS n_fixed, coalesce(sum(money) {_LARGE} OVER f, 0) AS total_fixed, {_TEXTS.format("NULL", f"list(merchant) {_LARGE} OVER f")} AS args_fixed, coalesce(len(list(merchant) {_LARGE} OVER f), 0) AS n_args, last_value(bought IGNORE NULLS) OVER f AS last_fixed
+    FROM e WINDOW d AS {_CARD_DAY}, k AS {_CARD_WEEK}, g AS (PARTITION BY card_id ORDER BY us, transaction_no ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY card_id, window_start ORDER BY us, transaction_no ROWS UNBOUNDED PRECEDING))"""
+SHARED_COLUMNS = """transaction_no, n_day, total_day::DOUBLE AS total_day, x, round(y, 6) AS y, args, recent, n_week, total_week::DOUBLE AS total_week, n_ever, total_ever::DOUBLE AS total_ever, last_ever, n_fixed, total_fixed::DOUBLE AS total_fixed, args_fixed, last_fixed"""
+SHARED_ALERTS = """array_to_string(list_filter([CASE WHEN n_week >= 3 AND total_week > 30 THEN 'much' END, CASE WHEN n_day >= 3 AND x > 1000 THEN 'often' END, CASE WHEN n_fixed * 3 >= n_ever AND n_args > 1 THEN 'share' END], lambda x: x IS NOT NULL), ',')"""
+_UNIT = 1 << 40
+
 TABLE = {
+    "shared_records": (shared_records, f"{SHARED_SQL} SELECT {SHARED_COLUMNS} FROM s"),
+    "shared_alerts": (shared_alerts, f"{SHARED_SQL} SELECT transaction_no, (len(alerts) - len(replace(alerts, ',', '')) + (alerts <> '')::INT) / 3.0::DOUBLE AS score, alerts FROM (SELECT transaction_no, {SHARED_ALERTS} AS alerts FROM s)"),
+    "resume_records": (resume_records, f"{SHARED_SQL} SELECT {SHARED_COLUMNS} FROM s WHERE ts >= TIMESTAMP '2024-01-16'"),
+    "typed_values": (typed_values, f"""WITH {T}, m AS (SELECT *, CASE transaction_no % 3 WHEN 0 THEN (1000000000000000 + floor(amount)::HUGEINT) * {_UNIT} WHEN 1 THEN (-8000000000000000 - floor(amount * 8)::HUGEINT) * {_UNIT // 8} ELSE floor(amount)::HUGEINT END AS mixed, try_cast(argument AS INT) AS k FROM t),
+        v AS (SELECT transaction_no, sum(us) OVER f AS time, sum(mixed) OVER f AS mixed, sum({MONEY}) OVER f AS cents, sum(k) OVER f AS whole FROM m WINDOW f AS {_CARD_WEEK})
+      SELECT transaction_no, time::BIGINT AS time, floor(mixed / {_UNIT}::DOUBLE)::DOUBLE + (mixed - floor(mixed / {_UNIT}::DOUBLE)::HUGEINT * {_UNIT})::DOUBLE / {_UNIT} AS mixed, cents::DOUBLE AS cents, (cents::DECIMAL(22,2) * 1000000000000000)::DOUBLE AS wide, whole::BIGINT AS whole, CASE WHEN time > 7000000000000000 AND whole > 100 THEN 'late' ELSE '' END AS alerts FROM v"""),
     "check_transactions": (check_transactions, f"{SCORED} SELECT transaction_no, CASE WHEN len(titles) > 0 THEN 'ALERT' ELSE 'NO_ALERT' END AS alert_status, len(titles) / 5.0::DOUBLE AS score, array_to_string(titles, ',') AS alerts FROM a"),
     "sink_alert_sets": (sink_alert_sets, f"{SCORED} SELECT transaction_no, card_id, merchant, array_to_string(titles, ',') AS alerts, len(titles) / 5.0::DOUBLE AS score FROM a WHERE len(titles) > 0"),
     "alert_status": (alert_status, f"{SCORED} SELECT CASE WHEN len(titles) > 0 THEN 'ALERT' ELSE 'NO_ALERT' END AS alert_status, count(*) AS n FROM a GROUP BY 1"),
@@ -213,9 +314,9 @@ TABLE = {
     "failing_rules": (failing_rules, f"""WITH {T}, i AS (SELECT *, argument::INT AS k, count(*) OVER {_CARD_WEEK} AS nw FROM t),
       b AS (SELECT *, CASE WHEN k <> 50 THEN merchant || '|' || (100 // abs(k - 50) * sign(k - 50))::INT END AS band FROM i),
       c AS (SELECT *, CASE WHEN band IS NOT NULL THEN count(*) OVER {_frame('band', '7 DAYS')} END AS nb FROM b),
-      a AS (SELECT *, list_filter([CASE WHEN nw >= 4 THEN 'busy' END, CASE WHEN k <> 50 AND k % (k - 50) = 3 THEN 'cast' END, CASE WHEN nb >= 20 THEN 'same-band' END, CASE WHEN nw > 1 AND amount / (nw - 1) > 5 THEN 'split' END], lambda x: x IS NOT NULL) AS titles FROM c)
-      SELECT transaction_no, array_to_string(titles, ',') AS alerts, len(titles) / 4.0::DOUBLE AS score,
-        array_to_string(list_filter([CASE WHEN k = 50 THEN 'band' END, CASE WHEN k = 50 THEN 'cast' END, 'odd-cast', CASE WHEN nw = 1 THEN 'split' END], lambda x: x IS NOT NULL), ',') AS rule_errors FROM a"""),
+      a AS (SELECT *, list_filter([CASE WHEN nw >= 4 THEN 'busy' END, CASE WHEN k <> 50 AND k % (k - 50) = 3 THEN 'cast' END, CASE WHEN amount > 30 THEN 'large' END, CASE WHEN nb >= 20 THEN 'same-band' END, CASE WHEN nw > 1 AND amount / (nw - 1) > 5 THEN 'split' END, CASE WHEN amount <= 60 AND nw >= 5 THEN 'stopped' END], lambda x: x IS NOT NULL) AS titles FROM c)
+      SELECT transaction_no, array_to_string(list_sort(titles), ',') AS alerts, len(titles) / 6.0::DOUBLE AS score,
+        array_to_string(list_filter([CASE WHEN k = 50 THEN 'band' END, CASE WHEN k = 50 THEN 'cast' END, 'odd-cast', CASE WHEN nw = 1 THEN 'split' END, CASE WHEN amount > 60 THEN 'stopped' END, 'typo'], lambda x: x IS NOT NULL), ',') AS rule_errors FROM a"""),
     "rules_from_table": (rules_from_table, f"""WITH {T}, i AS (SELECT *, count(*) OVER {_CARD_DAY} AS n, sum(try_cast(argument AS INT)) OVER {_CARD_DAY} AS k, sum(CAST(amount / 4 AS DECIMAL(18,6))) OVER {_CARD_DAY} AS share,
         list(merchant) OVER {_CARD_DAY} AS kinds, last_value(CASE WHEN amount > 20 THEN merchant END IGNORE NULLS) OVER {_CARD_DAY} AS recent,
         last_value(CASE WHEN amount > 50 THEN argument END IGNORE NULLS) OVER (PARTITION BY card_id ORDER BY us, transaction_no ROWS UNBOUNDED PRECEDING) AS large FROM t),
@@ -241,3 +342,4 @@ TABLE = {
     "resume_windows": (resume_windows, f"WITH {T}, x AS (SELECT transaction_no, ts, count(*) OVER {_CARD_WEEK} AS n_week, count(*) OVER {_HOUR} AS n_hour FROM t) SELECT transaction_no, n_week, n_hour FROM x WHERE ts >= TIMESTAMP '2024-01-16'"),
     "resume_from_snapshot": (resume_from_snapshot, f"WITH {T}, x AS (SELECT *, count(*) OVER g AS n, CAST(sum({MONEY}) OVER g AS DOUBLE) AS total FROM t WINDOW g AS (PARTITION BY card_id ORDER BY us, transaction_no ROWS UNBOUNDED PRECEDING)) SELECT transaction_no, n, total FROM x WHERE ts >= TIMESTAMP '2024-01-16'"),
 }
+TABLE["resume_requests"] = (resume_requests, TABLE["query_records"][1])

@@ -105,7 +105,7 @@ def stream_tumbling(spark, sf):
 def stream_state_query(spark, sf):
     """Requests answered from the live state of a stream."""
     held = jobs.live_indicators(spark, read_transactions(spark, sf, streaming=True), [r for r in Q.COMPUTE if r.subject == "Card"])
-    return state.query_indicators(Q.requests(spark, sf), held).drop("values", "arg_list", "arg_set", "last")
+    return state.query_indicators(Q.requests(spark, sf), held).drop("values", "arg_list", "arg_set", "last", "fixed")
 
 
 def stream_records(spark, sf):
@@ -127,7 +127,7 @@ def stream_rule_reload(spark, sf):
     rules = version("1", "tx.count > 6").unionByName(version("2", "tx.count > 4")).unionByName(version("3", "none.count > 4"))
     deployments = spark.createDataFrame([("cards", "1", 1, True), ("cards", "2", 2, True), ("cards", "3", 3, True), ("cards", "4", 4, False)], "ruleset string, version string, requested_us long, valid boolean")
     example = read_transactions(spark, sf).limit(0)
-    answers, _ = jobs.scored(read_transactions(spark, sf, streaming=True), compute, lambda: jobs.active_rules(rules, deployments, "cards", example, compute)[1])
+    answers, _ = jobs.scored(read_transactions(spark, sf, streaming=True), compute, lambda: jobs.active_rules(lambda: rules, lambda: deployments, "cards", example, compute)[1])
     return answers.select("transaction_no", F.col("alert_status"), F.col("score"))
 
 

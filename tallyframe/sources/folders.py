@@ -37,6 +37,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder wherever Spark's file systems keep it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

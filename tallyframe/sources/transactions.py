@@ -33,7 +33,7 @@ def event_time(*candidates: Column) -> Column:
 
 
 def read_transactions(spark: SparkSession, sf_dir: str, streaming: bool = False, mapping: dict[str, str] | None = None) -> DataFrame:
-    """Transactions from the events table, as a batch or as a stream of its files."""
+    """Transactions from the events table, as a batch or as a stream of its files, also those that come later if it is a folder."""
     # a stream's path is a pattern, since the source takes a plain path for a folder
     df = spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events.parque[t]") if streaming else table(spark, sf_dir, "events")
     return normalise(df, mapping or EVENT_MAPPING)

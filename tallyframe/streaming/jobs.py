@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.alerts import alert_array, union_alerts, with_status
 from ..operators.gate import deployment_gate
-from ..operators.rules import Rule, check, failures, from_table, held_value, lenient, measures, part_name
-from ..plans.engine import subject_keys
-from ..sources.folders import shared_folder
+from ..operators.records import Record, records, slot_columns
+from ..operators.rules import Rule, check, failures, from_table, part_name
+from ..operators.state import query_indicators
+from ..operators.sums import MONEY, parts
+from ..plans.engine import in_force, state_row, subject_keys
+from ..sources.folders import exists, shared_folder
 from ..sources.transactions import read_rules
 from .processors import Records, Spec
 
@@ -35,13 +42,13 @@ def _rocksdb(spark: SparkSession) -> Iterator[None]:
 
 
 def _cents() -> Column:
-    return F.round(F.coalesce(F.col("amount"), F.lit(0.0)) * 100).cast("long")
+    return parts(F.coalesce(F.col("amount").try_cast(MONEY), F.lit(0).cast(MONEY)), MONEY)[0]
 
 
-def kept(stream: DataFrame, keys: list[str], sums: dict[str, Column], specs: dict[str, Spec], payload: list[str], order: str = "arrival", delay: str = "0 seconds", lists: dict[str, tuple[str, Column]] | None = None, lasts: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
+def kept(stream: DataFrame, keys: list[str], sums: dict[str, Column], specs: dict[str, Spec], payload: list[str], order: str = "arrival", delay: str = "0 seconds", lists: dict[str, tuple[str, Column]] | None = None, lasts: dict[str, tuple[str, Column]] | None = None, idle_ms: int | None = None) -> DataFrame:
     """keys, payload and the sums of each row's windows after it, from keyed state. sums: long columns, null counts as 0.
 
-    lists, lasts: name to (part, text column), for the sorted list and the last of a window's values; null brings none.
+    lists, lasts: name to (part, column), for the sorted list of a window's texts (arrays of them) and its last text; null brings none. idle_ms: as in Records.
     """
     lists, lasts = lists or {}, lasts or {}
     late = order == "event_time"
@@ -51,13 +58,13 @@ def kept(stream: DataFrame, keys: list[str], sums: dict[str, Column], specs: dic
     parts = list(dict.fromkeys(p for s in specs.values() for p in s.parts))
     fields = [f"`{c}` {kinds[c]}" for c in [*keys, *payload]] + [f"`{n}_{p}` long" for p in parts for n in sums] + [f"`start_{p}` long" for p in dict.fromkeys(p for s in specs.values() for p in s.fixed)]
     fields += [f"`{n}` array<string>" for n in lists] + [f"`{n}` string" for n in lasts]
-    held = Records(specs, keys, payload, list(sums), late, {n: p for n, (p, _) in lists.items()}, {n: p for n, (p, _) in lasts.items()})
-    return rows.groupBy(*keys).transformWithStateInPandas(held, ", ".join(fields), "Append", "EventTime" if late else "None")
+    held = Records(specs, keys, payload, list(sums), late, {n: p for n, (p, _) in lists.items()}, {n: p for n, (p, _) in lasts.items()}, idle_ms)
+    return rows.groupBy(*keys).transformWithStateInPandas(held, ", ".join(fields), "Append", "EventTime" if late else "None" if idle_ms is None else "ProcessingTime")
 
 
-def sliding(stream: DataFrame, keys: list[str], windows: dict[str, int], order: str = "arrival", delay: str = "0 seconds") -> DataFrame:
+def sliding(stream: DataFrame, keys: list[str], windows: dict[str, int], order: str = "arrival", delay: str = "0 seconds", idle_ms: int | None = None) -> DataFrame:
     """Counts and amounts of each transaction's key over sliding windows (name to ms)."""
-    out = kept(stream, keys, {"n": F.lit(1), "cents": _cents()}, {"": Spec(windows, {}, None)}, ["transaction_no", "us"], order, delay)
+    out = kept(stream, keys, {"n": F.lit(1), "cents": _cents()}, {"": Spec(windows, {}, None)}, ["transaction_no", "us"], order, delay, idle_ms=idle_ms)
     return out.select(F.concat_ws("|", *keys).alias("key"), "transaction_no", "us", *(c for w in windows for c in (F.col(f"n_{w}"), (F.col(f"cents_{w}") / 100).alias(f"amount_{w}"))))
 
 
@@ -74,101 +81,178 @@ def unbounded(stream: DataFrame, keys: list[str], order: str = "arrival", delay:
 
 
 SUBJECT = ["subject", "custom_subject", "key"]
-#: Digits of the sums of each type, which travel as whole numbers.
-DIGITS = {"count": 0, "amount": 2, "value": 6}
 
 
-def _digits(measure: str, record: str) -> int:
-    return DIGITS[measure.removeprefix(f"{record}_").split("_")[0]]
-
-
-def indicators(stream: DataFrame, rules: list[Rule], custom: dict[str, list[str]] | None = None, order: str = "arrival", delay: str = "0 seconds") -> DataFrame:
+def indicators(stream: DataFrame, rules: list[Rule], custom: dict[str, list[str]] | None = None, order: str = "arrival", delay: str = "0 seconds", idle_ms: int | None = None) -> DataFrame:
     """One row for each transaction and subject with the indicators of that subject's COMPUTE rules, as engine.with_indicators names them.
 
     Card, merchant and custom subjects, sliding, fixed and unbounded records with counts, amounts and named values, lists and sets in
     windows, and last values. A transaction without any key has one row, of subject None.
     """
-    compute = [r for r in rules if r.kind == "COMPUTE"]
-    name = lambda r: (r.custom_subject or r.subject).lower()
-    part = lambda r: part_name(r.subject, r.custom_subject, None if r.scope == "global" else r.window_ms, r.fixed)
+    recs = records(rules, stream)
     specs = {}
-    for n in dict.fromkeys(map(name, compute)):
-        own = [r for r in compute if name(r) == n]
-        specs[n] = Spec({part(r): r.window_ms for r in own if r.scope == "window" and not r.fixed}, {part(r): r.window_ms for r in own if r.scope == "window" and r.fixed}, next((part(r) for r in own if r.scope == "global"), None))
-    with lenient(stream.sparkSession):
-        keys = subject_keys(rules, custom or {})
-        found = F.filter(F.array(*(F.struct(F.lit(n).alias("subject"), k.cast("string").alias("key")) for n, k in keys.items())), lambda x: x["key"].isNotNull())
-        alone = F.array(F.struct(F.lit("none").alias("subject"), F.concat(F.lit("\0"), F.coalesce(F.col("transaction_no").cast("string"), F.lit(""))).alias("key")))
-        fanned = stream.withColumn("_s", F.explode(F.when(F.size(found) > 0, found).otherwise(alone))).select("*", "_s.*").drop("_s")
-        sums: dict[str, Column] = {}
-        digits = {}
-        for r in compute:
-            for m, c in measures(r).items():
-                digits[m] = _digits(m, r.record)
-                mine = F.when(F.col("subject") == name(r), F.round(F.coalesce(c, F.lit(0)) * 10 ** digits[m]).cast("long"))
-                sums[m] = F.coalesce(mine, sums[m]) if m in sums else mine
-        brought = lambda r, sql: (part(r), F.when(F.col("subject") == name(r), held_value(r, sql)))
-        lists = {f"{r.record}_list_{part(r)}": brought(r, r.arg_sql) for r in compute if r.arg_sql and r.scope == "window"}
-        lasts = {f"{r.record}_last_{part(r)}": brought(r, r.last_sql) for r in compute if r.last_sql}
-        payload = [c for c in stream.columns if c not in ("ts", *SUBJECT)]
-        out = kept(fanned, ["subject", "key"], sums, specs, payload, order, delay, lists, lasts)
-        back = {f"{m}_{p}": (F.col(f"{m}_{p}").cast("decimal(20,0)") / 10**d).cast(f"decimal(28,{d})") for s in specs.values() for p in s.parts for m, d in digits.items() if d}
-        back |= {f"{n.removesuffix(f'_list_{p}')}_set_{p}": F.array_distinct(n) for n, (p, _) in lists.items()}
-        return out.withColumns(back) if back else out
-
-
-def alert_sets(rows: DataFrame, rules: list[Rule], custom: dict[str, list[str]], columns: list[str]) -> DataFrame:
-    """transaction_no, alerts, alert_status, score and rule_errors of the rows of ``indicators``: each subject judged by its own rules, and their alerts merged."""
+    for n in dict.fromkeys(r.owner for r in recs):
+        own = [r for r in recs if r.owner == n]
+        slots = dict.fromkeys(s for r in own for m in r.measures for s in m.slots)
+        specs[n] = Spec({r.part: r.window_ms for r in own if r.window_ms and not r.fixed}, {r.part: r.window_ms for r in own if r.fixed}, next((r.part for r in own if r.window_ms is None), None), tuple(slots))
+    keys = subject_keys(rules, custom or {})
+    found = F.filter(F.array(*(F.struct(F.lit(n).alias("subject"), k.cast("string").alias("key")) for n, k in keys.items())), lambda x: x["key"].isNotNull())
+    alone = F.array(F.struct(F.lit("none").alias("subject"), F.concat(F.lit("\0"), F.coalesce(F.col("transaction_no").cast("string"), F.lit(""))).alias("key")))
+    fanned = stream.withColumn("_s", F.explode(F.when(F.size(found) > 0, found).otherwise(alone))).select("*", "_s.*").drop("_s")
+    mine = lambda r, c: (r.part, F.when(F.col("subject") == r.owner, c))
+    lists = {r.column("list"): mine(r, r.texts()) for r in recs if r.lists}
+    lasts = {r.column("last"): mine(r, r.last()) for r in recs if r.lasts}
+    payload = [c for c in stream.columns if c not in ("ts", *SUBJECT)]
+    out = kept(fanned, ["subject", "key"], slot_columns(recs), specs, payload, order, delay, lists, lasts, idle_ms)
+    done: dict[str, Column] = {}
+    for r in recs:
+        done |= r.finished({s: F.col(f"{s}_{r.part}") for m in r.measures for s in m.slots})
+        if r.lists:
+            done[r.column("set")] = F.array_distinct(r.column("list"))
+    return out.select("subject", "key", *payload, *(c.alias(n) for n, c in done.items()), *lists, *lasts, *(c for c in out.columns if c.startswith("start_")))
+
+
+def alert_sets(rows: DataFrame, rules: list[Rule], custom: dict[str, list[str]], example: DataFrame) -> DataFrame:
+    """transaction_no, alerts, alert_status, score and rule_errors of the rows of ``indicators``: each subject judged by its own rules, and their alerts merged.
+
+    A rule that fails its check is left out and named in the rule_errors of all rows. example: rows with the columns of the transactions.
+    """
+    rules, bad = in_force(rules, example, custom)
     alerting = [r for r in rules if r.kind == "ALERT"]
-    with lenient(rows.sparkSession):
-        keys = subject_keys(rules, custom)
-        parts, errors = [], []
-        for n in dict.fromkeys((r.custom_subject or r.subject).lower() for r in alerting):
-            own = [r for r in alerting if (r.custom_subject or r.subject).lower() == n]
-            parts.append(F.when(F.col("subject") == n, alert_array(own, keys)))
-            errors.append(F.when(F.col("subject") == n, failures(own, columns)))
-        none = alert_array([], {})
-        each = rows.select("transaction_no", F.coalesce(*parts, none).alias("alerts"), F.coalesce(*errors, F.array().cast("array<string>")).alias("rule_errors"))
+    keys = subject_keys(rules, custom)
+    parts_, errors = [], []
+    for n in dict.fromkeys((r.custom_subject or r.subject).lower() for r in rules):
+        own = [r for r in alerting if (r.custom_subject or r.subject).lower() == n]
+        parts_.append(F.when(F.col("subject") == n, alert_array(own, keys)))
+        errors.append(F.when(F.col("subject") == n, failures([r for r in rules if (r.custom_subject or r.subject).lower() == n], example)))
+    none = alert_array([], {})
+    each = rows.select("transaction_no", F.coalesce(*parts_, none).alias("alerts"), F.concat(F.coalesce(*errors, F.array().cast("array<string>")), F.array(*(F.lit(t) for t in bad)).cast("array<string>")).alias("rule_errors"))
     # a transaction has one row for each subject, so its group is small
     met = each.groupBy("transaction_no").agg(F.flatten(F.collect_list("alerts")).alias("alerts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("rule_errors")))).alias("rule_errors"))
     return with_status(met.withColumn("alerts", union_alerts(F.col("alerts"))), len(alerting)).select("transaction_no", "alerts", "alert_status", "score", "rule_errors")
 
 
-def scored(stream: DataFrame, compute: list[Rule], alerting: Callable[[], list[Rule]], custom: dict[str, list[str]] | None = None, order: str = "arrival", delay: str = "0 seconds") -> tuple[DataFrame, DataFrame]:
-    """The main path on a stream: (answers, alert sets) of all transactions of its source.
+ANSWERS = "transaction_no long, alerts array<struct<rule_title:string,message:string,action:string,subject:string,key:string,window_ms:bigint>>, alert_status string, score double, rule_errors array<string>"
+#: Of the state and the folders of a job; a job of another layout isn't gone on with.
+LAYOUT = 3
+
 
-    The ALERT rules are asked for anew in each micro-batch, which is judged by one version; COMPUTE rules shape the state and stay. A
-    micro-batch writes its answers, and apart from them those with alerts, to folders of its own, so one that runs again replaces its own output.
+class Job:
+    """The main path on a stream, in a folder of its own: checkpoint, answers, alert sets (``alerts``), and a note of what its state holds.
+
+    The ALERT rules are asked for anew in each micro-batch, which is judged by one version. COMPUTE rules shape the state; a job
+    that is started again in its folder goes on where it stopped, with other COMPUTE rules too: records that stay go on, new ones begin. A
+    micro-batch writes its answers, and apart from them those with alerts, to folders of its own and then a mark; one that comes again after a
+    loss finds its mark and writes nothing, or replaces what is incomplete, so every answer is there once.
     """
-    spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/scored-{uuid.uuid4().hex}"
-    kind = alert_sets(spark.createDataFrame([], indicators(stream, compute, custom).schema), [*compute, *alerting()], custom or {}, stream.columns).schema
 
-    def batch(df: DataFrame, number: int) -> None:
-        done = alert_sets(df, [*compute, *alerting()], custom or {}, stream.columns).persist()
-        done.write.mode("overwrite").parquet(f"{base}/answers/batch={number}")
-        done.filter(F.size("alerts") > 0).write.mode("overwrite").parquet(f"{base}/alerts/batch={number}")
-        done.unpersist()
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.query = spark, folder.rstrip("/"), None
+
+    def start(self, stream: DataFrame, compute: list[Rule], alerting: Callable[[], list[Rule]], custom: dict[str, list[str]] | None = None, order: str = "arrival", delay: str = "0 seconds", idle_ms: int | None = None, trigger: dict | None = None) -> Job:
+        """Go on, or begin, with stream. trigger: as of DataStreamWriter.trigger; the default reads all that there is and stops."""
+        compute, custom = [r for r in compute if r.kind == "COMPUTE"], custom or {}
+        self._note(stream, compute, custom)
+        example = self.spark.createDataFrame([], stream.schema)
+
+        def batch(df: DataFrame, number: int) -> None:
+            if exists(self.spark, f"{self.folder}/done/batch={number}"):
+                return
+            done = alert_sets(df, [*compute, *alerting()], custom, example).persist()
+            done.write.mode("overwrite").parquet(f"{self.folder}/answers/batch={number}")
+            done.filter(F.size("alerts") > 0).write.mode("overwrite").parquet(f"{self.folder}/alerts/batch={number}")
+            done.unpersist()
+            self.spark.range(1).select(F.lit(number).alias("n")).write.mode("overwrite").parquet(f"{self.folder}/done/batch={number}")
+
+        with _rocksdb(self.spark):
+            every = [*compute, *(r for r in alerting() if r.subject == "Custom" or (r.subject not in {c.subject for c in compute}))]
+            every = [r for r in every if r.subject != "Custom" or r.custom_subject and r.custom_subject.lower() in {c.lower() for c in custom}]
+            rows = indicators(stream, every, custom, order, delay, idle_ms)
+            self.query = rows.writeStream.foreachBatch(batch).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
+        return self
+
+    def wait(self) -> Job:
+        self.query.awaitTermination()
+        return self
+
+    def stop(self) -> None:
+        self.query.stop()
+
+    def answers(self, name: str = "answers") -> DataFrame:
+        """What all finished micro-batches have answered (``alerts``: only what has alerts), with the number of the batch."""
+        done = self.spark.read.schema("n long, batch int").parquet(f"{self.folder}/done").select("batch") if exists(self.spark, f"{self.folder}/done") else self.spark.createDataFrame([], "batch int")
+        if not exists(self.spark, f"{self.folder}/{name}"):
+            return self.spark.createDataFrame([], f"{ANSWERS}, batch int")
+        return self.spark.read.schema(f"{ANSWERS}, batch int").parquet(f"{self.folder}/{name}").join(done, "batch", "left_semi").select(*(c.split()[0] for c in ("transaction_no", "alerts", "alert_status", "score", "rule_errors", "batch")))
+
+    def state(self, batch: int | None = None) -> DataFrame:
+        """The records of all keys after the last micro-batch that the job has committed (or an earlier one that is still kept), as of each key's last
+        event; read from the checkpoint, also of a job that is running, for state.query_indicators."""
+        note = json.loads(self._noted()[-1])
+        example = self.spark.createDataFrame([], T.StructType.fromJson(note["columns"]))
+        rules = [Rule(**{k: tuple(map(tuple, v)) if k == "value_sqls" else v for k, v in r.items()}) for r in note["rules"]]
+        return saved_records(self.spark, f"{self.folder}/checkpoint", records(rules, example), batch)
+
+    def _noted(self) -> list[str]:
+        path = f"{self.folder}/notes"
+        return [r.value for r in self.spark.read.json(path, "n long, value string").orderBy("n").collect()] if exists(self.spark, path) else []
+
+    def _note(self, stream: DataFrame, compute: list[Rule], custom: dict[str, list[str]]) -> None:
+        """Keep the layout, the stream's columns and the COMPUTE rules; a few rows, one for each change of rules."""
+        before = self._noted()
+        now = json.dumps({"layout": LAYOUT, "columns": json.loads(stream.schema.json()), "rules": [asdict(r) for r in compute], "custom": custom}, sort_keys=True)
+        if before and json.loads(before[-1])["layout"] != LAYOUT:
+            raise ValueError(f"the job in {self.folder} has layout {json.loads(before[-1])['layout']}, not {LAYOUT}")
+        if before and json.loads(before[-1])["columns"] != json.loads(now)["columns"]:
+            raise ValueError(f"the job in {self.folder} reads other columns")
+        if not before or before[-1] != now:
+            self.spark.createDataFrame([(len(before), now)], "n long, value string").coalesce(1).write.mode("append").json(f"{self.folder}/notes")
+
+
+def scored(stream: DataFrame, compute: list[Rule], alerting: Callable[[], list[Rule]], custom: dict[str, list[str]] | None = None, order: str = "arrival", delay: str = "0 seconds") -> tuple[DataFrame, DataFrame]:
+    """(answers, alert sets) of all transactions that a stream's source holds now, by a Job in a folder of its own."""
+    job = Job(stream.sparkSession, f"{shared_folder(stream.sparkSession)}/scored-{uuid.uuid4().hex}").start(stream, compute, alerting, custom, order, delay).wait()
+    return job.answers().drop("batch"), job.answers("alerts").drop("batch")
+
 
+def saved_records(spark: SparkSession, checkpoint: str, recs: list[Record], batch: int | None = None) -> DataFrame:
+    """The records of all keys in a checkpoint, in the form of engine.indicator_state."""
+    reader = spark.read.format("statestore").option("stateVarName", "latest")
     with _rocksdb(spark):
-        every = [*compute, *(r for r in alerting() if r.subject == "Custom" or (r.subject not in {c.subject for c in compute}))]
-        indicators(stream, every, custom, order, delay).writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    read = lambda name: spark.read.schema(kind).parquet(f"{base}/{name}")
-    return read("answers"), read("alerts")
+        held = (reader if batch is None else reader.option("batchId", batch)).load(checkpoint).select("key.subject", "key.key", F.col("user_map_key.part").alias("part"), "user_map_value.*")
+    out = None
+    for r in recs:
+        sums = {s: F.coalesce(F.element_at("sums", F.lit(s)), F.lit(0)) for m in r.measures for s in m.slots}
+        at = lambda kind, c: F.try_element_at(kind, F.lit(r.column(c)))  # noqa: E731, B023
+        row = state_row(r, sums, at("lists", "list") if r.lists else None, at("lasts", "last") if r.lasts else None, F.col("ends") if r.fixed else None)
+        mine = held.filter((F.col("subject") == r.owner) & (F.col("part") == r.part)).select(F.lit(r.subject).alias("subject"), F.lit(r.custom).cast("string").alias("custom_subject"), "key", row.alias("r"), F.col("us").alias("as_of"))
+        mine = mine.select("subject", "custom_subject", "key", "r.*", "as_of")
+        out = mine if out is None else out.unionByName(mine)
+    return out
+
 
+def answered_requests(requests: DataFrame, job: Job, folder: str, trigger: dict | None = None) -> StreamingQuery:
+    """A stream of requests, each micro-batch answered from the state that a job has at that time, into a folder of its own below folder/answers."""
 
-def active_rules(rules: DataFrame, deployments: DataFrame, ruleset: str, example: DataFrame, compute: list[Rule]) -> tuple[str, list[Rule]]:
+    def batch(df: DataFrame, number: int) -> None:
+        query_indicators(df, job.state()).write.mode("overwrite").parquet(f"{folder}/answers/batch={number}")
+
+    return requests.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
+
+
+def active_rules(rules: Callable[[], DataFrame], deployments: Callable[[], DataFrame], ruleset: str, example: DataFrame, compute: list[Rule], custom: dict[str, list[str]] | None = None) -> tuple[str, list[Rule]]:
     """(version, its ALERT rules) in force: the newest requested version that is valid and whose rules pass the check; older ones stand in for those that fail.
 
-    deployments: ruleset, version, requested_us, valid. Versions are tried from the newest on.
+    rules, deployments (ruleset, version, requested_us, valid): asked for in each call, so that a reader of files sees those that have come since.
+    Versions are tried from the newest on.
     """
-    wanted = deployments.filter((F.col("ruleset") == ruleset) & F.col("valid")).groupBy("version").agg(F.max("requested_us").alias("at")).orderBy(F.desc("at"), F.desc("version"))
+    wanted = deployments().filter((F.col("ruleset") == ruleset) & F.col("valid")).groupBy("version").agg(F.max("requested_us").alias("at")).orderBy(F.desc("at"), F.desc("version"))
     for (version, _) in wanted.toLocalIterator():
         try:
-            found = [r for r in from_table(read_rules(rules, ruleset, version)) if r.kind == "ALERT"]
+            found = [r for r in from_table(read_rules(rules(), ruleset, version)) if r.kind == "ALERT"]
         except ValueError:
             continue
-        if not check([*compute, *found], example):
+        if not check([*compute, *found], example, custom):
             return version, found
     raise ValueError(f"ruleset {ruleset} has no version that can run")
 
@@ -254,23 +338,5 @@ def live_state(spark: SparkSession, stream: DataFrame, variable: str) -> DataFra
 
 
 def live_indicators(spark: SparkSession, stream: DataFrame, rules: list[Rule], custom: dict[str, list[str]] | None = None) -> DataFrame:
-    """The state that ``indicators`` has left for each key, in the form of a snapshot: as of the key's last event, for state.query_indicators."""
-    compute = [r for r in rules if r.kind == "COMPUTE"]
-    held = live_state(spark, indicators(stream, compute, custom), "latest").select("key.subject", "key.key", F.col("user_map_key.part").alias("part"), F.col("user_map_value.us").alias("us"), F.col("user_map_value.sums").alias("sums"), F.col("user_map_value.lists").alias("lists"), F.col("user_map_value.lasts").alias("lasts"))
-    order = list(dict.fromkeys(m for r in compute for m in measures(r)))
-    rows = []
-    for r in compute:
-        at = lambda m, d: (F.element_at("sums", order.index(m) + 1) / 10**d).alias("x") if m in order else F.lit(None).cast("double")
-        part = part_name(r.subject, r.custom_subject, None if r.scope == "global" else r.window_ms, r.fixed)
-        values = F.map_from_arrays(F.array(*(F.lit(n) for n, _ in r.value_sqls)).cast("array<string>"), F.array(*(at(f"{r.record}_value_{n}", 6) for n, _ in r.value_sqls)).cast("array<double>"))
-        rows.append(
-            held.filter(F.col("part") == part).select(
-                F.lit(r.subject).alias("subject"), F.lit(r.custom_subject).cast("string").alias("custom_subject"), "key", F.lit(None if r.scope == "global" else r.window_ms).cast("long").alias("window_ms"), F.lit(r.fixed).alias("fixed"),
-                F.lit(r.record).alias("record"), F.element_at("sums", order.index(f"{r.record}_count") + 1).alias("count"), at(f"{r.record}_amount", 2).cast("double").alias("amount") if r.amount_sql else F.lit(None).cast("double").alias("amount"), values.alias("values"),
-                F.try_element_at("lists", F.lit(f"{r.record}_list_{part}")).alias("arg_list"), F.array_distinct(F.try_element_at("lists", F.lit(f"{r.record}_list_{part}"))).alias("arg_set"), F.try_element_at("lasts", F.lit(f"{r.record}_last_{part}")).alias("last"), F.col("us").alias("as_of"),
-            )
-        )
-    out = rows[0]
-    for more in rows[1:]:
-        out = out.unionByName(more)
-    return out
+    """The state of a job that has read all that a stream's source holds."""
+    return Job(spark, f"{shared_folder(spark)}/live-{uuid.uuid4().hex}").start(stream, rules, list, custom).wait().state()

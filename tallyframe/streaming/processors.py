@@ -8,7 +8,7 @@ A key's time is cut into buckets, a fraction of its longest window. The state ho
 apart from them, its rows, so a micro-batch reads the sums of all live buckets but only the rows
 of the buckets that its own rows lie in and that its windows begin in. In event-time order a key has one timer: for
 the first row that waits, else for the time at which its last window is empty or over and the state of its windows goes. In
-arrival order there is no clock; a key's old buckets go when it has a new row.
+arrival order a key's old buckets go when it has a new row, and all of its windows, by a timer of processing time, when it has had none for ``idle_ms``.
 
 Texts for lists and last values are held in buckets of their own, all of which a window's rows read, as a list is
 answered with every row. A last value without window is the one of the latest row that brought one.
@@ -36,6 +36,13 @@ class Spec(NamedTuple):
     sliding: dict[str, int]
     fixed: dict[str, int]
     unbounded: str | None
+    #: The sums that are kept; empty: all.
+    sums: tuple[str, ...] = ()
+
+    @property
+    def span(self) -> int:
+        """Microseconds of a bucket."""
+        return max(1000, max(self.sliding.values(), default=0) * 1000 // BUCKETS)
 
     @property
     def parts(self) -> list[str]:
@@ -50,31 +57,80 @@ def _packed(rows: pd.DataFrame) -> bytes:
     return out.getvalue()
 
 
+def _texts(value: object) -> list[str]:
+    """The texts of a row's array, none if it is null."""
+    return list(value) if isinstance(value, (list, np.ndarray)) else []
+
+
 class Records(StatefulProcessor):
     """For each row the sums of its key's windows after it: columns ``sum_part``; those of other kinds of keys are null.
 
     specs: windows by the first column of the key ("": of all keys). keys, payload: columns that are handed on. sums: long columns.
-    lists, lasts: text columns by the part they belong to; they come out as the sorted list, or the last one, of the values in its window.
+    lists, lasts: columns of texts (arrays), or of one text, by the part they belong to; they come out as the sorted list, or the last one, of the values in its window.
+    idle_ms: in arrival order, the time without a row after which a key's windows leave the state (None: never).
+
+    A key's state names the sums that it holds. Where a job goes on with other rules, the state of a key is put in the new
+    order when the key has its next row: sums of the same name go on, new ones begin.
     """
 
-    def __init__(self, specs: dict[str, Spec], keys: list[str], payload: list[str], sums: list[str], event_time: bool, lists: dict[str, str] | None = None, lasts: dict[str, str] | None = None):
-        self.specs, self.keys, self.payload, self.sums, self.event_time = specs, keys, payload, sums, event_time
-        self.lists, self.lasts = lists or {}, lasts or {}
+    def __init__(self, specs: dict[str, Spec], keys: list[str], payload: list[str], sums: list[str], event_time: bool, lists: dict[str, str] | None = None, lasts: dict[str, str] | None = None, idle_ms: int | None = None):
+        self.specs, self.keys, self.payload, self.every, self.event_time = specs, keys, payload, sums, event_time
+        self.lists, self.lasts, self.idle_ms = lists or {}, lasts or {}, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.totals = handle.getMapState("totals", "bucket long", "sums array<long>")
         self.rows = handle.getMapState("rows", "bucket long", "us binary, no binary, values binary")
         self.fixed = handle.getMapState("fixed", "part string", "start long, sums array<long>")
-        self.latest = handle.getMapState("latest", "part string", "us long, sums array<long>, lists map<string,array<string>>, lasts map<string,string>")
+        self.latest = handle.getMapState("latest", "part string", "us long, sums map<string,long>, lists map<string,array<string>>, lasts map<string,string>, ends long")
         self.texts = handle.getMapState("texts", "bucket long", "rows binary")
         self.open = handle.getMapState("open", "name string", "start long, texts array<string>")
         self.ever = handle.getMapState("ever", "name string", "us long, no long, value string")
         self.waiting = handle.getListState("waiting", "rows binary")
         self.timer = handle.getValueState("timer", "ms long")
+        self.layout = handle.getValueState("layout", "sums array<string>, span long")
 
     def _spec(self, key: tuple) -> Spec:
-        return self.specs.get("", None) or self.specs.get(key[0], Spec({}, {}, None))
+        """The windows of a key; what follows counts its sums."""
+        spec = self.specs.get("", None) or self.specs.get(key[0], Spec({}, {}, None))
+        self.sums = list(spec.sums or self.every)
+        return spec
+
+    def _arrange(self, spec: Spec) -> None:
+        """Put the state that other rules have left in the order of these."""
+        held = self.layout.get() if self.layout.exists() else None
+        if held is not None and (list(held[0]), held[1]) == (self.sums, spec.span):
+            return
+        self.layout.update((self.sums, spec.span))
+        if held is None:
+            return
+        names = list(held[0])
+        known = [(i, names.index(n)) for i, n in enumerate(self.sums) if n in names]
+
+        def moved(values: np.ndarray) -> np.ndarray:
+            out = np.zeros((*values.shape[:-1], len(self.sums)), np.int64)
+            for new, old in known:
+                out[..., new] = values[..., old]
+            return out
+
+        rows = [(np.frombuffer(u, np.int64), np.frombuffer(k, np.int64), moved(np.frombuffer(v, np.int64).reshape(-1, len(names)))) for _, (u, k, v) in self.rows.iterator()]
+        texts = [pa.ipc.open_stream(r[0]).read_pandas() for _, r in self.texts.iterator()]
+        for state in (self.rows, self.totals, self.texts):
+            state.clear()
+        if rows and spec.sliding:
+            us, no, values = (np.concatenate(x) for x in zip(*rows, strict=True))
+            order = np.lexsort((no, us))
+            us, no, values = us[order], no[order], values[order]
+            for b in np.unique(us // spec.span).tolist():
+                own = us // spec.span == b
+                self.rows.updateValue((b,), (us[own].tobytes(), no[own].tobytes(), np.ascontiguousarray(values[own]).tobytes()))
+                self.totals.updateValue((b,), (values[own].sum(axis=0).tolist(),))
+        if texts and spec.sliding:
+            every = pd.concat(texts, ignore_index=True)
+            for b, own in every.groupby(every["us"] // spec.span):
+                self.texts.updateValue((int(b),), (_packed(own),))
+        for (part,), (start, sums) in list(self.fixed.iterator()):
+            self.fixed.updateValue((part,), (start, moved(np.array(sums, np.int64)).tolist()))
 
     # Sliding windows.
 
@@ -84,7 +140,7 @@ class Records(StatefulProcessor):
 
     def _sliding(self, spec: Spec, us: np.ndarray, no: np.ndarray, values: np.ndarray) -> dict[str, np.ndarray]:
         longest = max(spec.sliding.values()) * 1000
-        span = max(1000, longest // BUCKETS)
+        span = spec.span
         totals = {k[0]: np.array(v[0], np.int64) for k, v in self.totals.iterator()}
         stored, none = set(totals), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(self.sums)), np.int64))
         own = us // span
@@ -134,7 +190,7 @@ class Records(StatefulProcessor):
     def _held(self, spec: Spec, names: list[str], us: np.ndarray, no: np.ndarray, fresh: pd.DataFrame) -> dict[str, list]:
         """Lists and last values of sliding windows at each row."""
         longest = max(spec.sliding.values()) * 1000
-        span = max(1000, longest // BUCKETS)
+        span = spec.span
         known = sorted(k[0] for k in self.texts.keys())
         first, latest = (int(us.min()) - longest) // span, int(us.max()) // span
         held = {b: pa.ipc.open_stream(self.texts.getValue((b,))[0]).read_pandas() for b in known if first <= b <= latest}
@@ -147,7 +203,7 @@ class Records(StatefulProcessor):
                 self.texts.removeKey((b,))
         if not held:
             return {n: [[] for _ in us] if n in self.lists else [None] * len(us) for n in names}
-        every = pd.concat(held.values(), ignore_index=True).sort_values(["us", "no"], kind="stable")
+        every = pd.concat(held.values(), ignore_index=True).sort_values(["us", "no"], kind="stable").reindex(columns=["us", "no", *names])
         times = every["us"].to_numpy(np.int64)
         places = list(zip(times.tolist(), every["no"].tolist(), strict=True))
         upto = [bisect_right(places, x) for x in zip(us.tolist(), no.tolist(), strict=True)]
@@ -158,7 +214,7 @@ class Records(StatefulProcessor):
             values = every[n].tolist()
             some = [isinstance(v, str) for v in values]
             if n in self.lists:
-                out[n] = [sorted(v for v in values[a:b] if isinstance(v, str)) for a, b in zip(begin, upto, strict=True)]
+                out[n] = [sorted(t for v in values[a:b] for t in _texts(v)) for a, b in zip(begin, upto, strict=True)]
             else:
                 near = np.append(-1, np.maximum.accumulate(np.where(some, np.arange(len(some)), -1)))
                 out[n] = [values[near[b]] if near[b] >= a else None for a, b in zip(begin, upto, strict=True)]
@@ -171,8 +227,9 @@ class Records(StatefulProcessor):
         for now, v in zip(starts.tolist(), values, strict=True):
             texts = texts if now == start else []
             start = now
-            if isinstance(v, str) and name in self.lists:
-                insort(texts, v)
+            if name in self.lists:
+                for t in _texts(v):
+                    insort(texts, t)
             elif isinstance(v, str):
                 texts = [v]
             out.append(list(texts) if name in self.lists else texts[0] if texts else None)
@@ -194,18 +251,26 @@ class Records(StatefulProcessor):
         return out
 
     def _fixed(self, part: str, ms: int, us: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        start, sums = self.fixed.getValue((part,)) if self.fixed.containsKey((part,)) else (None, [0] * len(self.sums))
-        sums, starts, out = np.array(sums, np.int64), np.empty(len(us), np.int64), np.empty_like(values)
-        for i, t in enumerate(us.tolist()):
-            if start is None or t > start + ms * 1000:
-                start, sums = t, np.zeros(len(self.sums), np.int64)
-            sums = sums + values[i]
-            starts[i], out[i] = start, sums
-        self.fixed.updateValue((part,), (int(start), sums.tolist()))
-        return starts, out
+        """(start, sums) of the window at each row: rows up to the end of the open one go on with its sums; then windows follow one another."""
+        start, held = self.fixed.getValue((part,)) if self.fixed.containsKey((part,)) else (None, [0] * len(self.sums))
+        running = np.concatenate([np.zeros((1, len(self.sums)), np.int64), np.cumsum(values, axis=0)])
+        at = 0 if start is None else int(np.searchsorted(us, start + ms * 1000, "right"))
+        opens = [] if at == 0 else [(0, start)]
+        sums = np.array(held, np.int64)
+        while at < len(us):
+            opens.append((at, int(us[at])))
+            at = int(np.searchsorted(us, us[at] + ms * 1000, "right"))
+        first, begins = (np.array(x, np.int64) for x in zip(*opens, strict=True))
+        own = np.searchsorted(first, np.arange(len(us)), "right") - 1
+        out = running[1:] - running[first[own]]
+        if start is not None and opens[0][1] == start:
+            out[own == 0] += sums
+        self.fixed.updateValue((part,), (int(begins[-1]), out[-1].tolist()))
+        return begins[own], out
 
     def _answers(self, key: tuple, fresh: pd.DataFrame) -> pd.DataFrame:
         spec = self._spec(key)
+        self._arrange(spec)
         fresh = fresh.sort_values(["us", "transaction_no"], kind="stable").reset_index(drop=True)
         us, no = fresh["us"].to_numpy(np.int64), fresh["transaction_no"].fillna(-1).to_numpy(np.int64)
         values = fresh[self.sums].to_numpy(np.int64)
@@ -214,8 +279,8 @@ class Records(StatefulProcessor):
         for part, ms in spec.fixed.items():
             out[f"start_{part}"], found[part] = self._fixed(part, ms, us, values)
         if spec.unbounded:
-            held = self.latest.getValue((spec.unbounded,))[1] if self.latest.containsKey((spec.unbounded,)) else [0] * len(self.sums)
-            found[spec.unbounded] = np.array(held, np.int64) + np.cumsum(values, axis=0)
+            held = self.latest.getValue((spec.unbounded,))[1] if self.latest.containsKey((spec.unbounded,)) else {}
+            found[spec.unbounded] = np.array([held.get(n, 0) for n in self.sums], np.int64) + np.cumsum(values, axis=0)
         names = [n for n, p in (self.lists | self.lasts).items() if p in spec.sliding]
         texts = self._held(spec, names, us, no, fresh) if names else {}
         texts |= {n: self._last_ever(n, us, no, fresh[n].tolist()) for n, p in self.lasts.items() if p == spec.unbounded}
@@ -223,10 +288,11 @@ class Records(StatefulProcessor):
         for part in spec.parts:
             if part == spec.unbounded or not self.latest.containsKey((part,)) or self.latest.getValue((part,))[0] <= us[-1]:
                 now = [{n: texts[n][-1] for n, p in kind.items() if p == part} for kind in (self.lists, self.lasts)]
-                self.latest.updateValue((part,), (int(us[-1]), found[part][-1].tolist(), *now))
+                end = int(out[f"start_{part}"][-1]) + spec.fixed[part] * 1000 if part in spec.fixed else None
+                self.latest.updateValue((part,), (int(us[-1]), dict(zip(self.sums, found[part][-1].tolist(), strict=True)), *now, end))
         for s in {s for spec in self.specs.values() for s in spec.parts}:
-            for i, name in enumerate(self.sums):
-                out[f"{name}_{s}"] = found[s][:, i] if s in found else [None] * len(us)
+            for name in self.every:
+                out[f"{name}_{s}"] = found[s][:, self.sums.index(name)] if s in found and name in self.sums else [None] * len(us)
         for s in {s for spec in self.specs.values() for s in spec.fixed}:
             out.setdefault(f"start_{s}", [None] * len(us))
         for n in self.lists | self.lasts:
@@ -252,6 +318,8 @@ class Records(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fresh = pd.concat(list(rows), ignore_index=True)
         if not self.event_time:
+            if self.idle_ms is not None:
+                self._remind(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
             yield self._answers(key, fresh)
             return
         self.waiting.appendValue((_packed(fresh),))
@@ -267,6 +335,8 @@ class Records(StatefulProcessor):
             limit = timerValues.getCurrentWatermarkInMs() * 1000
             held = [pa.ipc.open_stream(r[0]).read_pandas() for r in self.waiting.get()]
             waiting = pd.concat(held, ignore_index=True) if held else pd.DataFrame({"us": []})
+            missing = [c for c in [*self.every, *self.lists, *self.lasts] if c not in waiting]  # of rules that are newer than the rows
+            waiting = waiting.reindex(columns=[*waiting.columns, *missing]).fillna({n: 0 for n in self.every})
             ready, left = waiting[waiting["us"] <= limit], waiting[waiting["us"] > limit]
             if len(ready):
                 self.waiting.clear()
@@ -278,6 +348,6 @@ class Records(StatefulProcessor):
                 self._idle(key, ready)
         if len(ready):
             yield self._answers(key, ready)
-        elif not self.timer.exists():  # idle for its longest window: nothing in it any more, and the next row opens new fixed ones
+        elif not self.timer.exists():  # idle for its longest window, or for idle_ms: nothing in it any more, and the next row opens new fixed ones
             for held in (self.totals, self.rows, self.texts, self.fixed, self.open):
                 held.clear()

@@ -284,13 +284,10 @@ def test_alert_rules_change_between_micro_batches(spark, tmp_path):
     parts = batches(6)
     compute = [R.Rule("c", "COMPUTE", "Card", 10_000, record="tx", amount_sql="amount", value_sqls=(("x", "amount * 2"),)), R.Rule("m", "COMPUTE", "Merchant", None, record="tx", scope="global")]
     versions = [[R.Rule("first", "ALERT", "Card", 10_000, condition_sql="tx.values.x > 20")], [R.Rule("second", "ALERT", "Merchant", None, condition_sql="global.tx.count > 5")]]
-    began = []
-
-    def alerting():
-        began.append(1)
-        return versions[0] if len(began) <= 3 else versions[1]  # two calls before the stream runs, one for its first micro-batch
-
-    answers, _ = jobs.scored(stream(spark, tmp_path, parts), compute, alerting)
+    folder = tmp_path / "job"
+    job = jobs.Job(spark, f"file://{folder}")
+    job.start(stream(spark, tmp_path, parts), compute, lambda: versions[(folder / "done").exists()]).wait()
+    answers = job.answers()
     rows = [x for p in parts for x in p]
     amounts = {i: a for i, (_, a) in counted(spark, rows).items()}
     seen, want = {}, {}
