@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import alerts as A, metrics as M, rules as R, state, windows as W
+from ..sources.folders import shared_folder
 from ..sources.transactions import read_transactions, split_errors, table
 from ..streaming import jobs
 from . import queries_alerts as Q
@@ -120,16 +123,115 @@ def stream_arguments(spark, sf):
     return out.select("transaction_no", F.array_join(name("list", f"w{DAY}"), ",").alias("kinds"), F.size(name("set", f"w{DAY}")).alias("n_kinds"), name("last", f"w{DAY}").alias("recent"), name("last", "global").alias("large"))
 
 
+class _Arriving:
+    """The events table in two halves by time, each written to the folder of a stream when it is asked for."""
+
+    def __init__(self, spark, sf):
+        self.spark, self.events = spark, table(spark, sf, "events")
+        self.folder = f"{shared_folder(spark)}/arriving-{uuid.uuid4().hex}"
+        self.events.limit(0).write.parquet(f"{self.folder}/events.parquet")
+
+    def stream(self):
+        return read_transactions(self.spark, self.folder, streaming=True)
+
+    def add(self, late):
+        is_late = F.col("ts") >= F.lit(HALF).cast("timestamp_ntz")
+        self.events.filter(is_late if late else ~is_late).write.mode("append").parquet(f"{self.folder}/events.parquet")
+
+
+HALF = "2024-01-16"
+_LATE = f"ts >= TIMESTAMP '{HALF}'"
+
+
+def _job(spark):
+    return jobs.Job(spark, f"{shared_folder(spark)}/job-{uuid.uuid4().hex}")
+
+
 def stream_rule_reload(spark, sf):
-    """Each micro-batch is judged by the newest version of its ruleset that can run: the last one deployed names a record that no rule keeps."""
+    """Each micro-batch is judged by the newest version of its ruleset that can run, read anew from the tables of rules and deployments: one is deployed between the two halves,
+    and one that names a record that no rule keeps."""
     compute = [r for r in Q.COMPUTE if r.subject == "Card"]
-    version = lambda n, sql: R.as_table(spark, [*compute, R.Rule("busy", "ALERT", "Card", DAY, condition_sql=sql)], "cards", n)
-    rules = version("1", "tx.count > 6").unionByName(version("2", "tx.count > 4")).unionByName(version("3", "none.count > 4"))
-    deployments = spark.createDataFrame([("cards", "1", 1, True), ("cards", "2", 2, True), ("cards", "3", 3, True), ("cards", "4", 4, False)], "ruleset string, version string, requested_us long, valid boolean")
-    example = read_transactions(spark, sf).limit(0)
-    answers, _ = jobs.scored(read_transactions(spark, sf, streaming=True), compute, lambda: jobs.active_rules(lambda: rules, lambda: deployments, "cards", example, compute)[1])
-    return answers.select("transaction_no", F.col("alert_status"), F.col("score"))
-
+    base = f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+
+    def deploy(number, sql, valid=True):
+        R.as_table(spark, [*compute, R.Rule("busy", "ALERT", "Card", DAY, condition_sql=sql)], "cards", str(number)).write.mode("append").parquet(f"{base}/rules")
+        spark.createDataFrame([("cards", str(number), number, valid)], "ruleset string, version string, requested_us long, valid boolean").write.mode("append").parquet(f"{base}/deployments")
+
+    source, job, example = _Arriving(spark, sf), _job(spark), read_transactions(spark, sf).limit(0)
+    read = lambda name: lambda: spark.read.parquet(f"{base}/{name}")
+    for late, versions in ((False, [(1, "tx.count > 6"), (2, "none.count > 4")]), (True, [(3, "tx.count > 4"), (4, "none.count > 4"), (5, "tx.count > 0", False)])):
+        for v in versions:
+            deploy(*v)
+        source.add(late)
+        job.start(source.stream(), compute, lambda: jobs.active_rules(read("rules"), read("deployments"), "cards", example, compute)[1]).wait()
+    return job.answers().select("transaction_no", F.col("alert_status"), F.col("score"))
+
+
+def stream_restart(spark, sf):
+    """A job that stops after the first half of its files and goes on from its checkpoint with the second."""
+    source, job = _Arriving(spark, sf), _job(spark)
+    compute = [r for r in Q.COMPUTE if r.kind == "COMPUTE"]
+    for late in (False, True):
+        source.add(late)
+        jobs.Job(spark, job.folder).start(source.stream(), compute, lambda: Q.ALERTS, Q.CUSTOM).wait()
+    return job.answers().select("transaction_no", "alert_status", "score", A.titles(F.col("alerts")).alias("alerts"))
+
+
+def stream_compute_change(spark, sf):
+    """COMPUTE rules that come between two runs: records of before go on, and a new one begins."""
+    source, job = _Arriving(spark, sf), _job(spark)
+    old = [R.Rule("day", "COMPUTE", "Card", DAY, record="tx", amount_sql="amount"), R.Rule("ever", "COMPUTE", "Card", None, record="tx", scope="global"), R.Rule("dropped", "COMPUTE", "Card", HOUR, record="gone")]
+    new = [R.Rule("large", "COMPUTE", "Card", WEEK, record="large", filter_sql="amount > 20"), *old[:2], R.Rule("busy", "ALERT", "Card", DAY, condition_sql="tx.count > 4 and tx.amount > 50"), R.Rule("larger", "ALERT", "Card", WEEK, condition_sql="large.count > 2 and global.tx.count > 10")]
+    for late, rules in ((False, old), (True, new)):
+        source.add(late)
+        job.start(source.stream(), [r for r in rules if r.kind == "COMPUTE"], lambda: [r for r in rules if r.kind == "ALERT"]).wait()  # noqa: B023
+    held = job.state().groupBy("key").agg(*(F.max(F.when(F.col("record") == n, F.col("count"))).alias(f"n_{n}") for n in ("large",)))
+    answers = job.answers().select("transaction_no", A.titles(F.col("alerts")).alias("alerts"))
+    cards = read_transactions(spark, sf).select("transaction_no", "card_id")
+    return answers.join(cards, "transaction_no").join(held.withColumnRenamed("key", "card_id"), "card_id", "left").select("transaction_no", "alerts", "n_large")
+
+
+def stream_live_requests(spark, sf):
+    """A stream of requests, answered from the state of a job while it runs: some come after the first half of the transactions, the same again after the second."""
+    source, job, base = _Arriving(spark, sf), _job(spark), f"{shared_folder(spark)}/requests-{uuid.uuid4().hex}"
+    asked = Q.requests(spark, sf)
+    asked.limit(0).withColumn("step", F.lit(0)).write.parquet(f"{base}/requests")
+    requests = spark.readStream.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in asked.schema)}, step int").parquet(f"{base}/requests")
+    kept = [r for r in Q.COMPUTE if r.subject == "Card"] + [r for r in Q.FIXED if r.kind == "COMPUTE"]
+    job.start(source.stream(), kept, list, Q.CUSTOM, trigger={"processingTime": "0 seconds"})
+    try:
+        for step, late in enumerate((False, True)):
+            source.add(late)
+            job.query.processAllAvailable()
+            asked.withColumn("step", F.lit(step)).write.mode("append").parquet(f"{base}/requests")
+            jobs.answered_requests(requests, job, base).awaitTermination()
+    finally:
+        job.stop()
+    fields = "request_id long, name string, count long, amount double, fixed boolean, error_message string"
+    return spark.read.schema(f"{fields}, batch int").parquet(f"{base}/answers").select("request_id", "name", "count", "amount", "fixed", "error_message", F.col("batch").cast("long").alias("step"))
+
+
+def stream_shared_records(spark, sf):
+    """Records that several rules keep, on a stream."""
+    return Q.shared_columns(jobs.drained(jobs.indicators(read_transactions(spark, sf, streaming=True), Q.SHARED), "append"))
+
+
+def stream_typed_values(spark, sf):
+    out = jobs.drained(jobs.indicators(read_transactions(spark, sf, streaming=True), Q.TYPED), "append")
+    at = lambda n: F.col(f"tx_value_{n}_card_w{WEEK}")
+    return out.select("transaction_no", at("time").alias("time"), at("mixed").alias("mixed"), at("cents").cast("double").alias("cents"), at("wide").cast("double").alias("wide"), at("whole").alias("whole"))
+
+
+_LIVE = " UNION ALL ".join(
+    f"""SELECT * FROM ({ANCHORED.replace("FROM events)", f"FROM events WHERE {some})")}, x AS (SELECT *, count(*) OVER {Q._CARD_DAY} AS nd, sum({MONEY}) OVER {Q._CARD_DAY} AS ad, count(*) OVER {Q._CARD_WEEK} AS nw, sum({MONEY}) OVER {Q._CARD_WEEK} AS aw,
+      count(*) OVER g AS ng, sum({MONEY}) OVER g AS ag, count(*) OVER f AS nf, sum({MONEY}) OVER f AS af, row_number() OVER (PARTITION BY card_id ORDER BY us DESC, transaction_no DESC) AS rn FROM w
+      WINDOW g AS (PARTITION BY card_id ORDER BY us, transaction_no ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY card_id, window_start ORDER BY us, transaction_no ROWS UNBOUNDED PRECEDING)),
+    s AS (SELECT card_id AS key, unnest([{DAY}, {WEEK}, NULL, {DAY}])::BIGINT AS window_ms, unnest(['tx-1d', 'tx-7d', 'tx', 'tx-1d']) AS name, unnest([nd, nw, ng, nf]) AS count, unnest([ad, aw, ag, af])::DOUBLE AS amount, unnest([false, false, false, true]) AS fixed FROM x WHERE rn = 1),
+    q AS (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 13 <> 0 THEN 'Card' END AS subject, c_custkey::VARCHAR AS key, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN {DAY} WHEN 3 THEN {WEEK} ELSE {HOUR} END AS timeframe FROM customer)
+    SELECT q.request_id, s.name, s.count, s.amount, s.fixed, CASE WHEN q.subject IS NULL THEN 'subject is missing' END AS error_message, {step}::BIGINT AS step
+    FROM q LEFT JOIN s ON q.subject = 'Card' AND q.key = s.key AND (s.window_ms IS NULL OR coalesce(q.timeframe, 0) = 0 OR q.timeframe = s.window_ms))"""
+    for step, some in enumerate((f"NOT ({_LATE})", "true"))
+)
 
 TABLE = {
     "alerts_by_rule": (alerts_by_rule, f"{Q.SCORED} SELECT unnest(titles) AS rule_title, count(*) AS n_alerts FROM a GROUP BY 1"),
@@ -154,5 +256,13 @@ TABLE = {
     "stream_arguments": (stream_arguments, f"""WITH {T}, l AS (SELECT transaction_no, list_sort(list(merchant) OVER {_frame('card_id', '1 DAY')}) AS k, last_value(CASE WHEN amount > 20 THEN merchant END IGNORE NULLS) OVER {_frame('card_id', '1 DAY')} AS recent,
         last_value(CASE WHEN amount > 50 THEN argument END IGNORE NULLS) OVER (PARTITION BY card_id ORDER BY us, transaction_no ROWS UNBOUNDED PRECEDING) AS large FROM t)
       SELECT transaction_no, array_to_string(k, ',') AS kinds, len(list_distinct(k))::INTEGER AS n_kinds, recent, large FROM l"""),
-    "stream_rule_reload": (stream_rule_reload, f"WITH {T}, i AS (SELECT transaction_no, count(*) OVER {_frame('card_id', '1 DAY')} AS n FROM t) SELECT transaction_no, CASE WHEN n > 4 THEN 'ALERT' ELSE 'NO_ALERT' END AS alert_status, CASE WHEN n > 4 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM i"),
+    "stream_rule_reload": (stream_rule_reload, f"WITH {T}, i AS (SELECT transaction_no, count(*) OVER {_frame('card_id', '1 DAY')} AS n, CASE WHEN {_LATE} THEN 4 ELSE 6 END AS most FROM t) SELECT transaction_no, CASE WHEN n > most THEN 'ALERT' ELSE 'NO_ALERT' END AS alert_status, CASE WHEN n > most THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM i"),
+    "stream_restart": (stream_restart, Q.TABLE["check_transactions"][1]),
+    "stream_compute_change": (stream_compute_change, f"""WITH {T}, i AS (SELECT *, count(*) OVER {_frame('card_id', '1 DAY')} AS n, sum({MONEY}) OVER {_frame('card_id', '1 DAY')} AS a, count(*) FILTER (amount > 20 AND {_LATE}) OVER {_frame('card_id', '7 DAYS')} AS large,
+        count(*) OVER (PARTITION BY card_id ORDER BY us, transaction_no ROWS UNBOUNDED PRECEDING) AS ng FROM t),
+      l AS (SELECT card_id, max_by(large, (us, transaction_no)) FILTER ({_LATE}) AS n_large FROM i GROUP BY card_id)
+      SELECT transaction_no, CASE WHEN {_LATE} THEN array_to_string(list_filter([CASE WHEN n > 4 AND a > 50 THEN 'busy' END, CASE WHEN large > 2 AND ng > 10 THEN 'larger' END], lambda x: x IS NOT NULL), ',') ELSE '' END AS alerts, n_large FROM i JOIN l USING (card_id)"""),
+    "stream_live_requests": (stream_live_requests, _LIVE),
+    "stream_shared_records": (stream_shared_records, Q.TABLE["shared_records"][1]),
+    "stream_typed_values": (stream_typed_values, Q.TABLE["typed_values"][1].replace(", CASE WHEN time > 7000000000000000 AND whole > 100 THEN 'late' ELSE '' END AS alerts", "")),
 }
