@@ -128,7 +128,7 @@ def _rows(names: np.ndarray, owner: np.ndarray, part: np.ndarray, values: np.nda
     new = _edges(part, owner)
     runs, run_part, run_name = np.diff(np.append(new, len(part))).astype(np.uint32), part[new], names[owner[new]]
     cut = _edges(run_part)
-    stop = np.append(cut[1:], len(new))
+    stop = np.append(cut, len(new))[1:]
     ends = np.append(new, len(part))
     return [(int(run_part[a]), run_name[a:b].tobytes(), runs[a:b].tobytes(), values[ends[a] : ends[b]].tobytes()) for a, b in zip(cut, stop, strict=True)]
 

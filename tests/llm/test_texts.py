@@ -667,3 +667,86 @@ def test_pipeline_stages(spark, sf):
             assert not any(plain_spans(x or "") for x in after.values())
     packed = corpus_pipeline.pack(spark, seen, sf).collect()
     assert {r.doc_id for r in packed} == set(after)
+
+
+def _wrappings(r):
+    """Ways to hide a text: behind a random prefix, in an alphabet, escaped, compressed, in lines."""
+    import bz2
+    import gzip
+    import json
+    import zlib
+
+    def raw(data):
+        c = zlib.compressobj(9, zlib.DEFLATED, -15)
+        return c.compress(data) + c.flush()
+
+    plain, safe = (lambda d: base64.b64encode(d).decode()), (lambda d: base64.urlsafe_b64encode(d).decode())
+    pressed = {"zlib": zlib.compress, "gzip": gzip.compress, "bz2": bz2.compress, "raw": raw, "none": lambda d: d}
+    before = lambda signs: "".join(r.choice(signs) for _ in range(r.randrange(0, 9)))
+    lines = lambda t: "\n".join(t[i : i + 76] for i in range(0, len(t), 76))
+    any_case = lambda h: "".join(r.choice([c.upper(), c.lower()]) for c in h)
+    inner = lambda make: lambda t: t.replace("hunter2hunter2", "".join(make(ord(c)) for c in "hunter2hunter2"))
+    out = {f"{n} after a {kind}": lambda t, f=f, p=p, s=s: before("abcXYZ019") + s + p(f(t.encode())) for n, f in pressed.items() for kind, p, s in (("path", plain, "/"), ("name", safe, "_"), ("dash", safe, "-"))}
+    out |= {f"{n} after letters": lambda t, f=f: before("abcXYZ019") + plain(f(t.encode())) for n, f in pressed.items() if n != "raw"}
+    out |= {f"{n} in JSON": lambda t, f=f: json.dumps(lines(plain(f(t.encode())))).replace("/", "\\/") for n, f in pressed.items()}
+    out |= {f"{n} in hexadecimal": lambda t, f=f: r.choice(["", "0x", "a", "id:"]) + any_case(f(t.encode()).hex()) for n, f in pressed.items() if n != "raw"}
+    out |= {"\\U": inner("\\U{:08x}".format), "\\u{}": inner("\\u{{{:x}}}".format), "\\x": inner("\\x{:02X}".format), "&#": inner("&#{};".format), "&#x": inner("&#x{:x};".format), "nested": lambda t: "v_" + safe(zlib.compress(("z/" + plain(raw(t.encode()))).encode()))}
+    return out
+
+
+def test_no_wrapped_secret_is_lost(spark):
+    import random
+
+    from tallyframe.llm import secret_scan as X
+
+    r = random.Random(11)
+    words = lambda: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(r.randint(0, 30)))
+    rows = []
+    for name, wrap in _wrappings(r).items():
+        for _ in range(40):
+            text = f"see {wrap(f'{words()} password = hunter2hunter2 {words()}')} end"
+            _, spans, _ = X.scan(text)
+            assert any(s.kind == 0 for s in spans), (name, text)
+            rows.append((len(rows), text, len(text)))
+    kept = X.mask_secrets(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()
+    assert len(kept) == len(rows)
+    for row in kept:  # what is left holds no secret in any layer
+        assert not any(s.kind == 0 for s in X.scan(row.text)[1]), row.text
+
+
+def test_clean_texts_stay_clean(spark, sf):
+    """No span comes of trying all ways to begin a stretch on what is no secret."""
+    import os as _os
+
+    from tallyframe.llm import secret_scan as X
+
+    for size in (12, 100, 5_000):
+        data = _os.urandom(size)
+        for text in (base64.b64encode(data).decode(), data.hex(), f"a/b/{base64.b64encode(data).decode()}"):
+            found = [s for s in X.scan(text)[1] if s not in X.base_spans(text)]
+            assert found == [] or all(s.kind == 2 for s in found)
+
+
+def test_the_pipeline_masks_planted_encoded_secrets_and_takes_any_rows(spark, sf, tmp_path):
+    import random
+    import zlib
+
+    import corpus_pipeline
+    from tallyframe.llm import secret_scan as X
+
+    r = random.Random(12)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    planted = [(i, f"text {i} of some words " + base64.b64encode(zlib.compress(f"{r.random()} password = hunter2hunter2".encode())).decode(), "en", "s", 0) for i in range(20)]
+    edges = [(100, None, None, None, None), (101, "", "en", "s", 0), (None, "a b c", "en", "s", 5), (None, "a b c", "en", "s", 5), (102, "word " * 30_000, "en", "s", 150_000)]
+    stages = dict(corpus_pipeline.STAGES)
+    out = stages["secret scans"](spark, spark.createDataFrame(planted + edges, schema), sf)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    kept = out.collect()
+    assert len(kept) == len(planted) + len(edges)
+    assert all(not X.scan(x.text)[1] for x in kept if x.doc_id is not None and x.doc_id < 20)
+    none = spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, sf).count() == 0, name
+        assert stage(spark, spark.createDataFrame(edges, schema), sf).count() >= 0, name
+    copies = stages["exact dedup"](spark, spark.createDataFrame(edges + edges[:1], schema), sf).collect()
+    assert len([x for x in copies if x.text is None or not x.text.strip()]) == 1
