@@ -18,7 +18,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.columns import clean_group, same_subject
@@ -212,35 +211,39 @@ def check(rules: list[Rule], example: DataFrame, custom: dict[str, list[str]] |
             bad[r.title] = "lists and sets are kept in windows only"
     none = example.limit(0)
 
-    def tried(title: str, *columns: Column) -> T.StructType | None:
+    def kinds(tests: dict[str, list[Column]], rows: DataFrame) -> dict[str, str]:
+        """The type of the first test of each title; titles whose tests can't be analysed go to bad. All are tried at once, and one by one only if that fails."""
         try:
-            return none.select(*columns).schema
+            fields = iter(rows.select(*(c for cs in tests.values() for c in cs)).schema if tests else [])
+            return {title: [next(fields).dataType.simpleString() for _ in cs][0] for title, cs in tests.items()}
         except AnalysisException as e:
-            bad[title] = str(e).splitlines()[0]
-            return None
+            if len(tests) == 1:
+                bad[next(iter(tests))] = str(e).splitlines()[0]
+                return {}
+        return {title: kind for t, cs in tests.items() for title, kind in kinds({t: cs}, rows).items()}
 
-    sound = []
+    tests = {}
     for r in rules:
         if r.kind == "COMPUTE" and r.title not in bad:
             read = [r.filter_sql, *(x for x in (r.arg_sql, r.last_sql) if x)]
             summed = [x for x in (r.amount_sql, *(v for _, v in r.value_sqls)) if x]
-            if tried(r.title, *(guarded(x) for x in read), chosen(r.filter_sql), *(tried_cast(x, "double") for x in summed)) is not None:
-                sound.append(r)
+            tests[r.title] = [*(guarded(x) for x in read), chosen(r.filter_sql), *(tried_cast(x, "double") for x in summed)]
+    sound = kinds(tests, none)
     names: dict[str, str] = {}
-    for rec in records(sound, example):
+    for rec in records([r for r in rules if r.title in sound], example):
         names |= {rec.column(m.name): "decimal(28,2)" if m.name == "amount" else m.kind for m in rec.measures}
         names |= {rec.column("list"): "array<string>", rec.column("set"): "array<string>"} if rec.lists else {}
         names |= {rec.column("last"): "string"} if rec.lasts else {}
+    tests = {}
     for r in rules:
         if r.kind == "ALERT" and r.title not in bad:
-            used = columns_used(r)
-            if lost := [n for c, n in used.items() if c not in names]:
+            if lost := [n for c, n in columns_used(r).items() if c not in names]:
                 bad[r.title] = f"no rule computes {lost[0]} over its window"
-                continue
-            none = example.limit(0).withColumns({c: F.lit(None).cast(names[c]) for c in used})
-            found = tried(r.title, F.expr(condition(r)).alias("c"), predicate(r).alias("p"))
-            if found is not None and found[0].dataType.simpleString() != "boolean":
-                bad[r.title] = f"its condition is {found[0].dataType.simpleString()}"
+            else:
+                tests[r.title] = [F.expr(condition(r)), predicate(r)]
+    for title, kind in kinds(tests, none.withColumns({c: F.lit(None).cast(t) for c, t in names.items()}) if names else none).items():
+        if kind != "boolean":
+            bad[title] = f"its condition is {kind}"
     return bad
 
 

@@ -150,13 +150,16 @@ class Job:
         self.spark, self.folder, self.query = spark, folder.rstrip("/"), None
 
     def start(self, stream: DataFrame, compute: list[Rule], alerting: Callable[[], list[Rule]], custom: dict[str, list[str]] | None = None, order: str = "arrival", delay: str = "0 seconds", idle_ms: int | None = None, trigger: dict | None = None) -> Job:
-        """Go on, or begin, with stream. trigger: as of DataStreamWriter.trigger; the default reads all that there is and stops."""
+        """Go on, or begin, with stream. trigger: as of DataStreamWriter.trigger; the default reads all that there is and stops. idle_ms: as in Records."""
+        if idle_ms is not None and (trigger or {"availableNow": True}).get("availableNow"):
+            raise ValueError("idle keys leave by timers of processing time, which need a trigger that goes on")
         compute, custom = [r for r in compute if r.kind == "COMPUTE"], custom or {}
         self._note(stream, compute, custom)
         example = self.spark.createDataFrame([], stream.schema)
 
         def batch(df: DataFrame, number: int) -> None:
             if exists(self.spark, f"{self.folder}/done/batch={number}"):
+                df.write.format("noop").mode("overwrite").save()  # the state has to take its step again
                 return
             done = alert_sets(df, [*compute, *alerting()], custom, example).persist()
             done.write.mode("overwrite").parquet(f"{self.folder}/answers/batch={number}")
