@@ -39,7 +39,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The first of each group of documents linked by five-word shingles.
 
     Texts without words, null ones among them, are linked with nothing and stay; very long texts count with all their shingles; at exactly the
-    threshold two are linked; of a group the smallest doc_id stays, and of rows that repeat one; rows without doc_id are handled as jaccard_join states. An empty table gives none; extra columns stay, whatever their names.
+    threshold two are linked; of a group the smallest doc_id stays; rows of one doc_id stay or go together, rows without one stay. An empty table gives none; extra columns stay, whatever their names.
     """
     return jaccard_join.keep_one(docs)
 

@@ -159,6 +159,31 @@ def test_gate_and_versions_on_a_hot_day(spark, monkeypatch, most):
     assert gate.in_intervals(rows, intervals.limit(0)).filter("inside").count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_crowded_points_are_cut_again(spark, monkeypatch, most):
+    monkeypatch.setattr(gate, "BROADCAST_POINTS", most)
+    monkeypatch.setattr(gate, "MOST_POINTS", 4)
+    r = random.Random(12)
+    hour = [1_700_000_000 * S + r.randrange(3_600 * S) for _ in range(300)]
+    crowd = [hour[0] + r.randrange(200) for _ in range(300)]
+    points = [0, *hour, *crowd, *crowd[:20]]  # one of 1970, an hour, and in it less than a millisecond
+    times = [-5, 0, 7, *(r.choice(points) + r.randrange(-3, 4) for _ in range(400)), 2_000_000_000 * S]
+    rows = table(spark, [(i, "c", "m", 1.0, t) for i, t in enumerate(times)])
+    versions = spark.createDataFrame([(p, f"v{i:04}") for i, p in enumerate(points)], "from_us long, version string")
+    held, seen = gate._stretches, []
+
+    def watched(kept):
+        dims, crowded = held(kept)
+        seen.append(dims.agg(F.max(F.size("_points"))).first()[0] or 0)
+        return dims, crowded
+
+    monkeypatch.setattr(gate, "_stretches", watched)
+    got = {x.transaction_no: x.version for x in gate.ruleset_asof(rows, versions).collect()}
+    order = sorted((p, f"v{i:04}") for i, p in enumerate(points))
+    assert got == {i: next((v for p, v in reversed(order) if p <= t), None) for i, t in enumerate(times)}
+    assert len(seen) > 1 and max(seen) <= 4
+
+
 @pytest.mark.parametrize(("seed", "span_windows"), [(1, 1), (2, 3), (3, 8)])
 def test_fixed_windows_equal_a_walk(spark, seed, span_windows):
     r = random.Random(seed)
