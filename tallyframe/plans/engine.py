@@ -10,7 +10,7 @@ from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import composite_key
@@ -18,7 +18,7 @@ from ..operators.alerts import alert_array, union_alerts, with_status
 from ..operators.records import Record, records, slot_columns
 from ..operators.rules import Rule, check, failed, failures, guarded, in_group
 from ..operators.state import STATE_FIELDS, State, latest, tail
-from ..operators.windows import anchored_window, global_record, running_in_window, sliding_columns, sliding_last, sliding_list
+from ..operators.windows import SPAN_MS, anchored_window, global_record, running_in_window, sliding_columns, sliding_last, sliding_list
 
 #: Rows of a look-up table that is sent to every task; a larger one is met by a shuffle.
 LOOKUP_ROWS = 100_000
@@ -170,15 +170,23 @@ def _fix(df: DataFrame, key: str, recs: list[Record], source: DataFrame, held: D
     if held is not None:
         mine = held.filter((F.col("subject") == recs[0].subject) & F.lower("custom_subject").eqNullSafe(F.lit(recs[0].custom).cast("string")) & F.col("fixed") & (F.col("window_ms") == ms))
         opened = mine.groupBy(F.col("key").alias(key)).agg(F.max("window_end").alias("_open")).filter("_open is not null")
-    windows = lambda rows: anchored_window(rows, [key], ms, opened=opened)
     inside = [key, "window_start"]
     added = slot_columns(recs)
-    slots = list(dict.fromkeys(s for r in recs for m in r.measures for s in m.slots))
-    df = running_in_window(anchored_window(df, [key], ms, source=source, opened=opened), [key], {f"_{s}_{recs[0].part}": added[s] for s in slots}, source=windows(source))
-    if lasts := {r.column("last"): r.last() for r in recs if r.lasts}:
-        df = sliding_last(df, inside, lasts, ms, source=windows(source))  # a fixed window is no longer than ms, so a sliding one over its rows holds all of them
-    for r in recs:
-        df = _list(df, inside, r)
+    sums = {f"_{s}_{recs[0].part}": added[s] for s in dict.fromkeys(s for r in recs for m in r.measures for s in m.slots)}
+    lasts = {r.column("last"): r.last() for r in recs if r.lasts}
+    df = anchored_window(df, [key], ms, source=source, opened=opened)
+    if ms <= SPAN_MS:  # a task has the rows of one window of a key, for all of its records
+        own = Window.partitionBy(*inside).orderBy("us", "transaction_no").rowsBetween(Window.unboundedPreceding, 0)
+        lists = {r.column("list"): F.array_sort(F.flatten(F.collect_list(r.texts()).over(own))) for r in recs if r.lists}
+        df = df.withColumns({c: F.sum(F.coalesce(x, F.lit(0))).over(own) for c, x in sums.items()} | {c: F.last(x, ignorenulls=True).over(own) for c, x in lasts.items()} | lists)
+        df = df.withColumns({r.column("set"): F.array_distinct(r.column("list")) for r in recs if r.lists}) if lists else df
+    else:
+        rows = anchored_window(source, [key], ms, opened=opened)
+        df = running_in_window(df, [key], sums, source=rows)
+        if lasts:
+            df = sliding_last(df, inside, lasts, ms, source=rows)  # a fixed window is no longer than ms, so a sliding one over its rows holds all of them
+        for r in recs:
+            df = _list(df, inside, r)
     df = df.withColumn(_end(recs[0]), F.col("window_end")).drop("window_start", "window_end")
     if held is not None:
         more = lambda r: {end: F.col("window_end")} | _before(r) | ({f"_was_{r.column('list')}": F.col("arg_list")} if r.lists else {})

@@ -140,12 +140,12 @@ def fixed_window_anchored(spark, sf):
 
 
 def fixed_window_running(spark, sf):
-    out = W.running_in_window(W.anchored_window(read_transactions(spark, sf), ["card_id"], DAY), ["card_id"], {"n": F.lit(1).cast("long"), "total": F.col("amount").cast(W.MONEY)})
+    out = W.running_in_window(W.anchored_window(read_transactions(spark, sf), ["card_id"], DAY), ["card_id"], {"n": F.lit(1).cast("long"), "total": F.col("amount").cast(W.MONEY)}, window_ms=DAY)
     return out.select("transaction_no", "n", F.col("total").cast("double").alias("total"))
 
 
 def fixed_window_epoch(spark, sf):
-    out = W.running_in_window(W.epoch_window(read_transactions(spark, sf), DAY), ["card_id"], {"n": F.lit(1).cast("long")})
+    out = W.running_in_window(W.epoch_window(read_transactions(spark, sf), DAY), ["card_id"], {"n": F.lit(1).cast("long")}, window_ms=DAY)
     return out.select("transaction_no", "window_start", "n")
 
 
