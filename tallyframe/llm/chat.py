@@ -18,7 +18,9 @@ results of one call the first by position is linked, of several calls with one
 identifier the first by position stands for it, and n_repeats says how many there were;
 arguments that are no JSON object are invalid and serialised as null; a call of an
 unknown tool is invalid; a missing conversation or identifier links with nothing and
-leaves the call out of the order; empty tables give no rows; extra columns are ignored.
+leaves the call out of the order; empty tables give no rows; extra columns are ignored. A conversation may have any
+length: its calls are joined and numbered by shuffles; a block of calls that need later ones is one row, and where paths within it turn
+back and forth, each turn is one more sweep, a Spark job; very long arguments and results are handled whole, each in its row.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ joins the exact snapshot digests, and the two texts are compared in full.
 Defined results: an empty table gives no rows; null and empty texts are one group;
 a null doc_id is a keeper only where its whole group has none; rows that repeat the
 keeper's doc_id and text are all flagged kept, and ``drop_duplicates`` leaves one of
-them; extra columns stay.
+them; a very long text is normalised, hashed and compared whole, within its row; extra columns stay.
 """
 
 from __future__ import annotations

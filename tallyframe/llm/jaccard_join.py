@@ -26,7 +26,7 @@ whole sets. Links between sets that a first-round path already joins need no tes
 Defined results: texts without words have no set, and doc_id as component_id; rows of
 one doc_id and set are one class; a row without doc_id links with nothing
 (component_id null) unless its set has another row; an empty table gives no rows;
-extra columns are ignored.
+a very long text counts with all of its shingles, which are dealt out like those of others; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ with one window more. The last pool of a task gives up its odd remainder as wind
 a power of two tokens, which need no padding.
 
 Defined results: null and empty texts are the end token alone; an empty table gives no
-rows; repeated rows, and rows without doc_id (null there), are packed as often as they occur; extra columns are ignored.
+rows; repeated rows, and rows without doc_id (null there), are packed as often as they occur; a very long text is
+tokenised whole and cut over as many sequences as it needs; extra columns are ignored.
 A task's number is part of sequence_id, and a task that is run again on the same
 rows gives the same windows.
 """

@@ -15,7 +15,7 @@ labelled document of both classes every score is that share, or 0.5; labels with
 quality or doc_id are left out; a doc_id labelled more than once keeps its greatest
 label; cosines count to six places, and of equal ones those with the labelled documents
 of smaller doc_id are nearer; equal texts have equal scores; a row without doc_id is scored
-and not held out; an empty table gives no rows; extra columns are ignored.
+and not held out; an empty table gives no rows; a very long text is scored whole; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -19,7 +19,11 @@ equals in one index.
 Defined results: null, empty and short texts have no windows and lose nothing; a window
 that repeats within one document only stays; rows of one doc_id count as one
 document, each by its own text; a row without doc_id is neither earlier nor later than
-any and loses nothing; an empty table gives no rows; extra columns are ignored.
+any and loses nothing; an empty table gives no rows; a very long text is read whole,
+all of its windows by their anchors; extra columns are ignored.
+
+Words are compared by 40 bits of their hashes and segments by names of 128 bits; the words themselves are not compared after that, so
+of two different windows 50 hashes in a row would have to meet.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ that is no piece costs ``UNKNOWN`` less than the worst piece and counts as its U
 Of spellings with equal scores the one with fewer pieces counts.
 
 Defined results: null and empty texts have 0 tokens and a score of 0; an empty table
-gives no rows; repeated rows repeat, and so do rows without doc_id (null there); extra columns are ignored.
+gives no rows; repeated rows repeat, and so do rows without doc_id (null there); a very long text is
+counted whole; extra columns are ignored.
 """
 
 from __future__ import annotations
