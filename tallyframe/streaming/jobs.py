@@ -134,7 +134,7 @@ def alert_sets(rows: DataFrame, rules: list[Rule], custom: dict[str, list[str]],
 
 ANSWERS = "transaction_no long, alerts array<struct<rule_title:string,message:string,action:string,subject:string,key:string,window_ms:bigint>>, alert_status string, score double, rule_errors array<string>"
 #: Of the state and the folders of a job; a job of another layout isn't gone on with.
-LAYOUT = 3
+LAYOUT = 4
 
 
 class Job:
@@ -227,7 +227,9 @@ def saved_records(spark: SparkSession, checkpoint: str, recs: list[Record], batc
     for r in recs:
         sums = {s: F.coalesce(F.element_at("sums", F.lit(s)), F.lit(0)) for m in r.measures for s in m.slots}
         at = lambda kind, c: F.try_element_at(kind, F.lit(r.column(c)))  # noqa: E731, B023
-        row = state_row(r, sums, at("lists", "list") if r.lists else None, at("lasts", "last") if r.lasts else None, F.col("ends") if r.fixed else None)
+        counted = F.array_sort(F.map_entries(at("lists", "list")))
+        texts = F.flatten(F.transform(counted, lambda e: F.array_repeat(e["key"], e["value"].cast("int"))))
+        row = state_row(r, sums, texts if r.lists else None, at("lasts", "last") if r.lasts else None, F.col("ends") if r.fixed else None)
         mine = held.filter((F.col("subject") == r.owner) & (F.col("part") == r.part)).select(F.lit(r.subject).alias("subject"), F.lit(r.custom).cast("string").alias("custom_subject"), "key", row.alias("r"), F.col("us").alias("as_of"))
         mine = mine.select("subject", "custom_subject", "key", "r.*", "as_of")
         out = mine if out is None else out.unionByName(mine)

@@ -10,14 +10,17 @@ of the buckets that its own rows lie in and that its windows begin in. In event-
 the first row that waits, else for the time at which its last window is empty or over and the state of its windows goes. In
 arrival order a key's old buckets go when it has a new row, and all of its windows, by a timer of processing time, when it has had none for ``idle_ms``.
 
-Texts for lists and last values are held in buckets of their own, all of which a window's rows read, as a list is
-answered with every row. A last value without window is the one of the latest row that brought one.
+Texts for lists and last values are held in buckets of their own, each with a summary: the bucket's distinct texts with their counts,
+and its last text. A window's list is put together from the summaries of the buckets that lie within it and the rows
+of those at its two ends, so what a micro-batch reads grows with the distinct texts of a window and not with its rows; only a
+bucket that has new rows is written again. A last value without window is the one of the latest row that brought one.
 """
 
 from __future__ import annotations
 
 import io
 from bisect import bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -62,6 +65,26 @@ def _texts(value: object) -> list[str]:
     return list(value) if isinstance(value, (list, np.ndarray)) else []
 
 
+def _latest_text(values: list) -> np.ndarray:
+    """The place of the last text up to each value, -1 where there is none."""
+    return np.maximum.accumulate(np.where([isinstance(v, str) for v in values], np.arange(len(values)), -1)) if values else np.zeros(0, np.int64)
+
+
+def _spread(counts: dict[str, int]) -> list[str]:
+    """The sorted list that has these counts of texts."""
+    return [t for t in sorted(counts) for _ in range(counts[t])]
+
+
+class _Texts(NamedTuple):
+    """The rows of a bucket, in order."""
+
+    us: np.ndarray
+    places: list[tuple[int, int]]
+    values: dict[str, list]
+    #: For last values, the place of the last text up to each row.
+    last: dict[str, np.ndarray]
+
+
 class Records(StatefulProcessor):
     """For each row the sums of its key's windows after it: columns ``sum_part``; those of other kinds of keys are null.
 
@@ -82,9 +105,10 @@ class Records(StatefulProcessor):
         self.totals = handle.getMapState("totals", "bucket long", "sums array<long>")
         self.rows = handle.getMapState("rows", "bucket long", "us binary, no binary, values binary")
         self.fixed = handle.getMapState("fixed", "part string", "start long, sums array<long>")
-        self.latest = handle.getMapState("latest", "part string", "us long, sums map<string,long>, lists map<string,array<string>>, lasts map<string,string>, ends long")
+        self.latest = handle.getMapState("latest", "part string", "us long, sums map<string,long>, lists map<string,map<string,long>>, lasts map<string,string>, ends long")
         self.texts = handle.getMapState("texts", "bucket long", "rows binary")
-        self.open = handle.getMapState("open", "name string", "start long, texts array<string>")
+        self.summaries = handle.getMapState("summaries", "bucket long, name string", "counts map<string,long>, last string")
+        self.open = handle.getMapState("open", "name string", "start long, counts map<string,long>, last string")
         self.ever = handle.getMapState("ever", "name string", "us long, no long, value string")
         self.waiting = handle.getListState("waiting", "rows binary")
         self.timer = handle.getValueState("timer", "ms long")
@@ -115,7 +139,7 @@ class Records(StatefulProcessor):
 
         rows = [(np.frombuffer(u, np.int64), np.frombuffer(k, np.int64), moved(np.frombuffer(v, np.int64).reshape(-1, len(names)))) for _, (u, k, v) in self.rows.iterator()]
         texts = [pa.ipc.open_stream(r[0]).read_pandas() for _, r in self.texts.iterator()]
-        for state in (self.rows, self.totals, self.texts):
+        for state in (self.rows, self.totals, self.texts, self.summaries):
             state.clear()
         if rows and spec.sliding:
             us, no, values = (np.concatenate(x) for x in zip(*rows, strict=True))
@@ -128,7 +152,7 @@ class Records(StatefulProcessor):
         if texts and spec.sliding:
             every = pd.concat(texts, ignore_index=True)
             for b, own in every.groupby(every["us"] // spec.span):
-                self.texts.updateValue((int(b),), (_packed(own),))
+                self._keep(int(b), own.sort_values(["us", "no"], kind="stable"), [n for n in (*self.lists, *self.lasts) if n in own])
         for (part,), (start, sums) in list(self.fixed.iterator()):
             self.fixed.updateValue((part,), (start, moved(np.array(sums, np.int64)).tolist()))
 
@@ -187,68 +211,95 @@ class Records(StatefulProcessor):
 
     # Lists and last values.
 
+    def _keep(self, bucket: int, rows: pd.DataFrame, names: list[str]) -> dict[str, tuple[dict, str | None]]:
+        """Write a bucket's rows, which are in order, and its summaries; these are given back."""
+        out = {n: self._summary(n, rows[n].tolist()) for n in names}
+        self.texts.updateValue((bucket,), (_packed(rows),))
+        for n, held in out.items():
+            self.summaries.updateValue((bucket, n), held)
+        return out
+
+    def _summary(self, name: str, values: list) -> tuple[dict, str | None]:
+        if name in self.lists:
+            return dict(Counter(t for v in values for t in _texts(v))), None
+        at = _latest_text(values)
+        return {}, values[at[-1]] if len(at) and at[-1] >= 0 else None
+
     def _held(self, spec: Spec, names: list[str], us: np.ndarray, no: np.ndarray, fresh: pd.DataFrame) -> dict[str, list]:
         """Lists and last values of sliding windows at each row."""
-        longest = max(spec.sliding.values()) * 1000
         span = spec.span
-        known = sorted(k[0] for k in self.texts.keys())
-        first, latest = (int(us.min()) - longest) // span, int(us.max()) // span
-        held = {b: pa.ipc.open_stream(self.texts.getValue((b,))[0]).read_pandas() for b in known if first <= b <= latest}
+        summaries = {tuple(k): tuple(v) for k, v in self.summaries.iterator()}
+        known = {b for b, _ in summaries}
         new = pd.DataFrame({"us": us, "no": no} | {n: fresh[n].to_numpy(object) for n in names}).dropna(subset=names, how="all")
-        for b, rows in new.groupby(new["us"] // span):
-            held[b] = pd.concat([held[b], rows], ignore_index=True) if b in held else rows
-            self.texts.updateValue((int(b),), (_packed(held[b]),))
+        own, edges = us // span, {n: us - spec.sliding[self.lists.get(n) or self.lasts[n]] * 1000 for n in names}
+        coming = new["us"].to_numpy(np.int64) // span
+        gone = (max(int(us.max()), max(known, default=0) * span) - max(spec.sliding.values()) * 1000) // span  # buckets before it are in no window to come
+        near: dict[int, _Texts] = {}
+        for b in sorted({int(x) for e in edges.values() for x in np.unique(e // span)} & known | {int(x) for x in np.unique(own)} & (known | set(coming.tolist()))):
+            parts = [pa.ipc.open_stream(self.texts.getValue((b,))[0]).read_pandas()] if b in known else []
+            rows = pd.concat([*parts, new[coming == b]], ignore_index=True).sort_values(["us", "no"], kind="stable")
+            rows = rows.reindex(columns=list(dict.fromkeys([*rows.columns, *names])))
+            if (coming == b).any():
+                held = self._keep(b, rows, names) if b >= gone else {n: self._summary(n, rows[n].tolist()) for n in names}
+                summaries |= {(b, n): v for n, v in held.items()}
+            values = {n: rows[n].tolist() for n in names}
+            near[b] = _Texts(rows["us"].to_numpy(np.int64), list(zip(rows["us"].tolist(), rows["no"].tolist(), strict=True)), values, {n: _latest_text(values[n]) for n in names if n in self.lasts})
+        for b, n in summaries:
+            if b < gone and b in known:
+                self.summaries.removeKey((b, n))
         for b in known:
-            if b < (max(int(us.max()), known[-1] * span) - longest) // span:
+            if b < gone:
                 self.texts.removeKey((b,))
-        if not held:
-            return {n: [[] for _ in us] if n in self.lists else [None] * len(us) for n in names}
-        every = pd.concat(held.values(), ignore_index=True).sort_values(["us", "no"], kind="stable").reindex(columns=["us", "no", *names])
-        times = every["us"].to_numpy(np.int64)
-        places = list(zip(times.tolist(), every["no"].tolist(), strict=True))
-        upto = [bisect_right(places, x) for x in zip(us.tolist(), no.tolist(), strict=True)]
+        none = _Texts(np.zeros(0, np.int64), [], {n: [] for n in names}, {n: np.zeros(0, np.int64) for n in names})
         out = {}
         for n in names:
-            part = self.lists.get(n) or self.lasts[n]
-            begin = np.searchsorted(times, us - spec.sliding[part] * 1000, "left").tolist()
-            values = every[n].tolist()
-            some = [isinstance(v, str) for v in values]
-            if n in self.lists:
-                out[n] = [sorted(t for v in values[a:b] for t in _texts(v)) for a, b in zip(begin, upto, strict=True)]
-            else:
-                near = np.append(-1, np.maximum.accumulate(np.where(some, np.arange(len(some)), -1)))
-                out[n] = [values[near[b]] if near[b] >= a else None for a, b in zip(begin, upto, strict=True)]
+            out[n], between, inner = [], None, None
+            for at, edge, b in zip(zip(us.tolist(), no.tolist(), strict=True), edges[n].tolist(), own.tolist(), strict=True):
+                first, end, begin = edge // span, near.get(b, none), near.get(edge // span, none)
+                upto, start = bisect_right(end.places, at), int(np.searchsorted(begin.us, edge, "left"))
+                if (first, b) != between:
+                    between, inside = (first, b), sorted(x for x, name in summaries if name == n and first < x < b)
+                    if n in self.lists:
+                        inner = _spread(sum((Counter(summaries[x, n][0]) for x in inside), Counter()))
+                    else:
+                        inner = next((summaries[x, n][1] for x in reversed(inside) if summaries[x, n][1] is not None), None)
+                if n in self.lists:
+                    ends = end.values[n][start:upto] if first == b else begin.values[n][start:] + end.values[n][:upto]
+                    out[n].append(sorted(inner + [t for v in ends for t in _texts(v)]))
+                    continue
+                found = end.last[n][upto - 1] if upto else -1
+                if found >= (start if first == b else 0):
+                    out[n].append(end.values[n][found])
+                elif inner is not None or first == b or not len(begin.us) or begin.last[n][-1] < start:
+                    out[n].append(inner)
+                else:
+                    out[n].append(begin.values[n][begin.last[n][-1]])
         return out
 
     def _held_in_open(self, name: str, starts: np.ndarray, values: list) -> list:
         """The list or last value of a fixed window at each row. starts: of its windows."""
-        start, texts = self.open.getValue((name,)) if self.open.containsKey((name,)) else (None, [])
-        texts, out = list(texts), []
+        start, counts, last = self.open.getValue((name,)) if self.open.containsKey((name,)) else (None, {}, None)
+        texts, out = _spread(counts or {}), []
         for now, v in zip(starts.tolist(), values, strict=True):
-            texts = texts if now == start else []
-            start = now
+            if now != start:
+                start, texts, last = now, [], None
             if name in self.lists:
                 for t in _texts(v):
                     insort(texts, t)
             elif isinstance(v, str):
-                texts = [v]
-            out.append(list(texts) if name in self.lists else texts[0] if texts else None)
-        self.open.updateValue((name,), (int(start), texts))
+                last = v
+            out.append(list(texts) if name in self.lists else last)
+        self.open.updateValue((name,), (int(start), dict(Counter(texts)), last))
         return out
 
     def _last_ever(self, name: str, us: np.ndarray, no: np.ndarray, values: list) -> list:
-        at, value = (-(2**63), -(2**63)), None
-        if self.ever.containsKey((name,)):
-            *at, value = self.ever.getValue((name,))
-            at = tuple(at)
-        out = []
-        for now, v in zip(zip(us.tolist(), no.tolist(), strict=True), values, strict=True):
-            if isinstance(v, str) and now >= at:
-                at, value = now, v
-            out.append(value)
-        if value is not None:
-            self.ever.updateValue((name,), (*at, value))
-        return out
+        """The text of the latest row so far that brought one, at each row."""
+        *at, value = self.ever.getValue((name,)) if self.ever.containsKey((name,)) else (-(2**63), -(2**63), None)
+        after = (us > at[0]) | (us == at[0]) & (no >= at[1])
+        found = _latest_text([v if later else None for v, later in zip(values, after, strict=True)])
+        if len(found) and found[-1] >= 0:
+            self.ever.updateValue((name,), (int(us[found[-1]]), int(no[found[-1]]), values[found[-1]]))
+        return [values[i] if i >= 0 else value for i in found]
 
     def _fixed(self, part: str, ms: int, us: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, sums) of the window at each row: rows up to the end of the open one go on with its sums; then windows follow one another."""
@@ -287,7 +338,7 @@ class Records(StatefulProcessor):
         texts |= {n: self._held_in_open(n, out[f"start_{p}"], fresh[n].tolist()) for n, p in (self.lists | self.lasts).items() if p in spec.fixed}
         for part in spec.parts:
             if part == spec.unbounded or not self.latest.containsKey((part,)) or self.latest.getValue((part,))[0] <= us[-1]:
-                now = [{n: texts[n][-1] for n, p in kind.items() if p == part} for kind in (self.lists, self.lasts)]
+                now = [{n: dict(Counter(texts[n][-1])) for n, p in self.lists.items() if p == part}, {n: texts[n][-1] for n, p in self.lasts.items() if p == part}]
                 end = int(out[f"start_{part}"][-1]) + spec.fixed[part] * 1000 if part in spec.fixed else None
                 self.latest.updateValue((part,), (int(us[-1]), dict(zip(self.sums, found[part][-1].tolist(), strict=True)), *now, end))
         for s in {s for spec in self.specs.values() for s in spec.parts}:
@@ -349,5 +400,5 @@ class Records(StatefulProcessor):
         if len(ready):
             yield self._answers(key, ready)
         elif not self.timer.exists():  # idle for its longest window, or for idle_ms: nothing in it any more, and the next row opens new fixed ones
-            for held in (self.totals, self.rows, self.texts, self.fixed, self.open):
+            for held in (self.totals, self.rows, self.texts, self.summaries, self.fixed, self.open):
                 held.clear()
