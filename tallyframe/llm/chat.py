@@ -8,10 +8,10 @@ conversation. Where dependencies point to earlier positions, the positions are t
 from the one to the other, and blocks that overlap are one; its calls share a place, and a
 call's round is one more than the greatest of the calls in the block that it needs. Rounds are found by
 sweeps over a block from its end and from its beginning, so chains of any length in either direction
-take one; only a path that turns back and forth needs more. Calls on a cycle, and those of the
-block that need them, have round null. Canonical JSON has sorted keys and no blanks;
-a whole number has no point (``1.0`` and ``1`` are ``1``), one that Spark writes with an
-exponent keeps it (``1e10`` is ``1E10``). DataFrame functions only.
+take one; a path that turns back and forth needs more, which follow one another within the row. Calls on a cycle, and those of the
+block that need them, have round null. Canonical JSON has sorted keys, no blanks and one
+form for each number, without an exponent and without zeros at its end (``1.0`` and ``1`` are ``1``, ``1e10`` is
+``10000000000``, ``2.5e-7`` is ``0.00000025``); a number of more than 38 digits is the nearest double. DataFrame functions only.
 
 Defined results: a call without a result has result null and linked false; of several
 results of one call the first by position is linked, of several calls with one
@@ -19,12 +19,14 @@ identifier the first by position stands for it, and n_repeats says how many ther
 arguments that are no JSON object are invalid and serialised as null; a call of an
 unknown tool is invalid; a missing conversation or identifier links with nothing and
 leaves the call out of the order; empty tables give no rows; extra columns are ignored. A conversation may have any
-length: its calls are joined and numbered by shuffles; a block of calls that need later ones is one row, and where paths within it turn
-back and forth, each turn is one more sweep, a Spark job; very long arguments and results are handled whole, each in its row.
+length: its calls are joined and numbered by shuffles; a block of calls that need later ones is one row; paths within it that turn
+back and forth take a sweep for each turn, and each SWEEPS of them a Spark job; very long arguments and results are handled whole, each in its row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,10 @@ from .shared import salted_lookup, written
 BROADCAST_FIELDS = 10_000
 #: Positions of a conversation that are sorted together.
 SPAN = 4096
+#: Sweeps (there and back) over a block before what they have found is written.
+SWEEPS = 256
+#: Levels of a sweep that are appended to one array before the next one is begun, since an append copies its array.
+PIECE = 256
 
 
 def quoted(text: Column) -> Column:
@@ -41,11 +47,30 @@ def quoted(text: Column) -> Column:
     return F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def plain(number: Column) -> Column:
+    """A number that has an exponent (``-1.25E-7``) in digits alone."""
+    mantissa, power = F.ltrim(F.split_part(number, F.lit("E"), F.lit(1)), F.lit("-")), F.split_part(number, F.lit("E"), F.lit(2)).cast("int")
+    whole, part = F.split_part(mantissa, F.lit("."), F.lit(1)), F.rtrim(F.split_part(mantissa, F.lit("."), F.lit(2)), F.lit("0"))
+    digits, point = F.concat(whole, part), F.length(whole) + power
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+    large = F.concat(digits, F.repeat(F.lit("0"), point - F.length(digits)))
+    value = F.when(point <= 0, small).when(point >= F.length(digits), large).otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits))))
+    return F.concat(F.when(number.startswith("-"), "-").otherwise(""), value)
+
+
 def canonical(json: Column) -> Column:
-    """JSON text with sorted keys, no blanks and whole numbers without a point, or null: a variant object keeps its fields in key order."""
+    """JSON text with sorted keys, no blanks and one form for each number, or null: a variant object keeps its fields in key order."""
     # escaped backslashes and quotes are put aside, so that every second piece between quotes is outside strings
     pieces = F.split(F.replace(F.replace(F.to_json(F.try_parse_json(json)), F.lit("\\\\"), F.lit("\1")), F.lit('\\"'), F.lit("\2")), '"')
-    outside = lambda x: F.regexp_replace(x, r"(?<=[0-9])\.0(?![0-9])", "")
+    # a piece with exponents is cut where its numbers begin and end
+    cut = lambda x: F.split(x, r"(?<=[,:\[])(?=[-0-9])|(?<=[0-9])(?=[,\]}])")
+    spelled = lambda x: F.when(x.rlike("[0-9]E"), F.array_join(F.transform(cut(x), lambda y: F.when(y.rlike("[0-9]E"), plain(y)).otherwise(y)), "")).otherwise(x)
+    outside = lambda x: F.regexp_replace(F.regexp_replace(spelled(x), r"(?<=[0-9])\.0(?![0-9])", ""), r"-0(?![0-9.])", "0")
     whole = F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 0, outside(x)).otherwise(x)), '"')
     return F.replace(F.replace(whole, F.lit("\2"), F.lit('\\"')), F.lit("\1"), F.lit("\\\\"))
 
@@ -103,15 +128,35 @@ def blocks(calls: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _sweep(levels: Column, backward: bool) -> Column:
     """levels of a block's calls (null: unknown) after one pass over them, in which later calls see what earlier ones have become."""
-    n = F.size("deps")
+    n, none = F.size("deps"), F.array().cast("array<int>")
+
+    def fresh(acc: Column, d: Column) -> Column:
+        at = n - d if backward else d - 1
+        piece = F.floor(at / PIECE).cast("int")
+        return F.get(F.when(piece < F.size(acc["pieces"]), F.get(acc["pieces"], piece)).otherwise(acc["last"]), at % PIECE)
+
+    def step(acc: Column, i: Column) -> Column:
+        known = F.transform(F.element_at("deps", i), lambda d: F.when((d > i) if backward else (d < i), fresh(acc, d)).otherwise(F.element_at(levels, d)))
+        found = let(known, lambda k: F.when(~F.exists(k, lambda x: x.isNull()), 1 + F.coalesce(F.array_max(k), F.lit(0))))
+        last = F.array_append(acc["last"], F.coalesce(F.element_at(levels, i), found))
+        return let(last, lambda x: F.when(F.size(x) < PIECE, F.struct(acc["pieces"].alias("pieces"), x.alias("last"))).otherwise(F.struct(F.array_append(acc["pieces"], x).alias("pieces"), none.alias("last"))))
+
+    order = F.sequence(n, F.lit(1), F.lit(-1)) if backward else F.sequence(F.lit(1), n)
+    every = lambda acc: F.flatten(F.array_append(acc["pieces"], acc["last"]))
+    start = F.struct(F.array().cast("array<array<int>>").alias("pieces"), none.alias("last"))
+    return F.aggregate(order, start, step, lambda acc: F.reverse(every(acc)) if backward else every(acc))
+
+
+def _swept(levels: Column, n_known: Column) -> Column:
+    """(levels, n_known, more) after up to SWEEPS sweeps there and back; more: the last one has found some and not yet all."""
 
-    def step(done: Column, i: Column) -> Column:
-        fresh = (lambda d: F.element_at(done, d - i)) if backward else (lambda d: F.element_at(done, d))
-        known = F.transform(F.element_at("deps", i), lambda d: F.when((d > i) if backward else (d < i), fresh(d)).otherwise(F.element_at(levels, d)))
-        level = F.coalesce(F.element_at(levels, i), F.when(~F.exists(known, lambda x: x.isNull()), 1 + F.coalesce(F.array_max(known), F.lit(0))))
-        return F.array_prepend(done, level) if backward else F.array_append(done, level)
+    def step(acc: Column, _: Column) -> Column:
+        there = lambda back: _sweep(back, False)
+        count = lambda x: F.size(F.filter(x, lambda y: y.isNotNull()))
+        state = lambda x: let(count(x), lambda c: F.struct(x.alias("levels"), c.alias("n_known"), ((c > acc["n_known"]) & (c < F.size("deps"))).alias("more")))
+        return F.when(acc["more"], let(let(_sweep(acc["levels"], True), there), state)).otherwise(acc)
 
-    return F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)) if backward else F.sequence(F.lit(1), n), F.array().cast("array<int>"), step)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SWEEPS)), F.struct(levels.alias("levels"), n_known.alias("n_known"), F.lit(True).alias("more")), step)
 
 
 def rounds(calls: DataFrame, edges: DataFrame) -> DataFrame:
@@ -124,14 +169,11 @@ def rounds(calls: DataFrame, edges: DataFrame) -> DataFrame:
     one = one.select("conv_id", "place", F.col("c.call_id").alias("ids"), F.col("c.deps").alias("deps"))
     left = one.withColumn("levels", F.transform("ids", lambda _: F.lit(None).cast("int"))).withColumn("n_known", F.lit(0))
     done = None
-    count = lambda c: F.size(F.filter(c, lambda x: x.isNotNull()))
     while True:
-        back = left.withColumn("back", _sweep(F.col("levels"), True)).drop("levels")
-        swept = written(back.withColumn("levels", _sweep(F.col("back"), False)).drop("back").withColumn("now", count("levels")), "swept-blocks")
-        more = (F.col("now") > F.col("n_known")) & (F.col("now") < F.size("ids"))
-        ended = swept.filter(~more).select("conv_id", "place", "ids", "levels")
+        swept = written(left.withColumn("s", _swept(F.col("levels"), F.col("n_known"))).select("conv_id", "place", "ids", "deps", "s.*"), "swept-blocks")
+        ended = swept.filter("not more").select("conv_id", "place", "ids", "levels")
         done = ended if done is None else done.unionByName(ended)
-        left = swept.filter(more).drop("n_known").withColumnRenamed("now", "n_known")
+        left = swept.filter("more").drop("more")
         if left.isEmpty():
             return done.select("conv_id", "place", F.explode(F.arrays_zip("ids", "levels")).alias("c")).select("conv_id", F.col("c.ids").alias("call_id"), "place", F.col("c.levels").alias("round"))
 

@@ -543,6 +543,38 @@ def test_tool_calls_are_in_topological_order(spark, seed):
                 assert (y.place, y.round, y.position) < (x.place, x.round, x.position)
 
 
+def test_tool_calls_on_turning_paths(spark, monkeypatch):
+    """Calls that need, by turns, the last and the first of those that are left, so that no sweep finds more than a few; in one job and in several."""
+    n = 600
+    path = [x for a, b in zip(range(n // 2), range(n - 1, n // 2 - 1, -1), strict=True) for x in (a, b)]
+    calls = [(1, f"c{x}", x, "add", "{}", [f"c{needed}"] if needed is not None else []) for x, needed in zip(path, [*path[1:], None], strict=True)]
+    want = {x: n - i for i, x in enumerate(path)}
+    for sweeps in (chat.SWEEPS, 512):
+        monkeypatch.setattr(chat, "SWEEPS", sweeps)
+        assert {r.position: r.round for r in linked(spark, calls).select("position", "round").collect()} == want
+    # cycles end at once, and what needs them has no round
+    loop = [(2, f"c{i}", i, "add", "{}", [f"c{(i + 1) % 300}"] if i < 300 else ["c0"] if i == 300 else []) for i in range(302)]
+    assert {r.round for r in linked(spark, loop).filter("position <= 300").select("round").collect()} <= {None, 0}
+
+
+def test_each_number_has_one_form(spark):
+    from decimal import Context, Decimal
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    tokens = ["1e10", "10000000000", "1E+10", "1.0e10", "-0.0", "-0", "0e0", "-0e5", "2.5e-7", "0.00000025", "1e-1", "0.10", "1e22", "2.2250738585072014e-308", "1.7976931348623157e308", "-1.25e30", "123456789012345678901234567890", "-12.50E1", "100.0", "1e0"]
+    tokens += [f"{r.choice(['', '-'])}{r.randint(0, 999)}{r.choice(['', '.5', '.250', '.0'])}{r.choice(['', 'e3', 'E-9', 'e+25', 'e-40'])}" for _ in range(200)]
+    df = spark.createDataFrame([(i, f'{{"b":[{t},"1.0E7, -0"],"a":{{"x":{t}}},"c":{t}}}', f"{t}") for i, t in enumerate(tokens)], "i int, json string, t string")
+    got = {x.i: x.c for x in df.select("i", chat.canonical(F.col("json")).alias("c")).collect()}
+    for i, t in enumerate(tokens):
+        exact = Decimal(repr(float(t))) if "e" in t.lower() else Decimal(t)
+        spelled = f"{exact.normalize(Context(prec=400)):f}" if exact else "0"
+        assert got[i] == f'{{"a":{{"x":{spelled}}},"b":[{spelled},"1.0E7, -0"],"c":{spelled}}}', t
+    alone = df.select("i", chat.canonical(F.col("t")).alias("c")).collect()
+    assert all(f'"c":{x.c}}}' in got[x.i] for x in alone)
+
+
 def test_tool_calls_with_other_columns_and_numbers(spark):
     from pyspark.sql import functions as F
 
@@ -552,7 +584,7 @@ def test_tool_calls_with_other_columns_and_numbers(spark):
     names = ["errors", "round", "place", "answer", "found", "n_repeats", "_held", "spread", "reach", "at"]
     wide = [t.select("*", *(F.lit(c).alias(c) for c in names if c not in t.columns)) for t in (calls, results, schemas)]
     got = {x.call_id: x for x in chat.link_tool_calls(*wide).collect()}
-    assert got["a"].canonical_json == '{"arguments":{"v":"1.0, \\\\\\" 2.0","w":[1000,2.5,1E10],"x":1},"depends_on":["b"],"id":"a","name":"add","result":"1.0"}'
+    assert got["a"].canonical_json == '{"arguments":{"v":"1.0, \\\\\\" 2.0","w":[1000,2.5,10000000000],"x":1},"depends_on":["b"],"id":"a","name":"add","result":"1.0"}'
     assert (got["a"].position, got["a"].place, got["a"].round, got["b"].round, got["a"].linked) == (-1, -1, 2, 1, True)
     assert got["a"].errors == ["unexpected v", "unexpected w"] and got["b"].valid
 
