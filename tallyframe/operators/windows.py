@@ -1,7 +1,7 @@
 """Windowed indicators: sliding, distinct, frame-based, fixed and unbounded.
 
 A sliding window of W is the closed interval [t - W, t] and holds the rows ordered at or
-before (t, transaction_no). Sums and counts over it come from signed deltas: each row adds
+before (t, transaction_no); with ``peers`` all rows of time t, as SQL's RANGE frames have it. Sums and counts over it come from signed deltas: each row adds
 its values at t and takes them out after t + W, so every row is touched once a window
 whatever its length. Running sums are two-level: a key's time is cut into spans, the
 sums of whole spans are carried over, and only the rows of one span are sorted together,
@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 from .sums import MONEY  # noqa: F401
 
@@ -26,14 +27,19 @@ from .sums import MONEY  # noqa: F401
 SPAN_MS = 86_400_000
 
 
-def _running(signed: DataFrame, keys: list[str], order: list[str], at: str, values: list[str], span_us: int, source: DataFrame | None = None) -> DataFrame:
+def _up_to(ordered: WindowSpec, peers: bool) -> WindowSpec:
+    """All rows of a window up to each one, or to the last that is equal to it in order."""
+    return ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow) if peers else ordered.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _running(signed: DataFrame, keys: list[str], order: list[str], at: str, values: list[str], span_us: int, source: DataFrame | None = None, peers: bool = False) -> DataFrame:
     """signed with each value replaced by its running sum over keys in the given order.
 
-    source: a cheaper plan with the same keys, times and values, from which the spans' sums are taken.
+    source: a cheaper plan with the same keys, times and values, from which the spans' sums are taken. peers: rows that are equal in that order count together.
     """
     span = F.floor(F.col(at) / span_us)
     spans = signed.withColumn("_span", span)
-    own = Window.partitionBy(*keys, "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = _up_to(Window.partitionBy(*keys, "_span").orderBy(*order), peers)
     before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     totals = (spans if source is None else source.withColumn("_span", span)).groupBy(*keys, "_span").agg(*(F.sum(v).alias(v) for v in values))
     carried = totals.select(*keys, "_span", *(F.sum(v).over(before).alias(f"_before_{v}") for v in values))
@@ -43,16 +49,16 @@ def _running(signed: DataFrame, keys: list[str], order: list[str], at: str, valu
     return met.withColumns({v: F.coalesce(v, zero) + F.coalesce(f"_before_{v}", zero) for v in values}).drop("_span", *(f"_before_{v}" for v in values))
 
 
-def sliding_sums(df: DataFrame, keys: list[str], windows: dict[str, int], measures: dict[str, Column], at: str = "us", tie: str = "transaction_no", span_ms: int = SPAN_MS, source: DataFrame | None = None) -> DataFrame:
+def sliding_sums(df: DataFrame, keys: list[str], windows: dict[str, int], measures: dict[str, Column], at: str = "us", tie: str = "transaction_no", span_ms: int = SPAN_MS, source: DataFrame | None = None, peers: bool = False) -> DataFrame:
     """df with a column ``measure_window`` for each measure and window (name to ms): its sum in the window.
 
     Measures are long or decimal columns; null counts as 0. Rows with a null key are left out.
-    source: where df is the end of a chain of indicators, the rows that it began with.
+    source: where df is the end of a chain of indicators, the rows that it began with. peers: all rows of one time of a key count for each of them.
     """
-    return sliding_columns(df, keys, {f"{m}_{w}": (m, ms) for w, ms in windows.items() for m in measures}, measures, at, tie, span_ms, source)
+    return sliding_columns(df, keys, {f"{m}_{w}": (m, ms) for w, ms in windows.items() for m in measures}, measures, at, tie, span_ms, source, peers)
 
 
-def sliding_columns(df: DataFrame, keys: list[str], sums: dict[str, tuple[str, int]], measures: dict[str, Column], at: str = "us", tie: str = "transaction_no", span_ms: int = SPAN_MS, source: DataFrame | None = None) -> DataFrame:
+def sliding_columns(df: DataFrame, keys: list[str], sums: dict[str, tuple[str, int]], measures: dict[str, Column], at: str = "us", tie: str = "transaction_no", span_ms: int = SPAN_MS, source: DataFrame | None = None, peers: bool = False) -> DataFrame:
     """As sliding_sums, for any choice of measures and windows. sums: a new column to (measure, window in ms); all of them share one shuffle."""
     windows = list(dict.fromkeys(ms for _, ms in sums.values()))
     kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(ms * 1000).alias("late")) for i, ms in enumerate([0, *windows])])
@@ -65,13 +71,14 @@ def sliding_columns(df: DataFrame, keys: list[str], sums: dict[str, tuple[str, i
 
     payload = [c for c in df.columns if c not in (*keys, tie)]
     rows = signed(df).withColumns({c: F.when(F.col("_kind") == 0, F.col(c)) for c in payload})
-    summed = _running(rows, keys, ["_at", F.expr("_kind > 0"), tie], "_at", list(names), span_ms * 1000, None if source is None else signed(source))
+    order = ["_at", F.expr("_kind > 0"), *([] if peers else [tie])]
+    summed = _running(rows, keys, order, "_at", list(names), span_ms * 1000, None if source is None else signed(source), peers)
     return summed.filter("_kind = 0").select(*df.columns, *names)
 
 
-def sliding_distinct(df: DataFrame, keys: list[str], value: str, window_ms: int, out: str, at: str = "us", tie: str = "transaction_no", span_ms: int = SPAN_MS) -> DataFrame:
+def sliding_distinct(df: DataFrame, keys: list[str], value: str, window_ms: int, out: str, at: str = "us", tie: str = "transaction_no", span_ms: int = SPAN_MS, peers: bool = False) -> DataFrame:
     """df with the number of distinct non-null values in the window, by the same signed deltas: a value enters
-    when its last hit is older than the window and leaves when no next hit comes in time."""
+    when its last hit is older than the window and leaves when no next hit comes in time. peers: as in sliding_sums."""
     w = window_ms * 1000
     hits = _hits(keys, value, at, tie)
     near = df.dropna(subset=keys).withColumns({"_last": F.lag(at).over(hits), "_next": F.lead(at).over(hits)})
@@ -81,7 +88,7 @@ def sliding_distinct(df: DataFrame, keys: list[str], value: str, window_ms: int,
     kinds = F.array(F.struct(F.lit(0).alias("kind"), F.when(enters, 1).otherwise(0).alias("step")), F.struct(F.lit(1).alias("kind"), F.when(leaves, -1).otherwise(0).alias("step")))
     each = near.withColumn("_k", F.explode(kinds)).filter("_k.kind = 0 or _k.step <> 0")
     signed = each.withColumns({"_at": F.col(at) + F.col("_k.kind") * w, "_kind": F.col("_k.kind"), out: F.col("_k.step").cast("long")}).drop("_k", "_last", "_next")
-    return _running(signed, keys, ["_at", "_kind", tie], "_at", [out], span_ms * 1000).filter("_kind = 0").select(*df.columns, out)
+    return _running(signed, keys, ["_at", "_kind", *([] if peers else [tie])], "_at", [out], span_ms * 1000, peers=peers).filter("_kind = 0").select(*df.columns, out)
 
 
 def _hits(keys: list[str], value: str, at: str, tie: str):
@@ -95,8 +102,8 @@ def first_in_window(df: DataFrame, keys: list[str], value: str, window_ms: int,
     return df.withColumn(out, F.col(value).isNotNull() & F.coalesce(last < F.col(at) - window_ms * 1000, F.lit(True)))
 
 
-def sliding_list(df: DataFrame, keys: list[str], value: str, window_ms: int, out: str, distinct: bool = False, at: str = "us", tie: str = "transaction_no", most: int | None = None) -> DataFrame:
-    """df with the sorted list (or set) of non-null values in the window; an array brings all of its values. With ``most``, a longer list is an error rather than a loss.
+def sliding_list(df: DataFrame, keys: list[str], value: str, window_ms: int, out: str, distinct: bool = False, at: str = "us", tie: str = "transaction_no", most: int | None = None, peers: bool = False) -> DataFrame:
+    """df with the sorted list (or set) of non-null values in the window; an array brings all of its values. With ``most``, a longer list is an error rather than a loss. peers: as in sliding_sums.
 
     A key's time is cut into stretches as long as the window. A row is sent to its own and to the next one, which is all that
     can see it, so a hot key is spread over its stretches and a task holds what two windows hold.
@@ -105,7 +112,7 @@ def sliding_list(df: DataFrame, keys: list[str], value: str, window_ms: int, out
     each = df.dropna(subset=keys).withColumn("_ahead", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_span", F.floor(F.col(at) / width) + F.col("_ahead"))
     entry = F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), F.col(value).alias("value"))
     frame = Window.partitionBy(*keys, "_span").orderBy(at).rangeBetween(-width, 0)
-    inside = F.filter("_held", lambda e: (e["at"] < F.col(at)) | (e["tie"] <= F.col(tie)))
+    inside = F.col("_held") if peers else F.filter("_held", lambda e: (e["at"] < F.col(at)) | (e["tie"] <= F.col(tie)))
     values = F.transform(inside, lambda e: e["value"])
     values = F.array_sort(F.flatten(values) if isinstance(df.schema[value].dataType, T.ArrayType) else values)
     values = F.array_distinct(values) if distinct else values
@@ -115,17 +122,17 @@ def sliding_list(df: DataFrame, keys: list[str], value: str, window_ms: int, out
     return each.withColumn("_held", held).filter("_ahead = 0").withColumn(out, values).drop("_held", "_span", "_ahead")
 
 
-def sliding_last(df: DataFrame, keys: list[str], values: dict[str, Column], window_ms: int | None, at: str = "us", tie: str = "transaction_no", span_ms: int = SPAN_MS, source: DataFrame | None = None) -> DataFrame:
+def sliding_last(df: DataFrame, keys: list[str], values: dict[str, Column], window_ms: int | None, at: str = "us", tie: str = "transaction_no", span_ms: int = SPAN_MS, source: DataFrame | None = None, peers: bool = False) -> DataFrame:
     """df with the last non-null value of each name within the window (None: since the key's first row).
 
     The last value of all earlier rows is also the window's, unless it is older than that; it is carried over
-    spans like a running sum. source: as in sliding_sums.
+    spans like a running sum. source, peers: as in sliding_sums.
     """
     entry = lambda c: F.when(c.isNotNull(), F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), c.alias("value")))
     names = {n: f"_e_{i}" for i, n in enumerate(values)}
     cut = lambda rows: rows.dropna(subset=keys).withColumns({names[n]: entry(c) for n, c in values.items()}).withColumn("_span", F.floor(F.col(at) / (span_ms * 1000)))
     spans = cut(df)
-    own = Window.partitionBy(*keys, "_span").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0)
+    own = _up_to(Window.partitionBy(*keys, "_span").orderBy(*([at] if peers else [at, tie])), peers)
     before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     ends = (spans if source is None else cut(source)).groupBy(*keys, "_span").agg(*(F.max(e).alias(e) for e in names.values()))
     carried = ends.select(*keys, "_span", *(F.max(e).over(before).alias(f"{e}_before") for e in names.values()))

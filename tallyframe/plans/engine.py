@@ -52,14 +52,14 @@ def with_lookups(df: DataFrame, lookups: dict[str, tuple[DataFrame, str, str]])
     return df
 
 
-def with_indicators(df: DataFrame, rules: list[Rule], custom: dict[str, list[str]] | None = None, start: State | None = None) -> DataFrame:
+def with_indicators(df: DataFrame, rules: list[Rule], custom: dict[str, list[str]] | None = None, start: State | None = None, peers: bool = False) -> DataFrame:
     """df with a column for each measure of each record that COMPUTE rules keep, over its window or without end.
 
     A row whose key is null for a subject gets a key of its own there, so that it stays and loads no task. start: what earlier rows have
-    left, from which df goes on; all rows of df are later.
+    left, from which df goes on; all rows of df are later. peers: sliding windows hold all rows of a key that have the row's time, not only those up to its number.
     """
     recs = records(rules, df)
-    out = _kept(df, recs, custom or {}, start)
+    out = _kept(df, recs, custom or {}, start, peers)
     done: dict[str, Column] = {}
     for r in recs:
         done |= r.finished({s: F.col(_slot(s, r)) for m in r.measures for s in m.slots})
@@ -82,7 +82,7 @@ def keyed(df: DataFrame, owners: list[str], rules: list[Rule], custom: dict[str,
     return df.withColumns({f"_key_{name}": F.coalesce(keys[name].cast("string"), alone) for name in owners})
 
 
-def _kept(df: DataFrame, recs: list[Record], custom: dict[str, list[str]], start: State | None) -> DataFrame:
+def _kept(df: DataFrame, recs: list[Record], custom: dict[str, list[str]], start: State | None, peers: bool = False) -> DataFrame:
     """df with its keys and, for each record, the sums of its slots, its list, set and last value, and the end of its fixed window.
 
     What slides needs the rows before, so it is found over the tail and df together; what is fixed or without end goes on from saved values, over df only.
@@ -95,7 +95,7 @@ def _kept(df: DataFrame, recs: list[Record], custom: dict[str, list[str]], start
         both = start.tail.select(*df.columns, F.lit(False).alias("_new")).unionByName(df.withColumn("_new", F.lit(True)))
         df = source = keyed(both, owners, rules, custom)
     for name in owners:
-        df = _slide(df, f"_key_{name}", [r for r in recs if r.owner == name and r.window_ms is not None and not r.fixed], source)
+        df = _slide(df, f"_key_{name}", [r for r in recs if r.owner == name and r.window_ms is not None and not r.fixed], source, peers)
     if start is not None:
         df, source = df.filter("_new").drop("_new"), source.filter("_new").drop("_new")
     for name in owners:
@@ -107,24 +107,24 @@ def _kept(df: DataFrame, recs: list[Record], custom: dict[str, list[str]], start
     return df
 
 
-def _slide(df: DataFrame, key: str, recs: list[Record], source: DataFrame) -> DataFrame:
+def _slide(df: DataFrame, key: str, recs: list[Record], source: DataFrame, peers: bool) -> DataFrame:
     if not recs:
         return df
     sums = {_slot(s, r): (s, r.window_ms) for r in recs for m in r.measures for s in m.slots}
-    df = sliding_columns(df, [key], sums, slot_columns(recs), source=source)
+    df = sliding_columns(df, [key], sums, slot_columns(recs), source=source, peers=peers)
     for ms in dict.fromkeys(r.window_ms for r in recs):
         own = [r for r in recs if r.window_ms == ms]
         if lasts := {r.column("last"): r.last() for r in own if r.lasts}:
-            df = sliding_last(df, [key], lasts, ms, source=source)
+            df = sliding_last(df, [key], lasts, ms, source=source, peers=peers)
         for r in own:
-            df = _list(df, [key], r)
+            df = _list(df, [key], r, peers)
     return df
 
 
-def _list(df: DataFrame, keys: list[str], r: Record) -> DataFrame:
+def _list(df: DataFrame, keys: list[str], r: Record, peers: bool = False) -> DataFrame:
     if not r.lists:
         return df
-    df = sliding_list(df.withColumn("_arg", r.texts()), keys, "_arg", r.window_ms, r.column("list")).drop("_arg")
+    df = sliding_list(df.withColumn("_arg", r.texts()), keys, "_arg", r.window_ms, r.column("list"), peers=peers).drop("_arg")
     return df.withColumn(r.column("set"), F.array_distinct(r.column("list")))
 
 
@@ -252,10 +252,10 @@ def next_state(df: DataFrame, rules: list[Rule], custom: dict[str, list[str]] |
     return State(indicator_state(df, rules, custom, start), tail(rows, longest))
 
 
-def resume_indicators(df: DataFrame, earlier: DataFrame, rules: list[Rule], custom: dict[str, list[str]] | None = None) -> DataFrame:
+def resume_indicators(df: DataFrame, earlier: DataFrame, rules: list[Rule], custom: dict[str, list[str]] | None = None, peers: bool = False) -> DataFrame:
     """df with the indicators of sliding windows that go on from earlier rows. earlier: state.tail of those, with the columns of df."""
     sliding = [r for r in rules if r.kind == "COMPUTE" and r.scope == "window" and not r.fixed]
-    return with_indicators(df, sliding, custom, State(df.sparkSession.createDataFrame([], STATE_FIELDS), earlier))
+    return with_indicators(df, sliding, custom, State(df.sparkSession.createDataFrame([], STATE_FIELDS), earlier), peers)
 
 
 def evaluated(rows: DataFrame, rules: list[Rule], custom: dict[str, list[str]], example: DataFrame) -> DataFrame:
@@ -281,16 +281,16 @@ def in_force(rules: list[Rule], example: DataFrame, custom: dict[str, list[str]]
     return [r for r in rules if r.title not in bad], bad
 
 
-def check_transactions(df: DataFrame, rules: list[Rule], custom: dict[str, list[str]] | None = None, group: str | None = None, lookups: dict[str, tuple[DataFrame, str, str]] | None = None, start: State | None = None) -> DataFrame:
+def check_transactions(df: DataFrame, rules: list[Rule], custom: dict[str, list[str]] | None = None, group: str | None = None, lookups: dict[str, tuple[DataFrame, str, str]] | None = None, start: State | None = None, peers: bool = False) -> DataFrame:
     """transaction_no, card_id, merchant, amount, ts, us, alerts, rule_errors, alert_status and score of each transaction.
 
-    Rules that fail their check are left out and named in the rule_errors of all rows; the score is out of the number of ALERT rules that are evaluated. group: only that group's are. start: as in with_indicators.
+    Rules that fail their check are left out and named in the rule_errors of all rows; the score is out of the number of ALERT rules that are evaluated. group: only that group's are. start, peers: as in with_indicators.
     """
     df = with_lookups(df, lookups or {})
     if start is not None and lookups:
         start = State(start.records, with_lookups(start.tail, lookups))
     rules, bad = in_force(in_group(rules, group), df, custom)
-    rows = evaluated(with_indicators(df, rules, custom, start), rules, custom or {}, df)
+    rows = evaluated(with_indicators(df, rules, custom, start, peers), rules, custom or {}, df)
     if bad:
         rows = rows.withColumn("rule_errors", F.concat(F.array(*(F.lit(t) for t in bad)), "rule_errors"))
     return with_status(rows.select("transaction_no", "card_id", "merchant", "amount", "ts", "us", "alerts", "rule_errors"), sum(r.kind == "ALERT" for r in rules))

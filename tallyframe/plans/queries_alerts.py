@@ -44,7 +44,7 @@ SCORED = f"""WITH {T}, i AS (SELECT *, count(*) OVER {_CARD_DAY} AS nd, count(*)
 
 
 def scored(spark, sf):
-    return engine.check_transactions(read_transactions(spark, sf), COMPUTE + ALERTS, CUSTOM)
+    return engine.check_transactions(read_transactions(spark, sf), COMPUTE + ALERTS, CUSTOM, peers=True)
 
 
 def check_transactions(spark, sf):
@@ -65,18 +65,18 @@ def alert_score(spark, sf):
 
 def alert_rules_eval(spark, sf):
     """ALERT rules over a fixed window and a custom subject."""
-    out = engine.check_transactions(read_transactions(spark, sf), FIXED, CUSTOM)
+    out = engine.check_transactions(read_transactions(spark, sf), FIXED, CUSTOM, peers=True)
     return out.select("transaction_no", "alert_status", "score", A.titles(F.col("alerts")).alias("alerts"))
 
 
 def compute_rules_eval(spark, sf):
-    out = engine.with_indicators(read_transactions(spark, sf), COMPUTE, CUSTOM)
+    out = engine.with_indicators(read_transactions(spark, sf), COMPUTE, CUSTOM, peers=True)
     return out.select("transaction_no", F.col(f"tx_count_card_w{DAY}").alias("card_day"), F.col(f"tx_amount_card_w{WEEK}").cast("double").alias("card_week_amount"), F.col("tx_count_card_global").alias("card_all"), F.col(f"large_count_merchant_w{HOUR}").alias("merchant_large"))
 
 
 def merge_alerts(spark, sf):
     """Alert sets of single subjects, one row each and one of them twice, merged by transaction."""
-    rows = engine.with_indicators(read_transactions(spark, sf), COMPUTE, CUSTOM)
+    rows = engine.with_indicators(read_transactions(spark, sf), COMPUTE, CUSTOM, peers=True)
     keys = engine.subject_keys(ALERTS, CUSTOM)
     sets = [A.alert_array([r for r in ALERTS if r.subject == s], keys) for s in ("Card", "Merchant", "Card")]
     out = A.merge_alerts(rows.select("transaction_no", F.explode(F.array(*sets)).alias("alerts")), len(ALERTS))
@@ -91,7 +91,7 @@ def rule_check(spark, sf):
     df = read_transactions(spark, sf)
     bad = check([*COMPUTE, *ALERTS, *BROKEN], df)
     good = [r for r in (*COMPUTE, *ALERTS, *BROKEN) if r.title not in bad]
-    n = A.by_rule(engine.check_transactions(df, good, CUSTOM)).select(F.col("rule_title").alias("title"), F.lit(True).alias("valid"), "n_alerts")
+    n = A.by_rule(engine.check_transactions(df, good, CUSTOM, peers=True)).select(F.col("rule_title").alias("title"), F.lit(True).alias("valid"), "n_alerts")
     return n.unionByName(spark.createDataFrame([(t, False, 0) for t in bad], n.schema))
 
 
@@ -113,7 +113,7 @@ BAND = {"band": ["merchant", "100 div (cast(argument as int) - 50)"]}
 
 def failing_rules(spark, sf):
     """Rules and subjects that fail on a transaction, and rules that don't resolve, are reported, and the others still alert."""
-    out = engine.check_transactions(read_transactions(spark, sf), FAILING, BAND)
+    out = engine.check_transactions(read_transactions(spark, sf), FAILING, BAND, peers=True)
     return out.select("transaction_no", A.titles(F.col("alerts")).alias("alerts"), "score", F.array_join(F.array_sort("rule_errors"), ",").alias("rule_errors"))
 
 
@@ -132,8 +132,8 @@ def rules_from_table(spark, sf):
     held = as_table(spark, RECORDS, "records", "1").unionByName(as_table(spark, ALERTS, "records", "2"))
     found = from_table(read_rules(held, "records", "1"))
     customers = table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("acctbal"))
-    out = engine.check_transactions(read_transactions(spark, sf), found, group="lists", lookups={"customer": (customers, "c_custkey", "card_id")})
-    other = engine.check_transactions(read_transactions(spark, sf), found, group="values").select("transaction_no", F.size("alerts").alias("n_values"))
+    out = engine.check_transactions(read_transactions(spark, sf), found, group="lists", lookups={"customer": (customers, "c_custkey", "card_id")}, peers=True)
+    other = engine.check_transactions(read_transactions(spark, sf), found, group="values", peers=True).select("transaction_no", F.size("alerts").alias("n_values"))
     return out.join(other, "transaction_no").select("transaction_no", A.titles(F.col("alerts")).alias("alerts"), "score", "n_values")
 
 
@@ -188,7 +188,7 @@ def query_records(spark, sf):
 def fixed_window_arguments(spark, sf):
     """Lists, sets and last values of each card's fixed windows."""
     kept = Rule("kept", "COMPUTE", "Card", DAY, fixed=True, record="tx", arg_sql="merchant", last_sql="case when amount > 20 then merchant end")
-    out = engine.with_indicators(read_transactions(spark, sf), [kept])
+    out = engine.with_indicators(read_transactions(spark, sf), [kept], peers=True)
     return out.select("transaction_no", F.array_join(f"tx_list_card_fw{DAY}", ",").alias("kinds"), F.size(f"tx_set_card_fw{DAY}").alias("n_kinds"), F.col(f"tx_last_card_fw{DAY}").alias("recent"))
 
 
@@ -228,12 +228,12 @@ def shared_columns(rows):
 
 
 def shared_records(spark, sf):
-    return shared_columns(engine.with_indicators(read_transactions(spark, sf), SHARED))
+    return shared_columns(engine.with_indicators(read_transactions(spark, sf), SHARED, peers=True))
 
 
 def shared_alerts(spark, sf):
     """Alerts on records that several rules keep."""
-    return engine.check_transactions(read_transactions(spark, sf), SHARED).select("transaction_no", "score", A.titles(F.col("alerts")).alias("alerts"))
+    return engine.check_transactions(read_transactions(spark, sf), SHARED, peers=True).select("transaction_no", "score", A.titles(F.col("alerts")).alias("alerts"))
 
 
 MIXED = "case when transaction_no % 3 = 0 then 1e15 + floor(amount) when transaction_no % 3 = 1 then -1e15 - floor(amount * 8) / 8 else floor(amount) / 1099511627776d end"
@@ -248,8 +248,8 @@ def typed_values(spark, sf):
     """Exact sums of longs, decimals and doubles from 2^-40 to 10^15 of both signs."""
     df = read_transactions(spark, sf)
     at = lambda n: F.col(f"tx_value_{n}_card_w{WEEK}")
-    out = engine.with_indicators(df, TYPED).select("transaction_no", at("time").alias("time"), at("mixed").alias("mixed"), at("cents").cast("double").alias("cents"), at("wide").cast("double").alias("wide"), at("whole").alias("whole"))
-    return out.join(engine.check_transactions(df, TYPED).select("transaction_no", A.titles(F.col("alerts")).alias("alerts")), "transaction_no")
+    out = engine.with_indicators(df, TYPED, peers=True).select("transaction_no", at("time").alias("time"), at("mixed").alias("mixed"), at("cents").cast("double").alias("cents"), at("wide").cast("double").alias("wide"), at("whole").alias("whole"))
+    return out.join(engine.check_transactions(df, TYPED, peers=True).select("transaction_no", A.titles(F.col("alerts")).alias("alerts")), "transaction_no")
 
 
 def _earlier(df):
@@ -261,7 +261,7 @@ def resume_records(spark, sf):
     df = read_transactions(spark, sf)
     folder = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
     engine.next_state(df.filter(_earlier(df)), SHARED).write(folder)
-    return shared_columns(engine.with_indicators(df.filter(~_earlier(df)), SHARED, start=state.read_state(spark, folder)))
+    return shared_columns(engine.with_indicators(df.filter(~_earlier(df)), SHARED, start=state.read_state(spark, folder), peers=True))
 
 
 def resume_requests(spark, sf):

@@ -40,11 +40,11 @@ def run_counters(spark, sf):
     good, bad = split_errors(df, {"small amount": F.col("amount") >= 1})
     from .engine import check_transactions
 
-    return M.run_counters(check_transactions(good, Q.COMPUTE + Q.ALERTS, Q.CUSTOM), bad)
+    return M.run_counters(check_transactions(good, Q.COMPUTE + Q.ALERTS, Q.CUSTOM, peers=True), bad)
 
 
 def window_entries_summary(spark, sf):
-    out = W.sliding_sums(read_transactions(spark, sf), ["card_id"], {"w": WEEK}, {"n": F.lit(1).cast("long")})
+    out = W.sliding_sums(read_transactions(spark, sf), ["card_id"], {"w": WEEK}, {"n": F.lit(1).cast("long")}, peers=True)
     return M.summary(out, F.col("n_w"), "entries")
 
 

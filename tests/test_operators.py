@@ -65,6 +65,27 @@ def test_ties_in_frames(spark):
     assert {r.transaction_no: r.v for r in W.sliding_last(df, ["card_id"], {"v": F.col("merchant")}, 10).collect()} == {1: "x", 2: "y"}
 
 
+def test_peers_count_all_rows_of_a_time_as_a_range_frame_does(spark):
+    """Many cards of one merchant at the same times, as in tables that repeat their rows with other keys."""
+    r = random.Random(5)
+    rows = [(i, r.choice("abcdef"), r.choice("xy"), r.randint(1, 500) / 100, r.randint(0, 30) * S) for i in range(300)]
+    df, frame = table(spark, rows), Window.partitionBy("merchant").orderBy("us").rangeBetween(-10 * S, 0)
+    want = {x.transaction_no: x for x in df.select("transaction_no", F.count("*").over(frame).alias("n"), F.size(F.collect_set("card_id").over(frame)).alias("d"), F.array_sort(F.collect_list("card_id").over(frame)).alias("l")).collect()}
+    for span_ms in (1000, 10**9):
+        n = W.sliding_sums(df, ["merchant"], {"w": 10_000}, {"n": F.lit(1).cast("long")}, span_ms=span_ms, peers=True)
+        assert {x.transaction_no: x.n_w for x in n.collect()} == {i: x.n for i, x in want.items()}
+        d = W.sliding_distinct(df, ["merchant"], "card_id", 10_000, "d", span_ms=span_ms, peers=True)
+        assert {x.transaction_no: x.d for x in d.collect()} == {i: x.d for i, x in want.items()}
+        last = W.sliding_last(df, ["merchant"], {"v": F.col("transaction_no")}, 10_000, span_ms=span_ms, peers=True)
+        assert {x.transaction_no: x.v for x in last.collect()} == {i: max((u, j) for j, _, m, _, u in rows if m == rows[i][2] and u <= rows[i][4])[1] for i in want}
+    held = W.sliding_list(df, ["merchant"], "card_id", 10_000, "v", peers=True)
+    assert {x.transaction_no: x.v for x in held.collect()} == {i: x.l for i, x in want.items()}
+    rule = R.Rule("m", "COMPUTE", "Merchant", 10_000, record="tx", arg_sql="card_id")
+    late = F.col("us") >= 15 * S
+    for got in (engine.with_indicators(df, [rule], peers=True), engine.resume_indicators(df.filter(late), df.filter(~late), [rule], peers=True)):
+        assert all(x.tx_count_merchant_w10000 == want[x.transaction_no].n and x.tx_list_merchant_w10000 == want[x.transaction_no].l for x in got.collect())
+
+
 def test_fixed_windows_reopen_past_their_end(spark):
     rows = [(1, "c", "m", 1.0, 5 * S), (2, "c", "m", 1.0, 15 * S), (3, "c", "m", 1.0, 15 * S + 1), (4, "c", "m", 1.0, 90 * S), (5, "d", "m", 1.0, 7 * S)]
     got = W.running_in_window(W.anchored_window(table(spark, rows), ["card_id"], 10_000), ["card_id"], {"n": F.lit(1)}).collect()
