@@ -196,7 +196,7 @@ def resume_windows(spark, sf):
     """Sliding windows of the later half of events, continued from the tail of the earlier half."""
     df = read_transactions(spark, sf)
     late = F.col("ts") >= F.lit("2024-01-16").cast("timestamp")
-    out = engine.resume_indicators(df.filter(late), state.tail(df.filter(~late), WEEK), COMPUTE)
+    out = engine.resume_indicators(df.filter(late), state.tail(df.filter(~late), WEEK), COMPUTE, peers=True)
     return out.select("transaction_no", F.col(f"tx_count_card_w{WEEK}").alias("n_week"), F.col(f"tx_count_merchant_w{HOUR}").alias("n_hour"))
 
 
