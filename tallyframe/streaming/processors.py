@@ -4,9 +4,10 @@ Rows of a key are put in order within a micro-batch. ``arrival`` order answers t
 and lets a late row join the state as it is; ``event_time`` order keeps them until the
 watermark has passed them, so that answers equal the batch's.
 
-A key's time is cut into buckets, a fraction of its longest window. The state holds each bucket's sums and,
-apart from them, its rows, so a micro-batch reads the sums of all live buckets but only the rows
-of the buckets that its own rows lie in and that its windows begin in. In event-time order a key has one timer: for
+A key's time is cut into buckets, a fraction of its longest window. The state holds the sums of all live buckets as one value and,
+apart from them, each bucket's rows, so a micro-batch reads those sums but only the rows
+of the buckets that its own rows lie in and that its windows begin in. While all live rows of a key have no more than FEW_BYTES, they are that value instead
+and nothing is kept by buckets: each read or write of a state variable is a call from Python to Spark, and most keys have few rows. In event-time order a key has one timer: for
 the first row that waits, else for the time at which its last window is empty or over and the state of its windows goes. In
 arrival order a key's old buckets go when it has a new row, and all of its windows, by a timer of processing time, when it has had none for ``idle_ms``.
 
@@ -19,7 +20,7 @@ bucket that has new rows is written again. A last value without window is the on
 from __future__ import annotations
 
 import io
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -27,10 +28,14 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Buckets of the longest window.
 BUCKETS = 32
+#: Bytes of a key's rows that are held as one value.
+FEW_BYTES = 6_000
 
 
 class Spec(NamedTuple):
@@ -65,6 +70,11 @@ def _texts(value: object) -> list[str]:
     return list(value) if isinstance(value, (list, np.ndarray)) else []
 
 
+def _plain(column: pd.Series) -> list:
+    """A column's values, None where it has none; arrays as lists."""
+    return [list(v) if isinstance(v, (list, np.ndarray)) else None if pd.isna(v) else v for v in column.tolist()]
+
+
 def _latest_text(values: list) -> np.ndarray:
     """The place of the last text up to each value, -1 where there is none."""
     return np.maximum.accumulate(np.where([isinstance(v, str) for v in values], np.arange(len(values)), -1)) if values else np.zeros(0, np.int64)
@@ -78,36 +88,62 @@ def _spread(counts: dict[str, int]) -> list[str]:
 class _Texts(NamedTuple):
     """The rows of a bucket, in order."""
 
-    us: np.ndarray
-    places: list[tuple[int, int]]
+    us: list[int]
+    no: list[int]
     values: dict[str, list]
     #: For last values, the place of the last text up to each row.
     last: dict[str, np.ndarray]
 
 
+def unpacked(out: DataFrame, longs: list[str], fields: list[str]) -> DataFrame:
+    """The rows of ``Records`` with the columns ``longs`` in place of the bytes that hold them. fields: their order."""
+    kinds = {f.name: f for f in out.schema.fields} | {n: T.StructField(n, T.LongType()) for n in longs}
+    width, marks = len(longs), (len(longs) + 7) // 8
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = np.frombuffer(b"".join(batch.column("_sums").to_pylist()), np.uint8).reshape(batch.num_rows, marks + 8 * width)
+            known = np.unpackbits(held[:, :marks], axis=1)[:, :width].astype(bool)
+            values = np.ascontiguousarray(held[:, marks:]).view(np.int64)
+            made = {n: pa.array(np.ascontiguousarray(values[:, i]), mask=~known[:, i]) for i, n in enumerate(longs)}
+            yield pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(n) for n in fields], fields)
+
+    return out.mapInArrow(unpack, T.StructType([kinds[n] for n in fields]))
+
+
 class Records(StatefulProcessor):
-    """For each row the sums of its key's windows after it: columns ``sum_part``; those of other kinds of keys are null.
+    """For each row the sums of its key's windows after it: columns ``sum_part``; those of other kinds of keys are null. They come as the bytes that ``unpacked`` reads,
+    as the sums that a row adds come as one array ``_sums``, since Spark makes each value of a row by itself in Python.
 
     specs: windows by the first column of the key ("": of all keys). keys, payload: columns that are handed on. sums: long columns.
     lists, lasts: columns of texts (arrays), or of one text, by the part they belong to; they come out as the sorted list, or the last one, of the values in its window.
     idle_ms: in arrival order, the time without a row after which a key's windows leave the state (None: never).
+    peers: a row's sliding windows hold all rows of its time that have come up to its micro-batch, not only those up to its number.
 
     A key's state names the sums that it holds. Where a job goes on with other rules, the state of a key is put in the new
     order when the key has its next row: sums of the same name go on, new ones begin.
     """
 
-    def __init__(self, specs: dict[str, Spec], keys: list[str], payload: list[str], sums: list[str], event_time: bool, lists: dict[str, str] | None = None, lasts: dict[str, str] | None = None, idle_ms: int | None = None):
+    def __init__(self, specs: dict[str, Spec], keys: list[str], payload: list[str], sums: list[str], event_time: bool, lists: dict[str, str] | None = None, lasts: dict[str, str] | None = None, idle_ms: int | None = None, peers: bool = False):
         self.specs, self.keys, self.payload, self.every, self.event_time = specs, keys, payload, sums, event_time
-        self.lists, self.lasts, self.idle_ms = lists or {}, lasts or {}, idle_ms
+        self.lists, self.lasts, self.idle_ms, self.peers = lists or {}, lasts or {}, idle_ms, peers
+        self.parts = list(dict.fromkeys(p for spec in specs.values() for p in spec.parts))
+        self.openings = list(dict.fromkeys(p for spec in specs.values() for p in spec.fixed))
+        self.row = Row(*keys, *payload, "_sums", *self.lists, *self.lasts)
+
+    @property
+    def longs(self) -> list[str]:
+        """The columns of a row's bytes."""
+        return [f"{n}_{p}" for p in self.parts for n in self.every] + [f"start_{p}" for p in self.openings]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.totals = handle.getMapState("totals", "bucket long", "sums array<long>")
+        self.totals = handle.getValueState("totals", "buckets binary, sums binary, us binary, no binary, values binary")
         self.rows = handle.getMapState("rows", "bucket long", "us binary, no binary, values binary")
         self.fixed = handle.getMapState("fixed", "part string", "start long, sums array<long>")
         self.latest = handle.getMapState("latest", "part string", "us long, sums map<string,long>, lists map<string,map<string,long>>, lasts map<string,string>, ends long")
         self.texts = handle.getMapState("texts", "bucket long", "rows binary")
-        self.summaries = handle.getMapState("summaries", "bucket long, name string", "counts map<string,long>, last string")
+        self.summaries = handle.getMapState("summaries", "bucket long", "counts map<string,map<string,long>>, lasts map<string,string>")
         self.open = handle.getMapState("open", "name string", "start long, counts map<string,long>, last string")
         self.ever = handle.getMapState("ever", "name string", "us long, no long, value string")
         self.waiting = handle.getListState("waiting", "rows binary")
@@ -122,7 +158,8 @@ class Records(StatefulProcessor):
 
     def _arrange(self, spec: Spec) -> None:
         """Put the state that other rules have left in the order of these."""
-        held = self.layout.get() if self.layout.exists() else None
+        self.known = self.layout.exists()
+        held = self.layout.get() if self.known else None
         if held is not None and (list(held[0]), held[1]) == (self.sums, spec.span):
             return
         self.layout.update((self.sums, spec.span))
@@ -137,22 +174,21 @@ class Records(StatefulProcessor):
                 out[..., new] = values[..., old]
             return out
 
-        rows = [(np.frombuffer(u, np.int64), np.frombuffer(k, np.int64), moved(np.frombuffer(v, np.int64).reshape(-1, len(names)))) for _, (u, k, v) in self.rows.iterator()]
+        kept = [v for _, v in self.rows.iterator()]
+        if self.totals.exists() and (few := self.totals.get()[2:])[0] is not None:
+            kept.append(few)
+        rows = [(np.frombuffer(u, np.int64), np.frombuffer(k, np.int64), moved(np.frombuffer(v, np.int64).reshape(-1, len(names)))) for u, k, v in kept]
         texts = [pa.ipc.open_stream(r[0]).read_pandas() for _, r in self.texts.iterator()]
         for state in (self.rows, self.totals, self.texts, self.summaries):
             state.clear()
         if rows and spec.sliding:
             us, no, values = (np.concatenate(x) for x in zip(*rows, strict=True))
             order = np.lexsort((no, us))
-            us, no, values = us[order], no[order], values[order]
-            for b in np.unique(us // spec.span).tolist():
-                own = us // spec.span == b
-                self.rows.updateValue((b,), (us[own].tobytes(), no[own].tobytes(), np.ascontiguousarray(values[own]).tobytes()))
-                self.totals.updateValue((b,), (values[own].sum(axis=0).tolist(),))
+            self._store(us[order], no[order], values[order], spec.span)
         if texts and spec.sliding:
-            every = pd.concat(texts, ignore_index=True)
+            every = pd.concat(texts, ignore_index=True).sort_values(["us", "no"], kind="stable")
             for b, own in every.groupby(every["us"] // spec.span):
-                self._keep(int(b), own.sort_values(["us", "no"], kind="stable"), [n for n in (*self.lists, *self.lasts) if n in own])
+                self._keep(int(b), own["us"].tolist(), own["no"].tolist(), {n: _plain(own[n]) for n in (*self.lists, *self.lasts) if n in own})
         for (part,), (start, sums) in list(self.fixed.iterator()):
             self.fixed.updateValue((part,), (start, moved(np.array(sums, np.int64)).tolist()))
 
@@ -162,16 +198,48 @@ class Records(StatefulProcessor):
         us, no, values = self.rows.getValue((bucket,))
         return np.frombuffer(us, np.int64), np.frombuffer(no, np.int64), np.frombuffer(values, np.int64).reshape(-1, len(self.sums))
 
+    def _store(self, us: np.ndarray, no: np.ndarray, values: np.ndarray, span: int) -> None:
+        """Write all live rows of a key, which are in order: as one value if they are few, else by buckets."""
+        if len(us) * 8 * (2 + len(self.sums)) <= FEW_BYTES:
+            self.totals.update((None, None, us.tobytes(), no.tobytes(), np.ascontiguousarray(values).tobytes()))
+            return
+        known, first = np.unique(us // span, return_index=True)
+        for b, i, j in zip(known.tolist(), first.tolist(), [*first[1:].tolist(), len(us)], strict=True):
+            self.rows.updateValue((b,), (us[i:j].tobytes(), no[i:j].tobytes(), np.ascontiguousarray(values[i:j]).tobytes()))
+        self.totals.update((known.tobytes(), np.ascontiguousarray(np.add.reduceat(values, first, axis=0)).tobytes(), None, None, None))
+
     def _sliding(self, spec: Spec, us: np.ndarray, no: np.ndarray, values: np.ndarray) -> dict[str, np.ndarray]:
+        held = self.totals.get() if self.known and self.totals.exists() else (None, None, b"", b"", b"")
+        if held[2] is None:
+            known = np.frombuffer(held[0], np.int64).tolist()
+            return self._sliding_by_buckets(spec, us, no, values, dict(zip(known, np.frombuffer(held[1], np.int64).reshape(len(known), -1), strict=True)))
+        before = np.frombuffer(held[2], np.int64)
+        newest = int(before.max()) // spec.span * spec.span if len(before) else 0
+        if len(before):
+            every, numbers, all_values = np.append(before, us), np.append(np.frombuffer(held[3], np.int64), no), np.concatenate([np.frombuffer(held[4], np.int64).reshape(len(before), -1), values])
+            order = np.lexsort((numbers, every))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            every, numbers, all_values, at = every[order], numbers[order], all_values[order], place[len(before) :]
+        else:
+            every, numbers, all_values, at = us, no, values, np.arange(len(us))
+        running = np.concatenate([np.zeros((1, len(self.sums)), np.int64), np.cumsum(all_values, axis=0)])
+        upto = running[np.searchsorted(every, us, "right") if self.peers else at + 1]
+        out = {part: upto - running[np.searchsorted(every, us - ms * 1000, "left")] for part, ms in spec.sliding.items()}
+        gone = (max(int(us.max()), newest) - max(spec.sliding.values()) * 1000) // spec.span  # buckets before it are in no window to come
+        live = int(np.searchsorted(every, gone * spec.span, "left"))
+        self._store(every[live:], numbers[live:], all_values[live:], spec.span)
+        return out
+
+    def _sliding_by_buckets(self, spec: Spec, us: np.ndarray, no: np.ndarray, values: np.ndarray, totals: dict[int, np.ndarray]) -> dict[str, np.ndarray]:
         longest = max(spec.sliding.values()) * 1000
         span = spec.span
-        totals = {k[0]: np.array(v[0], np.int64) for k, v in self.totals.iterator()}
         stored, none = set(totals), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(self.sums)), np.int64))
         own = us // span
         edges = {int(b) for ms in spec.sliding.values() for b in np.unique((us - ms * 1000) // span)} & stored
         fresh = {int(b) for b in np.unique(own)}
         gone = (max(int(us.max()), max(stored | fresh) * span) - longest) // span  # buckets before it are in no window to come
-        held_us, held_no, held_values, at, begins, size = [], [], [], np.empty(len(us), np.int64), {}, 0
+        held_us, held_values, at, begins, size = [], [], np.empty(len(us), np.int64), {}, 0
         for b in sorted(edges | fresh):
             u, k, v = self._load(b) if b in stored else none
             if b in fresh:
@@ -180,12 +248,11 @@ class Records(StatefulProcessor):
                 order = np.lexsort((k, u))
                 place = np.empty(len(order), np.int64)
                 place[order] = np.arange(len(order))
-                at[mine] = size + place[len(order) - mine.sum() :]
                 u, k, v = u[order], k[order], v[order]
+                at[mine] = size + (np.searchsorted(u, us[mine], "right") - 1 if self.peers else place[len(order) - mine.sum() :])
                 totals[b] = v.sum(axis=0)
                 if b >= gone:
                     self.rows.updateValue((b,), (u.tobytes(), k.tobytes(), np.ascontiguousarray(v).tobytes()))
-                    self.totals.updateValue((b,), (totals[b].tolist(),))
             begins[b] = size
             size += len(u)
             held_us.append(u)
@@ -193,7 +260,8 @@ class Records(StatefulProcessor):
         every = np.concatenate(held_us)
         running = np.concatenate([np.zeros((1, len(self.sums)), np.int64), np.cumsum(np.concatenate(held_values), axis=0)])
         known = np.array(sorted(totals), np.int64)
-        before = np.concatenate([np.zeros((1, len(self.sums)), np.int64), np.cumsum(np.array([totals[b] for b in known.tolist()]), axis=0)])
+        each = np.array([totals[b] for b in known.tolist()], np.int64)
+        before = np.concatenate([np.zeros((1, len(self.sums)), np.int64), np.cumsum(each, axis=0)])
         start = lambda b: np.array([begins.get(int(x), -1) for x in b], np.int64)
         upto = before[np.searchsorted(known, own)] + running[at + 1] - running[start(own)]
         out = {}
@@ -203,69 +271,91 @@ class Records(StatefulProcessor):
             first = start(bucket)
             inside = np.where(first >= 0, np.searchsorted(every, edge, "left"), 0)
             out[part] = upto - before[np.searchsorted(known, bucket)] - (running[inside] - running[np.maximum(first, 0)])
+        live = known >= gone
+        self.totals.update((known[live].tobytes(), np.ascontiguousarray(each[live]).tobytes(), None, None, None))
         for b in stored:
             if b < gone:
-                self.totals.removeKey((b,))
                 self.rows.removeKey((b,))
         return out
 
     # Lists and last values.
 
-    def _keep(self, bucket: int, rows: pd.DataFrame, names: list[str]) -> dict[str, tuple[dict, str | None]]:
-        """Write a bucket's rows, which are in order, and its summaries; these are given back."""
-        out = {n: self._summary(n, rows[n].tolist()) for n in names}
-        self.texts.updateValue((bucket,), (_packed(rows),))
-        for n, held in out.items():
-            self.summaries.updateValue((bucket, n), held)
-        return out
-
-    def _summary(self, name: str, values: list) -> tuple[dict, str | None]:
-        if name in self.lists:
-            return dict(Counter(t for v in values for t in _texts(v))), None
-        at = _latest_text(values)
-        return {}, values[at[-1]] if len(at) and at[-1] >= 0 else None
-
-    def _held(self, spec: Spec, names: list[str], us: np.ndarray, no: np.ndarray, fresh: pd.DataFrame) -> dict[str, list]:
-        """Lists and last values of sliding windows at each row."""
+    def _keep(self, bucket: int, us: list[int], no: list[int], values: dict[str, list]) -> tuple[dict, dict]:
+        """Write a bucket's rows, which are in order, and its summary, which is given back."""
+        kinds = {n: pa.list_(pa.string()) if n in self.lists else pa.string() for n in values}
+        batch = pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(no, pa.int64()), *(pa.array(v, kinds[n]) for n, v in values.items())], ["us", "no", *values])
+        out = io.BytesIO()
+        with pa.ipc.new_stream(out, batch.schema) as writer:
+            writer.write_batch(batch)
+        held = self._summary(values)
+        self.texts.updateValue((bucket,), (out.getvalue(),))
+        self.summaries.updateValue((bucket,), held)
+        return held
+
+    def _summary(self, values: dict[str, list]) -> tuple[dict, dict]:
+        counts, lasts = {}, {}
+        for n, held in values.items():
+            if n in self.lists:
+                counts[n] = dict(Counter(t for v in held if v is not None for t in v))
+            else:
+                lasts[n] = next((v for v in reversed(held) if v is not None), None)
+        return counts, lasts
+
+    def _held(self, spec: Spec, names: list[str], us: np.ndarray, no: np.ndarray, fresh: dict[str, list]) -> dict[str, list]:
+        """Lists and last values of sliding windows at each row. fresh: the rows' texts by name, without NaN."""
         span = spec.span
-        summaries = {tuple(k): tuple(v) for k, v in self.summaries.iterator()}
-        known = {b for b, _ in summaries}
-        new = pd.DataFrame({"us": us, "no": no} | {n: fresh[n].to_numpy(object) for n in names}).dropna(subset=names, how="all")
+        summaries = {k[0]: tuple(v) for k, v in self.summaries.iterator()} if self.known else {}
+        known = set(summaries)
         own, edges = us // span, {n: us - spec.sliding[self.lists.get(n) or self.lasts[n]] * 1000 for n in names}
-        coming = new["us"].to_numpy(np.int64) // span
         gone = (max(int(us.max()), max(known, default=0) * span) - max(spec.sliding.values()) * 1000) // span  # buckets before it are in no window to come
+        times, numbers, buckets = us.tolist(), no.tolist(), own.tolist()
+        coming: dict[int, list[int]] = {}
+        for i, b in enumerate(buckets):
+            if any(fresh[n][i] is not None for n in names):
+                coming.setdefault(b, []).append(i)
         near: dict[int, _Texts] = {}
-        for b in sorted({int(x) for e in edges.values() for x in np.unique(e // span)} & known | {int(x) for x in np.unique(own)} & (known | set(coming.tolist()))):
-            parts = [pa.ipc.open_stream(self.texts.getValue((b,))[0]).read_pandas()] if b in known else []
-            rows = pd.concat([*parts, new[coming == b]], ignore_index=True).sort_values(["us", "no"], kind="stable")
-            rows = rows.reindex(columns=list(dict.fromkeys([*rows.columns, *names])))
-            if (coming == b).any():
-                held = self._keep(b, rows, names) if b >= gone else {n: self._summary(n, rows[n].tolist()) for n in names}
-                summaries |= {(b, n): v for n, v in held.items()}
-            values = {n: rows[n].tolist() for n in names}
-            near[b] = _Texts(rows["us"].to_numpy(np.int64), list(zip(rows["us"].tolist(), rows["no"].tolist(), strict=True)), values, {n: _latest_text(values[n]) for n in names if n in self.lasts})
-        for b, n in summaries:
-            if b < gone and b in known:
-                self.summaries.removeKey((b, n))
+        for b in sorted(({int(x) for e in edges.values() for x in np.unique(e // span)} | set(buckets)) & known | set(coming)):
+            at = coming.get(b, [])
+            u, k, values = [times[i] for i in at], [numbers[i] for i in at], {n: [fresh[n][i] for i in at] for n in names}
+            if b in known:
+                held = pa.ipc.open_stream(self.texts.getValue((b,))[0]).read_all().to_pydict()
+                before = len(held["us"])
+                u, k = held["us"] + u, held["no"] + k
+                values = {n: held.get(n, [None] * before) + v for n, v in values.items()}
+                if at:
+                    order = sorted(range(len(u)), key=lambda i: (u[i], k[i]))  # noqa: B023
+                    u, k, values = [u[i] for i in order], [k[i] for i in order], {n: [v[i] for i in order] for n, v in values.items()}
+            if at:
+                summaries[b] = self._keep(b, u, k, values) if b >= gone else self._summary(values)
+            near[b] = _Texts(u, k, values, {n: _latest_text(values[n]) for n in names if n in self.lasts})
         for b in known:
             if b < gone:
+                self.summaries.removeKey((b,))
                 self.texts.removeKey((b,))
-        none = _Texts(np.zeros(0, np.int64), [], {n: [] for n in names}, {n: np.zeros(0, np.int64) for n in names})
+        none = _Texts([], [], {n: [] for n in names}, {n: np.zeros(0, np.int64) for n in names})
+        every = sorted(summaries)
         out = {}
         for n in names:
             out[n], between, inner = [], None, None
-            for at, edge, b in zip(zip(us.tolist(), no.tolist(), strict=True), edges[n].tolist(), own.tolist(), strict=True):
+            for t, number, edge, b in zip(times, numbers, edges[n].tolist(), buckets, strict=True):
                 first, end, begin = edge // span, near.get(b, none), near.get(edge // span, none)
-                upto, start = bisect_right(end.places, at), int(np.searchsorted(begin.us, edge, "left"))
-                if (first, b) != between:
-                    between, inside = (first, b), sorted(x for x, name in summaries if name == n and first < x < b)
+                upto, start = bisect_right(end.us, t), bisect_left(begin.us, edge)
+                if not self.peers:
+                    upto = bisect_right(end.no, number, bisect_left(end.us, t), upto)
+                inside = bisect_right(every, first), bisect_left(every, b)
+                if inside != between:
+                    between = inside
                     if n in self.lists:
-                        inner = _spread(sum((Counter(summaries[x, n][0]) for x in inside), Counter()))
+                        sums: dict[str, int] = {}
+                        for x in every[slice(*inside)]:
+                            for text, count in summaries[x][0].get(n, {}).items():
+                                sums[text] = sums.get(text, 0) + count
+                        inner = _spread(sums)
                     else:
-                        inner = next((summaries[x, n][1] for x in reversed(inside) if summaries[x, n][1] is not None), None)
+                        inner = next((v for x in reversed(every[slice(*inside)]) if (v := summaries[x][1].get(n)) is not None), None)
                 if n in self.lists:
                     ends = end.values[n][start:upto] if first == b else begin.values[n][start:] + end.values[n][:upto]
-                    out[n].append(sorted(inner + [t for v in ends for t in _texts(v)]))
+                    out[n].append(sorted(inner + [t for v in ends if v is not None for t in v]))
                     continue
                 found = end.last[n][upto - 1] if upto else -1
                 if found >= (start if first == b else 0):
@@ -278,7 +368,7 @@ class Records(StatefulProcessor):
 
     def _held_in_open(self, name: str, starts: np.ndarray, values: list) -> list:
         """The list or last value of a fixed window at each row. starts: of its windows."""
-        start, counts, last = self.open.getValue((name,)) if self.open.containsKey((name,)) else (None, {}, None)
+        start, counts, last = self.open.getValue((name,)) if self.known and self.open.containsKey((name,)) else (None, {}, None)
         texts, out = _spread(counts or {}), []
         for now, v in zip(starts.tolist(), values, strict=True):
             if now != start:
@@ -294,7 +384,7 @@ class Records(StatefulProcessor):
 
     def _last_ever(self, name: str, us: np.ndarray, no: np.ndarray, values: list) -> list:
         """The text of the latest row so far that brought one, at each row."""
-        *at, value = self.ever.getValue((name,)) if self.ever.containsKey((name,)) else (-(2**63), -(2**63), None)
+        *at, value = self.ever.getValue((name,)) if self.known and self.ever.containsKey((name,)) else (-(2**63), -(2**63), None)
         after = (us > at[0]) | (us == at[0]) & (no >= at[1])
         found = _latest_text([v if later else None for v, later in zip(values, after, strict=True)])
         if len(found) and found[-1] >= 0:
@@ -303,7 +393,7 @@ class Records(StatefulProcessor):
 
     def _fixed(self, part: str, ms: int, us: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, sums) of the window at each row: rows up to the end of the open one go on with its sums; then windows follow one another."""
-        start, held = self.fixed.getValue((part,)) if self.fixed.containsKey((part,)) else (None, [0] * len(self.sums))
+        start, held = self.fixed.getValue((part,)) if self.known and self.fixed.containsKey((part,)) else (None, [0] * len(self.sums))
         running = np.concatenate([np.zeros((1, len(self.sums)), np.int64), np.cumsum(values, axis=0)])
         at = 0 if start is None else int(np.searchsorted(us, start + ms * 1000, "right"))
         opens = [] if at == 0 else [(0, start)]
@@ -319,36 +409,56 @@ class Records(StatefulProcessor):
         self.fixed.updateValue((part,), (int(begins[-1]), out[-1].tolist()))
         return begins[own], out
 
-    def _answers(self, key: tuple, fresh: pd.DataFrame) -> pd.DataFrame:
+    def _step(self, key: tuple, us: np.ndarray, no: np.ndarray, values: np.ndarray, fresh: dict[str, list]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray], dict[str, list]]:
+        """Take rows of a key, which are in order, into its state: (sums by part, starts of fixed windows by part, texts by name). values: what rows add to all sums."""
         spec = self._spec(key)
         self._arrange(spec)
-        fresh = fresh.sort_values(["us", "transaction_no"], kind="stable").reset_index(drop=True)
-        us, no = fresh["us"].to_numpy(np.int64), fresh["transaction_no"].fillna(-1).to_numpy(np.int64)
-        values = fresh[self.sums].to_numpy(np.int64)
+        values = values if self.sums == self.every else values[:, [self.every.index(n) for n in self.sums]]
         found = self._sliding(spec, us, no, values) if spec.sliding else {}
-        out = {k: [v] * len(us) for k, v in zip(self.keys, key, strict=True)} | {c: fresh[c] for c in self.payload}
+        starts = {}
         for part, ms in spec.fixed.items():
-            out[f"start_{part}"], found[part] = self._fixed(part, ms, us, values)
+            starts[part], found[part] = self._fixed(part, ms, us, values)
+        latest = {p: self.latest.getValue((p,)) for p in spec.parts if self.known and self.latest.containsKey((p,))}
         if spec.unbounded:
-            held = self.latest.getValue((spec.unbounded,))[1] if self.latest.containsKey((spec.unbounded,)) else {}
+            held = latest[spec.unbounded][1] if spec.unbounded in latest else {}
             found[spec.unbounded] = np.array([held.get(n, 0) for n in self.sums], np.int64) + np.cumsum(values, axis=0)
         names = [n for n, p in (self.lists | self.lasts).items() if p in spec.sliding]
         texts = self._held(spec, names, us, no, fresh) if names else {}
-        texts |= {n: self._last_ever(n, us, no, fresh[n].tolist()) for n, p in self.lasts.items() if p == spec.unbounded}
-        texts |= {n: self._held_in_open(n, out[f"start_{p}"], fresh[n].tolist()) for n, p in (self.lists | self.lasts).items() if p in spec.fixed}
+        texts |= {n: self._last_ever(n, us, no, fresh[n]) for n, p in self.lasts.items() if p == spec.unbounded}
+        texts |= {n: self._held_in_open(n, starts[p], fresh[n]) for n, p in (self.lists | self.lasts).items() if p in spec.fixed}
         for part in spec.parts:
-            if part == spec.unbounded or not self.latest.containsKey((part,)) or self.latest.getValue((part,))[0] <= us[-1]:
+            if part == spec.unbounded or part not in latest or latest[part][0] <= us[-1]:
                 now = [{n: dict(Counter(texts[n][-1])) for n, p in self.lists.items() if p == part}, {n: texts[n][-1] for n, p in self.lasts.items() if p == part}]
-                end = int(out[f"start_{part}"][-1]) + spec.fixed[part] * 1000 if part in spec.fixed else None
+                end = int(starts[part][-1]) + spec.fixed[part] * 1000 if part in spec.fixed else None
                 self.latest.updateValue((part,), (int(us[-1]), dict(zip(self.sums, found[part][-1].tolist(), strict=True)), *now, end))
-        for s in {s for spec in self.specs.values() for s in spec.parts}:
-            for name in self.every:
-                out[f"{name}_{s}"] = found[s][:, self.sums.index(name)] if s in found and name in self.sums else [None] * len(us)
-        for s in {s for spec in self.specs.values() for s in spec.fixed}:
-            out.setdefault(f"start_{s}", [None] * len(us))
-        for n in self.lists | self.lasts:
-            out[n] = pd.Series(texts.get(n, [None] * len(us)), dtype=object)
-        return pd.DataFrame(out)
+        return found, starts, texts
+
+    def _answers(self, key: tuple, fresh: pd.DataFrame) -> pd.DataFrame:
+        """Rows of a key with what its state has after each."""
+        fresh = fresh.sort_values(["us", "transaction_no"], kind="stable", na_position="first").reset_index(drop=True)
+        us, no = fresh["us"].to_numpy(np.int64), fresh["transaction_no"].fillna(-1).to_numpy(np.int64)
+        found, starts, texts = self._step(key, us, no, fresh[self.every].to_numpy(np.int64), {n: _plain(fresh[n]) for n in self.lists | self.lasts})
+        out = {k: [v] * len(us) for k, v in zip(self.keys, key, strict=True)} | {c: _plain(fresh[c]) for c in self.payload}
+        out["_sums"] = self._bytes(found, starts, len(us))
+        return pd.DataFrame(out | {n: pd.Series(texts.get(n, [None] * len(us)), dtype=object) for n in self.lists | self.lasts})
+
+    def _bytes(self, found: dict[str, np.ndarray], starts: dict[str, np.ndarray], size: int) -> list[bytes]:
+        """For each row which of the long columns are there, and their values."""
+        held, known, at = np.zeros((size, len(self.longs)), np.int64), np.zeros(len(self.longs), bool), 0
+        own = [self.every.index(n) for n in self.sums]
+        for part in self.parts:
+            if part in found:
+                held[:, [at + i for i in own]] = found[part]
+                known[[at + i for i in own]] = True
+            at += len(self.every)
+        for i, part in enumerate(self.openings, at):
+            if part in starts:
+                held[:, i], known[i] = starts[part], True
+        marks, values, width = np.packbits(known).tobytes(), held.tobytes(), 8 * held.shape[1]
+        return [marks + values[i * width : (i + 1) * width] for i in range(size)]
+
+    def _rows(self, answers: pd.DataFrame) -> Iterator[Row]:
+        yield from (self.row(*r) for r in zip(*(answers[c].tolist() for c in (*self.keys, *self.payload, "_sums", *self.lists, *self.lasts)), strict=True))
 
     # Time.
 
@@ -366,20 +476,30 @@ class Records(StatefulProcessor):
         if windows := [*spec.sliding.values(), *spec.fixed.values()]:
             self._remind(int(fresh["us"].max()) // 1000 + max(windows) + 1)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh = pd.concat(list(rows), ignore_index=True)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        rows = list(rows)
+        fields = rows[0].__fields__
         if not self.event_time:
             if self.idle_ms is not None:
                 self._remind(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-            yield self._answers(key, fresh)
+            at = fields.index("us"), fields.index("transaction_no")
+            rows.sort(key=lambda r: (r[at[0]], -1 if r[at[1]] is None else r[at[1]]))
+            columns = dict(zip(fields, zip(*rows, strict=True), strict=True))
+            us, no = np.array(columns["us"], np.int64), np.array([-1 if x is None else x for x in columns["transaction_no"]], np.int64)
+            found, starts, texts = self._step(key, us, no, np.array(columns["_sums"], np.int64), {n: list(columns[n]) for n in self.lists | self.lasts})
+            nothing = [None] * len(us)
+            out = zip(*([v] * len(us) for v in key), *(columns[c] for c in self.payload), self._bytes(found, starts, len(us)), *(texts.get(n, nothing) for n in self.lists | self.lasts), strict=True)
+            yield from (self.row(*r) for r in out)
             return
+        fresh = pd.DataFrame(rows, columns=fields)
+        fresh = pd.concat([fresh.drop(columns="_sums"), pd.DataFrame(fresh["_sums"].tolist(), columns=self.every)], axis=1)
         self.waiting.appendValue((_packed(fresh),))
         due = int(fresh["us"].min()) // 1000 + 1
         # an earlier timer stays: it may be for rows that wait already
         if not self.timer.exists() or self.timer.get()[0] > due:
             self._remind(due)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.timer.clear()
         ready = pd.DataFrame()
         if self.event_time:
@@ -398,7 +518,7 @@ class Records(StatefulProcessor):
             elif len(ready):
                 self._idle(key, ready)
         if len(ready):
-            yield self._answers(key, ready)
+            yield from self._rows(self._answers(key, ready))
         elif not self.timer.exists():  # idle for its longest window, or for idle_ms: nothing in it any more, and the next row opens new fixed ones
             for held in (self.totals, self.rows, self.texts, self.summaries, self.fixed, self.open):
                 held.clear()
