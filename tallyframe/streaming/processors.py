@@ -7,7 +7,9 @@ watermark has passed them, so that answers equal the batch's.
 A key's time is cut into buckets, a fraction of its longest window. The state holds the sums of all live buckets as one value and,
 apart from them, each bucket's rows, so a micro-batch reads those sums but only the rows
 of the buckets that its own rows lie in and that its windows begin in. While all live rows of a key have no more than FEW_BYTES, they are that value instead
-and nothing is kept by buckets: each read or write of a state variable is a call from Python to Spark, and most keys have few rows. In event-time order a key has one timer: for
+and nothing is kept by buckets (live texts: no more than FEW_TEXTS rows): each read or write of a state variable is a call from Python to Spark, and most keys have few rows. For the same reason what else a
+key has is held as one value for its sliding windows, one for its fixed ones, and one that outlives both. In arrival order a key's rows of a micro-batch come as a few
+Arrow tables, and its answers go as such, since Spark makes each value of a row by itself in Python. In event-time order a key has one timer: for
 the first row that waits, else for the time at which its last window is empty or over and the state of its windows goes. In
 arrival order a key's old buckets go when it has a new row, and all of its windows, by a timer of processing time, when it has had none for ``idle_ms``.
 
@@ -20,6 +22,7 @@ bucket that has new rows is written again. A last value without window is the on
 from __future__ import annotations
 
 import io
+import pickle
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
@@ -28,6 +31,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -36,6 +40,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 BUCKETS = 32
 #: Bytes of a key's rows that are held as one value.
 FEW_BYTES = 6_000
+#: Rows with texts of a key that are held as one value.
+FEW_TEXTS = 16
+#: Rows, and bytes, that are put in the order of their keys at once; rows of a key in one table.
+PACKED_ROWS, PACKED_BYTES, TABLE_ROWS = 250_000, 64 << 20, 20_000
 
 
 class Spec(NamedTuple):
@@ -65,6 +73,102 @@ def _packed(rows: pd.DataFrame) -> bytes:
     return out.getvalue()
 
 
+def _table(rows: pa.RecordBatch) -> bytes:
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="lz4" if rows.num_rows > 1_000 else None)) as writer:
+        writer.write_batch(rows)
+    return out.getvalue()
+
+
+def _whole(tables: list[pa.Table]) -> pa.RecordBatch:
+    """All rows of tables of one schema as one batch."""
+    table = pa.concat_tables(tables).combine_chunks()
+    return pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns], schema=table.schema)
+
+
+def _read(table: bytes) -> pa.Table:
+    return pa.ipc.open_stream(table).read_all()
+
+
+def packed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and ``_rows``: the rows of each key as Arrow tables, few for each. No more than PACKED_ROWS and PACKED_BYTES are held at once."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, width = [], 0, 0
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            size, width = size + batch.num_rows, width + batch.nbytes
+            if size >= PACKED_ROWS or width >= PACKED_BYTES:
+                yield from groups(held)
+                held, size, width = [], 0, 0
+        if size:
+            yield from groups(held)
+
+    def groups(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        every = _whole(held)
+        codes = [pc.dictionary_encode(every.column(k), null_encoding="encode").indices.to_numpy() for k in keys]
+        order = np.lexsort((every.column("us").to_numpy(), *codes))
+        changed = np.ones(len(order), bool)
+        changed[1:] = np.any([c[order][1:] != c[order][:-1] for c in codes], axis=0)
+        begins = np.flatnonzero(changed)
+        ends = np.append(begins[1:], len(order))
+        cuts = [(i, min(i + TABLE_ROWS, j)) for b, j in zip(begins.tolist(), ends.tolist(), strict=True) for i in range(b, j, TABLE_ROWS)]
+        body = every.take(pa.array(order))
+        tables = pa.array([_table(body.slice(i, j - i)) for i, j in cuts], pa.binary())
+        yield pa.RecordBatch.from_arrays([*body.select(keys).take(pa.array([i for i, _ in cuts])).columns, tables], [*keys, "_rows"])
+
+    return rows.repartition(*keys).mapInArrow(pack, T.StructType([*(rows.schema[k] for k in keys), T.StructField("_rows", T.BinaryType())]))
+
+
+def spread(out: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """The rows of tables that ``Records`` has packed."""
+    names = [f.name for f in fields]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for table in batch.column(0):
+                held.append(_read(table.as_py()).select(names))
+                size += held[-1].num_rows
+                if size >= TABLE_ROWS:
+                    yield _whole(held)
+                    held, size = [], 0
+            if held:
+                yield _whole(held)
+
+    return out.mapInArrow(rows, T.StructType(fields))
+
+
+LATEST = "part string, us long, sums map<string,long>, lists map<string,map<string,long>>, lasts map<string,string>, ends long"
+
+
+def latest_rows(values: DataFrame) -> DataFrame:
+    """subject, key and the columns of LATEST, from the values of the state ``latest`` (``held``) of these."""
+    counts = pa.map_(pa.string(), pa.int64())
+    kinds = {"subject": pa.string(), "key": pa.string(), "part": pa.string(), "us": pa.int64(), "sums": counts, "lists": pa.map_(pa.string(), counts), "lasts": pa.map_(pa.string(), pa.string()), "ends": pa.int64()}
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for subject, key, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for part, (us, sums, lists, lasts, ends) in pickle.loads(held)[0].items():
+                    made.append((subject, key, part, us, list(sums.items()), [(n, list(c.items())) for n, c in lists.items()], list(lasts.items()), ends))
+            columns = zip(*made, strict=True) if made else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+    return values.select("subject", "key", "held").mapInArrow(unfold, f"subject string, key string, {LATEST}")
+
+
+class _Kept(NamedTuple):
+    """What of a key is held as three values."""
+
+    #: Of sliding windows: names of the sums, microseconds of a bucket, totals by buckets (buckets, sums) or few rows (None, None, us, no, values), few rows with texts (us, no, values by name; None: by buckets).
+    sliding: list
+    #: Of fixed windows: start and sums by part; start, counts of texts and last text by name.
+    fixed: tuple[dict[str, tuple], dict[str, tuple]]
+    #: For good: the latest answers by part; the last texts ever by name.
+    latest: tuple[dict[str, tuple], dict[str, tuple]]
+
+
 def _texts(value: object) -> list[str]:
     """The texts of a row's array, none if it is null."""
     return list(value) if isinstance(value, (list, np.ndarray)) else []
@@ -120,6 +224,8 @@ class Records(StatefulProcessor):
     idle_ms: in arrival order, the time without a row after which a key's windows leave the state (None: never).
     peers: a row's sliding windows hold all rows of its time that have come up to its micro-batch, not only those up to its number.
 
+    In arrival order rows come as ``packed`` makes them, and go as ``spread`` reads them.
+
     A key's state names the sums that it holds. Where a job goes on with other rules, the state of a key is put in the new
     order when the key has its next row: sums of the same name go on, new ones begin.
     """
@@ -129,7 +235,7 @@ class Records(StatefulProcessor):
         self.lists, self.lasts, self.idle_ms, self.peers = lists or {}, lasts or {}, idle_ms, peers
         self.parts = list(dict.fromkeys(p for spec in specs.values() for p in spec.parts))
         self.openings = list(dict.fromkeys(p for spec in specs.values() for p in spec.fixed))
-        self.row = Row(*keys, *payload, "_sums", *self.lists, *self.lasts)
+        self.row = Row(*keys, *payload, "_sums", *self.lists, *self.lasts) if event_time else Row("_rows")
 
     @property
     def longs(self) -> list[str]:
@@ -138,17 +244,14 @@ class Records(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.totals = handle.getValueState("totals", "buckets binary, sums binary, us binary, no binary, values binary")
+        self.totals = handle.getValueState("totals", "held binary")
+        self.fixed = handle.getValueState("fixed", "held binary")
+        self.latest = handle.getValueState("latest", "held binary")
         self.rows = handle.getMapState("rows", "bucket long", "us binary, no binary, values binary")
-        self.fixed = handle.getMapState("fixed", "part string", "start long, sums array<long>")
-        self.latest = handle.getMapState("latest", "part string", "us long, sums map<string,long>, lists map<string,map<string,long>>, lasts map<string,string>, ends long")
         self.texts = handle.getMapState("texts", "bucket long", "rows binary")
         self.summaries = handle.getMapState("summaries", "bucket long", "counts map<string,map<string,long>>, lasts map<string,string>")
-        self.open = handle.getMapState("open", "name string", "start long, counts map<string,long>, last string")
-        self.ever = handle.getMapState("ever", "name string", "us long, no long, value string")
         self.waiting = handle.getListState("waiting", "rows binary")
         self.timer = handle.getValueState("timer", "ms long")
-        self.layout = handle.getValueState("layout", "sums array<string>, span long")
 
     def _spec(self, key: tuple) -> Spec:
         """The windows of a key; what follows counts its sums."""
@@ -156,15 +259,25 @@ class Records(StatefulProcessor):
         self.sums = list(spec.sums or self.every)
         return spec
 
+    def _begin(self, spec: Spec) -> None:
+        """Read a key's three values; ``known``: it has had rows."""
+        read = lambda state: pickle.loads(state.get()[0]) if state.exists() else None
+        latest = read(self.latest)
+        self.known = latest is not None
+        sliding, fixed = (read(self.totals), read(self.fixed)) if self.known else (None, None)
+        few = (None, None, b"", b"", b"")
+        self.kept = _Kept(sliding or [self.sums, spec.span, few, ([], [], {})], fixed or ({}, {}), latest or ({}, {}))
+        if sliding is not None and (sliding[:2] != [self.sums, spec.span] or not spec.sliding):
+            self._arrange(spec)
+
+    def _end(self, spec: Spec) -> None:
+        for state, held, has in ((self.totals, self.kept.sliding, spec.sliding), (self.fixed, self.kept.fixed, spec.fixed), (self.latest, self.kept.latest, spec.parts or self.known)):
+            if has:
+                state.update((pickle.dumps(held, 5),))
+
     def _arrange(self, spec: Spec) -> None:
-        """Put the state that other rules have left in the order of these."""
-        self.known = self.layout.exists()
-        held = self.layout.get() if self.known else None
-        if held is not None and (list(held[0]), held[1]) == (self.sums, spec.span):
-            return
-        self.layout.update((self.sums, spec.span))
-        if held is None:
-            return
+        """Put the sliding windows that other rules have left in the order of these."""
+        held = self.kept.sliding[:]
         names = list(held[0])
         known = [(i, names.index(n)) for i, n in enumerate(self.sums) if n in names]
 
@@ -175,22 +288,22 @@ class Records(StatefulProcessor):
             return out
 
         kept = [v for _, v in self.rows.iterator()]
-        if self.totals.exists() and (few := self.totals.get()[2:])[0] is not None:
-            kept.append(few)
+        if held[2][2] is not None:
+            kept.append(held[2][2:])
         rows = [(np.frombuffer(u, np.int64), np.frombuffer(k, np.int64), moved(np.frombuffer(v, np.int64).reshape(-1, len(names)))) for u, k, v in kept]
         texts = [pa.ipc.open_stream(r[0]).read_pandas() for _, r in self.texts.iterator()]
         for state in (self.rows, self.totals, self.texts, self.summaries):
             state.clear()
+        self.kept.sliding[:] = [self.sums, spec.span, (None, None, b"", b"", b""), held[3] if held[3] is not None and spec.sliding else ([], [], {})]
         if rows and spec.sliding:
             us, no, values = (np.concatenate(x) for x in zip(*rows, strict=True))
             order = np.lexsort((no, us))
             self._store(us[order], no[order], values[order], spec.span)
         if texts and spec.sliding:
+            self.kept.sliding[3] = None
             every = pd.concat(texts, ignore_index=True).sort_values(["us", "no"], kind="stable")
             for b, own in every.groupby(every["us"] // spec.span):
                 self._keep(int(b), own["us"].tolist(), own["no"].tolist(), {n: _plain(own[n]) for n in (*self.lists, *self.lasts) if n in own})
-        for (part,), (start, sums) in list(self.fixed.iterator()):
-            self.fixed.updateValue((part,), (start, moved(np.array(sums, np.int64)).tolist()))
 
     # Sliding windows.
 
@@ -201,15 +314,15 @@ class Records(StatefulProcessor):
     def _store(self, us: np.ndarray, no: np.ndarray, values: np.ndarray, span: int) -> None:
         """Write all live rows of a key, which are in order: as one value if they are few, else by buckets."""
         if len(us) * 8 * (2 + len(self.sums)) <= FEW_BYTES:
-            self.totals.update((None, None, us.tobytes(), no.tobytes(), np.ascontiguousarray(values).tobytes()))
+            self.kept.sliding[2] = (None, None, us.tobytes(), no.tobytes(), np.ascontiguousarray(values).tobytes())
             return
         known, first = np.unique(us // span, return_index=True)
         for b, i, j in zip(known.tolist(), first.tolist(), [*first[1:].tolist(), len(us)], strict=True):
             self.rows.updateValue((b,), (us[i:j].tobytes(), no[i:j].tobytes(), np.ascontiguousarray(values[i:j]).tobytes()))
-        self.totals.update((known.tobytes(), np.ascontiguousarray(np.add.reduceat(values, first, axis=0)).tobytes(), None, None, None))
+        self.kept.sliding[2] = (known.tobytes(), np.ascontiguousarray(np.add.reduceat(values, first, axis=0)).tobytes(), None, None, None)
 
     def _sliding(self, spec: Spec, us: np.ndarray, no: np.ndarray, values: np.ndarray) -> dict[str, np.ndarray]:
-        held = self.totals.get() if self.known and self.totals.exists() else (None, None, b"", b"", b"")
+        held = self.kept.sliding[2]
         if held[2] is None:
             known = np.frombuffer(held[0], np.int64).tolist()
             return self._sliding_by_buckets(spec, us, no, values, dict(zip(known, np.frombuffer(held[1], np.int64).reshape(len(known), -1), strict=True)))
@@ -272,7 +385,7 @@ class Records(StatefulProcessor):
             inside = np.where(first >= 0, np.searchsorted(every, edge, "left"), 0)
             out[part] = upto - before[np.searchsorted(known, bucket)] - (running[inside] - running[np.maximum(first, 0)])
         live = known >= gone
-        self.totals.update((known[live].tobytes(), np.ascontiguousarray(each[live]).tobytes(), None, None, None))
+        self.kept.sliding[2] = (known[live].tobytes(), np.ascontiguousarray(each[live]).tobytes(), None, None, None)
         for b in stored:
             if b < gone:
                 self.rows.removeKey((b,))
@@ -303,6 +416,8 @@ class Records(StatefulProcessor):
 
     def _held(self, spec: Spec, names: list[str], us: np.ndarray, no: np.ndarray, fresh: dict[str, list]) -> dict[str, list]:
         """Lists and last values of sliding windows at each row. fresh: the rows' texts by name, without NaN."""
+        if self.kept.sliding[3] is not None:
+            return self._held_few(spec, names, us, no, fresh, *self.kept.sliding[3])
         span = spec.span
         summaries = {k[0]: tuple(v) for k, v in self.summaries.iterator()} if self.known else {}
         known = set(summaries)
@@ -366,9 +481,52 @@ class Records(StatefulProcessor):
                     out[n].append(begin.values[n][begin.last[n][-1]])
         return out
 
+    def _held_few(self, spec: Spec, names: list[str], us: np.ndarray, no: np.ndarray, fresh: dict[str, list], held_us: list[int], held_no: list[int], held: dict[str, list]) -> dict[str, list]:
+        """The same while all live texts are held as one value: windows move over the rows in order."""
+        mine = [i for i in range(len(us)) if any(fresh[n][i] is not None for n in names)]
+        every, numbers = np.append(np.array(held_us, np.int64), us[mine]), np.append(np.array(held_no, np.int64), no[mine])
+        order = np.lexsort((numbers, every))
+        every, numbers, places = every[order], numbers[order], order.tolist()
+        if self.peers:
+            upto = np.searchsorted(every, us, "right")
+        else:
+            at = list(zip(every.tolist(), numbers.tolist(), strict=True))
+            upto = np.array([bisect_right(at, x) for x in zip(us.tolist(), no.tolist(), strict=True)], np.int64)
+        out, values = {}, {}
+        for n in names:
+            both = held.get(n, [None] * len(held_us)) + [fresh[n][i] for i in mine]
+            values[n] = both = [both[i] for i in places]
+            start = np.searchsorted(every, us - spec.sliding[self.lists.get(n) or self.lasts[n]] * 1000, "left")
+            if n in self.lasts:
+                found = np.append(_latest_text(both), -1)[upto - 1]
+                out[n] = [both[i] if i >= first else None for i, first in zip(found.tolist(), start.tolist(), strict=True)]
+                continue
+            out[n], inside, begin, end = [], [], 0, 0
+            for first, last in zip(start.tolist(), upto.tolist(), strict=True):
+                for v in both[end:last]:
+                    for t in v or ():
+                        insort(inside, t)
+                for v in both[begin:first]:
+                    for t in v or ():
+                        del inside[bisect_left(inside, t)]
+                begin, end = first, last
+                out[n].append(inside[:])
+        span = spec.span
+        newest = max(held_us) // span * span if held_us else 0
+        gone = (max(int(us.max()), newest) - max(spec.sliding.values()) * 1000) // span
+        live = int(np.searchsorted(every, gone * span, "left"))
+        every, numbers, values = every[live:].tolist(), numbers[live:].tolist(), {n: v[live:] for n, v in values.items()}
+        self.kept.sliding[3] = (every, numbers, values) if len(every) <= FEW_TEXTS else None
+        if len(every) > FEW_TEXTS:
+            buckets = np.array(every, np.int64) // span
+            known, begins = np.unique(buckets, return_index=True)
+            for b, i, j in zip(known.tolist(), begins.tolist(), [*begins[1:].tolist(), len(every)], strict=True):
+                self._keep(b, every[i:j], numbers[i:j], {n: v[i:j] for n, v in values.items()})
+        return out
+
     def _held_in_open(self, name: str, starts: np.ndarray, values: list) -> list:
         """The list or last value of a fixed window at each row. starts: of its windows."""
-        start, counts, last = self.open.getValue((name,)) if self.known and self.open.containsKey((name,)) else (None, {}, None)
+        start, counts, last = self.kept.fixed[1].get(name, (None, {}, None))
         texts, out = _spread(counts or {}), []
         for now, v in zip(starts.tolist(), values, strict=True):
             if now != start:
@@ -379,25 +537,25 @@ class Records(StatefulProcessor):
             elif isinstance(v, str):
                 last = v
             out.append(list(texts) if name in self.lists else last)
-        self.open.updateValue((name,), (int(start), dict(Counter(texts)), last))
+        self.kept.fixed[1][name] = (int(start), dict(Counter(texts)), last)
         return out
 
     def _last_ever(self, name: str, us: np.ndarray, no: np.ndarray, values: list) -> list:
         """The text of the latest row so far that brought one, at each row."""
-        *at, value = self.ever.getValue((name,)) if self.known and self.ever.containsKey((name,)) else (-(2**63), -(2**63), None)
+        *at, value = self.kept.latest[1].get(name, (-(2**63), -(2**63), None))
         after = (us > at[0]) | (us == at[0]) & (no >= at[1])
         found = _latest_text([v if later else None for v, later in zip(values, after, strict=True)])
         if len(found) and found[-1] >= 0:
-            self.ever.updateValue((name,), (int(us[found[-1]]), int(no[found[-1]]), values[found[-1]]))
+            self.kept.latest[1][name] = (int(us[found[-1]]), int(no[found[-1]]), values[found[-1]])
         return [values[i] if i >= 0 else value for i in found]
 
     def _fixed(self, part: str, ms: int, us: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, sums) of the window at each row: rows up to the end of the open one go on with its sums; then windows follow one another."""
-        start, held = self.fixed.getValue((part,)) if self.known and self.fixed.containsKey((part,)) else (None, [0] * len(self.sums))
+        start, held = self.kept.fixed[0].get(part, (None, {}))
         running = np.concatenate([np.zeros((1, len(self.sums)), np.int64), np.cumsum(values, axis=0)])
         at = 0 if start is None else int(np.searchsorted(us, start + ms * 1000, "right"))
         opens = [] if at == 0 else [(0, start)]
-        sums = np.array(held, np.int64)
+        sums = np.array([held.get(n, 0) for n in self.sums], np.int64)
         while at < len(us):
             opens.append((at, int(us[at])))
             at = int(np.searchsorted(us, us[at] + ms * 1000, "right"))
@@ -406,19 +564,19 @@ class Records(StatefulProcessor):
         out = running[1:] - running[first[own]]
         if start is not None and opens[0][1] == start:
             out[own == 0] += sums
-        self.fixed.updateValue((part,), (int(begins[-1]), out[-1].tolist()))
+        self.kept.fixed[0][part] = (int(begins[-1]), dict(zip(self.sums, out[-1].tolist(), strict=True)))
         return begins[own], out
 
     def _step(self, key: tuple, us: np.ndarray, no: np.ndarray, values: np.ndarray, fresh: dict[str, list]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray], dict[str, list]]:
         """Take rows of a key, which are in order, into its state: (sums by part, starts of fixed windows by part, texts by name). values: what rows add to all sums."""
         spec = self._spec(key)
-        self._arrange(spec)
+        self._begin(spec)
         values = values if self.sums == self.every else values[:, [self.every.index(n) for n in self.sums]]
         found = self._sliding(spec, us, no, values) if spec.sliding else {}
         starts = {}
         for part, ms in spec.fixed.items():
             starts[part], found[part] = self._fixed(part, ms, us, values)
-        latest = {p: self.latest.getValue((p,)) for p in spec.parts if self.known and self.latest.containsKey((p,))}
+        latest = self.kept.latest[0]
         if spec.unbounded:
             held = latest[spec.unbounded][1] if spec.unbounded in latest else {}
             found[spec.unbounded] = np.array([held.get(n, 0) for n in self.sums], np.int64) + np.cumsum(values, axis=0)
@@ -430,7 +588,8 @@ class Records(StatefulProcessor):
             if part == spec.unbounded or part not in latest or latest[part][0] <= us[-1]:
                 now = [{n: dict(Counter(texts[n][-1])) for n, p in self.lists.items() if p == part}, {n: texts[n][-1] for n, p in self.lasts.items() if p == part}]
                 end = int(starts[part][-1]) + spec.fixed[part] * 1000 if part in spec.fixed else None
-                self.latest.updateValue((part,), (int(us[-1]), dict(zip(self.sums, found[part][-1].tolist(), strict=True)), *now, end))
+                latest[part] = (int(us[-1]), dict(zip(self.sums, found[part][-1].tolist(), strict=True)), *now, end)
+        self._end(spec)
         return found, starts, texts
 
     def _answers(self, key: tuple, fresh: pd.DataFrame) -> pd.DataFrame:
@@ -457,6 +616,26 @@ class Records(StatefulProcessor):
         marks, values, width = np.packbits(known).tobytes(), held.tobytes(), 8 * held.shape[1]
         return [marks + values[i * width : (i + 1) * width] for i in range(size)]
 
+    def _tables(self, key: tuple, fresh: pa.RecordBatch) -> Iterator[Row]:
+        """The same from rows of a key as one table, to tables."""
+        us, no = fresh.column("us").to_numpy(), fresh.column("transaction_no").fill_null(-1).to_numpy()
+        order = np.lexsort((no, us))
+        if (order[1:] < order[:-1]).any():
+            us, no, fresh = us[order], no[order], fresh.take(pa.array(order))
+        values = fresh.column("_sums").flatten().to_numpy().reshape(len(us), -1)
+        found, starts, texts = self._step(key, us, no, values, {n: fresh.column(n).to_pylist() for n in self.lists | self.lasts})
+        size = len(us)
+        out = {c: fresh.column(c) for c in (*self.keys, *self.payload)}
+        for part in self.parts:
+            sums = {n: np.ascontiguousarray(found[part][:, i]) for i, n in enumerate(self.sums)} if part in found else {}
+            out |= {f"{n}_{part}": pa.array(sums[n]) if n in sums else pa.nulls(size, pa.int64()) for n in self.every}
+        out |= {f"start_{p}": pa.array(starts[p]) if p in starts else pa.nulls(size, pa.int64()) for p in self.openings}
+        for n in self.lists | self.lasts:
+            k = pa.list_(pa.string()) if n in self.lists else pa.string()
+            out[n] = pa.array(texts[n], k) if n in texts else pa.nulls(size, k)
+        whole = pa.RecordBatch.from_pydict(out)
+        yield from (self.row(_table(whole.slice(i, TABLE_ROWS))) for i in range(0, size, TABLE_ROWS))
+
     def _rows(self, answers: pd.DataFrame) -> Iterator[Row]:
         yield from (self.row(*r) for r in zip(*(answers[c].tolist() for c in (*self.keys, *self.payload, "_sums", *self.lists, *self.lasts)), strict=True))
 
@@ -482,14 +661,7 @@ class Records(StatefulProcessor):
         if not self.event_time:
             if self.idle_ms is not None:
                 self._remind(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-            at = fields.index("us"), fields.index("transaction_no")
-            rows.sort(key=lambda r: (r[at[0]], -1 if r[at[1]] is None else r[at[1]]))
-            columns = dict(zip(fields, zip(*rows, strict=True), strict=True))
-            us, no = np.array(columns["us"], np.int64), np.array([-1 if x is None else x for x in columns["transaction_no"]], np.int64)
-            found, starts, texts = self._step(key, us, no, np.array(columns["_sums"], np.int64), {n: list(columns[n]) for n in self.lists | self.lasts})
-            nothing = [None] * len(us)
-            out = zip(*([v] * len(us) for v in key), *(columns[c] for c in self.payload), self._bytes(found, starts, len(us)), *(texts.get(n, nothing) for n in self.lists | self.lasts), strict=True)
-            yield from (self.row(*r) for r in out)
+            yield from self._tables(key, _whole([_read(r[fields.index("_rows")]) for r in rows]))
             return
         fresh = pd.DataFrame(rows, columns=fields)
         fresh = pd.concat([fresh.drop(columns="_sums"), pd.DataFrame(fresh["_sums"].tolist(), columns=self.every)], axis=1)
@@ -520,5 +692,5 @@ class Records(StatefulProcessor):
         if len(ready):
             yield from self._rows(self._answers(key, ready))
         elif not self.timer.exists():  # idle for its longest window, or for idle_ms: nothing in it any more, and the next row opens new fixed ones
-            for held in (self.totals, self.rows, self.texts, self.summaries, self.fixed, self.open):
+            for held in (self.totals, self.rows, self.texts, self.summaries, self.fixed):
                 held.clear()

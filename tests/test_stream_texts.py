@@ -129,3 +129,18 @@ def test_a_row_in_the_newest_bucket_writes_only_that():
     made._answers(("k",), batch([(99, 31 * S + 5, "u")]))
     assert {k for k, v in made.texts.held.items() if before.get(k) != v} == {(31,)}
     assert {k[0] for k in made.summaries.held} == {k[0] for k in made.texts.held}
+
+
+def test_a_key_with_few_rows_reads_and_writes_few_values():
+    """A new key writes what it has by three values at most, a known one reads no more."""
+    made = processor(Spec({"w": 32_000}, {"f": 5_000}, "ever"), {"l": "w", "s": "f"}, {"v": "w"})
+    calls = []
+    for state in (made.totals, made.fixed, made.latest, made.rows, made.texts, made.summaries):
+        for name in ("getValue", "containsKey", "updateValue", "removeKey", "iterator", "exists", "get", "update"):
+            setattr(state, name, lambda *a, _f=getattr(state, name), _n=name: (calls.append(_n), _f(*a))[1])
+    made._answers(("k",), batch([(i, i * S, "t u") for i in range(9)]))
+    assert calls.count("update") == 3 and len([c for c in calls if c != "updateValue"]) == 4
+    calls.clear()
+    last = made._answers(("k",), batch([(9, 9 * S, "t")]))
+    assert last.l[0] == ["t"] * 10 + ["u"] * 9
+    assert len([c for c in calls if c != "updateValue"]) == 9
