@@ -130,11 +130,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
     weights: of the sources in order, repeating. share: of all words. epochs: beyond which no source is taken. weight: of each document's quality.
     """
-    fields = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    plain = docs.withColumns({"_w": quality_weight(F.col(text)) if weight is None else weight}).toDF(*fields.values(), "_w")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # docs may have columns of one name, and one named _w
+    fields = dict(zip(docs.columns, names, strict=True))
+    plain = docs.select("*", (quality_weight(F.col(text)) if weight is None else weight).alias("_w")).toDF(*names, "_w")
     rows = measured(plain, n_words(F.col(fields[text])), exponential_key(F.col(fields[doc_id]), F.col(fields[text]), F.col("_w"), seed), F.col(fields[source]))
     plans = plan(written(rows.select(*SOURCE, "_size", "_key"), "keys"), weights, share, epochs)
-    return with_copies(rows, plans).select(*fields.values(), "copies").toDF(*docs.columns, "copies")
+    return with_copies(rows, plans).select(*names, "copies").toDF(*docs.columns, "copies")
 
 
 def op13_source_mix(spark, sf_dir: str) -> DataFrame:
