@@ -12,6 +12,7 @@ key has is held as one value for its sliding windows, one for its fixed ones, an
 Arrow tables, and its answers go as such, since Spark makes each value of a row by itself in Python. In event-time order a key has one timer: for
 the first row that waits, else for the time at which its last window is empty or over and the state of its windows goes. In
 arrival order a key's old buckets go when it has a new row, and all of its windows, by a timer of processing time, when it has had none for ``idle_ms``.
+Where there are no timers, in arrival order without ``idle_ms``, SHARDS groups of keys share a value each (``Shards``).
 
 Texts for lists and last values are held in buckets of their own, each with a summary: the bucket's distinct texts with their counts,
 and its last text. A window's list is put together from the summaries of the buckets that lie within it and the rows
@@ -35,6 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import MapState
 
 #: Buckets of the longest window.
 BUCKETS = 32
@@ -42,6 +44,10 @@ BUCKETS = 32
 FEW_BYTES = 6_000
 #: Rows with texts of a key that are held as one value.
 FEW_TEXTS = 16
+#: Where many keys share a value of the state: rows with texts of a key that are held in it, and their characters.
+SHARD_TEXTS, SHARD_CHARACTERS = 64, 4_000
+#: Groups of keys that share a value of the state; a job's state is laid out by them.
+SHARDS = 4_096
 #: Rows, and bytes, that are put in the order of their keys at once; rows of a key in one table.
 PACKED_ROWS, PACKED_BYTES, TABLE_ROWS = 250_000, 64 << 20, 20_000
 
@@ -142,20 +148,33 @@ LATEST = "part string, us long, sums map<string,long>, lists map<string,map<stri
 
 
 def latest_rows(values: DataFrame) -> DataFrame:
-    """subject, key and the columns of LATEST, from the values of the state ``latest`` (``held``) of these."""
+    """subject, key and the columns of LATEST, from the values of the state ``latest`` (``held``) of these, or of shards if no subject is given."""
     counts = pa.map_(pa.string(), pa.int64())
     kinds = {"subject": pa.string(), "key": pa.string(), "part": pa.string(), "us": pa.int64(), "sums": counts, "lists": pa.map_(pa.string(), counts), "lasts": pa.map_(pa.string(), pa.string()), "ends": pa.int64()}
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for subject, key, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for part, (us, sums, lists, lasts, ends) in pickle.loads(held)[0].items():
+            for (subject, key), latest in every(batch):
+                for part, (us, sums, lists, lasts, ends) in latest[0].items():
                     made.append((subject, key, part, us, list(sums.items()), [(n, list(c.items())) for n, c in lists.items()], list(lasts.items()), ends))
-            columns = zip(*made, strict=True) if made else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
+                if len(made) >= TABLE_ROWS:
+                    yield table(made)
+                    made = []
+            yield table(made)
+
+    def every(batch: pa.RecordBatch) -> Iterator[tuple[tuple, tuple]]:
+        for *key, held in zip(*batch.columns, strict=True):
+            if key:
+                yield tuple(k.as_py() for k in key), pickle.loads(held.as_py())
+            else:
+                yield from ((k, pickle.loads(v)[2]) for k, v in pickle.loads(held.as_py()).items())
+
+    def table(made: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*made, strict=True) if made else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
-    return values.select("subject", "key", "held").mapInArrow(unfold, f"subject string, key string, {LATEST}")
+    return values.select(*(c for c in ("subject", "key") if c in values.columns), "held").mapInArrow(unfold, f"subject string, key string, {LATEST}")
 
 
 class _Kept(NamedTuple):
@@ -263,8 +282,10 @@ class Records(StatefulProcessor):
         """Read a key's three values; ``known``: it has had rows."""
         read = lambda state: pickle.loads(state.get()[0]) if state.exists() else None
         latest = read(self.latest)
+        self._take(spec, *((read(self.totals), read(self.fixed)) if latest is not None else (None, None)), latest)
+
+    def _take(self, spec: Spec, sliding: list | None, fixed: tuple | None, latest: tuple | None) -> None:
         self.known = latest is not None
-        sliding, fixed = (read(self.totals), read(self.fixed)) if self.known else (None, None)
         few = (None, None, b"", b"", b"")
         self.kept = _Kept(sliding or [self.sums, spec.span, few, ([], [], {})], fixed or ({}, {}), latest or ({}, {}))
         if sliding is not None and (sliding[:2] != [self.sums, spec.span] or not spec.sliding):
@@ -516,14 +537,19 @@ class Records(StatefulProcessor):
         gone = (max(int(us.max()), newest) - max(spec.sliding.values()) * 1000) // span
         live = int(np.searchsorted(every, gone * span, "left"))
         every, numbers, values = every[live:].tolist(), numbers[live:].tolist(), {n: v[live:] for n, v in values.items()}
-        self.kept.sliding[3] = (every, numbers, values) if len(every) <= FEW_TEXTS else None
-        if len(every) > FEW_TEXTS:
+        few = self._few(values, len(every))
+        self.kept.sliding[3] = (every, numbers, values) if few else None
+        if not few:
             buckets = np.array(every, np.int64) // span
             known, begins = np.unique(buckets, return_index=True)
             for b, i, j in zip(known.tolist(), begins.tolist(), [*begins[1:].tolist(), len(every)], strict=True):
                 self._keep(b, every[i:j], numbers[i:j], {n: v[i:j] for n, v in values.items()})
         return out
 
+    def _few(self, values: dict[str, list], size: int) -> bool:
+        """Are texts few enough to be held as one value?"""
+        return size <= FEW_TEXTS
+
     def _held_in_open(self, name: str, starts: np.ndarray, values: list) -> list:
         """The list or last value of a fixed window at each row. starts: of its windows."""
         start, counts, last = self.kept.fixed[1].get(name, (None, {}, None))
@@ -694,3 +720,115 @@ class Records(StatefulProcessor):
         elif not self.timer.exists():  # idle for its longest window, or for idle_ms: nothing in it any more, and the next row opens new fixed ones
             for held in (self.totals, self.rows, self.texts, self.summaries, self.fixed):
                 held.clear()
+
+
+class _Buckets:
+    """A key's part of a map of the state that many keys share. known: its buckets."""
+
+    def __init__(self, state: MapState | None, name: str, known: set[int]):
+        self.state, self.name, self.known = state, name, known
+
+    def getValue(self, bucket: tuple[int]) -> tuple:
+        return self.state.getValue((self.name, *bucket))
+
+    def updateValue(self, bucket: tuple[int], value: tuple) -> None:
+        self.state.updateValue((self.name, *bucket), value)
+        self.known.add(bucket[0])
+
+    def removeKey(self, bucket: tuple[int]) -> None:
+        self.state.removeKey((self.name, *bucket))
+        self.known.discard(bucket[0])
+
+    def iterator(self) -> Iterator[tuple[tuple[int], tuple]]:
+        return (((b,), self.getValue((b,))) for b in sorted(self.known))
+
+    def clear(self) -> None:
+        for b in sorted(self.known):
+            self.removeKey((b,))
+
+
+class Shards(Records):
+    """Records in arrival order without timers, for groups of keys: Spark groups rows by ``_shard``, and what few rows leave of all keys of a shard is one value.
+
+    So a micro-batch costs two calls to the state for each shard and not several for each key; it reads and writes again the small values of the other
+    keys of the shards that it touches, some hundred bytes to some kilobytes each. What of a key is held by buckets lies apart from them, by key and bucket.
+    Keys are texts or whole numbers. wanted: the columns ``sum_part`` that are handed out.
+    """
+
+    wanted: frozenset[str] | None = None
+
+    @property
+    def longs(self) -> list[str]:
+        return [c for c in super().longs if self.wanted is None or c in self.wanted or c.startswith("start_")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.latest = handle.getValueState("latest", "held binary")
+        self.maps = {"rows": handle.getMapState("rows", "name string, bucket long", "us binary, no binary, values binary"), "texts": handle.getMapState("texts", "name string, bucket long", "rows binary"), "summaries": handle.getMapState("summaries", "name string, bucket long", "counts map<string,map<string,long>>, lasts map<string,string>")}
+        self.totals = _Buckets(None, "", set())  # a key's are in its shard's value
+
+    def _begin(self, spec: Spec) -> None:
+        held = self.shard.get(self.key)
+        *kept, self.buckets = (None, None, None, {}) if held is None else pickle.loads(held)
+        self.rows, self.texts, self.summaries = (_Buckets(state, repr(self.key), self.buckets.setdefault(n, set())) for n, state in self.maps.items())
+        self._take(spec, *kept)
+
+    def _end(self, spec: Spec) -> None:
+        if spec.parts or self.known:
+            self.shard[self.key] = pickle.dumps((self.kept.sliding if spec.sliding else None, self.kept.fixed, self.kept.latest, {n: b for n, b in self.buckets.items() if b}), 5)
+
+    def _few(self, values: dict[str, list], size: int) -> bool:
+        return size <= SHARD_TEXTS and sum(len(t) for v in values.values() for texts in v if texts for t in ([texts] if isinstance(texts, str) else texts) if t) <= SHARD_CHARACTERS
+
+    def handleInputRows(self, shard, rows, timerValues) -> Iterator[Row]:
+        held = self.latest.get()
+        self.shard = pickle.loads(held[0]) if held else {}
+        yield from self._keys(_whole([_read(r["_rows"]) for r in rows]))
+        self.latest.update((pickle.dumps(self.shard, 5),))
+
+    def _keys(self, fresh: pa.RecordBatch) -> Iterator[Row]:
+        """Take the rows of a shard into the state of their keys, one key after the other."""
+        us, no = fresh.column("us").to_numpy(), fresh.column("transaction_no").fill_null(-1).to_numpy()
+        codes = [pc.dictionary_encode(fresh.column(k), null_encoding="encode").indices.to_numpy() for k in self.keys]
+        order = np.lexsort((no, us, *codes))
+        us, no, fresh, codes = us[order], no[order], fresh.take(pa.array(order)), [c[order] for c in codes]
+        changed = np.any([c[1:] != c[:-1] for c in codes], axis=0)
+        begins = [0, *(np.flatnonzero(changed) + 1).tolist()]
+        values = fresh.column("_sums").flatten().to_numpy().reshape(len(us), -1)
+        texts = {n: fresh.column(n).to_pylist() for n in self.lists | self.lasts}
+        names = zip(*(fresh.column(k).take(pa.array(begins)).to_pylist() for k in self.keys), strict=True)
+        done, first = [], 0
+        for key, i, j in zip(names, begins, [*begins[1:], len(us)], strict=True):
+            self.key = key
+            found = self._step(key, us[i:j], no[i:j], values[i:j], {n: t[i:j] for n, t in texts.items()})
+            for b in range(i, j, TABLE_ROWS):
+                e = min(b + TABLE_ROWS, j)
+                done.append((self.sums, e - b, *({n: v[b - i : e - i] for n, v in kind.items()} for kind in found)))
+                if e - first >= TABLE_ROWS:
+                    yield self._built(fresh.slice(first, e - first), done)
+                    done, first = [], e
+        if done:
+            yield self._built(fresh.slice(first), done)
+
+    def _built(self, rows: pa.RecordBatch, done: list[tuple]) -> Row:
+        """The answers to rows. done: for each of their keys the names of its sums, its rows, and what ``_step`` gave."""
+        size, at, place = rows.num_rows, 0, {c: i for i, c in enumerate(self.longs)}
+        held, known = np.zeros((len(place), size), np.int64), np.zeros((len(place), size), bool)
+        texts = {n: [] for n in self.lists | self.lasts}
+        columns: dict[tuple, tuple] = {}
+        for sums, n_rows, found, starts, held_texts in done:
+            for p, v in found.items():
+                if (p, *sums) not in columns:
+                    here = [(place[c], i) for i, n in enumerate(sums) if (c := f"{n}_{p}") in place]
+                    columns[p, *sums] = [x for x, _ in here], [i for _, i in here]
+                to, of = columns[p, *sums]
+                held[to, at : at + n_rows] = v.T[of]
+                known[to, at : at + n_rows] = True
+            for p, v in starts.items():
+                held[place[f"start_{p}"], at : at + n_rows] = v
+                known[place[f"start_{p}"], at : at + n_rows] = True
+            for n, v in texts.items():
+                v += held_texts.get(n) or [None] * n_rows
+            at += n_rows
+        out = {c: rows.column(c) for c in (*self.keys, *self.payload)} | {n: pa.array(v, mask=~k) for n, v, k in zip(place, held, known, strict=True)}
+        return self.row(_table(pa.RecordBatch.from_pydict(out | {n: pa.array(v, pa.list_(pa.string()) if n in self.lists else pa.string()) for n, v in texts.items()})))
