@@ -173,7 +173,7 @@ def stream_restart(spark, sf):
     compute = [r for r in Q.COMPUTE if r.kind == "COMPUTE"]
     for late in (False, True):
         source.add(late)
-        jobs.Job(spark, job.folder).start(source.stream(), compute, lambda: Q.ALERTS, Q.CUSTOM).wait()
+        jobs.Job(spark, job.folder).start(source.stream(), compute, lambda: Q.ALERTS, Q.CUSTOM, peers=True).wait()
     return job.answers().select("transaction_no", "alert_status", "score", A.titles(F.col("alerts")).alias("alerts"))
 
 

@@ -5,8 +5,12 @@ import random
 import pyarrow as pa
 import pytest
 
+from tallyframe.operators import rules as R
+from tallyframe.streaming import jobs
 from tallyframe.streaming.processors import Records, Shards, Spec, _read, _table
 
+from .test_operators import stream
+
 S = 1_000_000
 OLD, NEW = Spec({"long": 64_000, "short": 1_500}, {"f": 9_000}, "ever", ("n", "a")), Spec({"long": 64_000, "new": 5_000}, {"f": 9_000}, "ever", ("a", "n", "b"))
 LISTS, LASTS = {"l": "long", "lf": "f"}, {"v": "long", "e": "ever"}
@@ -128,3 +132,10 @@ def test_only_wanted_sums_come_out():
     shards.wanted = frozenset({"n_long", "a_ever"})
     (row,) = answers(shards, handle, (0,), [("card", "k", 5, S, "t")]).values()
     assert {c for c in row if c[:2] in ("n_", "a_")} == {"n_long", "a_ever"} and (row["n_long"], row["a_ever"], row["start_f"]) == (1, 5, S)
+
+
+def test_rows_of_one_time_count_together_in_a_job(spark, tmp_path):
+    rows = [(i, "c", "x", 1.0, S) for i in (1, 2, 3)]
+    kept = [R.Rule("c", "COMPUTE", "Card", 10_000, record="tx")]
+    job = jobs.Job(spark, f"file://{tmp_path}/job").start(stream(spark, tmp_path, [rows]), kept, lambda: [R.Rule("all", "ALERT", "Card", 10_000, condition_sql="tx.count = 3")], peers=True).wait()
+    assert {r.transaction_no: r.alert_status for r in job.answers().collect()} == dict.fromkeys((1, 2, 3), "ALERT")
