@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rules import Rule, predicate
+from .rules import HOLDS, Rule, predicate
 
 NO_ALERT, ALERT, UNAVAILABLE = "NO_ALERT", "ALERT", "ALERT_UNAVAILABLE"
 
 
-def alert_array(rules: list[Rule], keys: dict[str, Column]) -> Column:
-    """The alerts that rules raise on a row, as structs; a condition that is null raises none. keys: a subject's name to its key."""
+def alert_array(rules: list[Rule], keys: dict[str, Column], held: dict[Rule, Column] | None = None) -> Column:
+    """The alerts that rules raise on a row, as structs; a condition that is null raises none. keys: a subject's name to its key. held: the column of ``tried`` of each rule."""
     made = []
     for r in rules:
         one = F.struct(F.lit(r.title).alias("rule_title"), F.lit(r.message).cast("string").alias("message"), F.lit(r.action).cast("string").alias("action"), F.lit(r.subject).alias("subject"), keys[(r.custom_subject or r.subject).lower()].cast("string").alias("key"), F.lit(r.window_ms).cast("long").alias("window_ms"))
-        made.append(F.when(predicate(r), one))
+        made.append(F.when(held[r] == F.lit(HOLDS) if held else predicate(r), one))
     return F.array_compact(F.array(*made)) if made else F.array().cast("array<struct<rule_title:string,message:string,action:string,subject:string,key:string,window_ms:bigint>>")
 
 
 def union_alerts(*arrays: Column) -> Column:
-    """One array without duplicates by (rule_title, subject, key), in the order of those."""
+    """One array without duplicates by (rule_title, subject, key), in the order of those. arrays: columns at hand, since each is read several times."""
     whole = F.flatten(F.array(*(F.coalesce(a, F.array().cast("array<struct<rule_title:string,message:string,action:string,subject:string,key:string,window_ms:bigint>>")) for a in arrays)))
     names = F.array_sort(F.array_distinct(F.transform(whole, lambda a: F.struct(a["rule_title"].alias("rule_title"), a["subject"].alias("subject"), a["key"].alias("key")))))
-    return F.transform(names, lambda n: F.element_at(F.array_sort(F.filter(whole, lambda a: (a["rule_title"] == n["rule_title"]) & (a["subject"] == n["subject"]) & a["key"].eqNullSafe(n["key"]))), 1))
+    one_of_each = F.transform(names, lambda n: F.element_at(F.array_sort(F.filter(whole, lambda a: (a["rule_title"] == n["rule_title"]) & (a["subject"] == n["subject"]) & a["key"].eqNullSafe(n["key"]))), 1))
+    return F.when(F.size(whole) > 1, one_of_each).otherwise(whole)
 
 
 def merge_alerts(rows: DataFrame, n_alert_rules: int) -> DataFrame:

@@ -161,20 +161,29 @@ def predicate(rule: Rule) -> Column:
     return guarded(condition(rule))
 
 
+def tried(rule: Rule) -> Column:
+    """What an ALERT rule's condition gives on a row, evaluated once: ``HOLDS``, null where it fails, else some other bytes. To be held as a column that alerts and failures read."""
+    return F.expr(f"try_to_binary(coalesce(cast(transform(array(0), _i -> if(({condition(rule)}), true, false))[0] as string), ''), 'utf-8')")
+
+
+#: The bytes of a condition that holds.
+HOLDS = b"true"
+
+
 def in_group(rules: list[Rule], group: str | None) -> list[Rule]:
     """The rules that are evaluated for a group: its ALERT rules (null: those of every group) and all COMPUTE rules."""
     return [r for r in rules if group is None or r.kind == "COMPUTE" or (r.group or MAIN_GROUP) == group]
 
 
-def failures(rules: list[Rule], example: DataFrame) -> Column:
-    """Titles of the rules that fail on a row. example: rows with the columns of the transactions."""
+def failures(rules: list[Rule], example: DataFrame, held: dict[Rule, Column] | None = None) -> Column:
+    """Titles of the rules that fail on a row. example: rows with the columns of the transactions. held: the column of ``tried`` of ALERT rules."""
     from .records import records
 
     kinds = {(sql, m.name): m.kind for r in records(rules, example) for m in r.measures for _, sql in m.feeds if sql}
     made = []
     for r in rules:
         if r.kind == "ALERT":
-            bad = [failed(condition(r))]
+            bad = [held[r].isNull() if held else failed(condition(r))]
         else:
             bad = [failed(sql) for sql in (r.filter_sql, r.arg_sql, r.last_sql) if sql]
             for name, sql in [*((("amount", r.amount_sql),) if r.amount_sql else ()), *((f"value_{n}", x) for n, x in r.value_sqls)]:

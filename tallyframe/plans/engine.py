@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import composite_key
 from ..operators.alerts import alert_array, union_alerts, with_status
 from ..operators.records import Record, records, slot_columns
-from ..operators.rules import Rule, check, failed, failures, guarded, in_group
+from ..operators.rules import Rule, check, failed, failures, guarded, in_group, tried
 from ..operators.state import STATE_FIELDS, State, latest, tail
 from ..operators.windows import SPAN_MS, anchored_window, global_record, running_in_window, sliding_columns, sliding_last, sliding_list
 
@@ -265,14 +265,18 @@ def evaluated(rows: DataFrame, rules: list[Rule], custom: dict[str, list[str]],
     """
     alerting = [r for r in rules if r.kind == "ALERT"]
     keys = subject_keys(rules, custom)
-    parts = []
+    held = {r: F.col(f"_tried_{i}") for i, r in enumerate(alerting)}
+    rows = rows.withColumns({f"_tried_{i}": tried(r) for i, r in enumerate(alerting)}) if alerting else rows
+    parts = {}
     for name in dict.fromkeys((r.custom_subject or r.subject).lower() for r in alerting):
         own = [r for r in alerting if (r.custom_subject or r.subject).lower() == name]
-        parts.append(F.when(keys[name].isNotNull(), alert_array(own, keys)))
-    alerts = union_alerts(*parts) if parts else alert_array([], {})
+        parts[f"_alerts_{name}"] = F.when(keys[name].isNotNull(), alert_array(own, keys, held))
+    rows = rows.withColumns(parts) if parts else rows
+    alerts = union_alerts(*(F.col(p) for p in parts)) if parts else alert_array([], {})
     lost = [F.when(reduce(or_, (failed(c) for c in custom[name])), F.lit(name)) for name in custom if name.lower() in keys]
-    errors = F.concat(failures(rules, example), F.array_compact(F.array(*lost))) if lost else failures(rules, example)
-    return rows.withColumns({"alerts": alerts, "rule_errors": errors})
+    errors = failures(rules, example, held)
+    errors = F.concat(errors, F.array_compact(F.array(*lost))) if lost else errors
+    return rows.withColumns({"alerts": alerts, "rule_errors": errors}).drop(*parts, *(f"_tried_{i}" for i in range(len(alerting))))
 
 
 def in_force(rules: list[Rule], example: DataFrame, custom: dict[str, list[str]] | None) -> tuple[list[Rule], dict[str, str]]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyframe.operators import rules as R, state, sums, windows as W
 from tallyframe.operators.records import records
 from tallyframe.plans import engine
+from tallyframe.sources.transactions import read_transactions
 from tallyframe.streaming import jobs
 from tests.test_operators import S, batches, stream, table
 
@@ -127,6 +128,14 @@ def test_failing_is_not_having_no_result(spark):
     assert sorted(a.rule_title for r in got if r.transaction_no == 1 for a in r.alerts) == sorted(s for s in cases if s.startswith(("case", "1 / amount", "cast", "amount")))
 
 
+def test_a_condition_is_evaluated_once(spark, sf):
+    """Before, alerts and failures each evaluated it, alerts twice and again for each alert of a row."""
+    rules = [R.Rule("c", "COMPUTE", "Card", 10_000, record="tx"), *(R.Rule(f"r{i}", "ALERT", "Card", 10_000, condition_sql=f"tx.count + {7_770 + i} > 5 or 1 / (tx.count - 1) > 0") for i in range(2))]
+    found = engine.check_transactions(read_transactions(spark, sf), rules).select("alerts", "rule_errors", "score")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(f" + {7_770 + i})") for i in range(2)] == [1, 1]
+
+
 def test_rules_that_do_not_resolve_are_left_out(spark):
     rows = [(1, "c", "m", 1.0, 0)]
     bad = {
