@@ -38,6 +38,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import MapState
 
+from ..operators.windows import _placed
+
 #: Buckets of the longest window.
 BUCKETS = 32
 #: Bytes of a key's rows that are held as one value.
@@ -790,17 +792,15 @@ class Shards(Records):
         """Take the rows of a shard into the state of their keys, one key after the other."""
         us, no = fresh.column("us").to_numpy(), fresh.column("transaction_no").fill_null(-1).to_numpy()
         codes = [pc.dictionary_encode(fresh.column(k), null_encoding="encode").indices.to_numpy() for k in self.keys]
-        order = np.lexsort((no, us, *codes))
+        order = np.lexsort((no, us, *reversed(codes)))  # keys of one kind lie together
         us, no, fresh, codes = us[order], no[order], fresh.take(pa.array(order)), [c[order] for c in codes]
         changed = np.any([c[1:] != c[:-1] for c in codes], axis=0)
         begins = [0, *(np.flatnonzero(changed) + 1).tolist()]
         values = fresh.column("_sums").flatten().to_numpy().reshape(len(us), -1)
         texts = {n: fresh.column(n).to_pylist() for n in self.lists | self.lasts}
-        names = zip(*(fresh.column(k).take(pa.array(begins)).to_pylist() for k in self.keys), strict=True)
+        names = list(zip(*(fresh.column(k).take(pa.array(begins)).to_pylist() for k in self.keys), strict=True))
         done, first = [], 0
-        for key, i, j in zip(names, begins, [*begins[1:], len(us)], strict=True):
-            self.key = key
-            found = self._step(key, us[i:j], no[i:j], values[i:j], {n: t[i:j] for n, t in texts.items()})
+        for i, j, found in self._steps(names, [*begins, len(us)], us, no, values, texts):
             for b in range(i, j, TABLE_ROWS):
                 e = min(b + TABLE_ROWS, j)
                 done.append((self.sums, e - b, *({n: v[b - i : e - i] for n, v in kind.items()} for kind in found)))
@@ -810,6 +810,99 @@ class Shards(Records):
         if done:
             yield self._built(fresh.slice(first), done)
 
+    def _steps(self, names: list[tuple], cuts: list[int], us: np.ndarray, no: np.ndarray, values: np.ndarray, texts: dict[str, list]) -> Iterator[tuple[int, int, tuple]]:
+        """(first row, end, what ``_step`` gives): keys of one kind in one step, as far as they have no texts and nothing by buckets; the others one by one. cuts: where keys begin, and the end."""
+        at = 0
+        while at < len(names):
+            spec, end, states = self._spec(names[at]), at, []
+            plain = spec.parts and not any(p in spec.parts for p in (self.lists | self.lasts).values())
+            while plain and end < len(names) and ("" in self.specs or names[end][0] == names[at][0]):
+                held = self.shard.get(names[end])
+                state = (None, None, None, {}) if held is None else pickle.loads(held)
+                sliding, _, _, buckets = state
+                if buckets or sliding is not None and (not spec.sliding or sliding[:2] != [self.sums, spec.span]):
+                    break
+                states.append(state)
+                end += 1
+            i, j = cuts[at], cuts[end]
+            found = self._step_of_many(spec, names[at:end], states, np.array(cuts[at : end + 1], np.int64) - i, us[i:j], no[i:j], values[i:j]) if end > at else None
+            if found is not None:
+                yield i, j, found
+                at = end
+                continue
+            for k in range(at, max(end, at + 1)):
+                i, j = cuts[k], cuts[k + 1]
+                self.key = names[k]
+                yield i, j, self._step(self.key, us[i:j], no[i:j], values[i:j], {n: t[i:j] for n, t in texts.items()})
+            at = max(end, at + 1)
+
+    def _step_of_many(self, spec: Spec, names: list[tuple], states: list[tuple], cuts: np.ndarray, us: np.ndarray, no: np.ndarray, values: np.ndarray) -> tuple[dict, dict, dict] | None:
+        """``_step`` for the rows of many keys of one kind without texts, whose live rows are held in their shard; None if their times are too far apart to be put in one line."""
+        sums = self.sums
+        values = values if sums == self.every else values[:, [self.every.index(n) for n in sums]]
+        rows = [(s[0][2][2:] if s[0] else (b"", b"", b"")) for s in states]
+        old_us, old_no, old_values = (np.frombuffer(b"".join(r[x] for r in rows), np.int64) for x in range(3))
+        low, high = int(min(us.min(), old_us.min(initial=us[0]))), int(max(us.max(), old_us.max(initial=us[0])))
+        if (high - low + 2) * len(names) >= 1 << 62:
+            return None
+        first, last = cuts[:-1], cuts[1:] - 1
+        group = np.repeat(np.arange(len(names)), np.diff(cuts))
+        running = np.concatenate([np.zeros((1, len(sums)), np.int64), np.cumsum(values, axis=0)])
+        of_state = lambda held: np.array([[h.get(n, 0) for n in sums] for h in held], np.int64).reshape(len(names), len(sums))
+        latest = [s[2] or ({}, {}) for s in states]
+        fixed = [s[1] or ({}, {}) for s in states]
+        found, starts, sliding = {}, {}, [None] * len(names)
+        if spec.sliding:
+            # the rows of all keys on one line, those of a key in their order
+            n_old = np.array([len(r[0]) // 8 for r in rows], np.int64)
+            whose = np.concatenate([np.repeat(np.arange(len(names)), n_old), group])
+            every, numbers, all_values = np.append(old_us, us), np.append(old_no, no), np.concatenate([old_values.reshape(len(old_us), len(sums)), values])
+            order = np.lexsort((numbers, every, whose))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            every, numbers, all_values, at = every[order], numbers[order], all_values[order], place[len(old_us) :]
+            room = high - low + 2
+            line = whose[order] * room + (every - low)
+            on_line = lambda g, t: g * room + np.clip(t - low, 0, room - 1)
+            summed = np.concatenate([np.zeros((1, len(sums)), np.int64), np.cumsum(all_values, axis=0)])
+            upto = summed[np.searchsorted(line, on_line(group, us), "right") if self.peers else at + 1]
+            found = {part: upto - summed[np.searchsorted(line, on_line(group, us - ms * 1000), "left")] for part, ms in spec.sliding.items()}
+            newest = us[last]
+            known = n_old > 0
+            newest[known] = np.maximum(newest[known], old_us[np.cumsum(n_old)[known] - 1] // spec.span * spec.span)
+            gone = (newest - max(spec.sliding.values()) * 1000) // spec.span  # buckets before it are in no window to come
+            live = np.searchsorted(line, on_line(np.arange(len(names)), gone * spec.span), "left").tolist()
+            ends = np.cumsum(n_old + np.diff(cuts)).tolist()
+            for k, (name, state, i, j) in enumerate(zip(names, states, live, ends, strict=True)):
+                sliding[k] = [sums, spec.span, (None, None, b"", b"", b""), state[0][3] if state[0] else ([], [], {})]
+                self.kept = _Kept(sliding[k], fixed[k], latest[k])
+                self.rows = _Buckets(self.maps["rows"], repr(name), state[3].setdefault("rows", set()))
+                self._store(every[i:j], numbers[i:j], all_values[i:j], spec.span)
+        for part, ms in spec.fixed.items():
+            held = [f[0].get(part) for f in fixed]
+            known = np.array([h is not None for h in held])
+            open_at = np.array([h[0] if h else 0 for h in held], np.int64)
+            begin = _placed(us, group, open_at + ms * 1000, known, ms * 1000)
+            opens = np.append(True, (begin[1:] != begin[:-1]) | (group[1:] != group[:-1]))
+            out = running[1:] - running[np.maximum.accumulate(np.where(opens, np.arange(len(us)), 0))]
+            goes_on = known[group] & (begin == open_at[group])
+            out[goes_on] += of_state([h[1] if h else {} for h in held])[group[goes_on]]
+            found[part], starts[part] = out, begin
+            for f, start, own in zip(fixed, begin[last].tolist(), out[last].tolist(), strict=True):
+                f[0][part] = (start, dict(zip(sums, own, strict=True)))
+        if spec.unbounded:
+            before = of_state([x[0][spec.unbounded][1] if spec.unbounded in x[0] else {} for x in latest])
+            found[spec.unbounded] = (before - running[first])[group] + running[1:]
+        at_end = us[last].tolist()
+        for part in spec.parts:
+            ends = (starts[part][last] + spec.fixed[part] * 1000).tolist() if part in spec.fixed else [None] * len(names)
+            for (own, _), t, held, end in zip(latest, at_end, found[part][last].tolist(), ends, strict=True):
+                if part == spec.unbounded or part not in own or own[part][0] <= t:
+                    own[part] = (t, dict(zip(sums, held, strict=True)), {}, {}, end)
+        for name, slid, f, x, state in zip(names, sliding, fixed, latest, states, strict=True):
+            self.shard[name] = pickle.dumps((slid, f, x, {n: b for n, b in state[3].items() if b}), 5)
+        return found, starts, {}
+
     def _built(self, rows: pa.RecordBatch, done: list[tuple]) -> Row:
         """The answers to rows. done: for each of their keys the names of its sums, its rows, and what ``_step`` gave."""
         size, at, place = rows.num_rows, 0, {c: i for i, c in enumerate(self.longs)}

@@ -117,6 +117,37 @@ def test_keys_of_a_shard_have_the_answers_of_keys_by_themselves(seed):
     assert one.states["rows"].held
 
 
+@pytest.mark.parametrize(("seed", "peers", "unit"), [(0, False, S), (1, True, S), (2, False, S), (3, True, 2 * 10**16)])
+def test_keys_without_texts_take_one_step_with_the_answers_of_keys_by_themselves(seed, peers, unit, monkeypatch):
+    """New and known keys, few rows and many (by buckets), late rows and ties, other rules after a while; with times that are far apart too. Before, each key took a step by itself."""
+    r = random.Random(seed)
+    made = lambda spec, names: [kind({"card": spec, "shop": Spec({"short": 1_500}, {}, None, ("n",)), "open": Spec({}, {"f": 9_000}, "ever")}, ["subject", "key"], ["transaction_no", "us"], names, False, peers=peers) for kind in (Shards, Records)]
+    (shards, alone), number, alone_in_shard = made(OLD, ["n", "a"]), 0, []
+    step_of_one = Shards._step
+    monkeypatch.setattr(Shards, "_step", lambda self, key, *rest: (alone_in_shard.append(key), step_of_one(self, key, *rest))[1])
+    one, each = Handle(), {}
+    for step in range(20):
+        if step == 10:
+            shards, alone = made(NEW, ["a", "n", "b"])
+            alone_in_shard.clear()
+        rows = []
+        for k in ("a", "b", None, "many", "c|1"):
+            for subject in ("card", "shop", "open"):
+                for _ in range(r.randint(0, 120 if k == "many" else 3)):
+                    number += 1
+                    rows.append((subject, k, number, max(0, step * 5 * unit + r.randint(-20, 9) * unit // r.choice([1, 2])), None))
+        r.shuffle(rows)
+        got, want = answers(shards, one, (0,), rows), {}
+        for key in {x[:2] for x in rows}:
+            want |= answers(alone, each.setdefault(key, Handle()), key, [x for x in rows if x[:2] == key])
+        drop = lambda found: {k: {c: v for c, v in x.items() if c not in (*LISTS, *LASTS)} for k, x in found.items()}
+        assert drop(got) == drop(want)
+        if step < 2 and unit == S:
+            assert not alone_in_shard
+    if unit == S:
+        assert one.states["rows"].held and ("open", "many") not in alone_in_shard
+
+
 def test_a_shard_takes_two_calls_for_all_of_its_keys():
     """Before, a new key took four calls and a known one more."""
     (shards, _), handle = both(OLD, ["n", "a"]), Handle()
